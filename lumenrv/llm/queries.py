@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sentences import op2_sentencepiece
 from .token_files import op1_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files}
+    return {"op1_token_files": op1_token_files, "op2_sentencepiece": op2_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
