@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_vectors import OP3_SQL, op3_near_vectors
 from .sentences import op2_sentencepiece
+from .simhash import op10_simhash
 from .token_files import op1_token_files
+from .url_filters import OP7_SQL, op7_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_sentencepiece": op2_sentencepiece}
+    return {
+        "op1_token_files": op1_token_files,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_near_vectors": op3_near_vectors,
+        "op7_url_filters": op7_url_filters,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL}
