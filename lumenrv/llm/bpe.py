@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
+from .words import WordCache, code_points, per_text, text_starts
+
 #: Characters for which WORDS splits exactly as the byte-level pre-tokenizer does; any other text goes whole to the library.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r \xa0"
@@ -16,16 +17,45 @@ WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+
 SPACED = re.compile(f" [{_L}]+")
 
 
+CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_CLASSES = np.array([SPACE if re.match(f"[{_S}]", chr(c)) else LETTER if re.match(f"[{_L}]", chr(c)) else DIGIT if re.match(f"[{_N}]", chr(c)) else OTHER for c in range(0x250)], np.uint8)
+
+
+def word_starts(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Starts of the words that WORDS finds in texts without contractions, given the texts' borders.
+
+    A run of letters, digits or other marks is a word, with one space before it; of a run of white space
+    the last character stands alone unless it is such a space or ends the text.
+    """
+    n = len(points)
+    kind = _CLASSES[points]
+    begins = np.ones(n, bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    inner = borders[(borders > 0) & (borders < n)]
+    begins[inner] = True
+    blank = kind == SPACE
+    first = np.zeros(n, bool)  # first character of a text
+    first[borders[borders < n]] = True
+    # the last white space before a word of the same text begins a word of its own
+    last = np.zeros(n, bool)
+    last[:-1] = blank[:-1] & ~blank[1:] & ~first[1:]
+    joins = last & (points == 32)
+    starts = begins | last
+    starts[1:] &= ~(joins[:-1] & ~blank[1:])  # the run after such a space begins at the space
+    return np.flatnonzero(starts)
+
+
 class CachedBpe:
     """encode(texts) gives an id array for each text, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     A byte-level pre-tokenizer splits a text into words that are encoded apart, so a text's ids are its words' ids
-    in order. The library encodes each word when it is first seen; the cache holds two generations of about
-    cache_words words, and the older goes when the younger is full. Texts with an added token's string, or with characters outside PLAIN, and all texts of
-    other kinds of tokenizers, go to the library whole.
+    in order. Words are found and told apart by array operations; the library encodes each when it is first seen.
+    Texts with contractions are split by WORDS. Texts with an added token's string, or with characters outside PLAIN,
+    and all texts of other kinds of tokenizers, go to the library whole.
     """
 
-    def __init__(self, file: str, cache_words: int = 350_000):
+    def __init__(self, file: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,15 +68,14 @@ class CachedBpe:
         )
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache = WordCache(self._learn, self.dtype, cache_words)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Encode new words; those of a space and letters many to a call, as they split alike when joined."""
+        out: dict[str, bytes] = {}
         joint = [w for w in words if SPACED.fullmatch(w)]
         for start in range(0, len(joint), 4000):
             part = joint[start : start + 4000]
@@ -57,30 +86,39 @@ class CachedBpe:
                 raise AssertionError("the library split joined words otherwise")
             at = 0
             for word, end in zip(part, ends.tolist()):
-                self.cache[word] = raw[at:end]
+                out[word] = raw[at:end]
                 at = end
-        apart = [w for w in words if not SPACED.fullmatch(w)] if len(joint) < len(words) else []
+        apart = [w for w in words if w not in out] if len(out) < len(words) else []
         for start in range(0, len(apart), 4000):
             part = apart[start : start + 4000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = np.array(e.ids, self.dtype).tobytes()
+                out[word] = np.array(e.ids, self.dtype).tobytes()
+        return [out[w] for w in words]
+
+    def _words(self, texts: list[str], split: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        joined, borders = "".join(texts), text_starts(texts)
+        points = code_points(joined)
+        starts = word_starts(points, borders) if split is None else np.concatenate([b + s for b, s in zip(borders.tolist(), split)])
+        flat, lens = self.cache.encode(joined, points, starts, np.append(starts[1:], len(points)))
+        return per_text(flat, lens, starts, borders)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.split:
             return self._whole(texts)
-        words = [WORDS.findall(t) if not PLAIN.search(t) and not any(a in t for a in self.added) else None for t in texts]
-        odd = iter(self._whole([t for t, w in zip(texts, words) if w is None]))
-        if len(self.cache) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        new = set(chain.from_iterable(w for w in words if w)).difference(self.cache)
-        if self.older:
-            known = new.intersection(self.older)
-            self.cache.update((w, self.older[w]) for w in known)
-            new -= known
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        return [next(odd) if w is None else np.frombuffer(b"".join(map(get, w)), self.dtype) for w in words]
+        out: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+        plain, marked, odd = [], [], []
+        for i, t in enumerate(texts):
+            if t:
+                kind = odd if PLAIN.search(t) or any(a in t for a in self.added) else marked if CONTRACTION.search(t) else plain
+                kind.append(i)
+        for places, ids in (
+            (plain, self._words([texts[i] for i in plain]) if plain else []),
+            (marked, self._words(few := [texts[i] for i in marked], [np.array([m.start() for m in WORDS.finditer(t)]) for t in few]) if marked else []),
+            (odd, self._whole([texts[i] for i in odd]) if odd else []),
+        ):
+            for i, x in zip(places, ids):
+                out[i] = x
+        return out
 
 
 def vocabulary_size(file: str) -> int:
