@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
+from .secrets import op8_secrets
 from .sentences import op2_sentencepiece
 from .simhash import op10_simhash
 from .token_files import op1_token_files
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_near_vectors": op3_near_vectors,
         "op7_url_filters": op7_url_filters,
+        "op8_secrets": op8_secrets,
+        "op9_line_dedup": op9_line_dedup,
         "op10_simhash": op10_simhash,
     }
 
