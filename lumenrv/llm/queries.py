@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
+from .packing import op4_packing
 from .secrets import op8_secrets
 from .sentences import op2_sentencepiece
 from .simhash import op10_simhash
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_near_vectors": op3_near_vectors,
+        "op4_packing": op4_packing,
         "op7_url_filters": op7_url_filters,
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
