@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .interleaved import op5_media_columns
 from .line_dedup import op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
 from .packing import op4_packing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_near_vectors": op3_near_vectors,
         "op4_packing": op4_packing,
+        "op5_media_columns": op5_media_columns,
         "op7_url_filters": op7_url_filters,
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
