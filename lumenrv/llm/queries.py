@@ -14,6 +14,7 @@ from .secrets import op8_secrets
 from .sentences import op2_sentencepiece
 from .simhash import op10_simhash
 from .token_files import op1_token_files
+from .toxicity import op6_toxicity
 from .url_filters import OP7_SQL, op7_url_filters
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_vectors": op3_near_vectors,
         "op4_packing": op4_packing,
         "op5_media_columns": op5_media_columns,
+        "op6_toxicity": op6_toxicity,
         "op7_url_filters": op7_url_filters,
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
