@@ -1,7 +1,8 @@
 """Toxicity of documents: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Inputs are words: each has a vector of its own if the labelled rows held it often enough, next to the mean of vectors of its
-character triples. The network reads windows of words in both directions, attention weighs its states, and a document's
+runs of three to five characters. A vector's first place is not learned: it holds how surely the word, or the surest of its
+runs, goes with a label (log odds over their deviation in the labelled rows, if beyond what chance gives). The network reads windows of words in both directions, attention weighs its states, and a document's
 score is that of its worst window. All overlapping windows of the whole text are scored. Training picks each labelled
 document's worst window again before every epoch, so that labels of documents teach windows.
 """
@@ -20,7 +21,7 @@ from .common import byte_slices, texts
 from .words import WordCache, code_points, text_starts
 
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
-GRAMS = 1 << 13
+GRAMS = 1 << 15
 _WORD = np.array([chr(c).isalnum() for c in range(0x10000)])
 
 
@@ -36,9 +37,31 @@ def word_places(points: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np
     return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
-def gram_ids(word: str) -> list[int]:
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + 3].encode("utf-8", "surrogatepass")) % GRAMS for i in range(len(w) - 2)]
+def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed runs of three to five characters of each word between < and >: all ids, each word's first and number of them."""
+    if not words:
+        return (np.zeros(0, np.int64),) * 3
+    marked = [f"<{w}>" for w in words]
+    points = code_points("".join(marked)).astype(np.uint64)
+    lens = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(lens)
+    left = np.repeat(ends, lens) - np.arange(len(points))  # characters up to the word's end
+    padded = np.append(points, np.zeros(4, np.uint64))
+    ids, there = np.empty((len(points), 3), np.int64), np.empty((len(points), 3), bool)
+    h = (padded[:-4] * np.uint64(0x9E3779B1)) ^ (padded[1:-3] * np.uint64(0x85EBCA77C2B2AE63))
+    for k, n in enumerate((3, 4, 5)):
+        h = (h ^ padded[n - 1 : len(padded) - 5 + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ids[:, k], there[:, k] = (h >> np.uint64(7)).astype(np.int64) & (GRAMS - 1), left >= n
+    sizes = np.add.reduceat(there.sum(axis=1), ends - lens)
+    return ids[there], np.cumsum(sizes) - sizes, sizes
+
+
+def surety(held: np.ndarray, total: np.ndarray, beyond: float) -> np.ndarray:
+    """Log odds of label 1 over their deviation, for counts of documents by label (n x 2), drawn in by beyond on both sides."""
+    odds = np.log((held[:, 1] + 0.5) / (total[1] + 1)) - np.log((held[:, 0] + 0.5) / (total[0] + 1))
+    z = odds / np.sqrt((1 / (held + 0.5)).sum(axis=1))
+    return (np.sign(z) * np.clip(np.abs(z) - beyond, 0, 8) / 2).astype(np.float32)
 
 
 def window_starts(n: int, size: int, stride: int) -> np.ndarray:
@@ -48,6 +71,16 @@ def window_starts(n: int, size: int, stride: int) -> np.ndarray:
     return np.append(np.arange(0, n - size, stride), n - size)
 
 
+def gathered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values by their places at, in an array of n rows."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+        out[at[order][first]] = np.add.reduceat(values[order], first)
+    return out
+
+
 class Net:
     """The network. params: vectors Ew (row 0: other words), Ec; input weights W, b; recurrent U; attention A, a, v; output o, c."""
 
@@ -59,17 +92,20 @@ class Net:
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
         return cls(vocabulary, {
-            "Ew": (0.05 * draw(len(vocabulary) + 1, WORD_DIM)), "Ec": 0.5 * draw(GRAMS, CHAR_DIM) * np.sqrt(GRAMS).astype(np.float32) * 0.2, "W": draw(2, d, 3 * h), "b": np.zeros((2, 3 * h), np.float32),
+            "Ew": (0.05 * draw(len(vocabulary) + 1, WORD_DIM)), "Ec": np.zeros((GRAMS, CHAR_DIM), np.float32), "W": draw(2, d, 3 * h), "b": np.zeros((2, 3 * h), np.float32),
             "U": draw(2, h, 3 * h), "A": draw(2 * h, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": draw(ATTENTION, 1)[:, 0], "o": draw(2 * h, 1)[:, 0], "c": np.full(1, -1.0, np.float32),
         })
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """Word vector and mean triple vector of each word."""
-        grams = [gram_ids(w) for w in words]
-        return self.mixed(np.array([self.vocabulary.get(w, 0) for w in words], np.int64), *_ragged(grams))
+        return self.mixed(np.array([self.vocabulary.get(w, 0) for w in words], np.int64), *gram_ids(words))
 
     def mixed(self, ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        chars = np.add.reduceat(self.p["Ec"][flat], starts) / sizes[:, None] if len(ids) else np.zeros((0, CHAR_DIM), np.float32)
+        if not len(ids):
+            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        vectors = self.p["Ec"][flat]
+        chars = np.add.reduceat(vectors, starts) / sizes[:, None]
+        chars[:, 0] = np.maximum.reduceat(vectors[:, 0], starts)
         own = self.p["Ew"][ids] * (ids > 0)[:, None]
         return np.concatenate([own, chars.astype(np.float32)], axis=1)
 
@@ -124,9 +160,8 @@ class Net:
         p, h, (n, t) = self.p, HIDDEN, at.shape
         used, at = np.unique(at, return_inverse=True)
         at = at.reshape(n, t)
-        flat, starts, lens = words
-        take = np.repeat(starts[used] - np.cumsum(lens[used]) + lens[used], lens[used]) + np.arange(lens[used].sum())
-        flat, lens = flat[take], lens[used]
+        flat, _, lens = words
+        flat, lens = flat[_spread(words, used)], lens[used]
         starts = np.cumsum(lens) - lens
         ids = own[used]
         x = self.mixed(ids, flat, starts, lens)
@@ -144,7 +179,7 @@ class Net:
         g["A"] = np.einsum("nth,ntk->hk", hs, de)
         g["a"] = de.sum(axis=(0, 1))
         dhs = dhs + de @ p["A"].T
-        dgates = np.zeros((len(used), 6 * h), np.float32)
+        each = np.empty((2, n, t, 3 * h), np.float32)
         g["U"] = np.zeros_like(p["U"])
         dh = np.zeros((n, 2, h), np.float32)
         for k in range(t - 1, -1, -1):
@@ -163,35 +198,44 @@ class Net:
             for side, step in ((0, k), (1, t - 1 - k)):
                 g["U"][side] += old[:, side].T @ back[:, side]
                 dh[:, side] += back[:, side] @ p["U"][side].T
-                np.add.at(dgates[:, 3 * h * side : 3 * h * (side + 1)], at[:, step], dg[:, side])
+                each[side, :, step] = dg[:, side]
+        dgates = np.concatenate([gathered(at.ravel(), x.reshape(-1, 3 * h), len(used)) for x in each], axis=1)
         g["W"] = np.stack([x.T @ dgates[:, : 3 * h], x.T @ dgates[:, 3 * h :]])
         g["b"] = np.stack([dgates[:, : 3 * h].sum(axis=0), dgates[:, 3 * h :].sum(axis=0)])
         dx = dgates[:, : 3 * h] @ p["W"][0].T + dgates[:, 3 * h :] @ p["W"][1].T
-        g["Ew"] = np.zeros_like(p["Ew"])
-        np.add.at(g["Ew"], ids, dx[:, :WORD_DIM] * (ids > 0)[:, None])
-        g["Ec"] = np.zeros_like(p["Ec"])
-        np.add.at(g["Ec"], flat, np.repeat(dx[:, WORD_DIM:] / lens[:, None], lens, axis=0))
+        g["Ew"] = gathered(ids, dx[:, :WORD_DIM] * (ids > 0)[:, None], len(p["Ew"]))
+        g["Ec"] = gathered(flat, np.repeat(dx[:, WORD_DIM:] / lens[:, None], lens, axis=0), GRAMS)
+        g["Ew"][:, 0] = g["Ec"][:, 0] = 0
         return g
 
 
-def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.array([i for x in lists for i in x], np.int64), np.cumsum(sizes) - sizes, sizes
+def _spread(grams: tuple, rows: np.ndarray) -> np.ndarray:
+    """Places of all runs of some words."""
+    _, starts, sizes = grams
+    starts, sizes = starts[rows], sizes[rows]
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def train(docs: list[tuple[list[list[str]], int]], *, epochs: int = 14, batch: int = 128, rate: float = 0.01, seed: int = 5, least_docs: int = 3, window: int = 64) -> Net:
-    """Fit to documents given as windows of words and a label 0 or 1."""
+def train(docs: list[tuple[list[list[str]], int]], *, epochs: int = 12, least_steps: int = 300, batch: int = 128, rate: float = 0.01, decay: float = 0.02, drop: float = 0.25, seed: int = 5, least_docs: int = 3, window: int = 64) -> Net:
+    """Fit to documents given as windows of words and a label 0 or 1; few documents get smaller batches and more epochs."""
+    batch = min(batch, max(16, len(docs) // 16))
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(docs) // batch))))
     rng = np.random.default_rng(seed)
-    seen: dict[str, int] = {}
-    for windows, _ in docs:
-        for w in {w for x in windows for w in x}:
-            seen[w] = seen.get(w, 0) + 1
-    words = sorted(seen)
-    net = Net.new({w: i + 1 for i, w in enumerate(x for x in words if seen[x] >= least_docs)}, rng)
+    words = sorted({w for windows, _ in docs for x in windows for w in x})
+    row = {w: i for i, w in enumerate(words)}
+    grams = gram_ids(words)
+    total, held, grams_held = np.zeros(2), np.zeros((len(words), 2)), np.zeros((GRAMS, 2))
+    for windows, y in docs:
+        own_rows = np.unique([row[w] for x in windows for w in x])
+        total[y] += 1
+        held[own_rows, y] += 1
+        grams_held[np.unique(grams[0][_spread(grams, own_rows)]), y] += 1
+    net = Net.new({words[i]: k + 1 for k, i in enumerate(np.flatnonzero(held.sum(axis=1) >= least_docs).tolist())}, rng)
     if not docs:
         return net
-    row = {w: i for i, w in enumerate(words)}
-    grams = _ragged([gram_ids(w) for w in words])
+    net.p["Ew"][:, 0] = 0
+    net.p["Ew"][1:, 0] = surety(held[held.sum(axis=1) >= least_docs], total, 2.0)
+    net.p["Ec"][:, 0] = surety(grams_held, total, 3.0)
     own = np.array([net.vocabulary.get(w, 0) for w in words], np.int64)
     at = np.zeros((sum(len(x) for x, _ in docs), window), np.int64)
     sizes = np.zeros(len(at), np.int64)
@@ -207,21 +251,26 @@ def train(docs: list[tuple[list[list[str]], int]], *, epochs: int = 14, batch: i
     first = {name: np.zeros_like(x) for name, x in net.p.items()}
     second = {name: np.zeros_like(x) for name, x in net.p.items()}
     step = 0
+    hint = net.mixed(own, *grams)[:, [0, WORD_DIM]].sum(axis=1)  # for the first choice of windows
     for epoch in range(epochs):
-        score = net.logits(net.projected(net.mixed(own, *grams)), at, sizes) if epoch else rng.standard_normal(len(at))
+        score = net.logits(net.projected(net.mixed(own, *grams)), at, sizes) if epoch else np.where(np.arange(window) < sizes[:, None], hint[at], -9).max(axis=1)
         order = np.lexsort((score, doc))
         worst = order[np.append(doc[order][1:] != doc[order][:-1], True)]
         worst = rng.permutation(worst)
         for s in range(0, len(worst), batch):
             pick = worst[s : s + batch]
-            dropped = np.where(rng.random(len(own)) < 0.25, 0, own)  # so that triples learn beside whole words
+            dropped = np.where(rng.random(len(own)) < drop, 0, own)  # so that triples learn beside whole words
             g = net.gradients(at[pick], sizes[pick], label[doc[pick]], weights[doc[pick]], grams, dropped)
             step += 1
             lr = rate * (1 - 0.9 * step / (epochs * -(-len(worst) // batch)))
             for name, x in g.items():
                 first[name] += 0.1 * (x - first[name])
                 second[name] += 0.01 * (x * x - second[name])
-                net.p[name] = (net.p[name] * (1 - 1e-4 * lr) - lr * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                pace = lr * 0.1 if name in ("Ew", "Ec") else lr  # few rows must not be learned by heart
+                kept = net.p[name][:, 0].copy() if name in ("Ew", "Ec") else None
+                net.p[name] = (net.p[name] * (1 - decay * lr) - pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                if kept is not None:
+                    net.p[name][:, 0] = kept
     return net
 
 
