@@ -153,7 +153,7 @@ def token_tests(text: Column, base: Column) -> Column:
 
 def failing_bins(tested: DataFrame) -> dict[int, int]:
     """For each length class the least tenth of -log10(p) that fails; three numbers reach the driver."""
-    counts = tested.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
+    counts = tested.select(F.explode("__tokens").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
     by_p = Window.partitionBy("class").orderBy(F.desc("bin"))  # a class has 401 rows at most
     share = F.when(F.col("class") == 0, CLASSES[0][1]).when(F.col("class") == 1, CLASSES[1][1]).otherwise(CLASSES[2][1])
     ranked = counts.withColumns({"rank": F.sum("n").over(by_p), "all": F.sum("n").over(Window.partitionBy("class"))})
@@ -161,14 +161,16 @@ def failing_bins(tested: DataFrame) -> dict[int, int]:
     return {r["class"]: r["bin"] for r in least.collect()}
 
 
-def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and spans: array<struct<start, rank, end>> by start, then kind (rank in KINDS), of every row's whole text.
+def with_secrets(df: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """df with base_spans (fixed patterns) and spans (all), array<struct<start, rank, end>> by start, then kind (rank in KINDS).
 
-    A null text is the empty one and has no spans; rows stay as many as they are, repeated or null ids included.
+    A null text is the empty one and has no spans; rows stay as many as they are, repeated or null ids included. Columns
+    of these two names are replaced. keep_text=False leaves the text out of what is written between the two passes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col).alias("id"), text.alias("text"), base_spans(text).alias("base"))
-    tested = materialize(base.select("id", "base", token_tests(F.col("text"), F.col("base")).alias("tokens")))
+    tested = df.withColumn("base_spans", base_spans(text))
+    tested = tested.withColumn("__tokens", token_tests(text, F.col("base_spans")))
+    tested = materialize(tested if keep_text else tested.drop(text_col))
     bins = failing_bins(tested)
 
     def secret(t: Column) -> Column:
@@ -177,8 +179,15 @@ def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             out = out & ~((t["class"] == c) & (t["bin"] >= b))
         return out
 
-    random = F.transform(F.filter("tokens", secret), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
-    return tested.select("id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
+    random = F.transform(F.filter("__tokens", secret), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
+    return tested.withColumn("spans", F.array_sort(F.concat("base_spans", random))).drop("__tokens")
+
+
+def redact_secrets(df: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """df with every secret of the texts replaced by the mark; null texts stay null."""
+    found = with_secrets(df.drop("spans", "base_spans"), text_col=text_col)
+    text = F.when(F.size("spans") > 0, redact(F.col(text_col), F.col("spans"), mark)).otherwise(F.col(text_col))
+    return found.withColumn(text_col, text).drop("spans", "base_spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -201,6 +210,6 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the secrets of every document."""
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", _of_rank(r))).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS[:3])]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    found = with_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
+    counts = [F.size(F.filter("base_spans", _of_rank(r))).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))

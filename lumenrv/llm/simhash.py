@@ -44,15 +44,15 @@ def fingerprint(raw: bytes, width: int = 3, chunk: int = 1 << 16) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of every whole text; null texts count as empty ones."""
+    """doc_id, body (hash of the text), fp (the fingerprint's bits) of every whole text; null texts count as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", 8 << 20):
                 fp = np.array([fingerprint(x.as_buffer().to_pybytes(), width) for x in part.column("text")], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), pa.array(fp.view(np.int64))], ["doc_id", "body", "fp"])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(df, id_col, text_col).withColumn("body", F.xxhash64("text")).mapInArrow(run, "doc_id long, body long, fp long")
 
 
 @cache
@@ -189,22 +189,40 @@ def fingerprint_links(fps: DataFrame, *, bits: int = 2, crowded: int = 256) -> D
     return found.union(_verified(more, bits))
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, bits: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of df, and fp, first, component of each distinct fingerprint; both are written tables."""
+    rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, width=width))
+    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    sets = components(fingerprint_links(groups.select("fp"), bits=bits))
+    return rows, materialize(groups.join(sets.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links of at most bits bits.
 
     Every row of df gives a row: null and empty texts have fingerprint zero, repeated ids are rows of their own, and a
     null id stands in no component's minimum (its component_id is the others' smallest, or null).
     """
-    rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, width=width))
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = materialize(groups)
-    sets = components(fingerprint_links(groups.select("fp"), bits=bits))
-    named = groups.join(sets.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows, named = _classes(df, id_col, text_col, bits, width)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
+    classes = materialize(named.join(least, "component").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
+    """df with one row of each component: that of the smallest id (null ids last), then of the smallest hash of the text.
+
+    Of rows that repeat both id and text any one stays.
+    """
+    rows, named = _classes(df, id_col, text_col, bits, width)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "body")
+    first = rows.groupBy("fp").agg(F.min(key).alias("key")).join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min("key").alias("key"))
+    kept = materialize(first.select(F.col("key.doc_id").alias("__id"), F.col("key.body").alias("__body")))
+    own = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = own.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__body")))
+    return out.dropDuplicates(["__id", "__body"]).drop("__hash", "__id", "__body")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -74,8 +74,8 @@ def test_spans_equal_brute_force(spark):
     keys = ["".join(rng.choice(S.ALPHABETS["base64"][:62]) for _ in range(rng.choice((24, 40, 88)))) for _ in range(60)]
     words = ["".join(rng.choice(("tion", "er", "the", "an", "in")) for _ in range(8)) for _ in range(300)]
     texts = TRICKY + [f"word {w} {rng.choice(words)}" for w in keys + words]
-    got = S.scan_secrets(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int"))
-    got = {r.id: ([tuple(x) for x in r.base], [tuple(x) for x in r.spans]) for r in got.collect()}
+    got = S.with_secrets(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int"))
+    got = {r.doc_id: ([tuple(x) for x in r.base_spans], [tuple(x) for x in r.spans]) for r in got.collect()}
     want, every = brute(texts)
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -102,7 +102,9 @@ def test_query_over_a_whole_table(spark):
 
 def test_empty_table_and_redaction(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert S.scan_secrets(none).count() == 0
+    assert S.with_secrets(none).count() == 0
     df = spark.createDataFrame([("ab token=abcdefghi é " + "ab12" * 8 + "z",), (None,), ("plain",)], "text string")
     got = df.select(S.redact(F.coalesce("text", F.lit("")), S.base_spans(F.coalesce("text", F.lit("")))).alias("t")).collect()
     assert [r.t for r in got] == ["ab [secret] é [secret]z", "", "plain"]
+    rows = spark.createDataFrame([("x token=abcdefghi", 1, 5), (None, 2, 6), ("", 3, 7)], "text string, spans int, id long")
+    assert sorted(tuple(r) for r in S.redact_secrets(rows.fillna(0, ["id"])).select("id", "text").collect()) == [(5, "x [secret]"), (6, None), (7, "")]
