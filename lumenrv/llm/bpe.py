@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-from .words import WordCache, code_points, per_text, text_starts
+from .words import WordCache, code_points, per_text, spread, text_starts
 
 #: Characters for which WORDS splits exactly as the byte-level pre-tokenizer does; any other text goes whole to the library.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
@@ -55,7 +55,7 @@ class CachedBpe:
     and all texts of other kinds of tokenizers, go to the library whole.
     """
 
-    def __init__(self, file: str, cache_words: int = 400_000):
+    def __init__(self, file: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,32 +68,41 @@ class CachedBpe:
         )
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.cache = WordCache(self._learn, self.dtype, cache_words)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Encode new words; those of a space and letters many to a call, as they split alike when joined."""
-        out: dict[str, bytes] = {}
-        joint = [w for w in words if SPACED.fullmatch(w)]
-        for start in range(0, len(joint), 4000):
-            part = joint[start : start + 4000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            raw, of = np.array(e.ids, self.dtype).tobytes(), np.array(e.word_ids)
-            ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) * self.dtype.itemsize
-            if len(ends) != len(part):
-                raise AssertionError("the library split joined words otherwise")
-            at = 0
-            for word, end in zip(part, ends.tolist()):
-                out[word] = raw[at:end]
-                at = end
-        apart = [w for w in words if w not in out] if len(out) < len(words) else []
-        for start in range(0, len(apart), 4000):
-            part = apart[start : start + 4000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                out[word] = np.array(e.ids, self.dtype).tobytes()
-        return [out[w] for w in words]
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new words; those of a space and letters some hundred to a call, as they split alike when joined.
+
+        A token stands for as many bytes as its string has characters, which tells where the words end.
+        """
+        joint = np.fromiter((SPACED.fullmatch(w) is not None for w in words), bool, len(words))
+        parts, sizes = [], np.zeros(len(words), np.int64)
+        places = np.flatnonzero(joint)
+        for start in range(0, len(places), 500):
+            at = places[start : start + 500]
+            part = [words[i] for i in at.tolist()]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids)
+            ends = np.cumsum(self.bytes[ids])
+            stop = np.searchsorted(ends, np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))) + 1
+            sizes[at] = np.diff(stop, prepend=0)
+            parts.append(ids)
+        others = np.flatnonzero(~joint)
+        for start in range(0, len(others), 2000):
+            at = others[start : start + 2000]
+            for i, e in zip(at.tolist(), self.tokenizer.encode_batch_fast([words[i] for i in at.tolist()], add_special_tokens=False)):
+                parts.append(np.array(e.ids, np.int64))
+                sizes[i] = len(e.ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        order = np.concatenate([places, others])  # as flat has the words
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[spread(begin, sizes)].astype(self.dtype), sizes
 
     def _words(self, texts: list[str], split: list[np.ndarray] | None = None) -> list[np.ndarray]:
         joined, borders = "".join(texts), text_starts(texts)

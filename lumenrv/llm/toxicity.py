@@ -100,6 +100,10 @@ class Net:
         """Word vector and mean triple vector of each word."""
         return self.mixed(np.array([self.vocabulary.get(w, 0) for w in words], np.int64), *gram_ids(words))
 
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For a WordCache: the input parts of the gates."""
+        return self.projected(self.inputs(words)).ravel(), np.full(len(words), 6 * HIDDEN)
+
     def mixed(self, ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if not len(ids):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
@@ -283,8 +287,8 @@ def score_batch(net: Net, cache: WordCache, texts: list[str], window: int, strid
     out = np.zeros(len(texts))
     if not len(starts):
         return out
-    codes, values = cache.distinct(joined, points, starts, ends)
-    gates = np.frombuffer(b"".join(values), np.float32).reshape(len(values), 6 * HIDDEN)
+    codes, at, _ = cache.places(joined, points, starts, ends)
+    gates = cache.items[: cache.filled].reshape(-1, 6 * HIDDEN)[at // (6 * HIDDEN)]
     cut = np.searchsorted(starts, borders)
     full, full_doc, few, few_doc = [], [], [], []
     for i, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
@@ -352,7 +356,7 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = net.value
-        cache = WordCache(lambda words: [x.tobytes() for x in model.projected(model.inputs(words))], np.float32, 120_000)
+        cache = WordCache(model.learn, np.float32, 150_000, 150_000 * 6 * HIDDEN)
         for column in batches:
             batch = pa.RecordBatch.from_arrays([column], ["text"])
             parts = [score_batch(model, cache, p.column("text").to_pylist(), window, stride) for p in byte_slices(batch, "text", 2 << 20)]

@@ -53,52 +53,76 @@ class Hasher:
 
 
 class WordCache:
-    """Values of words, learned in bulk when a word is first seen.
+    """Values of words (some items of dtype each), learned in bulk when a word is first seen.
 
-    Two generations of about cache_words words are held, and the older goes when the younger is full. Words longer
-    than longest are learned each time, so that junk cannot fill the cache.
+    Hashes, sorted, lead to places in one array of items. Beyond cache_words words, or 24 items a word, the half that was
+    used least recently goes. learn(words) gives all items in order and how many each word has.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str | np.dtype, cache_words: int = 400_000, longest: int = 64):
-        self.learn, self.dtype, self.cache_words, self.longest = learn, np.dtype(dtype), cache_words, longest
-        self.cache: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str | np.dtype, cache_words: int = 600_000, items: int | None = None):
+        self.learn, self.dtype, self.cache_words = learn, np.dtype(dtype), cache_words
+        self.most = items or 24 * cache_words
         self.hasher = Hasher()
-
-    def distinct(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """For each slice the place of its value, and the values."""
+        self.keys, self.turn = np.zeros(0, np.uint64), 0
+        self.at, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.items, self.filled = np.zeros(1 << 16, self.dtype), 0
+
+    def _append(self, items: np.ndarray) -> None:
+        if self.filled + len(items) > len(self.items):
+            self.items = np.concatenate([self.items[: self.filled], np.zeros(max(len(self.items), len(items)), self.dtype)])
+        self.items[self.filled : self.filled + len(items)] = items
+        self.filled += len(items)
+
+    def _shrink(self) -> None:
+        keep = self.used > np.median(self.used)
+        self.keys, self.size, self.used, at = self.keys[keep], self.size[keep], self.used[keep], self.at[keep]
+        held = self.items[spread(at, self.size)]
+        self.at = np.cumsum(self.size) - self.size
+        self.items, self.filled = held, len(held)
+
+    def _near(self, found: np.ndarray) -> np.ndarray:
+        order = np.argsort(found)
+        near = np.empty(len(found), np.int64)
+        near[order] = np.searchsorted(self.keys, found[order])  # in order, which spares the processor's cache
+        return near
+
+    def places(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each slice the number of its word among the distinct ones; the distinct words' places and sizes in items."""
         codes, found = pd.factorize(self.hasher.slices(points, starts, ends))
-        if len(self.cache) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        keys = found.tolist()
-        values = list(map(self.cache.get, keys))
-        lost = [i for i, v in enumerate(values) if v is None]
-        if self.older and lost:
-            for i in lost:
-                if (v := self.older.get(keys[i])) is not None:
-                    values[i] = self.cache[keys[i]] = v
-            lost = [i for i in lost if values[i] is None]
-        if lost:
-            first = np.empty(len(keys), np.int64)
+        if len(self.keys) > self.cache_words or self.filled > self.most:
+            self._shrink()
+        self.turn += 1
+        near = self._near(found)
+        new = np.ones(len(found), bool)
+        inside = near < len(self.keys)
+        new[inside] = self.keys[near[inside]] != found[inside]
+        if new.any():
+            first = np.empty(len(found), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at = first[lost]
-            for i, s, e, v in zip(lost, a := starts[at].tolist(), b := ends[at].tolist(), self.learn([joined[s:e] for s, e in zip(a, b)])):
-                values[i] = v
-                if e - s <= self.longest:
-                    self.cache[keys[i]] = v
-        return codes, values
+            at = first[new]
+            items, sizes = self.learn([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            begin = self.filled + np.cumsum(sizes) - sizes
+            self._append(items)
+            order = np.argsort(found[new])
+            where = near[new][order]
+            self.keys = np.insert(self.keys, where, found[new][order])
+            self.at, self.size = np.insert(self.at, where, begin[order]), np.insert(self.size, where, sizes[order])
+            self.used = np.insert(self.used, where, self.turn)
+            near = self._near(found)
+        self.used[near] = self.turn
+        return codes, self.at[near], self.size[near]
 
     def encode(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All values in order as one array, and how many items each slice gave."""
-        codes, values = self.distinct(joined, points, starts, ends)
-        flat = np.frombuffer(b"".join(values), self.dtype)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        offset = np.cumsum(sizes) - sizes
-        lens = sizes[codes]
-        ends_out = np.cumsum(lens)
-        at = np.repeat(offset[codes] - ends_out + lens, lens)
-        at += np.arange(len(at))
-        return flat[at], lens
+        """All items in order as one array, and how many each slice gave."""
+        codes, at, size = self.places(joined, points, starts, ends)
+        lens = size[codes]
+        return self.items[spread(at[codes], lens)], lens
+
+
+def spread(at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """at[0], at[0]+1, ... of lens[0] places, then those of the next."""
+    ends = np.cumsum(lens)
+    return np.repeat(at - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def text_starts(texts: list[str]) -> np.ndarray:
