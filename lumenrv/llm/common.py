@@ -1,38 +1,14 @@
-"""Helpers shared by the corpus operators: shared storage, input cleaning, grouped Arrow streams."""
+"""Helpers shared by the corpus operators: input cleaning, grouped Arrow streams; shared storage is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (local tests, one machine) is a temporary folder made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumenrv-checkpoint-"))
-    if "://" not in base and not base.startswith("file:"):  # as Spark itself would read it
-        base = f"{spark.sparkContext._jsc.hadoopConfiguration().get('fs.defaultFS').rstrip('/')}{base}"
-    return f"{base.replace('file:///', 'file:/').replace('file:/', 'file:///').rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lumenrv.sources.scratch import materialize, shared_dir  # noqa: F401  (for the operators)
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
