@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrv.functions.spectral import SPEED_OF_LIGHT
-from lumenrv.operators import robust, spectra as A, velocity
+from lumenrv.operators import robust, telluric, velocity
+from lumenrv.operators import spectra as A
 from lumenrv.plans.registry import query
 from lumenrv.plans.surrogates import line_list, measurements, spectra
 from lumenrv.streaming.epochs import nightly_means
@@ -102,6 +103,33 @@ def compute_rv_synthetic(spark, d):
     return robust.odd_ratio_mean(found, ["exposure", "known"], "dv", "sdv", name="vrad", error_name="svrad")
 
 
+def synthetic_air(seed: int = 3, lines: int = 30) -> telluric.Air:
+    rng = np.random.default_rng(seed)
+    wave = 1490 * np.exp(np.arange(16_000) * 250.0 / SPEED_OF_LIGHT)
+    lists, spectra_ = [], []
+    for _ in range(2):
+        at, depth = np.sort(rng.uniform(wave[800], wave[-800], lines)), rng.uniform(0.1, 0.5, lines)
+        lists.append(np.stack([at, depth], axis=1))
+        spectra_.append(1 - np.minimum((depth * np.exp(-0.5 * ((wave[:, None] - at) / (at * 1500 / SPEED_OF_LIGHT)) ** 2)).sum(axis=1), 0.9))
+    return telluric.Air(wave, *spectra_, *lists)
+
+
+def synthetic_absorbed(spark, air, exponents):
+    rows = []
+    for k, (water, others) in enumerate(exponents):
+        rng = np.random.default_rng(k)
+        rows.append((k, water, others, air.wave.tolist(), (air.transmission(water, others, 1.4) * (1 + 0.05 * np.sin(air.wave / 2)) + rng.normal(0, 0.002, len(air.wave))).tolist()))
+    return spark.createDataFrame(rows, "exposure int, water double, others double, wave array<double>, flux array<double>")
+
+
+@query()
+def telluric_correction(spark, d):
+    """Exposures through air of known exponents, and what is found of them."""
+    air = synthetic_air()
+    made = synthetic_absorbed(spark, air, [(0.5, 1.0), (1.0, 1.0), (2.0, 1.3), (0.8, 1.8)] * 2)
+    return telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"]).drop("flux_tc")
+
+
 @query()
 def stream_epoch_agg(spark, d):
     """Nightly weighted means; the same function takes a stream."""

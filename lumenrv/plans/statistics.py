@@ -229,10 +229,10 @@ def pdf_grid(spark, d):
 
 @query(f"""WITH e AS (SELECT object, kind, avg(snr) AS v, stddev_pop(snr) / sqrt(count(*)) AS s FROM {EXPOSURES} GROUP BY ALL),
 p AS (SELECT object, max(v) FILTER (kind = 'F') AS a, max(s) FILTER (kind = 'F') AS sa, max(v) FILTER (kind = 'O') AS b, max(s) FILTER (kind = 'O') AS sb FROM e GROUP BY object)
-SELECT object, round(a - b - (SELECT median(a - b) FROM p), 4) AS colour, round(sqrt(sa * sa + sb * sb), 6) AS colour_err FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+SELECT object, round(a - b - (SELECT median(a - b) FROM p), 9) AS colour, round(sqrt(sa * sa + sb * sb), 6) AS colour_err FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
 def colour_curve(spark, d):
     """Difference of two bands with its error, less the median difference."""
     stats = exposures(spark, d).groupBy("object").pivot("kind", ["F", "O"]).agg(F.avg("snr").alias("v"), (F.stddev_pop("snr") / F.sqrt(F.count(F.lit(1)))).alias("s"))
     both = stats.filter("F_v is not null and O_v is not null").select("object", (F.col("F_v") - F.col("O_v")).alias("c"), F.sqrt(F.col("F_s") * F.col("F_s") + F.col("O_s") * F.col("O_s")).alias("e"))
     middle = both.agg(F.percentile("c", F.lit(0.5)).alias("m"))  # one row
-    return both.join(F.broadcast(middle)).select("object", F.round(F.col("c") - F.col("m"), 4).alias("colour"), F.round("e", 6).alias("colour_err"))
+    return both.join(F.broadcast(middle)).select("object", F.round(F.col("c") - F.col("m"), 9).alias("colour"), F.round("e", 6).alias("colour_err"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenrv.functions import spectral, times
 from lumenrv.kernels import curves
-from lumenrv.operators import intervals, robust, sequences, spectra, velocity
-from lumenrv.plans.kernels import synthetic_template
+from lumenrv.functions import headers
+from lumenrv.operators import intervals, orders, robust, sequences, spectra, telluric, velocity
+from lumenrv.plans import instruments
+from lumenrv.plans.kernels import synthetic_absorbed, synthetic_air, synthetic_template
 
 NAN = float("nan")
 
@@ -138,3 +140,41 @@ def test_day_counts(spark):
     row = spark.range(1).select(times.local_night(F.lit(59000.5), 0.0).alias("a"), times.local_night(F.lit(59001.5), 0.0).alias("b"), times.metres_per_second(F.lit("-12.5 m/s")).alias("v"), times.metres_per_second(F.lit("x")).alias("n")).first()
     assert tuple(row) == (59000.0, 59002.0, -12.5, None)
     assert [b[0] for b in spectral.uniform_bins(900, 1950, 25)][::24] == ["914nm", "1920nm"]
+
+
+def test_air_exponents_are_found(spark):
+    air = synthetic_air()
+    made = synthetic_absorbed(spark, air, [(0.5, 1.0), (2.0, 1.4)])
+    for r in telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"]).collect():
+        assert r.exponent_water == pytest.approx(r.water, abs=0.05) and r.exponent_others == pytest.approx(r.others, abs=0.05)
+        clean = np.array(r.flux_tc, float)
+        assert np.nanstd(clean / curves.low_pass(clean, 201)) < 0.02
+    k = telluric.rotation_kernel(100.0, 5000.0)
+    assert k.sum() == pytest.approx(1) and k[0] < k[len(k) // 2] and telluric.rotated(np.ones(300), 100.0, 5000.0) == pytest.approx(1)
+
+
+def test_one_dimensional_spectra_and_templates(spark):
+    from lumenrv.plans.orders import template_from_exposures
+
+    rows = template_from_exposures(spark, "").filter("flux is not null").collect()
+    assert len(rows) > 1800
+    at = np.array([1500 * math.exp(r.i * 500 / spectral.SPEED_OF_LIGHT) for r in rows])
+    want = 1 - 0.4 * np.exp(-0.5 * ((at - 1501.5) / 0.05) ** 2)
+    assert np.array([r.flux for r in rows]) == pytest.approx(want, abs=1e-4)
+
+
+def test_headers_and_parameters(spark):
+    df = spark.createDataFrame([({"A": "1.5", "AB1": "x", "B": "\u00e9" * 3, "LONG": "y" * 80},)], "h map<string,string>")
+    h = F.col("h")
+    row = df.select(headers.value_of(h, ["Z", "A"], "double").alias("a"), headers.matching(h, "A?1").alias("m"), headers.translated(h, {"A": "KW_A"}, {"B": "c"}).alias("t"), headers.ascii_header(h, ["AB1"]).alias("s")).first()
+    assert (row.a, row.m, row.t["KW_A"], row.t["B"], row.s) == (1.5, {"AB1": "x"}, "1.5", "c", {"A": "1.5", "B": ""})
+    with pytest.raises(Exception, match="no key of"):
+        df.select(headers.value_of(h, ["Q"], required=True)).collect()
+    found = instruments.parameters(("file", {"N_ITERATIONS": 5, "OWN": 1}), ("call", {"N_ITERATIONS": 7}))
+    assert found["N_ITERATIONS"][:2] == (7, "call") and found["OWN"][1] == "file" and found["SNR_THRES"][1] == "default"
+    assert instruments.parameter_table(spark, found).count() == len(found)
+
+
+def test_monotone_orders(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([3.0, 2.0],), ([1.0, 3.0, 2.0],)], "w array<double>")
+    assert [r[0] for r in df.select(orders.is_monotone(F.col("w"))).collect()] == [True, True, False]
