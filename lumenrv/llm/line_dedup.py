@@ -89,7 +89,8 @@ def patience(shared: list[tuple[list[int], list[int]]]) -> dict[int, int]:
 def common_blocks(lines: list[dict], min_words: int) -> list[int]:
     """Lines (of all lines) of a later document that its aligned blocks cover.
 
-    Two pieces of one diagonal are one block where each line between them has an earlier holder as well.
+    Two pieces of one diagonal are one block where each line between them has an earlier holder as well, and lines at the
+    ends of a block that have earlier holders join it: a common line of a copy belongs to another first holder.
     """
     words: dict[int, int] = {}
     raw: dict[int, int] = {}
@@ -112,6 +113,12 @@ def common_blocks(lines: list[dict], min_words: int) -> list[int]:
             if p is not None:
                 block.extend(range(last[0] + 1, p + 1) if joined else (p,))
                 last = (p, q)
+    for p in sorted(gone):  # lines at a block's ends that have earlier holders go with it, so that of a copy nothing is left
+        for step in (1, -1):
+            k = p + step
+            while k in words and k not in gone:
+                gone.add(k)
+                k += step
     return sorted(raw[p] for p in gone)
 
 
@@ -132,6 +139,7 @@ def common_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(split_lines(rows))
     key = F.struct(F.col("id").alias("owner"), F.col("body").alias("owner_body"))
     owners = lines.groupBy("hi", "lo").agg(F.min(key).alias("first"), F.min_by("places", key).alias("owner_places"), F.count("*").alias("n")).filter("n > 1")
+    owners = materialize(owners)  # read anew, so that the join's two sides are dealt alike and a common line's can be split
     later = lines.join(owners, ["hi", "lo"]).filter(~(F.col("id").eqNullSafe(F.col("first.owner")) & (F.col("body") == F.col("first.owner_body"))))
     gathered = later.repartition("id", "body").groupBy("id", "body", "hi", "lo").agg(F.first(F.struct("first.owner", "first.owner_body", "words", "places", "raw", "owner_places")).alias("line")).groupBy("id", "body").agg(F.collect_list("line").alias("lines"))
 
