@@ -228,6 +228,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = store_media(docs, shared_dir(spark))
     html = F.concat(F.lit("<article><h1>Document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit('</h1><figure><img alt="text" src="sha256:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     pages = interleave(docs.select("doc_id", "n_bytes", html.alias("html")))
-    shown = resolve(pages.drop("html"), media_facts(store))
+    facts = materialize(media_facts(store))  # one row for each payload; read anew, so that the join can split a common one
+    shown = resolve(pages.drop("html"), facts)
     image = F.get(F.filter("items", lambda x: x["kind"] == "image"), F.lit(0))
     return shown.select("doc_id", "n_bytes", image.alias("image")).select("doc_id", "n_bytes", "image.media.*", F.col("image.pos").alias("pos"), F.col("image.caption").alias("caption"))
