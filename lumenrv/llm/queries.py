@@ -10,7 +10,7 @@ from .interleaved import op5_media_columns
 from .line_dedup import op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
 from .packing import op4_packing
-from .secrets import op8_secrets
+from .secrets import OP8_SQL, op8_secrets
 from .sentences import op2_sentencepiece
 from .simhash import op10_simhash
 from .token_files import op1_token_files
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL}
+    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL, "op8_secrets": OP8_SQL}

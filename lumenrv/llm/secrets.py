@@ -213,3 +213,43 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
     counts = [F.size(F.filter("base_spans", _of_rank(r))).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def _normal_sql(z: str) -> str:
+    t = f"(1 / (1 + {z} * 0.2316419e0))"
+    return f"greatest(exp(-{z} * {z} / 2) * 0.3989422804014327e0 * ({t} * (0.319381530e0 + {t} * (-0.356563782e0 + {t} * (1.781477937e0 + {t} * (-1.821255978e0 + {t} * 1.330274429e0))))), 1e-40)"
+
+
+def _places_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, found, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS start, length(w[i]) AS n
+  FROM (SELECT r, i, w, g, f[i] AS found FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS w, regexp_extract_all(text, '{pattern}', {group}) AS f, string_split_regex(text, '{pattern}') AS g FROM d),
+    LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)) WHERE length(found) >= {least}"""
+
+
+_ALPHABET_SQL = f"CASE kind WHEN 'hex' THEN '{ALPHABETS['hex']}' WHEN 'base32' THEN '{ALPHABETS['base32']}' ELSE '{ALPHABETS['base64']}' END"
+
+OP8_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED ({" UNION ALL ".join(_places_sql(k, i, p, g, LEAST[k]) for i, (k, p, g) in enumerate((("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", "[0-9a-f]{32,}", 0))))}),
+tokens AS ({_places_sql("random", 3, TOKEN, 0, 20)}),
+free AS (SELECT row_number() OVER () AS id, t.*, regexp_replace(found, '=+$', '') AS bare FROM tokens t WHERE NOT regexp_full_match(found, '[0-9]+=*')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.start < t.start + t.n AND t.start < b.start + b.n)),
+kinds AS (SELECT id, r, start, n, bare, CASE WHEN regexp_full_match(bare, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(bare, '[A-Z2-7]+') THEN 'base32' ELSE 'base64' END AS kind FROM free),
+coded AS (SELECT id, r, start, n, {_ALPHABET_SQL} AS a, CASE WHEN kind = 'hex' THEN lower(bare) ELSE translate(bare, '-_', '+/') END AS t FROM kinds),
+counted AS (SELECT *, CAST(length(a) AS DOUBLE) AS k, CAST(length(t) AS DOUBLE) AS l, list_sum(list_transform(string_split(a, ''), lambda c: pow(length(t) - length(replace(t, c, '')), 2))) AS squares,
+  list_transform(string_split(t, ''), lambda c: strpos(a, c) - 1 - (length(a) - 1) / 2e0) AS u FROM coded),
+walked AS (SELECT *, coalesce(list_sum(list_transform(range(2, len(u) + 1), lambda i: CASE WHEN (u[i] >= 0) <> (u[i - 1] >= 0) THEN 1e0 ELSE 0e0 END)), 0) AS changes,
+  coalesce(list_sum(list_transform(range(2, len(u) + 1), lambda i: u[i] * u[i - 1])), 0) AS cross_sum, squares * k / l - l AS chi, 2 / (9 * (k - 1)) AS cube FROM counted),
+tested AS (SELECT *, (pow(greatest(chi, 1e-9) / (k - 1), 1 / 3e0) - (1 - cube)) / sqrt(cube) AS z, abs((changes - (l - 1) / 2) / (sqrt(l - 1) / 2)) AS zr, abs(cross_sum / ((k * k - 1) / 12) / sqrt(l - 1)) AS zs FROM walked),
+summed AS (SELECT *, -(ln(CASE WHEN z >= 0 THEN {_normal_sql("z")} ELSE 1 - {_normal_sql("(-z)")} END) + ln(least(1, 2 * {_normal_sql("zr")})) + ln(least(1, 2 * {_normal_sql("zs")}))) AS x FROM tested),
+binned AS MATERIALIZED (SELECT r, start, n, CASE WHEN l >= 64 THEN 2 WHEN l >= 32 THEN 1 ELSE 0 END AS class, CAST(least({LAST_BIN}, floor(log10(greatest(exp(-x) * (1 + x + x * x / 2), 1e-40)) * -10)) AS INTEGER) AS bin FROM summed),
+counts AS (SELECT class, bin, count(*) AS n FROM binned GROUP BY ALL),
+fails AS (SELECT class, min(bin) AS bin FROM (SELECT class, bin, sum(n) OVER (PARTITION BY class ORDER BY bin DESC) AS rank, sum(n) OVER (PARTITION BY class) AS every FROM counts)
+  WHERE pow(10, -bin / 10e0) <= CASE class WHEN 0 THEN 0.1e0 WHEN 1 THEN 0.05e0 ELSE 0.01e0 END * rank / every GROUP BY class),
+spans AS (SELECT r, kind, rank, start, start + n AS stop FROM base UNION ALL
+  SELECT r, 'random', 3, start, start + n FROM binned b LEFT JOIN fails f ON b.class = f.class WHERE f.bin IS NULL OR b.bin < f.bin),
+texts AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN texts USING (r)
+"""
