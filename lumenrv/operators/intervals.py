@@ -45,6 +45,18 @@ def drop_known(df: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(known.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def place_in_order(df: DataFrame, coarse: str, order: Sequence[str], *, name: str = "place") -> DataFrame:
+    """0-based place of each row in a total order, of which coarse (a column such as the day) is the leading part.
+
+    Rows are numbered within their coarse value; only the counts of the coarse values are put in order as a whole.
+    """
+    counts = df.groupBy(coarse).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)  # one row for each coarse value
+    starts = counts.select(coarse, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy(coarse).orderBy(*order)) - 1
+    return df.withColumn("__rank", rank).join(starts, coarse).withColumn(name, F.col("__start") + F.col("__rank")).drop("__rank", "__start")
+
+
 def time_key(days: Column, digits: int = 8) -> Column:
     """A date rounded to so many decimals of a day as a whole number, to join on."""
     return F.rint(days * 10**digits).cast("bigint")

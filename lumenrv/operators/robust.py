@@ -40,9 +40,34 @@ def mean_of_points(points: Column, odd: float, rounds: int, converged: float) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["g"].alias("mean"), s["bulk"].alias("err")))
 
 
+def exact_median(known: DataFrame, keys: Sequence[str], value: str, *, name: str = "median", near: float = 5e-4) -> DataFrame:
+    """Exact medians of groups of any size: a sketch gives two values around the median, only what lies between is looked at.
+
+    Between them lie about twice near of a group's points; equal values are counted first, so that ties take one place.
+    """
+    keys = list(keys)
+    sketch = known.groupBy(*keys).agg(F.percentile_approx(value, F.array(F.lit(0.5 - near), F.lit(0.5 + near)), F.lit(int(10 / near))).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    held = materialize(sketch.select(*(F.col(k).alias(f"__{k}") for k in keys), F.get("__b", F.lit(0)).alias("__lo"), F.get("__b", F.lit(1)).alias("__hi"), "__n"))
+    met = known.join(held, _same(keys))
+    below = F.sum((F.col(value) < F.col("__lo")).cast("long"))
+    inside = met.filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    listed = inside.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("__c").alias("c")))).alias("__p"))
+    before = met.groupBy(*keys, "__n").agg(below.alias("__before")).select(*(F.col(k).alias(f"__{k}") for k in keys), "__n", "__before")
+    both = listed.join(before, _same(keys))
+
+    def at(place: Column) -> Column:
+        """The value at a 0-based place of the group."""
+        start = F.struct(F.col("__before").alias("seen"), F.lit(None).cast("double").alias("v"))
+        step = lambda s, p: F.struct((s["seen"] + p["c"]).alias("seen"), F.when((s["seen"] <= place) & (place < s["seen"] + p["c"]), p["v"]).otherwise(s["v"]).alias("v"))
+        return F.aggregate("__p", start, step, lambda s: s["v"])
+
+    middle = (at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2
+    return both.select(*keys, middle.alias(name))
+
+
 def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, converged: float) -> DataFrame:
     """Groups of any size: every round is one grouping with partial sums, and no group's points are gathered."""
-    state = known.groupBy(*keys).agg(F.percentile("__v", F.lit(0.5)).alias("__g")).withColumns({"__last": F.lit(float("inf")), "__bulk": F.lit(1.0)})
+    state = exact_median(known, keys, "__v", name="__g").withColumns({"__last": F.lit(float("inf")), "__bulk": F.lit(1.0)})
     moving = F.abs(F.col("__g") - F.col("__last")) / F.col("__bulk") > converged
     for _ in range(rounds):
         held = materialize(state.select(*(F.col(k).alias(f"__{k}") for k in keys), "__g", "__last", "__bulk"))

@@ -182,12 +182,10 @@ def skip_done_anti(spark, d):
   (row_number() OVER (ORDER BY mjd, exposure) - 1) % 4 AS stripe FROM {EXPOSURES} WHERE object % 10 = 3""")
 def quality_verdicts(spark, d):
     """Reject reasons in order, and the stripe of each exposure in order of time."""
-    from pyspark.sql import Window
-
     chosen = exposures(spark, d).filter("object % 10 = 3")
     reason = F.when(F.col("exposure") % 1000 == 999, "bad").when(F.col("snr") < 30, "low snr").when(~F.col("mjd").between(50000, 51500), "date").otherwise("kept")
-    # a total order of the list of exposures: one narrow row for each
-    return chosen.select("exposure", reason.alias("verdict"), ((F.row_number().over(Window.orderBy("mjd", "exposure")) - 1) % 4).cast("long").alias("stripe"))
+    placed = intervals.place_in_order(chosen.withColumn("day", F.floor("mjd")), "day", ["mjd", "exposure"])
+    return placed.select("exposure", reason.alias("verdict"), (F.col("place") % 4).alias("stripe"))
 
 
 @query("""WITH h AS (SELECT doc_id, unnest([{'k': 'LANG', 'v': lang}, {'k': 'SOURCE', 'v': source}, {'k': 'CHARS', 'v': CAST(n_chars AS VARCHAR)}], recursive := true) FROM documents)

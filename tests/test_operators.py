@@ -39,6 +39,13 @@ def test_robust_mean_both_ways_equal_the_kernel(spark):
     assert robust.odd_ratio_mean(df.limit(0), ["k"], "v", "e").count() == 0
 
 
+def test_exact_medians(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 999), (3, 20_000)) for v in rng.normal(size=n)] + [(4, float(i % 3)) for i in range(5000)] + [(None, 2.0)]
+    got = {r.k: r["median"] for r in robust.exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
+    assert got == {k: pytest.approx(np.median([v for j, v in rows if j == k])) for k in (0, 1, 2, 3, 4, None)}
+
+
 def test_outliers_do_not_move_the_mean():
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.normal(0, 1, 950), np.full(50, 50.0)])
