@@ -54,7 +54,7 @@ def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         ids[:, k], there[:, k] = (h >> np.uint64(7)).astype(np.int64) & (GRAMS - 1), left >= n
     sizes = np.add.reduceat(there.sum(axis=1), ends - lens)
-    return ids[there], np.cumsum(sizes) - sizes, sizes
+    return ids[there].astype(np.int32), np.cumsum(sizes) - sizes, sizes
 
 
 def surety(held: np.ndarray, total: np.ndarray, beyond: float) -> np.ndarray:
@@ -104,7 +104,11 @@ class Net:
         """For a WordCache: the input parts of the gates."""
         return self.projected(self.inputs(words)).ravel(), np.full(len(words), 6 * HIDDEN)
 
-    def mixed(self, ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def mixed(self, ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, many: int = 20_000) -> np.ndarray:
+        if len(ids) > many:  # some thousand words at a time
+            cuts = range(0, len(ids), many)
+            ends = [int(starts[k + many]) if k + many < len(ids) else len(flat) for k in cuts]
+            return np.concatenate([self.mixed(ids[k : k + many], flat[starts[k] : e], starts[k : k + many] - starts[k], sizes[k : k + many]) for k, e in zip(cuts, ends)])
         if not len(ids):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
         vectors = self.p["Ec"][flat]
@@ -220,17 +224,27 @@ def _spread(grams: tuple, rows: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def train(docs: list[tuple[list[list[str]], int]], *, epochs: int = 12, least_steps: int = 300, batch: int = 128, rate: float = 0.01, decay: float = 0.02, drop: float = 0.25, seed: int = 5, least_docs: int = 3, window: int = 64) -> Net:
-    """Fit to documents given as windows of words and a label 0 or 1; few documents get smaller batches and more epochs."""
+def train(docs: list[tuple[list[str], int]], *, epochs: int = 12, least_steps: int = 300, batch: int = 128, rate: float = 0.01, decay: float = 0.02, drop: float = 0.25, seed: int = 5, least_docs: int = 3, window: int = 64) -> Net:
+    """Fit to documents given as windows (words joined by spaces) and a label 0 or 1; few documents get smaller batches and more epochs."""
     batch = min(batch, max(16, len(docs) // 16))
     epochs = max(epochs, -(-least_steps // max(1, -(-len(docs) // batch))))
     rng = np.random.default_rng(seed)
-    words = sorted({w for windows, _ in docs for x in windows for w in x})
-    row = {w: i for i, w in enumerate(words)}
+    row: dict[str, int] = {}
+    at = np.zeros((sum(len(x) for x, _ in docs), window), np.int32)
+    sizes, doc = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    k = 0
+    for i, (windows, _) in enumerate(docs):
+        for x in windows:
+            ids = [row.setdefault(w, len(row)) for w in x.split(" ")]
+            at[k, : len(ids)], sizes[k], doc[k] = ids, len(ids), i
+            k += 1
+    words = list(row)
     grams = gram_ids(words)
     total, held, grams_held = np.zeros(2), np.zeros((len(words), 2)), np.zeros((GRAMS, 2))
-    for windows, y in docs:
-        own_rows = np.unique([row[w] for x in windows for w in x])
+    borders = np.searchsorted(doc, np.arange(len(docs) + 1))
+    for i, (_, y) in enumerate(docs):
+        mine = slice(borders[i], borders[i + 1])
+        own_rows = np.unique(at[mine][np.arange(window) < sizes[mine, None]])
         total[y] += 1
         held[own_rows, y] += 1
         grams_held[np.unique(grams[0][_spread(grams, own_rows)]), y] += 1
@@ -241,14 +255,6 @@ def train(docs: list[tuple[list[list[str]], int]], *, epochs: int = 12, least_st
     net.p["Ew"][1:, 0] = surety(held[held.sum(axis=1) >= least_docs], total, 2.0)
     net.p["Ec"][:, 0] = surety(grams_held, total, 3.0)
     own = np.array([net.vocabulary.get(w, 0) for w in words], np.int64)
-    at = np.zeros((sum(len(x) for x, _ in docs), window), np.int64)
-    sizes = np.zeros(len(at), np.int64)
-    doc = np.zeros(len(at), np.int64)
-    k = 0
-    for i, (windows, _) in enumerate(docs):
-        for x in windows:
-            at[k, : len(x)], sizes[k], doc[k] = [row[w] for w in x], len(x), i
-            k += 1
     label = np.array([y for _, y in docs], np.float32)
     share = min(max(label.mean(), 1e-3), 1 - 1e-3)
     weights = np.where(label == 1, min(0.25 / share, 4.0), 1.0).astype(np.float32)  # rare labels count a little more
@@ -313,7 +319,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int, stride: int, windows: int) -> list[tuple[list[list[str]], int]]:
+def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int, stride: int, windows: int) -> list[tuple[list[str], int]]:
     """The bounded training sample: at most each documents of each label, at most windows evenly spread windows of each.
 
     Ids are taken in the order of their hash, so that the sample does not depend on partitions.
@@ -337,7 +343,7 @@ def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int
 
     got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, windows array<string>").collect()
     got.sort(key=lambda r: (r.doc_id, r.windows))
-    return [([w.split(" ") for w in r.windows], r.toxic) for r in got if r.windows]
+    return [(r.windows, r.toxic) for r in got if r.windows]
 
 
 def score_toxicity(
