@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by the score of the piece that they would make, and merges
-the best pair (the leftmost among equals) until none is left. Where no piece of the vocabulary holds a space mark after
-another character, no merge crosses a word's start, so that words are encoded apart and each distinct word once per worker.
-The words that an Arrow batch brings anew are compared with the sentencepiece library's ids.
+the best pair (the leftmost among equals) until none is left. No merge crosses two characters that no piece of the
+vocabulary holds side by side, so that texts are cut there and each distinct part is encoded once per worker. The words
+whose parts an Arrow batch brings anew are compared with the sentencepiece library's ids.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import PLAIN
 from .common import byte_slices, texts
+from .words import WordCache, code_points, per_text, text_starts
 
 SPACE = "▁"
+LATIN = 0x250
 NEVER = 1 << 40
 
 
 class MergeEncoder:
     """ids(text) for one model file, without begin and end ids."""
 
-    def __init__(self, file: str, cache_words: int = 250_000, longest_cached: int = 64):
+    def __init__(self, file: str, cache_words: int = 500_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=file)
@@ -41,15 +43,18 @@ class MergeEncoder:
         self.rank = {p: order[x] for p, (x, _) in self.pieces.items()}
         self.bytes = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        inner = re.compile(f"[^{SPACE}]{SPACE}")
-        self.by_word = not any(inner.search(p) for p in self.pieces)
+        # which two characters stand side by side in a piece; characters beyond LATIN may with any
+        self.joins = np.zeros((LATIN + 1, LATIN + 1), bool)
+        self.joins[LATIN, :] = self.joins[:, LATIN] = True
+        mark = lambda c: 32 if c == SPACE else min(ord(c), LATIN)
+        for p in self.pieces:
+            for a, b in zip(p, p[1:]):
+                self.joins[mark(a), mark(b)] = True
+        self.by_word = not self.joins[:, 32][np.arange(LATIN + 1) != 32][:-1].any() and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         # What the agenda does not cover goes to the library: pieces that must be split again, and rewriting normalizers.
         probe = ["a  b", " ａ①", "a\tb ", "Å"]
         self.plain_rules = not any(sp.is_unused(i) for i in range(n)) and all(sp.decode(sp.encode(p)) == p for p in probe)
-        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cache_words, self.longest = cache_words, longest_cached
+        self.cache = WordCache(self._learn, "<u4", cache_words)
         self.mismatches = 0
 
     def merge(self, text: str) -> list[int]:
@@ -106,33 +111,51 @@ class MergeEncoder:
                 out.append(self.unknown)
         return out
 
-    def _checked(self, marked: list[str]) -> list[bytes]:
-        """Agenda ids of words; the library has the last word, and differences are counted."""
-        mine = [self.merge(w) for w in marked]
-        ask = [i for i, w in enumerate(marked) if len(w) > 1 and w[0] == SPACE]
-        for i, ids in zip(ask, self.library.encode([marked[i][1:].replace(SPACE, " ") for i in ask], num_threads=1)):
-            if ids != mine[i]:
-                self.mismatches += 1
-                mine[i] = ids
-        return [np.array(ids, "<u4").tobytes() for ids in mine]
+    def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda ids of parts."""
+        mine = [self.merge(w.replace(" ", SPACE)) for w in parts]
+        return np.array(list(chain.from_iterable(mine)), "<u4"), np.fromiter(map(len, mine), np.int64, len(mine))
+
+    def _wrong(self, joined: str, starts: np.ndarray, words: np.ndarray, flat: np.ndarray, lens: np.ndarray, n: int) -> list[int]:
+        """Starts of the words with new parts for which the library has other ids; it has the last word."""
+        of = np.searchsorted(words, starts, "right") - 1
+        ask = np.unique(of[self.cache.fresh])
+        done = np.concatenate([[0], np.cumsum(lens)])
+        first = np.searchsorted(starts, words)
+        a, b = words[ask], np.append(words[1:], n)[ask]
+        ids = self.library.encode([joined[x + 1 : y].replace(SPACE, " ") for x, y in zip(a.tolist(), b.tolist())], num_threads=1)
+        cut = done[np.append(first, len(starts))]
+        return [x for x, k, found in zip(a.tolist(), ask.tolist(), ids) if found != flat[cut[k] : cut[k + 1]].tolist()]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.plain_rules:
             return [np.array(ids, "<u4").tobytes() for ids in self.library.encode(batch, num_threads=1)]
-        find = self.word.findall
-        words = [find(SPACE + t.replace(" ", SPACE)) if t and self.by_word else [SPACE + t.replace(" ", SPACE)] if t else [] for t in batch]
-        if len(self.cache) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        new = set(chain.from_iterable(words)).difference(self.cache)
-        known = new.intersection(self.older)
-        self.cache.update((w, self.older[w]) for w in known)
-        new = list(new - known)
-        self.cache.update(zip(new, self._checked(new)))
-        out = [b"".join(map(self.cache.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > self.longest:
-                del self.cache[w]
+        # every text begins with a space of its own; a word begins where a run of spaces does
+        held = [i for i, t in enumerate(batch) if t]
+        out = [b""] * len(batch)
+        if held:
+            spaced = [" " + batch[i] for i in held]
+            joined, borders = "".join(spaced), text_starts(spaced)
+            points = code_points(joined)
+            points = np.where(points == ord(SPACE), 32, points)
+            small = np.minimum(points, LATIN)
+            begins = np.zeros(len(points), bool)
+            begins[borders[:-1]] = True
+            word = begins.copy()  # a word begins where a run of spaces does
+            if self.by_word:
+                begins[1:] |= ~self.joins[small[:-1], small[1:]]
+                word[1:] |= (points[1:] == 32) & (points[:-1] != 32)
+                begins |= word
+            starts = np.flatnonzero(begins)
+            flat, lens = self.cache.encode(joined, points, starts, np.append(starts[1:], len(points)))
+            for i, x in zip(held, per_text(flat, lens, starts, borders)):
+                out[i] = x.tobytes()
+            if wrong := self._wrong(joined, starts, np.flatnonzero(word), flat, lens, len(points)):
+                self.mismatches += len(wrong)
+                again = [held[i] for i in np.unique(np.searchsorted(borders, wrong, "right") - 1).tolist()]
+                for i, ids in zip(again, self.library.encode([batch[i] for i in again], num_threads=1)):
+                    out[i] = np.array(ids, "<u4").tobytes()
         # texts beyond common Latin script are compared whole as well
         odd = [i for i, t in enumerate(batch) if PLAIN.search(t)]
         for i, ids in zip(odd, self.library.encode([batch[i] for i in odd], num_threads=1) if odd else []):

@@ -66,6 +66,7 @@ class WordCache:
         self.keys, self.turn = np.zeros(0, np.uint64), 0
         self.at, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.items, self.filled = np.zeros(1 << 16, self.dtype), 0
+        self.fresh = np.zeros(0, bool)
 
     def _append(self, items: np.ndarray) -> None:
         if self.filled + len(items) > len(self.items):
@@ -110,6 +111,7 @@ class WordCache:
             self.used = np.insert(self.used, where, self.turn)
             near = self._near(found)
         self.used[near] = self.turn
+        self.fresh = new[codes]  # the slices whose words were learned just now
         return codes, self.at[near], self.size[near]
 
     def encode(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
