@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from lumenrv.llm import secrets as S
 
+from .test_near_duplicates import sets_of
 from .test_packing import check_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +55,30 @@ def test_tiny_corpora(spark, tmp_path, rows):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert len({r.doc_id for r in P.run(spark, str(tmp_path)).collect()}) == rows
+
+
+def plain_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_near_copies_of_similarity_08_and_above_go(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(rng.choice((60, 300, 900)))]
+        rows.append((10 * k, " ".join(base)))
+        for j, share in enumerate((0.002, 0.006, 0.01, 0.02, 0.05), 1):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, int(share * len(copy)))):
+                copy[at] = word()
+            rows.append((10 * k + j, " ".join(copy)))
+    sets = {d: plain_shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    similarity = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in links]
+    assert sum(0.8 <= s < 0.95 for s in similarity) > 30
+    groups = sets_of(sets, links)
+    df = spark.createDataFrame([(*r, "en", "web", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in P.near_duplicates(spark, df.repartition(5), SF).collect())
+    assert got == sorted(set(groups.values()))
