@@ -1,15 +1,14 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by repeated blocks of lines.
 
-Documents overlap where they hold the same line. A line is assigned to its first holder (the smallest id), so that a line
-of any number of holders gives each later document one partner and no table of pairs: rare lines and common ones go the
-same exact way. For each later document and partner the shared lines are aligned by patience diff: lines that are unique
-in both are put in their longest increasing order, and neighbours that occur more than once join them. Aligned blocks of
-min_words words or more are deleted from the later document. The first holder of a line always keeps it.
+A block is a run of lines that are not blank, whatever blank lines lie between. Of a document every shortest window of
+lines with min_words words or more is hashed, those that start at a line and those that end at one. A block of min_words words or
+more that two documents hold consists of such windows, whole and to its ends, and each window has a first holder (the
+smallest id), so that a later document loses every line of a block that any earlier document holds, wherever it stands
+in either and however often. Single lines go the same way; a window or line of any number of holders makes no table of pairs.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,104 +18,88 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, materialize
 
-LINES = "id long, body long, hi long, lo long, words int, places array<int>, raw array<int>"
+UNITS = "id long, body long, hi long, lo long, lines int, enough boolean, places array<int>, raw array<int>"
+
+
+def windows(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """Start and end of the shortest windows of min_words words or more, from each line on and up to each line."""
+    out, total, start = set(), 0, 0
+    for end, n in enumerate(words, 1):  # up to each line
+        total += n
+        while total - words[start] >= min_words:
+            total -= words[start]
+            start += 1
+        if total >= min_words:
+            out.add((start, end))
+    total, end = 0, len(words)
+    for start in range(len(words) - 1, -1, -1):  # from each line on
+        total += words[start]
+        while total - words[end - 1] >= min_words:
+            end -= 1
+            total -= words[end]
+        if total >= min_words:
+            out.add((start, end))
+    return out
+
+
+def split_units(rows: DataFrame, min_words: int) -> DataFrame:
+    """A row for each document and distinct line that is not blank or window of such lines: 128-bit hash (of the stripped
+    line, or of the lines' hashes), number of lines, whether it has min_words words, its places among the lines that are
+    not blank and, of a line, among all lines."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()] + [pa.list_(pa.int32())] * 2
+        names = ["id", "body", "hi", "lo", "lines", "enough", "places", "raw"]
+        out: list[list] = [[] for _ in names]
 
-def split_lines(rows: DataFrame) -> DataFrame:
-    """A row for each document and distinct line that is not blank: 128-bit hash of the stripped line, its number of words,
-    its places among such lines and among all lines."""
+        def written() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(out[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], k) for c, k in zip(out, kinds)], names)
+            for c in out:
+                c.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", 2 << 20):
-                out: list[list] = [[] for _ in range(7)]
                 for key, body, text in zip(*(part.column(c).to_pylist() for c in ("id", "body", "text"))):
-                    held: dict[str, tuple[list[int], list[int]]] = {}
-                    n = 0
-                    for raw, line in enumerate(text.split("\n")):
-                        if line := line.strip():
-                            places, raws = held.setdefault(line, ([], []))
-                            places.append(n)
-                            raws.append(raw)
-                            n += 1
-                    for line, (places, raws) in held.items():
-                        h = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                        for col, v in zip(out, (key, body, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), len(line.split()), places, raws)):
+                    stripped = [(raw, line) for raw, x in enumerate(text.split("\n")) if (line := x.strip())]
+                    words = [len(line.split()) for _, line in stripped]
+                    hashes = [xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for _, line in stripped]
+                    every = b"".join(hashes)
+                    held: dict[tuple[bytes, int], tuple[bool, list[int], list[int]]] = {}
+                    for n, (h, (raw, _)) in enumerate(zip(hashes, stripped)):
+                        _, places, raws = held.setdefault((h, 1), (words[n] >= min_words, [], []))
+                        places.append(n)
+                        raws.append(raw)
+                    for start, end in windows(words, min_words):
+                        if end - start > 1:
+                            held.setdefault((xxhash.xxh3_128_digest(every[16 * start : 16 * end]), end - start), (True, [], []))[1].append(start)
+                    for (h, n), (enough, places, raws) in held.items():
+                        for col, v in zip(out, (key, body, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), n, enough, places, raws)):
                             col.append(v)
-                kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.list_(pa.int32())] * 2
-                for at in range(0, len(out[0]), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], k) for c, k in zip(out, kinds)], ["id", "body", "hi", "lo", "words", "places", "raw"])
-
-    return rows.mapInArrow(run, LINES)
-
-
-def increasing(values: list[int]) -> list[int]:
-    """Indices of a longest strictly increasing subsequence, by patience sorting."""
-    tops: list[int] = []
-    piles: list[int] = []
-    back = [-1] * len(values)
-    for i, v in enumerate(values):
-        k = bisect_left(tops, v)
-        back[i] = piles[k - 1] if k else -1
-        if k == len(tops):
-            tops.append(v)
-            piles.append(i)
-        else:
-            tops[k], piles[k] = v, i
-    out = []
-    i = piles[-1] if piles else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return out[::-1]
-
-
-def patience(shared: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-    """Place in the later document -> place in the earlier one, for shared lines given by their places in both."""
-    unique = [(mine[0], other[0]) for mine, other in shared if len(mine) == len(other) == 1]
-    if not unique:  # lines that repeat stand in by their first places
-        unique = [(mine[0], other[0]) for mine, other in shared]
-    unique.sort()
-    aligned = {unique[i][0]: unique[i][1] for i in increasing([q for _, q in unique])}
-    often = {p: set(other) for mine, other in shared if len(mine) > 1 or len(other) > 1 for p in mine}
-    for step in (1, -1):
-        for p, q in sorted(aligned.items(), reverse=step < 0):
-            while (p := p + step) in often and p not in aligned and (q := q + step) in often[p]:
-                aligned[p] = q
-    return aligned
-
-
-def common_blocks(lines: list[dict], min_words: int) -> list[int]:
-    """Lines (of all lines) of a later document that its aligned blocks cover.
-
-    Two pieces of one diagonal are one block where each line between them has an earlier holder as well, and lines at the
-    ends of a block that have earlier holders join it: a common line of a copy belongs to another first holder.
+                    if len(out[0]) >= 20_000:
+                        yield from written()
+                yield from written()
+
+    return rows.mapInArrow(run, UNITS)
+
+
+def common_blocks(units: list[dict]) -> list[int]:
+    """Lines (of all lines) of a later document in the units that earlier documents hold and that have words enough.
+
+    Lines at the ends of a block that have earlier holders, which need not be the block's, join it.
     """
-    words: dict[int, int] = {}
     raw: dict[int, int] = {}
-    partners: dict[tuple, list[tuple[list[int], list[int]]]] = {}
-    for x in lines:
-        for p, r in zip(x["places"], x["raw"]):
-            words[p], raw[p] = x["words"], r
-        partners.setdefault((x["owner"], x["owner_body"]), []).append((x["places"], x["owner_places"]))
     gone: set[int] = set()
-    for shared in partners.values():
-        aligned = sorted(patience(shared).items())
-        block: list[int] = []
-        last = None
-        for p, q in [*aligned, (None, None)]:
-            joined = p is not None and last is not None and p - last[0] == q - last[1] and all(k in words for k in range(last[0] + 1, p))
-            if not joined:
-                if block and sum(words[k] for k in block) >= min_words:
-                    gone.update(block)
-                block = []
-            if p is not None:
-                block.extend(range(last[0] + 1, p + 1) if joined else (p,))
-                last = (p, q)
-    for p in sorted(gone):  # lines at a block's ends that have earlier holders go with it, so that of a copy nothing is left
+    for x in units:
+        if x["lines"] == 1:
+            raw.update(zip(x["places"], x["raw"]))
+        if x["enough"]:
+            for p in x["places"]:
+                gone.update(range(p, p + x["lines"]))
+    for p in sorted(gone):
         for step in (1, -1):
             k = p + step
-            while k in words and k not in gone:
+            while k in raw and k not in gone:
                 gone.add(k)
                 k += step
     return sorted(raw[p] for p in gone)
@@ -136,16 +119,16 @@ def common_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """id, body (hash of the text), gone (0-based lines to delete) and kept (ranges of lines), for documents that lose any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
-    lines = materialize(split_lines(rows))
+    units = materialize(split_units(rows, min_words))
     key = F.struct(F.col("id").alias("owner"), F.col("body").alias("owner_body"))
-    owners = lines.groupBy("hi", "lo").agg(F.min(key).alias("first"), F.min_by("places", key).alias("owner_places"), F.count("*").alias("n")).filter("n > 1")
+    owners = units.groupBy("hi", "lo", "lines").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     owners = materialize(owners)  # read anew, so that the join's two sides are dealt alike and a common line's can be split
-    later = lines.join(owners, ["hi", "lo"]).filter(~(F.col("id").eqNullSafe(F.col("first.owner")) & (F.col("body") == F.col("first.owner_body"))))
-    gathered = later.repartition("id", "body").groupBy("id", "body", "hi", "lo").agg(F.first(F.struct("first.owner", "first.owner_body", "words", "places", "raw", "owner_places")).alias("line")).groupBy("id", "body").agg(F.collect_list("line").alias("lines"))
+    later = units.join(owners, ["hi", "lo", "lines"]).filter(~(F.col("id").eqNullSafe(F.col("first.owner")) & (F.col("body") == F.col("first.owner_body"))))
+    gathered = later.repartition("id", "body").groupBy("id", "body", "hi", "lo", "lines").agg(F.first(F.struct("lines", "enough", "places", "raw")).alias("unit")).groupBy("id", "body").agg(F.collect_list("unit").alias("units")).filter("exists(units, u -> u.enough)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [common_blocks(x, min_words) for x in batch.column("lines").to_pylist()]
+            gone = [common_blocks(x) for x in batch.column("units").to_pylist()]
             kept = pa.array([kept_ranges(g) for g in gone], pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(gone, pa.list_(pa.int32())), kept], ["id", "body", "gone", "kept"])
 

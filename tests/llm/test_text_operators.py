@@ -148,6 +148,20 @@ def test_common_blocks_go_from_later_documents(spark):
     assert [r.text for r in twice] == [text[1]] * 2
 
 
+def deduped(spark, docs):
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    return {r.doc_id: r.text for r in L.dedup_lines(df.repartition(3)).collect()}
+
+
+def test_blocks_go_whose_lines_have_different_first_holders(spark):
+    a, b, c, d, e = block("s", 5)
+    p = block("p", 4, 10)  # four lines of 13 words, of which the first occurs alone before
+    docs = {1: [a, c, e], 2: [b, d], 3: [a, b, c, d, e], 4: [a, b, c, d, e], 5: [p[0], "five"], 6: ["six", *p, "and"], 7: ["seven", *p, "or"]}
+    got = deduped(spark, docs)
+    assert all(got[i] == "\n".join(docs[i]) for i in (1, 2, 3, 5, 6))
+    assert got[4] == "" and got[7] == "seven\nor"
+
+
 def slow_dedup(texts, least):
     """Longest common runs with earlier documents, line by line: every deleted line lies in one of least words."""
     first = {}
