@@ -162,6 +162,39 @@ def test_blocks_go_whose_lines_have_different_first_holders(spark):
     assert got[4] == "" and got[7] == "seven\nor"
 
 
+def test_repeated_and_swapped_passages_go(spark):
+    x, y = block("x", 4), block("y", 4)  # 60 words each
+    docs = {1: ["one", *x, *y, "lone line of the first"], 2: ["two", *x, "between", *x, "lone line of the first", "end"], 3: ["three", *y, *x, "end of three"], 4: ["four", *x, "mid", *x]}
+    got = deduped(spark, docs)
+    assert got[1] == "\n".join(docs[1])
+    assert got[2] == "two\nbetween\nend" and got[3] == "three\nend of three" and got[4] == "four\nmid"
+
+
+def test_long_blocks_of_earlier_documents_go_as_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"line {k} " + " ".join(f"v{k}x{j}" for j in range(rng.integers(0, 25))) for k in range(30)]
+    docs = {}
+    for d in range(60):
+        at = rng.integers(0, 24, 3)
+        docs[d] = [x for k in at for x in [*pool[k : k + rng.integers(1, 6)], f"own {d} {k}"]]
+    got = deduped(spark, docs)
+    for d, lines in docs.items():
+        sure = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                n = j - i
+                if sum(len(x.split()) for x in lines[i:j]) >= 40 and any(docs[e][k : k + n] == lines[i:j] for e in range(d) for k in range(len(docs[e]) - n + 1)):
+                    sure.update(range(i, j))
+        held = {i for i, x in enumerate(lines) if any(x in docs[e] for e in range(d))}
+        for i in sorted(sure):  # neighbours that have earlier holders go too
+            for step in (1, -1):
+                k = i + step
+                while k in held:
+                    sure.add(k)
+                    k += step
+        assert got[d] == "\n".join(x for i, x in enumerate(lines) if i not in sure)
+
+
 def slow_dedup(texts, least):
     """Longest common runs with earlier documents, line by line: every deleted line lies in one of least words."""
     first = {}
