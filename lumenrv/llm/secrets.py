@@ -33,7 +33,9 @@ ALPHABETS = {
 }
 #: Length classes (least length) and the share of keys among the failures that is put up with.
 CLASSES = ((20, 0.10), (32, 0.05), (64, 0.01))
-LAST_BIN = 400
+#: The same for redaction, where a lost key stays readable.
+STRICT = ((20, 1e-3), (32, 1e-4), (64, 1e-5))
+LAST_BIN, WHOLE = 400, -1
 CHUNK = 256
 
 
@@ -145,33 +147,45 @@ def _class(n: Column) -> Column:
     return out
 
 
-def token_tests(text: Column, base: Column) -> Column:
-    """array<struct<start, end, class, bin>> of the long tokens outside the fixed patterns; digits alone are no encoded key."""
+def token_tests(text: Column, base: Column, partial: bool = False) -> Column:
+    """array<struct<start, end, class, bin>> of the long tokens outside the fixed patterns; digits alone are no encoded key.
+
+    With partial, tokens that the patterns cover only in part come too: those with an access key or hex run inside are
+    secrets as a whole (bin WHOLE), those with an assignment alone are tested like others.
+    """
     free = F.filter(match_places(text, TOKEN), lambda m: ~m["found"].rlike("^[0-9]+=*$") & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.transform(free, lambda m: let(log_p(m["found"]), lambda t: F.struct(m["start"].alias("start"), m["end"].alias("end"), _class(t["n"]).alias("class"), t["bin"].alias("bin"))))
+    tested = F.transform(free, lambda m: let(log_p(m["found"]), lambda t: F.struct(m["start"].alias("start"), m["end"].alias("end"), _class(t["n"]).alias("class"), t["bin"].alias("bin"))))
+    if not partial:
+        return tested
+    covered = lambda m: F.exists(base, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
+    touched = F.filter(match_places(text, TOKEN), lambda m: F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & ~covered(m))
+    run_inside = lambda m: F.exists(base, lambda b: (b["rank"] > 0) & (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    more = F.transform(touched, lambda m: let(log_p(m["found"]), lambda t: F.struct(m["start"].alias("start"), m["end"].alias("end"), _class(t["n"]).alias("class"), F.when(run_inside(m), WHOLE).otherwise(t["bin"]).alias("bin"))))
+    return F.when(F.size(base) > 0, F.concat(tested, more)).otherwise(tested)
 
 
-def failing_bins(tested: DataFrame) -> dict[int, int]:
+def failing_bins(tested: DataFrame, classes: tuple = CLASSES) -> dict[int, int]:
     """For each length class the least tenth of -log10(p) that fails; three numbers reach the driver."""
-    counts = tested.select(F.explode("__tokens").alias("t")).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
+    counts = tested.select(F.explode("__tokens").alias("t")).filter(F.col("t.bin") > WHOLE).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
     by_p = Window.partitionBy("class").orderBy(F.desc("bin"))  # a class has 401 rows at most
-    share = F.when(F.col("class") == 0, CLASSES[0][1]).when(F.col("class") == 1, CLASSES[1][1]).otherwise(CLASSES[2][1])
+    share = F.when(F.col("class") == 0, classes[0][1]).when(F.col("class") == 1, classes[1][1]).otherwise(classes[2][1])
     ranked = counts.withColumns({"rank": F.sum("n").over(by_p), "all": F.sum("n").over(Window.partitionBy("class"))})
     least = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 10) <= share * F.col("rank") / F.col("all")).groupBy("class").agg(F.min("bin").alias("bin"))
     return {r["class"]: r["bin"] for r in least.collect()}
 
 
-def with_secrets(df: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def with_secrets(df: DataFrame, *, text_col: str = "text", keep_text: bool = True, classes: tuple = CLASSES, partial: bool = False) -> DataFrame:
     """df with base_spans (fixed patterns) and spans (all), array<struct<start, rank, end>> by start, then kind (rank in KINDS).
 
     A null text is the empty one and has no spans; rows stay as many as they are, repeated or null ids included. Columns
     of these two names are replaced. keep_text=False leaves the text out of what is written between the two passes.
+    classes are the levels of the tests; partial has tokens reported too that a fixed pattern covers only in part.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     tested = df.withColumn("base_spans", base_spans(text))
-    tested = tested.withColumn("__tokens", token_tests(text, F.col("base_spans")))
+    tested = tested.withColumn("__tokens", token_tests(text, F.col("base_spans"), partial))
     tested = materialize(tested if keep_text else tested.drop(text_col))
-    bins = failing_bins(tested)
+    bins = failing_bins(tested, classes)
 
     def secret(t: Column) -> Column:
         out = F.lit(True)
@@ -184,8 +198,8 @@ def with_secrets(df: DataFrame, *, text_col: str = "text", keep_text: bool = Tru
 
 
 def redact_secrets(df: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """df with every secret of the texts replaced by the mark; null texts stay null."""
-    found = with_secrets(df.drop("spans", "base_spans"), text_col=text_col)
+    """df with every secret of the texts replaced by the mark, at the STRICT levels and whole tokens; null texts stay null."""
+    found = with_secrets(df.drop("spans", "base_spans"), text_col=text_col, classes=STRICT, partial=True)
     text = F.when(F.size("spans") > 0, redact(F.col(text_col), F.col("spans"), mark)).otherwise(F.col(text_col))
     return found.withColumn(text_col, text).drop("spans", "base_spans")
 

@@ -108,3 +108,17 @@ def test_empty_table_and_redaction(spark):
     assert [r.t for r in got] == ["ab [secret] é [secret]z", "", "plain"]
     rows = spark.createDataFrame([("x token=abcdefghi", 1, 5), (None, 2, 6), ("", 3, 7)], "text string, spans int, id long")
     assert sorted(tuple(r) for r in S.redact_secrets(rows.fillna(0, ["id"])).select("id", "text").collect()) == [(5, "x [secret]"), (6, None), (7, "")]
+
+
+def test_redaction_loses_few_keys_and_no_ends(spark):
+    rng = random.Random(11)
+    letters = S.ALPHABETS["base64"][:62]
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 31, 40, 63, 88) for _ in range(300)]
+    words = ["".join(rng.choice(("tion", "er", "the", "an", "in")) for _ in range(12)) for _ in range(60 * len(keys) // 3)]
+    hexed = ["".join(rng.choice(letters[:26]) for _ in range(16)) + "g" + "".join(rng.choice("0123456789abcdef") for _ in range(32)) + "Z" + "".join(rng.choice(letters[:26]) for _ in range(16)) for _ in range(5)]
+    rows = [(i, f"word {t} end") for i, t in enumerate(keys + words + hexed)]
+    got = dict(tuple(r) for r in S.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    at = len(keys)
+    assert sum(got[i] == "word [secret] end" for i in range(at)) >= 0.99 * at
+    assert sum(got[i] == rows[i][1] for i in range(at, at + len(words))) >= 0.99 * len(words)
+    assert all(got[i] == "word [secret] end" for i in range(at + len(words), len(rows)))
