@@ -1,4 +1,8 @@
-"""Words of an Arrow batch by their hashes: each distinct word is worked on once, the rest is array arithmetic."""
+"""Words of an Arrow batch: each distinct word is worked on once, the rest is array arithmetic.
+
+A word is looked up by a hash and then compared with the word kept under it, character by character, so that words of
+equal hashes (such can be made) only cost time.
+"""
 
 from __future__ import annotations
 
@@ -55,31 +59,32 @@ class Hasher:
 class WordCache:
     """Values of words (some items of dtype each), learned in bulk when a word is first seen.
 
-    Hashes, sorted, lead to places in one array of items. Beyond cache_words words, or 24 items a word, the half that was
-    used least recently goes. learn(words) gives all items in order and how many each word has.
+    Hashes, sorted, lead to places in one array of items and in one of the words' characters, which are compared. Beyond
+    cache_words words, 24 items or 24 characters a word, the half that was used least recently goes. learn(words) gives all
+    items in order and how many each word has.
     """
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str | np.dtype, cache_words: int = 600_000, items: int | None = None):
-        self.learn, self.dtype, self.cache_words = learn, np.dtype(dtype), cache_words
-        self.most = items or 24 * cache_words
+        self.learn, self.cache_words = learn, cache_words
+        self.most, self.most_points = items or 24 * cache_words, 24 * cache_words
         self.hasher = Hasher()
         self.keys, self.turn = np.zeros(0, np.uint64), 0
         self.at, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.items, self.filled = np.zeros(1 << 16, self.dtype), 0
+        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.items, self.filled = np.zeros(1 << 16, np.dtype(dtype)), 0
+        self.points, self.written = np.zeros(1 << 16, np.uint32), 0
         self.fresh = np.zeros(0, bool)
 
     def _append(self, items: np.ndarray) -> None:
-        if self.filled + len(items) > len(self.items):
-            self.items = np.concatenate([self.items[: self.filled], np.zeros(max(len(self.items), len(items)), self.dtype)])
-        self.items[self.filled : self.filled + len(items)] = items
-        self.filled += len(items)
+        self.items, self.filled = _grown(self.items, self.filled, items)
 
     def _shrink(self) -> None:
         keep = self.used > np.median(self.used)
-        self.keys, self.size, self.used, at = self.keys[keep], self.size[keep], self.used[keep], self.at[keep]
-        held = self.items[spread(at, self.size)]
-        self.at = np.cumsum(self.size) - self.size
-        self.items, self.filled = held, len(held)
+        for name in ("keys", "at", "size", "begin", "length", "used"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.items, self.points = self.items[spread(self.at, self.size)], self.points[spread(self.begin, self.length)]
+        self.at, self.begin = np.cumsum(self.size) - self.size, np.cumsum(self.length) - self.length
+        self.filled, self.written = len(self.items), len(self.points)
 
     def _near(self, found: np.ndarray) -> np.ndarray:
         order = np.argsort(found)
@@ -87,10 +92,24 @@ class WordCache:
         near[order] = np.searchsorted(self.keys, found[order])  # in order, which spares the processor's cache
         return near
 
+    def _other(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: np.ndarray, many: int = 1 << 14) -> np.ndarray:
+        """The slices that are not the word at their place near, though of its hash."""
+        wrong = []
+        for at in range(0, len(starts), many):
+            s, n, place = starts[at : at + many], (ends - starts)[at : at + many], near[at : at + many]
+            same = self.length[place] == n
+            s, n, place = s[same], n[same], place[same]
+            differs = points[spread(s, n)] != self.points[spread(self.begin[place], n)]
+            wrong.append(at + np.flatnonzero(~same))
+            if differs.any():
+                of = np.searchsorted(np.cumsum(n), np.flatnonzero(differs), "right")
+                wrong.append(at + np.flatnonzero(same)[np.unique(of)])
+        return np.unique(np.concatenate(wrong)) if wrong else np.zeros(0, np.int64)
+
     def places(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each slice the number of its word among the distinct ones; the distinct words' places and sizes in items."""
         codes, found = pd.factorize(self.hasher.slices(points, starts, ends))
-        if len(self.keys) > self.cache_words or self.filled > self.most:
+        if len(self.keys) > self.cache_words or self.filled > self.most or self.written > self.most_points:
             self._shrink()
         self.turn += 1
         near = self._near(found)
@@ -102,17 +121,28 @@ class WordCache:
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = first[new]
             items, sizes = self.learn([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            begin = self.filled + np.cumsum(sizes) - sizes
+            lengths = (ends - starts)[at]
+            fields = {"keys": found[new], "at": self.filled + np.cumsum(sizes) - sizes, "size": sizes, "begin": self.written + np.cumsum(lengths) - lengths, "length": lengths, "used": np.full(len(at), self.turn)}
             self._append(items)
+            self.points, self.written = _grown(self.points, self.written, points[spread(starts[at], lengths)])
             order = np.argsort(found[new])
             where = near[new][order]
-            self.keys = np.insert(self.keys, where, found[new][order])
-            self.at, self.size = np.insert(self.at, where, begin[order]), np.insert(self.size, where, sizes[order])
-            self.used = np.insert(self.used, where, self.turn)
+            for name, x in fields.items():
+                setattr(self, name, np.insert(getattr(self, name), where, x[order]))
             near = self._near(found)
         self.used[near] = self.turn
         self.fresh = new[codes]  # the slices whose words were learned just now
-        return codes, self.at[near], self.size[near]
+        at, size = self.at[near], self.size[near]
+        other = self._other(points, starts, ends, near[codes])
+        if len(other):  # words of another's hash are learned for this call alone
+            alone: dict[str, int] = {}
+            codes = codes.copy()
+            codes[other] = [len(found) + alone.setdefault(joined[s:e], len(alone)) for s, e in zip(starts[other].tolist(), ends[other].tolist())]
+            items, sizes = self.learn(list(alone))
+            at, size = np.append(at, self.filled + np.cumsum(sizes) - sizes), np.append(size, sizes)
+            self._append(items)
+            self.fresh[other] = True
+        return codes, at, size
 
     def encode(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All items in order as one array, and how many each slice gave."""
@@ -121,6 +151,14 @@ class WordCache:
         return self.items[spread(at[codes], lens)], lens
 
 
+def _grown(held: np.ndarray, filled: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """held with more written from filled on, in an array that at least doubles when it is full; and what is filled then."""
+    if filled + len(more) > len(held):
+        held = np.concatenate([held[:filled], np.zeros(max(len(held), len(more)), held.dtype)])
+    held[filled : filled + len(more)] = more
+    return held, filled + len(more)
+
+
 def spread(at: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """at[0], at[0]+1, ... of lens[0] places, then those of the next."""
     ends = np.cumsum(lens)
