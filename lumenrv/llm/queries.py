@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .interleaved import op5_media_columns
-from .line_dedup import op9_line_dedup
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
 from .packing import op4_packing
 from .secrets import OP8_SQL, op8_secrets
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL, "op8_secrets": OP8_SQL}
+    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL, "op8_secrets": OP8_SQL, "op9_line_dedup": OP9_SQL}

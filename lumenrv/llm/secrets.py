@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import let, materialize
 
 #: The patterns and the least lengths of what they must hold.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,11 +39,6 @@ LAST_BIN, WHOLE = 400, -1
 CHUNK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 

@@ -38,6 +38,25 @@ def test_cached_encoding_equals_the_library():
             assert [x.tolist() for x in bpe.encode(part)] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
 
 
+def mirrored(n, a, b):
+    """Two words whose polynomial hashes modulo 2**64 are equal for n of 1,024 or more, whatever the base."""
+    turn = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[t] for t in turn), "".join((b, a)[t] for t in turn)
+
+
+@pytest.mark.parametrize("letters", ["AB", "ab"])
+def test_words_of_equal_hashes_are_told_apart(letters):
+    tok, sp = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for n in (512, 1024, 2048):
+        x, y = mirrored(n, *letters)
+        for batches in ([[f"{x} {y}"]], [[x], [y]], [[x, y], [y, f"{y} {x}"]]):
+            bpe, merge = CachedBpe(BPE), sentences.MergeEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+            for batch in batches:
+                assert [v.tolist() for v in bpe.encode(batch)] == [e.ids for e in tok.encode_batch(batch, add_special_tokens=False)]
+                assert [np.frombuffer(v, "<u4").tolist() for v in merge.encode(batch)] == sp.encode(batch)
+            assert merge.mismatches == 0
+
+
 def expected_rows(texts, end=2):
     tok, at, out = Tokenizer.from_file(BPE), 0, []
     for d, t in sorted(texts):
@@ -167,63 +186,87 @@ def test_repeated_and_swapped_passages_go(spark):
     docs = {1: ["one", *x, *y, "lone line of the first"], 2: ["two", *x, "between", *x, "lone line of the first", "end"], 3: ["three", *y, *x, "end of three"], 4: ["four", *x, "mid", *x]}
     got = deduped(spark, docs)
     assert got[1] == "\n".join(docs[1])
-    assert got[2] == "two\nbetween\nend" and got[3] == "three\nend of three" and got[4] == "four\nmid"
+    assert got[2] == "two\nbetween\nlone line of the first\nend" and got[3] == "three\nend of three" and got[4] == "four\nmid"
+
+
+def slow_gone(docs, least=40):
+    """Lines (of all lines) of each document, in order of docs, that lie in a run of least words which an earlier one holds."""
+    lines = [[(i, s) for i, x in enumerate((t or "").split("\n")) if (s := x.strip(" \t\r\x0b\x0c"))] for t in docs]
+    out = []
+    for d, mine in enumerate(lines):
+        gone = set()
+        for earlier in lines[:d]:
+            places = {}
+            for k, (_, x) in enumerate(earlier):
+                places.setdefault(x, []).append(k)
+            for i, (_, x) in enumerate(mine):
+                for k in places.get(x, []):
+                    if i and k and mine[i - 1][1] == earlier[k - 1][1]:
+                        continue  # within a run that is known
+                    n = 0
+                    while i + n < len(mine) and k + n < len(earlier) and mine[i + n][1] == earlier[k + n][1]:
+                        n += 1
+                    if sum(len(y.split()) for _, y in mine[i : i + n]) >= least:
+                        gone.update(raw for raw, _ in mine[i : i + n])
+        out.append(sorted(gone))
+    return out
 
 
-def test_long_blocks_of_earlier_documents_go_as_by_brute_force(spark):
+def test_blocks_go_as_by_brute_force(spark):
     rng = np.random.default_rng(8)
     pool = [f"line {k} " + " ".join(f"v{k}x{j}" for j in range(rng.integers(0, 25))) for k in range(30)]
-    docs = {}
+    docs = []
     for d in range(60):
         at = rng.integers(0, 24, 3)
-        docs[d] = [x for k in at for x in [*pool[k : k + rng.integers(1, 6)], f"own {d} {k}"]]
+        docs.append([x for k in at for x in [*pool[k : k + rng.integers(1, 6)], f"own {d} {k}"]])
+    docs += [docs[3], ["", *docs[7]]]
+    got = deduped(spark, dict(enumerate(docs)))
+    for d, gone in enumerate(slow_gone(["\n".join(x) for x in docs])):
+        assert got[d] == "\n".join(x for i, x in enumerate(docs[d]) if i not in set(gone))
+
+
+def test_alignment_of_pairs_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for few in (2, 4, 9, 30):
+        for _ in range(150):
+            a, b = ([f"{k} " + "w " * (k % 5) for k in rng.integers(0, few, rng.integers(1, 40))] for _ in range(2))
+            b = [*b, *a[: len(a) // 2], *b[: len(b) // 3]] if rng.random() < 0.5 else b
+            pack = lambda x: b"".join(L.xxhash.xxh3_128_digest(y.encode()) for y in x)
+            count = lambda x: [len(y.split()) for y in x]
+            got = L.aligned_lines(L._lines(pack(b)), count(b), L.Earlier(pack(a), count(a), 12))
+            assert sorted(got) == slow_gone(["\n".join(a), "\n".join(b)], 12)[1]
+
+
+def test_a_copy_of_patchwork_goes_and_lines_beside_blocks_stay(spark, monkeypatch):
+    monkeypatch.setattr(L, "DEALT", 3)  # one earlier document with many later ones is dealt out
+    parts = block("q", 12)
+    docs = {i: [parts[i], f"own {i}"] for i in range(12)} | {20: parts, 21: parts}  # each line of 20 was held alone before
+    notices = ["Yes", "Thanks"]
+    passage = block("z", 4)
+    docs |= {30: ["thirty", *notices], 31: ["more", *notices], 32: [*passage, "of 32"]}
+    docs |= {40 + i: [f"begin {i}", *passage, *(notices if i == 0 else []), f"end {i}"] for i in range(20)}  # a passage of many holders
     got = deduped(spark, docs)
-    for d, lines in docs.items():
-        sure = set()
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                n = j - i
-                if sum(len(x.split()) for x in lines[i:j]) >= 40 and any(docs[e][k : k + n] == lines[i:j] for e in range(d) for k in range(len(docs[e]) - n + 1)):
-                    sure.update(range(i, j))
-        held = {i for i, x in enumerate(lines) if any(x in docs[e] for e in range(d))}
-        for i in sorted(sure):  # neighbours that have earlier holders go too
-            for step in (1, -1):
-                k = i + step
-                while k in held:
-                    sure.add(k)
-                    k += step
-        assert got[d] == "\n".join(x for i, x in enumerate(lines) if i not in sure)
-
-
-def slow_dedup(texts, least):
-    """Longest common runs with earlier documents, line by line: every deleted line lies in one of least words."""
-    first = {}
-    lines = {d: [x.strip() for x in (t or "").split("\n")] for d, t in texts}
-    for d in sorted(lines):
-        for x in lines[d]:
-            if x:
-                first.setdefault(x, d)
-    return lines, first
-
-
-def test_deleted_lines_have_earlier_holders_on_a_whole_table(spark):
-    texts = whole("documents")
-    lines, first = slow_dedup(texts, 40)
+    assert got[20] == "\n".join(parts) and got[21] == ""
+    assert all(got[40 + i] == "\n".join([f"begin {i}", *(notices if i == 0 else []), f"end {i}"]) for i in range(20))
+
+
+def test_odd_rows_of_line_dedup(spark):
+    long = ["long", *(f"number {k} of a very long text" for k in range(60_000))]
+    b = block("n", 4)
+    rows = [(None, "\n".join(b)), (None, None), (5, "\n".join(["five", *b])), (5, "\n".join(["other five", *b])), (7, "\n".join(long)), (8, "\n".join(["first", *long[1:], "last"])), (9, "\r\n".join(b)), (9, "\r\n".join(b))]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, removed_lines int")
+    got = sorted(((r.doc_id, r.text, len(r.removed_lines)) for r in L.dedup_lines(df).collect()), key=str)
+    want = [(None, "\n".join(b), 0), (None, None, 0), (5, "five", 4), (5, "other five", 4), (7, "\n".join(long), 0), (8, "first\nlast", 60_000), (9, "", 4), (9, "", 4)]
+    assert got == sorted(want, key=str)
+
+
+def test_line_dedup_of_a_whole_table_equals_brute_force(spark):
+    texts = sorted(whole("documents"))
     rows = {r.doc_id: r for r in L.op9_line_dedup(spark, SF).collect()}
     assert len(rows) == len(texts)
-    copies, seen = 0, set()
-    for d, t in sorted(texts):
-        gone = [int(x) for x in rows[d].removed_lines.split(",") if x]
+    for (d, t), gone in zip(texts, slow_gone([t for _, t in texts])):
+        assert rows[d].removed_lines == ",".join(map(str, gone)) and rows[d].n_removed == len(gone)
         assert rows[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(gone))
-        assert all(first[lines[d][i]] < d for i in gone)
-        if not any(first[x] < d for x in lines[d] if x):
-            assert not gone
-        if t in seen and len(t.split()) >= 60:
-            copies += 1
-            kept = [x for i, x in enumerate(lines[d]) if x and i not in set(gone)]
-            assert sum(len(x.split()) for x in kept) < 0.2 * len(t.split())
-        seen.add(t)
-    assert copies
 
 
 def test_gradients_are_right():
