@@ -13,10 +13,12 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (local tests, one machine) is a temporary folder made.
+    Only on one machine (a local master) is a temporary folder made where the setting is absent.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumenrv-checkpoint-"))
     if "://" not in base and not base.startswith("file:"):  # as Spark itself would read it
