@@ -1,16 +1,19 @@
 """Toxicity of documents: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs are words: each has a vector of its own if the labelled rows held it often enough, next to the mean of vectors of its
-runs of three to five characters. A vector's first place is not learned: it holds how surely the word, or the surest of its
-runs, goes with a label (log odds over their deviation in the labelled rows, if beyond what chance gives). The network reads windows of words in both directions, attention weighs its states, and a document's
-score is that of its worst window. All overlapping windows of the whole text are scored. Training picks each labelled
-document's worst window again before every epoch, so that labels of documents teach windows.
+Inputs are words: each has a vector of its own if the labelled rows held it often enough, next to vectors of its runs of
+three to five characters (their mean, and the greatest of their first place). Training starts the first places where the
+labels put them: at the log odds of the word or run over their deviation, if beyond what chance gives. The network reads
+windows of words in both directions, attention weighs its states, and a document's score is that of its worst window. All
+overlapping windows of the whole text are scored. All windows of a labelled document take part in training: before epochs
+0, 1, 2, 4, 8 each document's worst window is picked anew, so that labels of documents teach windows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +25,24 @@ from .words import WordCache, code_points, text_starts
 
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 GRAMS = 1 << 15
-_WORD = np.array([chr(c).isalnum() for c in range(0x10000)])
+
+
+@cache
+def _in_words() -> np.ndarray:
+    """Which code points are letters or digits."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def folded(text: str) -> str:
+    """Small letters; forms that stand for others (wide, mathematical, ligatures) as those."""
+    return (text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
 
 
 def word_places(points: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of letters and digits; a run ends where its text ends."""
     inside = np.ones(len(points) + 2, bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = _WORD[np.minimum(points, 0xFFFF)]
+    inside[1:-1] = _in_words()[points]
     first = np.zeros(len(points) + 1, bool)
     first[borders] = True
     starts = inside[1:] & (~inside[:-1] | first)
@@ -112,7 +125,7 @@ class Net:
         if not len(ids):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
         vectors = self.p["Ec"][flat]
-        chars = np.add.reduceat(vectors, starts) / sizes[:, None]
+        chars = np.add.reduceat(vectors, starts) / sizes[:, None]  # every word has runs, as it is marked at both ends
         chars[:, 0] = np.maximum.reduceat(vectors[:, 0], starts)
         own = self.p["Ew"][ids] * (ids > 0)[:, None]
         return np.concatenate([own, chars.astype(np.float32)], axis=1)
@@ -212,8 +225,11 @@ class Net:
         g["b"] = np.stack([dgates[:, : 3 * h].sum(axis=0), dgates[:, 3 * h :].sum(axis=0)])
         dx = dgates[:, : 3 * h] @ p["W"][0].T + dgates[:, 3 * h :] @ p["W"][1].T
         g["Ew"] = gathered(ids, dx[:, :WORD_DIM] * (ids > 0)[:, None], len(p["Ew"]))
-        g["Ec"] = gathered(flat, np.repeat(dx[:, WORD_DIM:] / lens[:, None], lens, axis=0), GRAMS)
-        g["Ew"][:, 0] = g["Ec"][:, 0] = 0
+        each_run = np.repeat(dx[:, WORD_DIM:] / lens[:, None], lens, axis=0)
+        first = p["Ec"][flat, 0]
+        top = first == np.repeat(x[:, WORD_DIM], lens)  # the greatest; equal ones share
+        each_run[:, 0] = top * np.repeat(dx[:, WORD_DIM] / np.add.reduceat(top.astype(np.float32), starts), lens)
+        g["Ec"] = gathered(flat, each_run, GRAMS)
         return g
 
 
@@ -263,9 +279,10 @@ def train(docs: list[tuple[list[str], int]], *, epochs: int = 12, least_steps: i
     step = 0
     hint = net.mixed(own, *grams)[:, [0, WORD_DIM]].sum(axis=1)  # for the first choice of windows
     for epoch in range(epochs):
-        score = net.logits(net.projected(net.mixed(own, *grams)), at, sizes) if epoch else np.where(np.arange(window) < sizes[:, None], hint[at], -9).max(axis=1)
-        order = np.lexsort((score, doc))
-        worst = order[np.append(doc[order][1:] != doc[order][:-1], True)]
+        if epoch in (0, 1, 2, 4, 8) or epoch % 16 == 0:
+            score = net.logits(net.projected(net.mixed(own, *grams)), at, sizes) if epoch else np.where(np.arange(window) < sizes[:, None], hint[at], -9).max(axis=1)
+            order = np.lexsort((score, doc))
+            worst = order[np.append(doc[order][1:] != doc[order][:-1], True)]
         worst = rng.permutation(worst)
         for s in range(0, len(worst), batch):
             pick = worst[s : s + batch]
@@ -277,16 +294,13 @@ def train(docs: list[tuple[list[str], int]], *, epochs: int = 12, least_steps: i
                 first[name] += 0.1 * (x - first[name])
                 second[name] += 0.01 * (x * x - second[name])
                 pace = lr * 0.1 if name in ("Ew", "Ec") else lr  # few rows must not be learned by heart
-                kept = net.p[name][:, 0].copy() if name in ("Ew", "Ec") else None
                 net.p[name] = (net.p[name] * (1 - decay * lr) - pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-                if kept is not None:
-                    net.p[name][:, 0] = kept
     return net
 
 
 def score_batch(net: Net, cache: WordCache, texts: list[str], window: int, stride: int) -> np.ndarray:
     """Scores of whole texts; a text without words scores 0."""
-    low = [t.lower() for t in texts]
+    low = [folded(t) for t in texts]
     joined, borders = "".join(low), text_starts(low)
     points = code_points(joined)
     starts, ends = word_places(points, borders)
@@ -319,8 +333,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int, stride: int, windows: int) -> list[tuple[list[str], int]]:
-    """The bounded training sample: at most each documents of each label, at most windows evenly spread windows of each.
+def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int, stride: int) -> list[tuple[list[str], int]]:
+    """The training sample: at most each documents of each label, with all their windows.
 
     Ids are taken in the order of their hash, so that the sample does not depend on partitions.
     """
@@ -332,12 +346,10 @@ def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int
         for batch in batches:
             found = []
             for text in batch.column("text").to_pylist():
-                low = text.lower()
+                low = folded(text)
                 starts, ends = word_places(code_points(low), np.array([0, len(low)]))
                 words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
                 places = window_starts(len(words), window, stride)
-                if len(places) > windows:
-                    places = places[np.linspace(0, len(places) - 1, windows).astype(int)]
                 found.append([" ".join(words[s : s + window]) for s in places.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
 
@@ -348,7 +360,7 @@ def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int
 
 def score_toxicity(
     df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 64, stride: int = 48,
-    train_each: int = 2000, train_windows: int = 24, threshold: float = 0.7,
+    train_each: int = 2000, threshold: float = 0.7,
 ) -> DataFrame:
     """df with score, predicted (1 at threshold or more) and held_out; columns of these names are replaced.
 
@@ -357,7 +369,7 @@ def score_toxicity(
     network scores. Only words of the text are inputs.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = labelled_windows(source, labels, each=train_each, window=window, stride=stride, windows=train_windows)
+    sample = labelled_windows(source, labels, each=train_each, window=window, stride=stride)
     net = df.sparkSession.sparkContext.broadcast(train(sample, window=window))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
