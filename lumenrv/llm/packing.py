@@ -1,9 +1,9 @@
 """Lexical retrieval packing: windows of related documents from a sharded BM25 inverted index.
 
 Documents are encoded once; how many documents hold each token id, and the mean length, are counted over the whole corpus.
-Documents are dealt to shards by a minimum hash of their token triples, so that alike ones come together; a shard is a
-bounded number of documents and tokens, and a group of copies of any size is spread over as many shards as it needs. In a
-shard an inverted index gives, for the seed of a window, the unused documents by falling BM25 score; they fill the window,
+Shards are cut from an order of all documents that brings alike ones together: by the four nearest of some centres of hashed
+term vectors (fitted to a bounded sample, which decides on the order alone), then by a minimum hash of token triples. A shard
+is a bounded number of documents and tokens, and a group of copies of any size is spread over as many as it needs. In a shard an inverted index gives, for the seed of a window, the unused documents by falling BM25 score; they fill the window,
 the last one is cut and its rest is the next seed. A window that its shard leaves open is filled from the next shard.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +36,76 @@ def min_hashes(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
     short = lens < 3
     for back in (1, 2):  # triples that reach beyond a document do not count, unless it has no other
         h[(ends - back)[~short]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    return np.minimum.reduceat(h, ends - lens).view(np.int64)
+    least = np.minimum.reduceat(h, ends - lens)
+    least = (least ^ (least >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # longer documents have smaller ones: even that out
+    return (least ^ (least >> np.uint64(27))).view(np.int64)
 
 
-def encode_documents(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n (ids with end_id), width, ids (little-endian), near (hash of likeness)."""
+def term_counts(flat: np.ndarray, lens: np.ndarray, vocabulary: int, docs: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Place of the document, token id and how often, for the distinct ids of each document, some documents at a time."""
+    ends = np.cumsum(lens)
+    for at in range(0, len(lens), docs):
+        n = lens[at : at + docs]
+        mine = flat[ends[at] - lens[at] : ends[at + len(n) - 1]]
+        pairs = np.repeat(np.arange(len(n), dtype=np.uint32) * np.uint32(vocabulary), n) + mine.astype(np.uint32)
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        doc, term = np.divmod(pairs[first], np.uint32(vocabulary))
+        yield at + doc.astype(np.int64), term.astype(np.int64), np.diff(np.append(first, len(pairs)))
+
+
+class Centres:
+    """Centres of hashed term vectors; cells() numbers each document's four nearest ones in order."""
+
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, *, centres: int = 16, dims: int = 512, rounds: int = 8, seed: int = 11):
+        """sample: distinct token ids of some documents and how often each stands there."""
+        rng = np.random.default_rng(seed)
+        self.vocabulary, self.dims, self.centres = vocabulary, dims, np.zeros((0, dims), np.float32)
+        self.place = rng.integers(0, dims, vocabulary)
+        held = np.bincount(np.concatenate([t for t, _ in sample]) if sample else np.zeros(0, int), minlength=vocabulary)
+        self.weight = np.where(held > 1, np.maximum(0, np.log((len(sample) + 1) / (held + 0.5))), 0) * rng.choice([-1.0, 1.0], vocabulary)
+        if len(sample) < 2:
+            return
+        sizes = [len(t) for t, _ in sample]
+        x = self._vectors(np.repeat(np.arange(len(sample)), sizes), np.concatenate([t for t, _ in sample]), np.concatenate([c for _, c in sample]), len(sample))
+        self.centres = x[rng.permutation(len(x))[:centres]].copy()
+        for _ in range(rounds):
+            near = (x @ self.centres.T).argmax(axis=1)
+            sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c for k, c in enumerate(self.centres)])
+            self.centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-9)[:, None]
+
+    def _vectors(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        x = np.bincount(doc * self.dims + self.place[term], self.weight[term] * count / (count + 1.0), n * self.dims).reshape(n, self.dims).astype(np.float32)
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+
+    def cells(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(lens), np.int32)
+        if len(self.centres):
+            for doc, term, count in term_counts(flat, lens, self.vocabulary):
+                x = self._vectors(doc - doc[0], term, count, int(doc[-1] - doc[0]) + 1)
+                near = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :4]
+                out[doc[0] : doc[-1] + 1] = near @ (len(self.centres) ** np.arange(near.shape[1])[::-1])
+        return out
+
+
+def fit_centres(rows: DataFrame, tokenizer: str, vocabulary: int, sample: int) -> Centres:
+    """Centres from about sample documents at most: their distinct token ids reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = CachedBpe(tokenizer)
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                found = [np.unique(x, return_counts=True) for x in bpe.encode(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in c], pa.binary()) for c in zip(*found)], ["terms", "counts"])
+
+    share = min(1.0, sample / max(rows.count(), 1))
+    some = rows.select("text").sample(share, seed=1).limit(sample)
+    got = some.mapInArrow(run, "terms binary, counts binary").collect()
+    return Centres([(np.frombuffer(r.terms, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.int64)) for r in got], vocabulary)
+
+
+def encode_documents(rows: DataFrame, tokenizer: str, end_id: int, centres: Broadcast) -> DataFrame:
+    """doc_id, n (ids with end_id), width, ids (little-endian), cell (nearest centres) and near (hash of likeness)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = CachedBpe(tokenizer)
@@ -48,12 +113,12 @@ def encode_documents(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 ids = [np.append(x, end_id).astype(f"<u{width}") for x in bpe.encode(part.column("text").to_pylist())]
-                lens = np.array([len(x) for x in ids])
+                lens, flat = np.array([len(x) for x in ids]), np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lens), pa.array(np.full(len(ids), width, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(min_hashes(np.concatenate(ids), lens))],
-                    ["doc_id", "n", "width", "ids", "near"])
+                    [part.column("doc_id"), pa.array(lens), pa.array(np.full(len(ids), width, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(centres.value.cells(flat, lens)), pa.array(min_hashes(flat, lens))],
+                    ["doc_id", "n", "width", "ids", "cell", "near"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, width int, ids binary, near long")
+    return rows.mapInArrow(run, "doc_id long, n long, width int, ids binary, cell int, near long")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +136,8 @@ def document_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat, lens = _ids(part)
-                pairs = np.repeat(np.arange(len(lens), dtype=np.uint32) * np.uint32(vocabulary), lens) + flat.astype(np.uint32)
-                pairs.sort()
-                once = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-                counts += np.bincount(once % np.uint32(vocabulary), minlength=vocabulary)
+                for _, term, _ in term_counts(*_ids(batch.slice(at, 256)), vocabulary):
+                    counts += np.bincount(term, minlength=vocabulary)
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "n"])
 
@@ -176,15 +237,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(
     df: DataFrame, tokenizer: str, *, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    shard_docs: int = 1024, shard_tokens: int = 2 << 20, partition_tokens: int = 8 << 20, k1: float = 1.2, b: float = 0.75,
+    shard_docs: int = 1024, shard_tokens: int = 2 << 20, partition_tokens: int = 2 << 20, sample: int = 4096, k1: float = 1.2, b: float = 0.75,
 ) -> DataFrame:
     """Pieces of every whole document in sequences of window ids; each id lies in exactly one piece.
 
     A null text is the empty one and has its end id only; repeated rows are packed each. All sequences are full but the
-    last of each partition of about partition_tokens ids. An empty table gives no pieces.
+    last of each partition of about partition_tokens ids. An empty table gives no pieces. The order of shards is fitted to
+    sample documents at most.
     """
-    coded = materialize(encode_documents(texts(df, id_col, text_col), tokenizer, end_id))
-    vocabulary = max(vocabulary_size(tokenizer), end_id + 1)
+    rows, vocabulary = texts(df, id_col, text_col), max(vocabulary_size(tokenizer), end_id + 1)
+    centres = df.sparkSession.sparkContext.broadcast(fit_centres(rows, tokenizer, vocabulary, sample))  # of fixed size
+    coded = materialize(encode_documents(rows, tokenizer, end_id, centres))
     docs, tokens = coded.agg(F.count("*"), F.sum("n")).first()
     held = document_counts(coded, vocabulary)
     # terms of more than half of all documents tell nothing apart: their idf is zero
@@ -222,7 +285,7 @@ def pack(
             yield from shard()
 
     parts = max(1, -(-(tokens or 0) // partition_tokens))
-    order = ["near", "doc_id", "n"]
+    order = ["cell", "near", "doc_id", "n"]
     return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, PIECES)
 
 
