@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,16 @@ def forest(m: int, left, right) -> list[tuple[int, int]]:
         if a != b:
             parent[max(a, b)] = min(a, b)
     return [(i, root(i)) for i in range(m) if root(i) != i]
+
+
+def smallest_reached(m: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Each linked node with the smallest that it reaches: labels sink along the links until they settle."""
+    label = np.arange(m)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, label[right])
+        np.minimum.at(label, right, label[left])
+        label = label[label]
+        if (label == before).all():
+            break
+    return [(k, int(x)) for k, x in enumerate(label.tolist()) if x != k]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from .common import materialize, whole_groups
-from .components import components
+from .components import components, smallest_reached
 
 
 def same_cell(distance: float, width: float) -> float:
@@ -130,24 +130,11 @@ def _cell(v: np.ndarray, mark: np.ndarray, node: np.ndarray, n: np.ndarray, bloc
             right.append(b)
     if not degree.any():
         return None
-    tree = dict(_smallest(len(x), np.concatenate(left), np.concatenate(right)))
+    tree = dict(smallest_reached(len(x), np.concatenate(left), np.concatenate(right)))
     rows = np.flatnonzero(degree)
     return node[rows], degree[rows], np.array([node[tree.get(r, r)] for r in rows.tolist()])
 
 
-def _smallest(m: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Each linked node with the smallest that it reaches: labels sink along the links until they settle."""
-    label = np.arange(m)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, left, label[right])
-        np.minimum.at(label, right, label[left])
-        label = label[label]
-        if (label == before).all():
-            break
-    return [(k, int(x)) for k, x in enumerate(label.tolist()) if x != k]
-
-
 def near_vectors(
     df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
     settings: dict | None = None, block: int = 2048, seed: int = 7,

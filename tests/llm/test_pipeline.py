@@ -1,10 +1,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from lumenrv.llm import near_copies as N
 from lumenrv.llm import secrets as S
 
 from .test_near_duplicates import sets_of
@@ -82,3 +84,40 @@ def test_near_copies_of_similarity_08_and_above_go(spark):
     df = spark.createDataFrame([(*r, "en", "web", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.doc_id for r in P.near_duplicates(spark, df.repartition(5), SF).collect())
     assert got == sorted(set(groups.values()))
+
+
+def test_large_groups_of_near_copies_are_connected_as_by_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(260):  # about as many pairs below the threshold as above
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 1, 2, 2, 3))):
+            copy[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    sets = {d: plain_shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert 0.2 < len(links) / (260 * 259 / 2) < 0.9
+    groups = sets_of(sets, links)
+    df = spark.createDataFrame([(*r, "en", "web", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for few, block in ((32, 250_000), (2, 3000), (1, 500)):
+        monkeypatch.setattr(N, "FEW", few)
+        monkeypatch.setattr(N, "BLOCK", block)
+        got = sorted(r.doc_id for r in P.near_duplicates(spark, df.repartition(5), SF).collect())
+        assert got == sorted(set(groups.values()))
+
+
+def test_cells_equal_brute_force():
+    rng = np.random.default_rng(2)
+    held = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.int64)) for _ in range(40)]
+    rows = np.arange(0, 40, 3)
+    for chunk in (7, 4096):
+        assert N.common_counts(held, rows, chunk).tolist() == [[len(np.intersect1d(held[r], x)) for x in held] for r in rows]
+    component, side = rng.integers(0, 6, 40), rng.integers(1, 3, 40)
+    keys = rng.integers(0, 4, (40, N.BANDS))
+    for sides in (np.full(40, 3), side):
+        for band in (0, 2):
+            links = [(a, b) for a in range(40) for b in range(a) if component[a] != component[b] and (sides[a] == 3 or sides[a] != sides[b])
+                     and not (keys[a, :band] == keys[b, :band]).any() and 10 * len(np.intersect1d(held[a], held[b])) >= 3 * len(np.union1d(held[a], held[b]))]
+            assert links
+            assert sets_of(range(40), N.cell_links(held, component, keys, band, sides, 30)) == sets_of(range(40), links)
