@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices, let, materialize
 
 #: Most holders of a rare line, and about how many pairs of one earlier document go to one group.
-RARE, DEALT = 8, 1000
+RARE, DEALT = 8, 200
 LINED = "id long, body long, hi long, lo long, total long, hashes binary, words array<int>, raw array<int>"
 KEY = "key struct<known: boolean, id: long, body: long>"
 INT_LIST = pa.list_(pa.int32())
