@@ -61,30 +61,34 @@ class Centres:
         """sample: distinct token ids of some documents and how often each stands there."""
         rng = np.random.default_rng(seed)
         self.vocabulary, self.dims, self.centres = vocabulary, dims, np.zeros((0, dims), np.float32)
-        self.place = rng.integers(0, dims, vocabulary)
+        self.place = rng.integers(0, dims, vocabulary).astype(np.int32)
         held = np.bincount(np.concatenate([t for t, _ in sample]) if sample else np.zeros(0, int), minlength=vocabulary)
         self.weight = np.where(held > 1, np.maximum(0, np.log((len(sample) + 1) / (held + 0.5))), 0) * rng.choice([-1.0, 1.0], vocabulary)
         if len(sample) < 2:
             return
-        sizes = [len(t) for t, _ in sample]
-        x = self._vectors(np.repeat(np.arange(len(sample)), sizes), np.concatenate([t for t, _ in sample]), np.concatenate([c for _, c in sample]), len(sample))
+        terms = np.concatenate([np.repeat(t, c) for t, c in sample])
+        x = self._vectors(terms, np.array([c.sum() for _, c in sample]))
         self.centres = x[rng.permutation(len(x))[:centres]].copy()
         for _ in range(rounds):
             near = (x @ self.centres.T).argmax(axis=1)
             sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c for k, c in enumerate(self.centres)])
             self.centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-9)[:, None]
 
-    def _vectors(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        x = np.bincount(doc * self.dims + self.place[term], self.weight[term] * count / (count + 1.0), n * self.dims).reshape(n, self.dims).astype(np.float32)
+    def _vectors(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Unit vectors of documents: the ids' weights, summed in hashed places."""
+        at = np.repeat(np.arange(len(lens)) * self.dims, lens) + self.place[flat]
+        x = np.bincount(at, self.weight[flat], len(lens) * self.dims).reshape(-1, self.dims).astype(np.float32)
+        x = np.copysign(np.log1p(np.abs(x)), x)  # so that no repeated word outweighs the rest
         return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
 
-    def cells(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(lens), np.int32)
+    def cells(self, flat: np.ndarray, lens: np.ndarray, docs: int = 256) -> np.ndarray:
+        out, ends = np.zeros(len(lens), np.int32), np.cumsum(lens)
         if len(self.centres):
-            for doc, term, count in term_counts(flat, lens, self.vocabulary):
-                x = self._vectors(doc - doc[0], term, count, int(doc[-1] - doc[0]) + 1)
+            for at in range(0, len(lens), docs):
+                n = lens[at : at + docs]
+                x = self._vectors(flat[ends[at] - lens[at] : ends[at + len(n) - 1]], n)
                 near = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :4]
-                out[doc[0] : doc[-1] + 1] = near @ (len(self.centres) ** np.arange(near.shape[1])[::-1])
+                out[at : at + docs] = near @ (len(self.centres) ** np.arange(near.shape[1])[::-1])
         return out
 
 
@@ -165,6 +169,14 @@ class Shard:
         self.weight = (idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[docs] / mean))).astype(np.float32)
         self.docs = docs
         self.first = np.searchsorted(terms, np.arange(len(idf) + 1))
+        # terms of many documents as rows of a matrix, which adds up faster than their lists
+        held = np.diff(self.first)
+        common = np.flatnonzero((held * 8 >= n) & (held > 8))
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        inside = self.row[terms] >= 0
+        self.rows[self.row[terms[inside]], docs[inside]] = self.weight[inside]
         by_doc = np.argsort(docs, kind="stable")
         cut = np.searchsorted(docs[by_doc], np.arange(n + 1))
         self.of = [terms[by_doc[x:y]] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
@@ -173,10 +185,12 @@ class Shard:
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 scores of all documents for a query of distinct terms; used ones get -1."""
-        a, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        row = self.row[terms]
+        few = terms[row < 0]
+        a, size = self.first[few], self.first[few + 1] - self.first[few]
         ends = np.cumsum(size)
         at = np.repeat(a - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-        out = np.bincount(self.docs[at], self.weight[at], self.n)
+        out = np.bincount(self.docs[at], self.weight[at], self.n) + self.rows[row[row >= 0]].sum(axis=0)
         out[~self.unused] = -1
         return out
 
