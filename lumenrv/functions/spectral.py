@@ -69,9 +69,12 @@ def chebyshev(coefficients: Column, x: Column, low: float, high: float) -> Colum
     return F.aggregate(F.reverse(coefficients), start, step, lambda s: s["one"] - t * s["two"])
 
 
-def width_terms(d2v: Column, sdv2: Column, ew: Column) -> dict[str, Column]:
-    """dW, sdW, fwhm and sig_fwhm from the second-derivative velocity, its error and the line's equivalent sigma."""
-    full = ew * FWHM
+def width_terms(d2v: Column, sdv2: Column, ew: Column, calibration_ew: float = 5.5) -> dict[str, Column]:
+    """dW, sdW, fwhm and sig_fwhm from the second-derivative velocity, its error and the line's equivalent sigma.
+
+    An equivalent sigma of 0 (a calibration) stands for calibration_ew.
+    """
+    full = F.when(ew == 0, calibration_ew).otherwise(ew) * FWHM
     dw, sdw = d2v * (8 * math.log(2)), sdv2 * (8 * math.log(2))
     return {"dW": dw, "sdW": sdw, "fwhm": full + dw / full, "sig_fwhm": sdw / full}
 

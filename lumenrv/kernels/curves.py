@@ -139,20 +139,26 @@ def savitzky_golay(values: np.ndarray, width: int, order: int = 3, derivative: i
     return out * scale
 
 
-def robust_polynomial(x: np.ndarray, y: np.ndarray, degree: int, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (highest first) and kept points: the farthest goes while residuals exceed sigmas medians."""
+def robust_polynomial(x: np.ndarray, y: np.ndarray, degree: int, sigmas: float, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (highest first) and kept points of a polynomial without outliers.
+
+    Each round fits the kept points and keeps, of all points, those whose residual is less than sigmas medians of all
+    residuals (points can come back; with a median of 0 only exact ones stay), until no point that was fitted lies beyond.
+    It ends as well when too few points would be left, or after rounds.
+    """
     keep = np.isfinite(x) & np.isfinite(y)
-    while True:
+    fit = np.full(degree + 1, np.nan)
+    for _ in range(rounds):
+        if keep.sum() <= degree:
+            break
         fit = np.polyfit(x[keep], y[keep], degree)
         off = np.abs(y - np.polyval(fit, x))
-        typical = np.median(off[keep])
-        share = off / typical if typical > 0 else np.zeros_like(off)
-        if not keep.any() or np.max(share[keep]) <= sigmas:
-            return fit, keep
-        fewer = keep & (share <= sigmas)
-        if fewer.sum() <= degree + 1 or (fewer == keep).all():
-            return fit, keep
-        keep = fewer
+        typical = np.nanmedian(off)
+        share = np.divide(off, typical) if typical > 0 else np.where(off == 0, 0.0, np.where(np.isnan(off), np.nan, np.inf))
+        most, keep = np.max(share[keep]), share < sigmas
+        if most <= sigmas:
+            break
+    return fit, keep
 
 
 def least_squares(model: Callable[..., np.ndarray], x: np.ndarray, y: np.ndarray, start: list[float], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -199,55 +205,80 @@ def odd_ratio_mean(value: np.ndarray, error: np.ndarray, odd: float = 2e-4, roun
     return mean, bulk
 
 
-def chi2_tail(x: float, k: float) -> float:
-    """Chance that chi squared with k degrees of freedom exceeds x."""
-    a, x = k / 2, x / 2
-    if x <= 0:
-        return 1.0
-    log = a * math.log(x) - x - math.lgamma(a)
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > 1e-16 * abs(total):
-            n += 1
-            term *= x / n
-            total += term
-        return max(0.0, 1 - total * math.exp(log))
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        n = -i * (i - a)
-        b += 2
-        d = 1 / (n * d + b)
-        c = b + n / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return math.exp(log) * h
-
-
-def _beta_share(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_share(b, a, 1 - x)
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    h = d
-    for m in range(1, 1000):
-        for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + n * d)
-            c = 1 + n / c
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    found, at = np.unique(x, return_inverse=True)
+    return _LGAMMA(found)[at] if len(found) else np.zeros(0)
+
+
+def _fraction(step: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], first: np.ndarray, rounds: int) -> np.ndarray:
+    """first / (b0 + a1 / (b1 + ...)) for many arguments at once by Lentz's method; step(i, places) gives a_i and b_i."""
+    out, c, d = first.copy(), np.full(len(first), 1e300), first.copy()
+    open_ = np.arange(len(first))
+    for i in range(1, rounds):
+        if not len(open_):
             break
-    return front * h / a
+        a, b = step(i, open_)
+        d[open_] = 1 / (a * d[open_] + b)
+        c[open_] = b + a / c[open_]
+        factor = c[open_] * d[open_]
+        out[open_] *= factor
+        open_ = open_[np.abs(factor - 1) >= 1e-15]
+    return out
+
+
+def chi2_tails(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Chances that chi squared with k degrees of freedom exceeds x: a series below the mean, a continued fraction above."""
+    a, x = np.asarray(k, float) / 2, np.asarray(x, float) / 2
+    out = np.where(x <= 0, 1.0, np.nan)
+    fine = np.isfinite(x) & np.isfinite(a) & (x > 0) & (a > 0)
+    front = np.zeros(len(x))
+    front[fine] = np.exp(a[fine] * np.log(x[fine]) - x[fine] - _log_gamma(a[fine]))
+    low = np.flatnonzero(fine & (x < a + 1))
+    term = 1 / a[low]
+    total, open_, n = term.copy(), np.arange(len(low)), 0
+    while len(open_):
+        n += 1
+        term[open_] *= x[low[open_]] / (a[low[open_]] + n)
+        total[open_] += term[open_]
+        open_ = open_[term[open_] > 1e-16 * total[open_]]
+    out[low] = np.maximum(0.0, 1 - total * front[low])
+    high = np.flatnonzero(fine & (x >= a + 1))
+    start = x[high] + 1 - a[high]
+    out[high] = front[high] * _fraction(lambda i, at: (-i * (i - a[high[at]]), start[at] + 2 * i), 1 / start, 10_000)
+    return out
+
+
+def chi2_tail(x: float, k: float) -> float:
+    return float(chi2_tails(np.array([x]), np.array([k]))[0])
+
+
+def _beta_shares(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta functions by their continued fraction, mirrored where that converges faster."""
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    inner = (x > 0) & (x < 1)
+    y = np.where(inner, x, 0.5)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(y) + b * np.log1p(-y)) / a
+
+    def step(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, p, q, z = i // 2, a[at], b[at], y[at]
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        return (odd if i % 2 else m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))), np.ones(len(at))
+
+    share = np.where(inner, front * _fraction(step, np.ones(len(x)), 2000), (x >= 1).astype(float))
+    return np.where(turn, 1 - share, share)
+
+
+def correlation_ps(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided chances of a correlation coefficient of r or more in n independent pairs."""
+    fine = np.isfinite(r) & (n > 2)
+    out = np.full(len(r), np.nan)
+    out[fine] = _beta_shares((n[fine] - 2) / 2, np.full(fine.sum(), 0.5), np.maximum(0.0, 1 - r[fine] ** 2))
+    return out
 
 
 def correlation_p(r: float, n: int) -> float:
-    """Two-sided chance of a correlation coefficient of r or more in n independent pairs."""
-    if n < 3 or not math.isfinite(r):
-        return math.nan
-    return _beta_share((n - 2) / 2, 0.5, max(0.0, 1 - r * r))
+    return float(correlation_ps(np.array([r], float), np.array([n], float))[0])

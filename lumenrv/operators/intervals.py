@@ -22,6 +22,20 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return own.join(dealt, (F.col("__own") == F.col("__cell")) & inside, how).drop("__own", "__cell")
 
 
+def interval_means(points: DataFrame, table: DataFrame, key: str, other: str, point: str, low: str, high: str, values: dict[str, str], *, width: float) -> DataFrame:
+    """Points with the means (column: new name) of the table's rows of equal key whose open interval holds them; null without one.
+
+    Joined by key and time cell. Equal points of a key and equal intervals are taken together first, so that a key of very
+    many rows meets each distinct pair once.
+    """
+    grouped = table.groupBy(other, low, high).agg(*(F.sum(c).alias(f"__s_{c}") for c in values), *(F.count(c).alias(f"__n_{c}") for c in values))
+    grouped = grouped.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width).cast("bigint"), F.floor(F.col(high) / width).cast("bigint"))))
+    places = points.select(F.col(key).alias("__key"), F.col(point).alias("__at")).distinct().withColumn("__own", F.floor(F.col("__at") / width).cast("bigint"))
+    met = places.join(grouped, (F.col("__key") == F.col(other)) & (F.col("__own") == F.col("__cell")) & (F.col("__at") > F.col(low)) & (F.col("__at") < F.col(high)))
+    means = met.groupBy("__key", "__at").agg(*(F.try_divide(F.sum(f"__s_{c}"), F.sum(f"__n_{c}")).alias(n) for c, n in values.items()))
+    return points.join(means, F.col(key).eqNullSafe(F.col("__key")) & F.col(point).eqNullSafe(F.col("__at")), "left").drop("__key", "__at")
+
+
 def consecutive(df: DataFrame, keys: Sequence[str], position: str, *, start: str = "start", end: str = "end") -> DataFrame:
     """Segments from each position to the next of its group; the last of a group has none."""
     after = Window.partitionBy(*keys).orderBy(position)

@@ -40,29 +40,45 @@ def mean_of_points(points: Column, odd: float, rounds: int, converged: float) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["g"].alias("mean"), s["bulk"].alias("err")))
 
 
-def exact_median(known: DataFrame, keys: Sequence[str], value: str, *, name: str = "median", near: float = 5e-4) -> DataFrame:
-    """Exact medians of groups of any size: a sketch gives two values around the median, only what lies between is looked at.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], *, name: str = "p", near: float = 5e-4) -> DataFrame:
+    """Exact percentiles (linear between places, as an array) of groups of any size; missing values do not count.
 
-    Between them lie about twice near of a group's points; equal values are counted first, so that ties take one place.
+    A sketch gives two values around each percentile, and only what lies between is looked at: about twice near of a
+    group's points, or all of a group of 10 / near points at most. Equal values are counted first, so that ties take one
+    place. A group without values has no row.
     """
     keys = list(keys)
-    sketch = known.groupBy(*keys).agg(F.percentile_approx(value, F.array(F.lit(0.5 - near), F.lit(0.5 + near)), F.lit(int(10 / near))).alias("__b"), F.count(F.lit(1)).alias("__n"))
-    held = materialize(sketch.select(*(F.col(k).alias(f"__{k}") for k in keys), F.get("__b", F.lit(0)).alias("__lo"), F.get("__b", F.lit(1)).alias("__hi"), "__n"))
+    known = materialize(df.select(*keys, finite(F.col(value)).alias("__v")).filter("__v is not null"))
+    ends = [x for s in shares for x in (max(s - near, 0.0), min(s + near, 1.0))]
+    sketch = known.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*map(F.lit, ends)), F.lit(int(10 / near))).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    held = materialize(sketch.select(*(F.col(k).alias(f"__{k}") for k in keys), "__b", "__n"))
     met = known.join(held, _same(keys))
-    below = F.sum((F.col(value) < F.col("__lo")).cast("long"))
-    inside = met.filter(F.col(value).between(F.col("__lo"), F.col("__hi"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    listed = inside.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("__c").alias("c")))).alias("__p"))
-    before = met.groupBy(*keys, "__n").agg(below.alias("__before")).select(*(F.col(k).alias(f"__{k}") for k in keys), "__n", "__before")
-    both = listed.join(before, _same(keys))
+    few = F.col("__n") <= int(10 / near)
+    low = lambda k: F.when(few, float("-inf")).otherwise(F.get("__b", F.lit(2 * k)))
+    high = lambda k: F.when(few, float("inf")).otherwise(F.get("__b", F.lit(2 * k + 1)))
+    inside = F.array_compact(F.array(*(F.when(F.col("__v").between(low(k), high(k)), k) for k in range(len(shares)))))
+    counts = met.groupBy(*keys, "__n").agg(*(F.sum((F.col("__v") < low(k)).cast("long")).alias(f"__c{k}") for k in range(len(shares))))
+    counts = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), "__n", F.array(*(f"__c{k}" for k in range(len(shares)))).alias("__c"))
+    marked = met.withColumn("__s", F.explode(inside)).groupBy(*keys, "__s", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    listed = marked.groupBy(*keys, "__s").agg(F.array_sort(F.collect_list(F.struct(F.col("__v").alias("v"), F.col("__m").alias("c")))).alias("__p"))
+    both = listed.join(counts, _same(keys))
+    share = F.element_at(F.array(*map(F.lit, shares)), F.col("__s") + 1)
+    place = share * (F.col("__n") - 1)
+    before = F.element_at("__c", F.col("__s") + 1)
 
     def at(place: Column) -> Column:
-        """The value at a 0-based place of the group."""
-        start = F.struct(F.col("__before").alias("seen"), F.lit(None).cast("double").alias("v"))
+        start = F.struct(before.alias("seen"), F.lit(None).cast("double").alias("v"))
         step = lambda s, p: F.struct((s["seen"] + p["c"]).alias("seen"), F.when((s["seen"] <= place) & (place < s["seen"] + p["c"]), p["v"]).otherwise(s["v"]).alias("v"))
         return F.aggregate("__p", start, step, lambda s: s["v"])
 
-    middle = (at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2
-    return both.select(*keys, middle.alias(name))
+    one, two = at(F.floor(place)), at(F.ceil(place))
+    found = both.select(*keys, "__s", (one + (two - one) * (place - F.floor(place))).alias("__x"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__x").alias("x"))))
+    return found.groupBy(*keys).agg(F.transform(ordered, lambda p: p["x"]).alias(name))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, name: str = "median", near: float = 5e-4) -> DataFrame:
+    return exact_percentiles(df, keys, value, [0.5], name="__p", near=near).select(*keys, F.get("__p", F.lit(0)).alias(name))
 
 
 def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, converged: float) -> DataFrame:
@@ -83,18 +99,18 @@ def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, conve
 
 def odd_ratio_mean(
     df: DataFrame, keys: Sequence[str], value: str, error: str, *, odd: float = 2e-4, rounds: int = 10, converged: float = 1e-2,
-    name: str = "mean", error_name: str = "mean_err", gathered: int = 100_000,
+    name: str = "mean", error_name: str = "mean_err", count_name: str | None = None, gathered: int = 100_000,
 ) -> DataFrame:
     """Mean of a mixture of valid points and outliers, and its error, for each group.
 
     Starts at the median; a point's weight is its chance to be valid over its squared error. A group stops when its mean
     moves by converged of its error or less, at latest after rounds. Points with a missing value or error do not count; a
     group without any has nulls. Groups of up to gathered points are worked on in one row each after one shuffle; larger
-    ones go round by round with partial sums. Both ways give the same numbers.
+    ones go round by round with partial sums. Both ways give the same numbers. count_name adds the number of points.
     """
     keys = list(keys)
     v, e = finite(F.col(value)), finite(F.col(error))
-    points = df.select(*keys, v.alias("__v"), (e * e).alias("__q"))
+    points = materialize(df.select(*keys, v.alias("__v"), (e * e).alias("__q")))  # read twice and more
     known = points.filter("__v is not null and __q is not null")
     large = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > gathered).select(*(F.col(k).alias(f"__{k}") for k in keys), F.lit(True).alias("__large"))
     some = not large.isEmpty()
@@ -106,7 +122,10 @@ def odd_ratio_mean(
     out = out.select(*keys, "__m")
     if some:
         out = out.union(_by_rounds(known.join(large, _same(keys), "left_semi"), keys, odd, rounds, converged))
-    return out.select(*keys, F.col("__m.mean").alias(name), F.col("__m.err").alias(error_name))
+    if count_name:
+        counts = points.groupBy(*keys).agg(F.count(F.col("__v") + F.col("__q")).alias(count_name)).select(*(F.col(k).alias(f"__{k}") for k in keys), count_name)
+        out = out.join(counts, _same(keys))
+    return out.select(*keys, F.col("__m.mean").alias(name), F.col("__m.err").alias(error_name), *([count_name] if count_name else []))
 
 
 def robust_sigma(value: Column, sigma: float = 1.0) -> Column:
@@ -152,9 +171,9 @@ def line_fit(x: Column, y: Column, weight: Column) -> dict[str, Column]:
     return {"n": F.count(F.lit(1)), "s": F.sum(w), "sx": F.sum(w * x), "sy": F.sum(w * y), "sxx": F.sum(w * x * x), "sxy": F.sum(w * x * y), "syy": F.sum(w * y * y)}
 
 
-def line_from_sums() -> dict[str, Column]:
+def line_from_sums(prefix: str = "") -> dict[str, Column]:
     """Slope, level and their errors from line_fit's columns; the covariance is scaled by the residuals' chi squared."""
-    s, sx, sy, sxx, sxy, syy, n = (F.col(c) for c in ("s", "sx", "sy", "sxx", "sxy", "syy", "n"))
+    s, sx, sy, sxx, sxy, syy, n = (F.col(prefix + c) for c in ("s", "sx", "sy", "sxx", "sxy", "syy", "n"))
     det = s * sxx - sx * sx
     slope, level = F.try_divide(s * sxy - sx * sy, det), F.try_divide(sxx * sy - sx * sxy, det)
     chi = F.greatest(syy - slope * sxy - level * sy, F.lit(0.0))

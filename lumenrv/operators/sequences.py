@@ -13,9 +13,9 @@ def along(keys: Sequence[str], order: Sequence[str] | str) -> WindowSpec:
 
 
 def gradient(value: Column, w: WindowSpec) -> Column:
-    """Half the difference of both neighbours; at the ends the difference to the only one."""
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    return F.when(before.isNull(), after - value).when(after.isNull(), value - before).otherwise((after - before) / 2)
+    """Half the difference of both neighbours, at the first and last row the difference to the only one; a missing one gives null."""
+    before, after, there = F.lag(value).over(w), F.lead(value).over(w), F.lit(1)
+    return F.when(F.lag(there).over(w).isNull(), after - value).when(F.lead(there).over(w).isNull(), value - before).otherwise((after - before) / 2)
 
 
 def circular_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, *, reach: int = 2, name: str = "box") -> DataFrame:

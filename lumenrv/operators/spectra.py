@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenrv.functions.spectral import finite
 from lumenrv.kernels import curves
+from lumenrv.operators import robust
+from lumenrv.sources.scratch import materialize
 
 
 def _arrays(x: object) -> np.ndarray:
@@ -23,7 +27,7 @@ def _on_arrays(fn: Callable[..., np.ndarray], *columns: Column) -> Column:
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for part in parts:
             out = []
-            for row in zip(*part):
+            for row in zip(*((part,) if isinstance(part, pd.Series) else part)):  # one column comes bare
                 y = None if any(x is None for x in row) else fn(*map(_arrays, row))
                 out.append(None if y is None else [None if np.isnan(v) else v for v in y.tolist()])
             yield pd.Series(out, dtype=object)
@@ -50,19 +54,23 @@ def polynomial_fit(x: Column, y: Column, degree: int, sigmas: float) -> Column:
 
 
 def chi2_tail(x: Column, k: Column) -> Column:
+    """Chance that chi squared with k degrees of freedom exceeds x; null for a null."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else curves.chi2_tail(a, b) for a, b in zip(x, k)], dtype=object)
+        return pd.Series(curves.chi2_tails(x.to_numpy(float), k.to_numpy(float)))
 
-    return run(x, k)
+    return F.when(x.isNotNull() & k.isNotNull(), run(x, k))
 
 
 def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided chance of a correlation coefficient in n pairs; null for a null and for fewer than three pairs."""
+
     @F.pandas_udf("double")
     def run(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) else curves.correlation_p(a, int(b)) for a, b in zip(r, n)], dtype=object)
+        return pd.Series(curves.correlation_ps(r.to_numpy(float), n.to_numpy(float)))
 
-    return run(r, n)
+    return F.when(r.isNotNull() & (n > 2), run(r, n))
 
 
 def blaze_normalised(orders: DataFrame, keys: Sequence[str], order: str, pixel: str, wave: str, blaze: str, *, degree: int = 2) -> DataFrame:
@@ -81,31 +89,54 @@ def blaze_normalised(orders: DataFrame, keys: Sequence[str], order: str, pixel:
     return orders.join(fits, list(keys)).withColumn("blaze_norm", F.col(blaze) / sed).drop("__c")
 
 
-def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str, error: str, *, reference: float, rounds: int = 10) -> DataFrame:
-    """Velocity at a reference wavelength and slope for each exposure, by a straight line that outliers lose their weight in.
+def _weighted_line(prob: Column, error: Column) -> dict[str, Column]:
+    """Sums of the straight lines against the distance to the reference and against its logarithm, as aggregates."""
+    one = robust.line_fit(F.col("__x"), F.col("__y"), prob / error)
+    two = robust.line_fit(F.col("__l"), F.col("__y"), prob / error)
+    return {**{f"__a_{k}": v for k, v in one.items()}, **{f"__b_{k}": v for k, v in two.items()}}
 
-    A group is the lines of one exposure, whose number the instrument bounds.
-    """
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y, e = (group[c].to_numpy(float) for c in (wave, velocity, error))
-        good = np.isfinite(x) & np.isfinite(y) & np.isfinite(e)
-        if good.any():
-            good &= (np.abs(y - np.nanmedian(y)) < 10 * e) & (e < 100 * np.nanmedian(e))
-        out = dict.fromkeys(("level", "level_err", "slope", "slope_err", "crx", "crx_err"))
-        if good.sum() > 3:
-            x, y, e = x[good], y[good], np.where(e[good] == 0, np.percentile(e[good], 1) / 2, e[good])
-            prob, last = np.ones(len(x)), np.inf
-            for _ in range(rounds):
-                c, cov = np.polyfit(x - reference, y, 1, w=prob / e, cov=True)
-                crx, crx_cov = np.polyfit(np.log(x), y, 1, w=prob / e, cov=True)
-                g = np.exp(-0.5 * ((y - np.polyval(c, x - reference)) / e) ** 2)
-                prob = (1 + 1e-4) * g / (1e-4 + g)
-                out = {"level": c[1], "level_err": np.sqrt(cov[1, 1]), "slope": c[0] * 1000, "slope_err": np.sqrt(cov[0, 0]) * 1000, "crx": crx[0], "crx_err": np.sqrt(crx_cov[0, 0])}
-                if abs(c[1] - last) < 0.1 * out["level_err"]:
-                    break
-                last = c[1]
-        return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, **out}])
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, wave, velocity, error).groupBy(*keys).applyInPandas(fit, f"{kinds}, level double, level_err double, slope double, slope_err double, crx double, crx_err double")
+def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str, error: str, *, reference: float, bias: str | None = None, rounds: int = 10) -> DataFrame:
+    """Velocity at a reference wavelength (level), slope (per um) and CRX of each group, with errors.
+
+    A straight line is fitted by grouped sums, round by round: each point's weight is its chance to be valid, given the line
+    before, over its error. Points ten errors off the median or with errors of a hundred medians take no part; where a
+    group has errors of zero, all below half its first percentile count as that. A group stops when its level moves by less
+    than a tenth of its error, at latest after rounds. Groups of fewer than three points have nulls. bias is taken off the
+    velocities once the points are chosen.
+    """
+    keys = list(keys)
+    y, e = finite(F.col(velocity)), finite(F.col(error))
+    off = finite(F.col(bias)) if bias else F.lit(0.0)
+    rows = materialize(df.select(*keys, finite(F.col(wave)).alias("__w"), y.alias("__v"), e.alias("__e"), off.alias("__o")))
+    same = lambda: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    named = lambda t: t.select(*(F.col(k).alias(f"__{k}") for k in keys), *[c for c in t.columns if c not in keys])
+    middle = robust.exact_median(rows, keys, "__v", name="__vm").join(robust.exact_percentiles(rows, keys, "__e", [0.5], name="__em"), keys)
+    good = rows.join(named(middle), same()).filter("__w is not null and __v is not null and __o is not null and abs(__v - __vm) < 10 * __e and __e < 100 * __em[0]").select(*rows.columns)
+    good = materialize(good)
+    least = good.groupBy(*keys).agg(F.min("__e").alias("__least")).filter("__least = 0")
+    floor = named(robust.exact_percentiles(good.join(least.select(*keys), keys, "left_semi"), keys, "__e", [0.01], name="__f"))
+    points = good.join(floor, same(), "left").select(
+        *keys, (F.col("__w") - reference).alias("__x"), F.log(F.col("__w") / reference).alias("__l"), (F.col("__v") - F.col("__o")).alias("__y"), F.greatest("__e", F.coalesce(F.get("__f", F.lit(0)) / 2, F.col("__e"))).alias("__e"))
+    points = materialize(points)
+    state, done = None, None
+    for _ in range(rounds):
+        if state is None:
+            sums = points.groupBy(*keys).agg(*(v.alias(k) for k, v in _weighted_line(F.lit(1.0), F.col("__e")).items())).withColumn("last", F.lit(float("inf")))
+        else:
+            g = F.exp(F.pow((F.col("__y") - F.col("level") - F.col("slope") * F.col("__x")) / F.col("__e"), F.lit(2)) * -0.5)
+            met = points.join(named(state.filter("moving").select(*keys, "level", "slope")), same())
+            sums = met.groupBy(*keys, F.col("level").alias("last")).agg(*(v.alias(k) for k, v in _weighted_line(g * (1 + 1e-4) / (g + 1e-4), F.col("__e")).items()))
+        lines = {part: robust.line_from_sums(f"__{part}_") for part in "ab"}
+        fit = sums.select(*keys, "last", *(lines["a"][k].alias(k) for k in ("level", "level_err", "slope", "slope_err")), lines["b"]["slope"].alias("crx"), lines["b"]["slope_err"].alias("crx_err"), (F.col("__a_n") >= 3).alias("__enough"))
+        fit = fit.withColumn("moving", F.coalesce(F.col("__enough") & (F.abs(F.col("level") - F.col("last")) >= F.col("level_err") * 0.1), F.lit(False)))
+        state = materialize(fit)
+        settled = state.filter("not moving")
+        done = settled if done is None else done.union(settled)
+        if state.filter("moving").isEmpty():
+            break
+    else:
+        done = done.union(state.filter("moving"))
+    out = named(done.select(*keys, *(F.when(F.col("__enough"), F.col(k) * (1000 if "slope" in k else 1)).alias(k) for k in ("level", "level_err", "slope", "slope_err", "crx", "crx_err"))))
+    groups = rows.select(*keys).distinct()
+    return groups.join(out, same(), "left").select(*keys, "level", "level_err", "slope", "slope_err", "crx", "crx_err")

@@ -97,20 +97,21 @@ def rjd_epoch_columns(spark, d):
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, round(dv * {8 * math.log(2)!r}e0, 6) AS "dW", round(error * {8 * math.log(2)!r}e0, 6) AS "sdW",
-  round(3000 * {spectral.FWHM!r}e0 + dv * {8 * math.log(2)!r}e0 / (3000 * {spectral.FWHM!r}e0), 6) AS fwhm, round(error * {8 * math.log(2)!r}e0 / (3000 * {spectral.FWHM!r}e0), 9) AS sig_fwhm FROM {LINE_LIST}""")
+  round(ew * {spectral.FWHM!r}e0 + dv * {8 * math.log(2)!r}e0 / (ew * {spectral.FWHM!r}e0), 6) AS fwhm, round(error * {8 * math.log(2)!r}e0 / (ew * {spectral.FWHM!r}e0), 9) AS sig_fwhm
+  FROM (SELECT *, CASE WHEN weight = 0 THEN 5.5e0 ELSE weight * 30000 END AS ew FROM {LINE_LIST})""")
 def fwhm_from_d2v(spark, d):
-    terms = spectral.width_terms(F.col("dv"), F.col("error"), F.lit(3000.0))
+    terms = spectral.width_terms(F.col("dv"), F.col("error"), F.col("weight") * 30000)
     return line_list(spark, d).select("l_orderkey", "l_linenumber", *(F.round(v, 9 if k == "sig_fwhm" else 6).alias(k) for k, v in terms.items()))
 
 
-@query("""SELECT doc_id, regexp_replace(text[1:40], '[^\\x00-\\x7F]', '', 'g') AS folded, printf('WAVE%04d', doc_id % 10000) AS header_key,
+@query("""SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS folded, printf('WAVE%04d', doc_id % 10000) AS header_key,
   TRY_CAST(nullif(regexp_extract(CAST(n_chars / 8.0 AS VARCHAR) || ' m/s', '^\\s*([-+0-9.eE]+)\\s*m/s\\s*$', 1), '') AS DOUBLE) AS speed,
   split_part(source || '_' || lang || '_o.fits', '_', 2) AS fibre FROM documents""")
 def header_strings(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     file = F.concat_ws("_", "source", "lang", F.lit("o.fits"))
     speed = F.concat((F.col("n_chars") / 8.0).cast("string"), F.lit(" m/s"))
-    return docs.select("doc_id", times.ascii_only(F.substring("text", 1, 40)).alias("folded"), times.indexed_key("WAVE%04d", F.col("doc_id") % 10000).alias("header_key"), times.metres_per_second(speed).alias("speed"), F.split_part(file, F.lit("_"), F.lit(2)).alias("fibre"))
+    return docs.select("doc_id", times.ascii_only(F.col("text")).alias("folded"), times.indexed_key("WAVE%04d", F.col("doc_id") % 10000).alias("header_key"), times.metres_per_second(speed).alias("speed"), F.split_part(file, F.lit("_"), F.lit(2)).alias("fibre"))
 
 
 @query(f"""WITH b(band, low, high) AS (VALUES {values_sql(bands_within(900, 1950))})
@@ -143,15 +144,13 @@ def line_segments(spark, d):
     return cut.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("end.wave") - F.col("start.wave")), 6).alias("width"), F.round(F.min("start.wave"), 6).alias("first"), F.round(F.max("end.wave"), 6).alias("last"))
 
 
-@query(f"""WITH e AS {EXPOSURES}, t AS (SELECT object AS target, mjd - 20 AS low, mjd + 20 AS high, snr FROM e WHERE exposure % 50 = 0)
-SELECT e.exposure, coalesce(round(avg(t.snr), 6), 0) AS vsys FROM e LEFT JOIN t ON e.object = t.target AND e.mjd > t.low AND e.mjd < t.high WHERE e.exposure % 7 = 0 GROUP BY e.exposure""")
+@query(f"""WITH e AS {EXPOSURES}, t AS (SELECT object AS target, mjd - 20 AS low, mjd + 20 AS high, snr FROM e)
+SELECT e.exposure, coalesce(round(avg(t.snr), 6), 0) AS vsys FROM e LEFT JOIN t ON e.object = t.target AND e.mjd > t.low AND e.mjd < t.high  GROUP BY e.exposure""")
 def interval_lookup(spark, d):
     """Mean of a quantity over the intervals around an exposure's time, 0 without one."""
     every = exposures(spark, d)
-    table = every.filter("exposure % 50 = 0").select(F.col("object").alias("target"), (F.col("mjd") - 20).alias("low"), (F.col("mjd") + 20).alias("high"), "snr")
-    wanted = every.filter("exposure % 7 = 0").select("exposure", "object", "mjd")
-    joined = wanted.join(table, (F.col("object") == F.col("target")) & (F.col("mjd") > F.col("low")) & (F.col("mjd") < F.col("high")), "left")
-    return joined.groupBy("exposure").agg(F.coalesce(F.round(F.avg("snr"), 6), F.lit(0.0)).alias("vsys"))
+    table = every.select(F.col("object").alias("target"), (F.col("mjd") - 20).alias("low"), (F.col("mjd") + 20).alias("high"), "snr")
+    return intervals.interval_means(every, table, "object", "target", "mjd", "low", "high", {"snr": "vsys"}, width=40.0).select("exposure", F.coalesce(F.round("vsys", 6), F.lit(0.0)).alias("vsys"))
 
 
 @query(f"""WITH e AS {EXPOSURES}, f AS (SELECT wavefile, arg_min(snr, (mjd, exposure)) AS ref FROM e WHERE kind = 'F' GROUP BY wavefile)
@@ -179,12 +178,11 @@ def skip_done_anti(spark, d):
 
 
 @query(f"""SELECT exposure, CASE WHEN exposure % 1000 = 999 THEN 'bad' WHEN snr < 30 THEN 'low snr' WHEN mjd < 50000 OR mjd > 51500 THEN 'date' ELSE 'kept' END AS verdict,
-  (row_number() OVER (ORDER BY mjd, exposure) - 1) % 4 AS stripe FROM {EXPOSURES} WHERE object % 10 = 3""")
+  (row_number() OVER (ORDER BY mjd, exposure) - 1) % 4 AS stripe FROM {EXPOSURES}""")
 def quality_verdicts(spark, d):
     """Reject reasons in order, and the stripe of each exposure in order of time."""
-    chosen = exposures(spark, d).filter("object % 10 = 3")
     reason = F.when(F.col("exposure") % 1000 == 999, "bad").when(F.col("snr") < 30, "low snr").when(~F.col("mjd").between(50000, 51500), "date").otherwise("kept")
-    placed = intervals.place_in_order(chosen.withColumn("day", F.floor("mjd")), "day", ["mjd", "exposure"])
+    placed = intervals.place_in_order(exposures(spark, d).withColumn("day", F.floor("mjd")), "day", ["mjd", "exposure"])
     return placed.select("exposure", reason.alias("verdict"), (F.col("place") % 4).alias("stripe"))
 
 

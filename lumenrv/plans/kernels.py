@@ -10,7 +10,8 @@ from lumenrv.functions.spectral import SPEED_OF_LIGHT
 from lumenrv.operators import robust, telluric, velocity
 from lumenrv.operators import spectra as A
 from lumenrv.plans.registry import query
-from lumenrv.plans.surrogates import line_list, measurements, spectra
+from lumenrv.plans.sequences import GAPPED, gapped
+from lumenrv.plans.surrogates import measurements, measurements_sql, spectra
 from lumenrv.streaming.epochs import nightly_means
 
 
@@ -48,12 +49,6 @@ def blaze_norm(spark, d):
     return A.blaze_normalised(rows, ["exposure"], "ord", "pixel", "wave", "blaze").select("exposure", "ord", "pixel", "blaze_norm")
 
 
-@query()
-def chromatic_slope(spark, d):
-    lines = line_list(spark, d).withColumn("exposure", F.col("l_orderkey") % 500)
-    return A.chromatic_slope(lines, ["exposure"], "wave", "dv", "error", reference=1600.0)
-
-
 @query()
 def chi2_probability(spark, d):
     chi = spectra(spark, d).groupBy("exposure").agg(F.sum(F.pow((F.col("flux") - 1) / 0.15, F.lit(2))).alias("chi2"), F.count(F.lit(1)).alias("n"))
@@ -67,13 +62,15 @@ def pearson_probability(spark, d):
     return r.withColumn("p", A.correlation_p(F.col("r"), F.col("n")))
 
 
-@query()
+@query(f"""WITH m AS (SELECT ord, exposure % 19 AS bin, pixel, CASE WHEN count(flux) = count(*) THEN avg(flux) END AS f FROM {GAPPED} GROUP BY ALL),
+p AS (SELECT ord, pixel, quantile_cont(f, 0.16) AS a, median(f) AS b, quantile_cont(f, 0.84) AS c, count(f) AS n, count(DISTINCT bin) AS bins FROM m GROUP BY ALL)
+SELECT ord, pixel, CASE WHEN n * 2 >= bins THEN round(b, 9) END AS flux, round((c - a) / 2, 9) AS rms FROM p""")
 def template_median(spark, d):
     """Template of each order: exposures in bins, means within bins, percentiles over bins; a pixel missing in one exposure is missing in its bin."""
-    rows = spectra(spark, d).withColumn("bin", F.col("exposure") % 19)
+    rows = gapped(spark, d).withColumn("bin", F.col("exposure") % 19)
     means = rows.groupBy("ord", "bin", "pixel").agg(F.when(F.count("flux") == F.count(F.lit(1)), F.avg("flux")).alias("f"))
     out = means.groupBy("ord", "pixel").agg(F.percentile("f", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("p"), F.count("f").alias("n"), F.count_distinct("bin").alias("bins"))
-    return out.select("ord", "pixel", F.when(F.col("n") * 2 >= F.col("bins"), F.get("p", F.lit(1))).alias("flux"), ((F.get("p", F.lit(2)) - F.get("p", F.lit(0))) / 2).alias("rms"))
+    return out.select("ord", "pixel", F.when(F.col("n") * 2 >= F.col("bins"), F.round(F.get("p", F.lit(1)), 9)).alias("flux"), F.round((F.get("p", F.lit(2)) - F.get("p", F.lit(0))) / 2, 9).alias("rms"))
 
 
 def synthetic_template(seed: int = 42, lines: int = 40, step: float = 500.0) -> velocity.Template:
@@ -130,7 +127,8 @@ def telluric_correction(spark, d):
     return telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"]).drop("flux_tc")
 
 
-@query()
+@query(f"""SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS night, round(sum(dv / pow(sdv, 2)) / sum(1 / pow(sdv, 2)), 9) AS mean, round(sqrt(1 / sum(1 / pow(sdv, 2))), 9) AS mean_err, count(*) AS n FROM {measurements_sql()} GROUP BY 1""")
 def stream_epoch_agg(spark, d):
     """Nightly weighted means; the same function takes a stream."""
-    return nightly_means(measurements(spark, d).withColumn("dv", F.nanvl("dv", F.lit(None).cast("double"))), "ts", "dv", "sdv")
+    out = nightly_means(measurements(spark, d).withColumn("dv", F.nanvl("dv", F.lit(None).cast("double"))), "ts", "dv", "sdv")
+    return out.select("night", F.round("mean", 9).alias("mean"), F.round("mean_err", 9).alias("mean_err"), "n")

@@ -12,11 +12,24 @@ from lumenrv.plans.surrogates import SPECTRA, spectra
 SMOOTH = tuple(x / 35 for x in (-3, 12, 17, 12, -3))
 OVER = "OVER (PARTITION BY exposure ORDER BY pixel)"
 
+#: Spectra of which every tenth lacks pixels 20 to 22 and the first or last one.
+GAPPED = f"(SELECT exposure, ord, pixel, wave, CASE WHEN exposure % 10 = 0 AND (pixel BETWEEN 20 AND 22 OR pixel = 0 OR (pixel = 63 AND exposure % 20 = 0)) THEN NULL ELSE flux END AS flux FROM {SPECTRA})"
 
-@query(f"""SELECT exposure, pixel, round(CASE WHEN lag(flux) {OVER} IS NULL THEN lead(flux) {OVER} - flux WHEN lead(flux) {OVER} IS NULL THEN flux - lag(flux) {OVER}
-  ELSE (lead(flux) {OVER} - lag(flux) {OVER}) / 2 END, 9) AS slope FROM {SPECTRA}""")
+
+def gapped(spark, d):
+    lost = (F.col("exposure") % 10 == 0) & (F.col("pixel").between(20, 22) | (F.col("pixel") == 0) | ((F.col("pixel") == 63) & (F.col("exposure") % 20 == 0)))
+    return spectra(spark, d).withColumn("flux", F.when(~lost, F.col("flux")))
+
+
+def slope_sql(column: str) -> str:
+    return f"""(CASE WHEN lag(1) {OVER} IS NULL THEN lead({column}) {OVER} - {column} WHEN lead(1) {OVER} IS NULL THEN {column} - lag({column}) {OVER}
+  ELSE (lead({column}) {OVER} - lag({column}) {OVER}) / 2 END)"""
+
+
+
+@query(f"""SELECT exposure, pixel, round({slope_sql('flux')}, 9) AS slope FROM {GAPPED}""")
 def gradient(spark, d):
-    return spectra(spark, d).select("exposure", "pixel", F.round(S.gradient(F.col("flux"), S.along(["exposure"], "pixel")), 9).alias("slope"))
+    return gapped(spark, d).select("exposure", "pixel", F.round(S.gradient(F.col("flux"), S.along(["exposure"], "pixel")), 9).alias("slope"))
 
 
 @query(f"""WITH s AS {SPECTRA}, n AS (SELECT unnest([-2, -1, 0, 1, 2]) AS k)
@@ -26,13 +39,13 @@ def boxcar5(spark, d):
     return box.select("exposure", "pixel", F.round("box", 9).alias("box"))
 
 
-@query(f"""WITH g AS (SELECT *, CASE WHEN lag(flux) {OVER} IS NULL THEN lead(flux) {OVER} - flux WHEN lead(flux) {OVER} IS NULL THEN flux - lag(flux) {OVER} ELSE (lead(flux) {OVER} - lag(flux) {OVER}) / 2 END AS slope FROM {SPECTRA}),
+@query(f"""WITH g AS (SELECT *, {slope_sql('flux')} AS slope FROM {GAPPED}),
 n AS (SELECT *, lead(slope) {OVER} AS s2, lead(wave) {OVER} AS w2, lag(flux) {OVER} AS f0, lead(flux) {OVER} AS f2 FROM g)
 SELECT exposure, pixel, CASE WHEN s2 > slope THEN 1 ELSE -1 END AS kind, round(wave - slope * (w2 - wave) / (s2 - slope), 6) AS crossing, round(coalesce(1 - flux / ((f0 + f2) / 2), 0), 6) AS depth
 FROM n WHERE sign(s2) <> sign(slope) AND s2 IS NOT NULL""")
 def line_finder(spark, d):
     """Lines of a spectrum: where the gradient changes sign."""
-    rows = spectra(spark, d).withColumn("slope", S.gradient(F.col("flux"), S.along(["exposure"], "pixel")))
+    rows = gapped(spark, d).withColumn("slope", S.gradient(F.col("flux"), S.along(["exposure"], "pixel")))
     found = S.zero_crossings(rows, ["exposure"], "pixel", "wave", "slope", "flux")
     return found.select("exposure", "pixel", "kind", F.round("crossing", 6).alias("crossing"), F.round("depth", 6).alias("depth"))
 
@@ -89,12 +102,12 @@ def topk_amp(spark, d):
     return rows.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 4").select("exposure", "pixel", F.round("amp", 9).alias("amp"), "place")
 
 
-@query(f"""WITH g AS (SELECT exposure, abs((lead(wave) {OVER} - wave) / wave) AS s FROM {SPECTRA}), m AS (SELECT exposure, median(s) * 299792.458 AS v FROM g GROUP BY exposure)
-SELECT exposure, round(v, 6) AS step, CASE WHEN floor(v * 2) = 0 THEN 250 ELSE 1000 * floor(v * 2) / 4 END AS rounded FROM m""")
+@query(f"""WITH g AS (SELECT exposure, {slope_sql('wave')} / wave AS s FROM {SPECTRA}), m AS (SELECT exposure, median(s) * 299792.458 AS v, median(1 / s) / 299792458.0 AS w FROM g GROUP BY exposure)
+SELECT exposure, round(v, 6) AS step, CASE WHEN floor(v * 2) = 0 THEN 250 ELSE 1000 * floor(v * 2) / 4 END AS rounded, CAST(floor(500000 * w) AS BIGINT) + CASE WHEN CAST(floor(500000 * w) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS scale FROM m""")
 def velocity_step(spark, d):
-    """Sampling of a spectrum in km/s and rounded to quarters of half a km/s, in m/s."""
+    """Sampling of a spectrum in km/s, rounded to quarters of half a km/s in m/s, and the odd number of pixels of 500 km/s."""
     wave = F.col("wave")
-    steps = spectra(spark, d).select("exposure", F.abs((F.lead(wave).over(S.along(["exposure"], "pixel")) - wave) / wave).alias("s"))
-    v = steps.groupBy("exposure").agg((F.percentile("s", F.lit(0.5)) * 299792.458).alias("v"))
-    half = F.floor(F.col("v") * 2)
-    return v.select("exposure", F.round("v", 6).alias("step"), F.when(half == 0, 250.0).otherwise(half * 1000 / 4.0).alias("rounded"))
+    steps = spectra(spark, d).select("exposure", (S.gradient(wave, S.along(["exposure"], "pixel")) / wave).alias("s"))
+    v = steps.groupBy("exposure").agg((F.percentile("s", F.lit(0.5)) * 299792.458).alias("v"), (F.percentile(F.lit(1.0) / F.col("s"), F.lit(0.5)) / 299792458.0).alias("w"))
+    half, pixels = F.floor(F.col("v") * 2), F.floor(F.col("w") * 500000)
+    return v.select("exposure", F.round("v", 6).alias("step"), F.when(half == 0, 250.0).otherwise(half * 1000 / 4.0).alias("rounded"), (pixels + F.when(pixels % 2 == 0, 1).otherwise(0)).alias("scale"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
 from lumenrv.functions import spectral
-from lumenrv.operators import robust
-from lumenrv.operators.intervals import range_join
+from lumenrv.operators import compiled, robust
+from lumenrv.operators import spectra as spectra_ops
 from lumenrv.plans.expressions import small
 from lumenrv.plans.registry import query
 from lumenrv.plans.surrogates import EXPOSURES, LINE_LIST, SPECTRA, exposures, line_list, measurements, measurements_sql, spectra
@@ -61,7 +62,8 @@ def robust_mean_at_the_cap(spark, d):
 
 @query(f"SELECT band, round((quantile_cont(dv, {HIGH!r}) - quantile_cont(dv, {LOW!r})) / 2, 6) AS sigma FROM {measurements_sql()} GROUP BY band")
 def robust_sigma(spark, d):
-    return measurements(spark, d).groupBy("band").agg(F.round(robust.robust_sigma(F.col("dv")), 6).alias("sigma"))
+    found = robust.exact_percentiles(measurements(spark, d), ["band"], "dv", (LOW, HIGH))
+    return found.select("band", F.round((F.get("p", F.lit(1)) - F.get("p", F.lit(0))) / 2, 6).alias("sigma"))
 
 
 @query(f"""SELECT epoch, count(dv) AS n_valid, round(coalesce(sum(dv), 0), 4) AS total, round(avg(dv), 6) AS mean, round(median(dv), 6) AS median, round(stddev_pop(dv), 6) AS std,
@@ -70,13 +72,15 @@ def nan_safe_stats(spark, d):
     stats = robust.nan_stats(F.col("dv"))
     exact = {"n_valid": None, "least": None, "most": None, "total": 4}
     cut = lambda k, v: v if k in exact and exact[k] is None else F.round(v, exact.get(k, 6))
-    return measurements(spark, d).groupBy("epoch").agg(*(cut(k, v).alias(k) for k, v in stats.items()))
+    m = measurements(spark, d)
+    middle = robust.exact_median(m, ["epoch"], "dv").select("epoch", F.round("median", 6).alias("median"))
+    return m.groupBy("epoch").agg(*(cut(k, v).alias(k) for k, v in stats.items() if k != "median")).join(middle, "epoch", "left")
 
 
 @query(f"""SELECT band, {', '.join(f"round(quantile_cont(dv, {p}), 6) AS p{str(p)[2:]}" for p in (0.05, 0.16, 0.5, 0.84, 0.95, 0.995))} FROM {measurements_sql()} GROUP BY band""")
 def percentile_band(spark, d):
     shares = (0.05, 0.16, 0.5, 0.84, 0.95, 0.995)
-    found = measurements(spark, d).groupBy("band").agg(robust.percentiles(F.col("dv"), shares).alias("p"))
+    found = robust.exact_percentiles(measurements(spark, d), ["band"], "dv", shares)
     return found.select("band", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p{str(p)[2:]}") for i, p in enumerate(shares)))
 
 
@@ -90,11 +94,9 @@ def ivar_mean_epoch(spark, d):
   round(avg(line), 6) AS line, round(CASE WHEN count(dv) = count(*) THEN avg(dv) END, 6) AS plain FROM {measurements_sql()} GROUP BY epoch""")
 def epoch_rollup_mixed(spark, d):
     """Nightly table: pairs of value and error by weighted mean, strings by their first, other numbers by a mean that missing values spoil."""
-    mean, err = robust.inverse_variance(F.col("dv"), F.col("sdv"))
-    v = spectral.finite(F.col("dv"))
-    plain = F.when(F.count(v) == F.count(F.lit(1)), F.avg(v))
-    return measurements(spark, d).groupBy("epoch").agg(
-        F.round(mean, 6).alias("dv"), F.round(err, 6).alias("sdv"), F.min_by("band", "event_id").alias("band"), F.round(F.avg("line"), 6).alias("line"), F.round(plain, 6).alias("plain"))
+    m = measurements(spark, d).select("epoch", "event_id", "dv", "sdv", "band", "line", F.col("dv").alias("plain"))
+    out = compiled.nightly_table(m, "epoch", "event_id")
+    return out.select("epoch", F.round("dv", 6).alias("dv"), F.round("sdv", 6).alias("sdv"), "band", F.round("line", 6).alias("line"), F.round("plain", 6).alias("plain"))
 
 
 @query(f"SELECT line, round(avg(CASE WHEN dv IS NOT NULL THEN 1 ELSE 0 END), 6) AS frac FROM {measurements_sql()} GROUP BY line HAVING avg(CASE WHEN dv IS NOT NULL THEN 1 ELSE 0 END) >= 0.9")
@@ -104,43 +106,44 @@ def frac_valid_lines(spark, d):
 
 
 def biased(spark, d):
-    """Residuals of each line against its night's robust mean, centred on their median by line, with the line's bias."""
-    m = measurements(spark, d)
-    night = robust.odd_ratio_mean(m, ["epoch"], "dv", "sdv", name="vrad", error_name="svrad").select("epoch", "vrad")
-    diff = m.select("event_id", "line", "epoch", spectral.finite(F.col("dv")).alias("dv"), "sdv").join(night, "epoch").withColumn("diff", F.col("dv") - F.col("vrad"))
-    middle = diff.groupBy("line").agg(F.percentile("diff", F.lit(0.5)).alias("middle"))
-    centred = materialize(diff.join(middle, "line").withColumn("rest", F.col("diff") - F.col("middle")).select("line", "rest", "sdv", "middle"))
-    bias = robust.odd_ratio_mean(centred, ["line"], "rest", "sdv", name="bias", error_name="bias_err")
-    middle = centred.groupBy("line").agg(F.max("middle").alias("middle"))
-    return m, materialize(bias.join(middle, "line").select("line", (F.col("bias") + F.col("middle")).alias("bias"), "bias_err"))
+    return compiled.line_biases(measurements(spark, d), "epoch", "line", "dv", "sdv")
+
+
+def bias_sql(source: str, keys: tuple[str, str] = ("epoch", "line")) -> str:
+    """Common table expressions that end in z (the zero point) and bias(line, bias, bias_err), for a source of (epoch, line, dv, sdv)."""
+    x, k = keys
+    return f"""{robust_sql(f"SELECT {x}, dv AS v, sdv AS e FROM {source} WHERE dv IS NOT NULL", [x], 'n')},
+share AS (SELECT {k}, avg(CASE WHEN dv IS NOT NULL THEN 1e0 ELSE 0e0 END) AS frac, count(dv) AS known FROM {source} GROUP BY {k}),
+diff AS (SELECT m.{k}, m.{x}, m.dv, m.sdv, m.dv - n.mean AS diff FROM {source} m JOIN n ON m.{x} = n.{x} JOIN share s ON s.{k} = m.{k} WHERE frac >= 0.1 AND known >= 3),
+middle AS (SELECT {k}, median(diff) AS middle FROM diff GROUP BY {k}),
+{robust_sql(f"SELECT diff.{k}, diff - middle AS v, sdv AS e FROM diff JOIN middle ON diff.{k} = middle.{k} WHERE diff IS NOT NULL", [k], "b")},
+{robust_sql("SELECT 0 AS one, mean AS v, mean_err AS e FROM b WHERE mean IS NOT NULL", ["one"], "z")},
+spread AS (SELECT (quantile_cont(b.mean - z.mean, {HIGH!r}) - quantile_cont(b.mean - z.mean, {LOW!r})) / 2 AS s FROM b, z),
+bias AS (SELECT share.{k}, CASE WHEN abs((b.mean - z.mean) / s) <= 100 THEN b.mean - z.mean END AS bias, b.mean_err AS bias_err FROM share LEFT JOIN b ON b.{k} = share.{k}, z, spread)"""
 
 
-BIAS = f"""{robust_sql(_points('epoch'), ['epoch'], 'n')},
-diff AS (SELECT event_id, line, m.epoch, m.dv, m.sdv, m.dv - n.mean AS diff FROM {measurements_sql()} m JOIN n ON m.epoch = n.epoch),
-middle AS (SELECT line, median(diff) AS middle FROM diff GROUP BY line),
-{robust_sql("SELECT diff.line, diff - middle AS v, sdv AS e FROM diff JOIN middle ON diff.line = middle.line WHERE diff IS NOT NULL", ["line"], "b")},
-bias AS (SELECT b.line, b.mean + middle AS bias, b.mean_err AS bias_err FROM b JOIN middle ON b.line = middle.line)"""
+BIAS = bias_sql(measurements_sql())
 
 
 @query(f"WITH {BIAS} SELECT line, round(bias, 4) AS bias, round(bias_err, 4) AS bias_err FROM bias")
 def line_bias(spark, d):
-    return rounded(biased(spark, d)[1], ["line"], 4)
+    """Bias of each line over all nights, with the zero point taken off; lines measured too seldom or far off have none."""
+    return rounded(biased(spark, d), ["line"], 4)
 
 
-@query(f"""WITH {BIAS}, {robust_sql("SELECT 0 AS one, bias AS v, bias_err AS e FROM bias WHERE bias IS NOT NULL", ["one"], "z")}
-SELECT round(mean, 4) AS mean, round(mean_err, 4) AS mean_err FROM z""")
+@query(f"WITH {BIAS} SELECT round(mean, 4) AS mean, round(mean_err, 4) AS mean_err FROM z")
 def bias_zero_point(spark, d):
-    """The robust mean of all biases."""
-    bias = biased(spark, d)[1].withColumn("one", F.lit(0))
-    return rounded(robust.odd_ratio_mean(bias, ["one"], "bias", "bias_err").drop("one"), [], 4)
+    """The robust mean of all biases before it is taken off."""
+    raw = compiled.line_biases(measurements(spark, d), "epoch", "line", "dv", "sdv", centred=False).withColumn("one", F.lit(0))
+    return rounded(robust.odd_ratio_mean(raw, ["one"], "bias", "bias_err").drop("one"), [], 4)
 
 
 @query(f"""WITH {BIAS}, {robust_sql("SELECT m.epoch, m.dv - bias AS v, m.sdv AS e FROM " + measurements_sql() + " m JOIN bias ON m.line = bias.line WHERE m.dv IS NOT NULL AND bias IS NOT NULL", ["epoch"], "x")}
 SELECT epoch, round(mean, 4) AS mean, round(mean_err, 4) AS mean_err FROM x""")
 def exposure_velocity(spark, d):
     """Velocities once more, with every line's bias taken off."""
-    m, bias = biased(spark, d)
-    clean = m.join(bias, "line").withColumn("clean", F.col("dv") - F.col("bias"))
+    m = measurements(spark, d)
+    clean = m.join(biased(spark, d), "line").withColumn("clean", F.col("dv") - F.col("bias"))
     return rounded(robust.odd_ratio_mean(clean, ["epoch"], "clean", "sdv"), ["epoch"], 4)
 
 
@@ -154,23 +157,29 @@ def force_sigma_per_line(spark, d):
 
 
 BINS = ", ".join(f"('{k}', {a!r}e0, {b!r}e0)" for k, a, b in spectral.uniform_bins(900.0, 1950.0, 25))
+REGIONS = {"": (float("-inf"), float("inf")), "_low": (0.0, 50.0), "_high": (50.0, 100.0)}
+#: Lines of seven exposures with a pixel; most lines below 950 nm and some others lack a velocity.
+FACTS = f"(SELECT l_linenumber AS exposure, wave, CAST(l_partkey % 100 AS DOUBLE) AS pixel, CASE WHEN (wave < 950 AND l_partkey % 20 <> 3) OR l_partkey % 11 = 0 THEN NULL ELSE dv END AS dv, error FROM {LINE_LIST.replace('SELECT l_orderkey', 'SELECT l_partkey, l_orderkey')})"
+
+
+def facts(spark, d):
+    rows = line_list(spark, d, "l_partkey")
+    lost = ((F.col("wave") < 950) & (F.col("l_partkey") % 20 != 3)) | (F.col("l_partkey") % 11 == 0)
+    return rows.select(F.col("l_linenumber").alias("exposure"), "wave", (F.col("l_partkey") % 100).cast("double").alias("pixel"), F.when(~lost, F.col("dv")).alias("dv"), "error")
 
 
-@query(f"""WITH b(band, low, high) AS (VALUES {BINS}),
-{robust_sql("SELECT b.band, l.dv AS v, l.error AS e FROM " + LINE_LIST + " l JOIN b ON l.wave > b.low AND l.wave < b.high", ["band"], "r")},
-t AS (SELECT count(*) AS n FROM {LINE_LIST}), c AS (SELECT band, count(*) AS n FROM r_p GROUP BY band)
-SELECT b.band, coalesce(c.n, 0) AS n, CASE WHEN coalesce(c.n, 0) >= t.n / 200.0 AND coalesce(c.n, 0) >= 5 THEN round(mean, 5) ELSE 0 END AS vrad,
-  CASE WHEN coalesce(c.n, 0) >= t.n / 200.0 AND coalesce(c.n, 0) >= 5 THEN round(mean_err, 6) ELSE 0 END AS svrad FROM b CROSS JOIN t LEFT JOIN r ON r.band = b.band LEFT JOIN c ON c.band = b.band""")
+@query(f"""WITH b(band, low, high) AS (VALUES {BINS}), r(region, first, last) AS (VALUES ('', -1e9, 1e9), ('_low', 0e0, 50e0), ('_high', 50e0, 100e0)),
+held AS (SELECT l.exposure, b.band, r.region, l.dv AS v, l.error AS e FROM {FACTS} l JOIN b ON l.wave > b.low AND l.wave < b.high JOIN r ON l.pixel > r.first AND l.pixel < r.last),
+{robust_sql("SELECT exposure, band, region, v, e FROM held WHERE v IS NOT NULL", ["exposure", "band", "region"], "o")},
+c AS (SELECT exposure, band, region, count(v) AS n, count(*) AS lines FROM held GROUP BY ALL), x AS (SELECT DISTINCT exposure FROM {FACTS})
+SELECT x.exposure, b.band || r.region AS band, CASE WHEN c.n >= c.lines / 10.0 AND c.lines >= 5 THEN round(mean, 5) ELSE 0 END AS vrad,
+  CASE WHEN c.n >= c.lines / 10.0 AND c.lines >= 5 THEN round(mean_err, 6) ELSE 0 END AS svrad
+FROM x CROSS JOIN b CROSS JOIN r LEFT JOIN o ON o.exposure = x.exposure AND o.band = b.band AND o.region = r.region LEFT JOIN c ON c.exposure = x.exposure AND c.band = b.band AND c.region = r.region""")
 def band_region_velocity(spark, d):
-    """Velocity of each wavelength bin by range join and robust mean; bins of too few lines stay 0."""
-    lines = line_list(spark, d)
+    """Velocity of each exposure in each wavelength bin and region of the detector; 0 where too few lines are measured."""
     bins = small(spark, {k: (a, b) for k, a, b in spectral.uniform_bins(900.0, 1950.0, 25)})
-    held = range_join(lines, bins, "wave", "low", "high", width=30.0).select("band", "dv", "error")
-    found = robust.odd_ratio_mean(held, ["band"], "dv", "error").join(held.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band")
-    total = lines.agg(F.count(F.lit(1)).alias("total"))  # one row
-    out = bins.select("band").join(found, "band", "left").join(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0)))
-    ok = (F.col("n") >= F.col("total") / 200) & (F.col("n") >= 5)
-    return out.select("band", "n", F.when(ok, F.round("mean", 5)).otherwise(0.0).alias("vrad"), F.when(ok, F.round("mean_err", 6)).otherwise(0.0).alias("svrad"))
+    found = compiled.band_velocities(facts(spark, d), "exposure", bins, REGIONS, "wave", "pixel", "dv", "error", width=30.0)
+    return found.select("exposure", "band", F.round("vrad", 5).alias("vrad"), F.round("svrad", 6).alias("svrad"))
 
 
 PIVOT = ("click", "purchase", "signup", "view", "logout")
@@ -236,3 +245,83 @@ def colour_curve(spark, d):
     both = stats.filter("F_v is not null and O_v is not null").select("object", (F.col("F_v") - F.col("O_v")).alias("c"), F.sqrt(F.col("F_s") * F.col("F_s") + F.col("O_s") * F.col("O_s")).alias("e"))
     middle = both.agg(F.percentile("c", F.lit(0.5)).alias("m"))  # one row
     return both.join(F.broadcast(middle)).select("object", F.round(F.col("c") - F.col("m"), 9).alias("colour"), F.round("e", 6).alias("colour_err"))
+
+
+def chromatic_sql(points: str, keys: Sequence[str], reference: float, name: str = "c", rounds: int = 10) -> str:
+    """Common table expressions that end in name(keys, level, ... crx_err), for points (keys, w, y, e, o); errors are never 0."""
+    k = ", ".join(keys)
+    same = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    own = ", ".join(f"p.{x}" for x in keys)
+    sums = lambda x, w: f"sum({w}) AS s, sum({w} * {x}) AS sx, sum({w} * y) AS sy, sum({w} * {x} * {x}) AS sxx, sum({w} * {x} * y) AS sxy, sum({w} * y * y) AS syy"
+    out = [f"{name}_r AS ({points})", f"{name}_m AS (SELECT {k}, median(y) AS ym, median(e) AS em FROM {name}_r GROUP BY {k})",
+           f"{name}_p AS (SELECT {', '.join(f'r.{x}' for x in keys)}, w - {reference} AS x, ln(w / {reference}) AS l, y - o AS y, e FROM {name}_r r JOIN {name}_m m ON {same('r', 'm')} WHERE abs(y - ym) < 10 * e AND e < 100 * em AND o IS NOT NULL)"]
+    for i in range(rounds):
+        if i == 0:
+            w, source, last, go = "1 / (e * e)", f"{name}_p p", "CAST('inf' AS DOUBLE)", "true"
+        else:
+            g = "exp(-0.5 * pow((y - f.level - f.slope * x) / e, 2))"
+            w, source, last, go = f"pow((1 + 1e-4) * {g} / (1e-4 + {g}) / e, 2)", f"{name}_p p JOIN {name}_{i - 1} f ON {same('p', 'f')}", "f.level", "f.moving"
+        out.append(f"{name}_s{i} AS (SELECT {own}, {last} AS last, count(*) AS n, {sums('x', w)}, {sums('l', w).replace(' AS s', ' AS ls')} FROM {source} WHERE {go} GROUP BY {own}{'' if i == 0 else ', f.level'})")
+        out.append(f"""{name}_f{i} AS (SELECT *, s*sxx - sx*sx AS det, ls*lsxx - lsx*lsx AS ldet FROM {name}_s{i}),
+{name}_g{i} AS (SELECT *, (s*sxy - sx*sy) / det AS slope, (sxx*sy - sx*sxy) / det AS level, (ls*lsxy - lsx*lsy) / ldet AS crx, (lsxx*lsy - lsx*lsxy) / ldet AS llevel FROM {name}_f{i}),
+{name}_h{i} AS (SELECT *, greatest(syy - slope*sxy - level*sy, 0) / (n - 2) AS scale, greatest(lsyy - crx*lsxy - llevel*lsy, 0) / (n - 2) AS lscale FROM {name}_g{i}),
+{name}_{i} AS (SELECT {k}, n, level, sqrt(scale * sxx / det) AS level_err, slope, sqrt(scale * s / det) AS slope_err, crx, sqrt(lscale * ls / ldet) AS crx_err, n >= 3 AND abs(level - last) >= 0.1 * sqrt(scale * sxx / det) AS moving FROM {name}_h{i})""")
+    settled = " UNION ALL ".join(f"SELECT * FROM {name}_{i}" + ("" if i == rounds - 1 else " WHERE NOT moving") for i in range(rounds))
+    out.append(f"{name} AS (SELECT {', '.join(f'm.{x}' for x in keys)}, level, level_err, slope * 1000 AS slope, slope_err * 1000 AS slope_err, crx, crx_err FROM {name}_m m LEFT JOIN (SELECT * FROM ({settled}) WHERE n >= 3) d ON {same('m', 'd')})")
+    return ",\n".join(out)
+
+
+SLOPES = f"SELECT l_orderkey % 500 AS exposure, wave AS w, dv AS y, error * 4 AS e, 0e0 AS o FROM {LINE_LIST}"
+
+
+@query(f"WITH {chromatic_sql(SLOPES, ['exposure'], 1600.0)} SELECT exposure, {', '.join(f'round({c}, 4) AS {c}' for c in ('level', 'level_err', 'slope', 'slope_err', 'crx', 'crx_err'))} FROM c")
+def chromatic_slope(spark, d):
+    """Velocity against wavelength, by a straight line that outliers lose their weight in."""
+    lines = line_list(spark, d).select((F.col("l_orderkey") % 500).alias("exposure"), "wave", "dv", (F.col("error") * 4).alias("error"))
+    return rounded(spectra_ops.chromatic_slope(lines, ["exposure"], "wave", "dv", "error", reference=1600.0), ["exposure"], 4)
+
+
+TABLE_BANDS = {"blue": (900.0, 1250.0), "red": (1250.0, 1950.0)}
+TABLE_REGIONS = {"": (float("-inf"), float("inf")), "_0_50": (0.0, 50.0)}
+TABLE_FACTS = f"""(SELECT epoch AS exposure, line, 900 + CAST(line * 7 % 1050 AS DOUBLE) AS wave_start, line % 60 AS n_pixels, CAST(event_id % 100 AS DOUBLE) AS pixel, dv, sdv,
+  CASE WHEN event_id % 13 <> 0 THEN dv * dv / 100 END AS d2v, sdv * 3 AS sd2v, CASE WHEN event_id % 13 <> 0 THEN dv / 300 END AS contrast, sdv / 300 AS sig_contrast FROM {measurements_sql(30.0)})"""
+
+
+def table_facts(spark, d):
+    m, known = measurements(spark, d, 30.0), F.col("event_id") % 13 != 0
+    v = spectral.finite(F.col("dv"))
+    return m.select(
+        F.col("epoch").alias("exposure"), "line", (F.col("line") * 7 % 1050 + 900.0).alias("wave_start"), (F.col("line") % 60).alias("n_pixels"), (F.col("event_id") % 100).cast("double").alias("pixel"), v.alias("dv"), "sdv",
+        F.when(known, v * v / 100).alias("d2v"), (F.col("sdv") * 3).alias("sd2v"), F.when(known, v / 300).alias("contrast"), (F.col("sdv") / 300).alias("sig_contrast"), F.lit(None).cast("double").alias("d3v"), F.lit(1.0).alias("sd3v"),
+    )
+
+
+def _table_sql() -> str:
+    of = lambda v, e, name: robust_sql(f"SELECT exposure, {v} AS v, {e} AS e FROM clean WHERE {v} IS NOT NULL", ["exposure"], name)
+    cells = ", ".join(f"('{b}{r}', {lo!r}e0, {hi!r}e0, {max(a, -1e9)!r}, {min(z, 1e9)!r})" for b, (lo, hi) in TABLE_BANDS.items() for r, (a, z) in TABLE_REGIONS.items())
+    names = [b + r for b in TABLE_BANDS for r in TABLE_REGIONS]
+    enough = "k.n * 10 >= k.lines AND k.lines >= 5"
+    wide = ", ".join(f"round(coalesce(max(CASE WHEN band = '{n}' AND {enough} THEN {src} END), 0), 3) AS {col}_{n}" for n in names for col, src in (("vrad", "o.mean"), ("svrad", "o.mean_err")))
+    width, full = 8 * math.log(2), spectral.FWHM
+    return f"""WITH every AS {TABLE_FACTS}, keep AS (SELECT DISTINCT line FROM every WHERE exposure = (SELECT min(exposure) FROM every) AND wave_start > 900 AND wave_start < 1900 AND n_pixels < 50),
+facts AS (SELECT * FROM every WHERE line IN (SELECT line FROM keep)), {bias_sql("facts", ("exposure", "line"))},
+clean AS (SELECT facts.*, bias, dv - bias AS rv FROM facts JOIN bias ON bias.line = facts.line),
+{of("rv", "sdv", "vr")}, {of("d2v", "sd2v", "d2")}, {of("contrast", "sig_contrast", "co")},
+{chromatic_sql("SELECT exposure, wave_start AS w, dv AS y, sdv AS e, bias AS o FROM clean WHERE dv IS NOT NULL", ["exposure"], 1600.0, "ch")},
+cells(band, low, high, first, final) AS (VALUES {cells}), held AS (SELECT exposure, band, rv AS v, sdv AS e FROM clean JOIN cells ON wave_start > low AND wave_start < high AND pixel > first AND pixel < final),
+{robust_sql("SELECT exposure, band, v, e FROM held WHERE v IS NOT NULL", ["exposure", "band"], "o")}, k AS (SELECT exposure, band, count(v) AS n, count(*) AS lines FROM held GROUP BY ALL),
+bands AS (SELECT k.exposure, {wide} FROM k LEFT JOIN o USING (exposure, band) GROUP BY k.exposure)
+SELECT x.exposure, round(vr.mean, 3) AS vrad, round(vr.mean_err, 3) AS svrad, round(co.mean, 6) AS contrast, round(d2.mean, 3) AS d2v, round(d2.mean_err, 3) AS sd2v, round(d2.mean * {width!r}e0, 2) AS "dW",
+  round(2.5e3 * {full!r}e0 + d2.mean * {width!r}e0 / (2.5e3 * {full!r}e0), 3) AS fwhm, round(level, 3) AS vrad_achromatic, round(level_err, 3) AS svrad_achromatic, round(slope, 2) AS vrad_chromatic_slope, bands.* EXCLUDE (exposure)
+FROM (SELECT DISTINCT exposure FROM every) x LEFT JOIN vr USING (exposure) LEFT JOIN d2 USING (exposure) LEFT JOIN co USING (exposure) LEFT JOIN ch USING (exposure) LEFT JOIN bands USING (exposure)"""
+
+
+@query(_table_sql())
+def compiled_table(spark, d):
+    """All nights' velocities, widths, contrast, chromatic terms and band velocities as one table."""
+    facts = materialize(table_facts(spark, d))
+    exposures_ = facts.select("exposure").distinct().withColumn("ew", F.lit(2500.0))
+    table = compiled.velocity_table(facts, exposures_, small(spark, TABLE_BANDS), first="exposure", window=(900.0, 1900.0), most_pixels=50, reference=1600.0, regions=TABLE_REGIONS, width=300.0)
+    digits = {"contrast": 6, "dW": 2, "vrad_chromatic_slope": 2}
+    bands = [f"{c}_{b}{r}" for b in TABLE_BANDS for r in TABLE_REGIONS for c in ("vrad", "svrad")]
+    return table.select("exposure", *(F.round(c, digits.get(c, 3)).alias(c) for c in ("vrad", "svrad", "contrast", "d2v", "sd2v", "dW", "fwhm", "vrad_achromatic", "svrad_achromatic", "vrad_chromatic_slope", *bands)))

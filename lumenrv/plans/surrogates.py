@@ -48,10 +48,10 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPOSURES = """(SELECT o_orderkey AS exposure, o_custkey AS object, epoch_us(o_orderdate) / 86400e6 + 40587 AS mjd, o_orderstatus AS kind, o_custkey % 50 AS wavefile, o_totalprice / 1000 AS snr FROM orders)"""
 
 
-def line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_list(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """row of lines: order key, line number, wave 909..1950, weight, error."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100 + 900).alias("wave"), F.col("l_discount").cast("double").alias("weight"), (F.col("l_tax") + 1).cast("double").alias("error"), F.col("l_quantity").cast("double").alias("dv"))
+    return li.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100 + 900).alias("wave"), F.col("l_discount").cast("double").alias("weight"), (F.col("l_tax") + 1).cast("double").alias("error"), F.col("l_quantity").cast("double").alias("dv"), *more)
 
 
 LINE_LIST = "(SELECT l_orderkey, l_linenumber, l_extendedprice / 100 + 900 AS wave, CAST(l_discount AS DOUBLE) AS weight, CAST(l_tax + 1 AS DOUBLE) AS error, CAST(l_quantity AS DOUBLE) AS dv FROM lineitem)"
