@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,17 @@ def fitted_settings(vectors: int, cosine: float, miss: float = 1e-6, unrelated:
     return {"width": width, "projections": projections, "tables": max(1, math.ceil(math.log(miss) / math.log1p(-(near**projections))))}
 
 
+@cache
+def _directions(dim: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random directions, and offsets between 0 and 1."""
+    rng = np.random.default_rng([seed, dim])
+    return rng.standard_normal((dim, n)), rng.uniform(0, 1, n)
+
+
 def bucket_keys(x: np.ndarray, label: np.ndarray, *, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
     """One 64-bit bucket number for each unit vector (row) and table; labels are numbers."""
-    rng = np.random.default_rng([seed, x.shape[1]])
-    directions = rng.standard_normal((x.shape[1], tables * projections))
-    offsets = rng.uniform(0, width, tables * projections)
-    cells = np.floor((x @ directions + offsets) / width).astype(np.int64).reshape(len(x), tables, projections)
+    directions, offsets = _directions(x.shape[1], tables * projections, seed)
+    cells = np.floor(x @ directions / width + offsets).astype(np.int64).reshape(len(x), tables, projections)
     key = label.astype(np.int64).view(np.uint64)[:, None] ^ (np.arange(tables, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(x.shape[1]))
     for k in range(projections):
         key = (key ^ cells[:, :, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +101,9 @@ def _compared(cells: DataFrame, cosine: float, settings: dict) -> DataFrame:
             change = np.ones(len(node), bool)
             change[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             starts = np.flatnonzero(change)
-            for s, e in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist()):
+            ends = np.append(starts[1:], len(node))
+            look = _worth(vectors, sizes, starts, ends, cosine)
+            for s, e in zip(starts[look].tolist(), ends[look].tolist()):
                 # numbers of buckets may be equal by chance: labels and lengths are compared as well
                 kinds = set(zip(label[s:e].tolist(), sizes[s:e].tolist()))
                 for kind in kinds:
@@ -106,6 +114,25 @@ def _compared(cells: DataFrame, cosine: float, settings: dict) -> DataFrame:
     return cells.mapInArrow(run, "node long, links long, peer long")
 
 
+def _worth(vectors: pa.ListArray, sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cosine: float, most: int = 16) -> np.ndarray:
+    """Which cells need a closer look: small ones of equal lengths are compared many at a time, most of them hold no link."""
+    look = ends - starts > 1
+    first = np.cumsum(sizes) - sizes
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    even = np.minimum.reduceat(sizes, starts) == np.maximum.reduceat(sizes, starts)
+    for m in range(2, most + 1):
+        for dim in np.unique(sizes[starts[(ends - starts == m) & even]]).tolist():
+            mine = np.flatnonzero((ends - starts == m) & even & (sizes[starts] == dim))
+            step = max(1, 2_000_000 // (m * dim))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                rows = starts[some][:, None] + np.arange(m)
+                x = _unit(flat[first[rows][:, :, None] + np.arange(dim)].reshape(-1, dim)).reshape(-1, m, dim)
+                near = np.matmul(x, x.transpose(0, 2, 1)) >= cosine - 1e-9
+                look[some] = (near.sum(axis=(1, 2)) > m) | (m != near[:, np.arange(m), np.arange(m)].sum(axis=1))
+    return look
+
+
 def _cell(v: np.ndarray, mark: np.ndarray, node: np.ndarray, n: np.ndarray, block: np.ndarray, key: int, i: int, j: int, cosine: float, settings: dict) -> tuple | None:
     """The linked members of a cell, how many they link with for the first time, and the smallest row of their sets."""
     x = _unit(v)

@@ -1,12 +1,14 @@
 """Secret scans in DataFrame functions: fixed patterns, and a battery of randomness tests over long unbroken tokens.
 
 A token's encoding is inferred (hex, base32 or base64) and its symbols' places in that alphabet are put to three tests of
-the hypothesis that they are drawn evenly and independently: chi-squared uniformity over the alphabet, the number of runs
-above and below the alphabet's middle, and serial correlation of neighbours. Fisher's sum makes one p-value of the three.
-Ordinary words and paths fail the tests, keys pass. Which p-values count as failures is settled by the Benjamini-Hochberg
-rule over all tokens of a length class; the share of keys that may be lost among the failures shrinks with the length, as
-longer tokens are told apart better. Tokens that do not fail are reported as secrets. P-values are rounded up to tenths of
-a power of ten, so that the rule needs only a count for each class and tenth, however many tokens there are.
+evenness and independence: chi-squared uniformity over the alphabet, the number of runs above and below the alphabet's
+middle, and serial correlation of neighbours. Fisher's sum makes one p-value of the three, kept in tenths of a power of ten.
+
+What is reported is a discovery against ordinary text: decoys are made of the corpus's own words (some neighbouring ones of
+each document joined), put to the same tests, and tell how often ordinary text of a length class looks as random as a token
+does. The Benjamini-Hochberg rule over the tokens of a length class, with these shares as p-values, bounds the share of
+false reports by the class's level. Tokens that fail the tests themselves beyond a level are never reported. The rule needs
+only counts for each class and tenth, however many tokens there are; without decoys nothing random is reported.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Length classes (least length) and the share of keys among the failures that is put up with.
-CLASSES = ((20, 0.10), (32, 0.05), (64, 0.01))
+#: Length classes (least length) and the share of false reports that is put up with; tenths at which tests fail.
+CLASSES, FAILS = ((20, 0.10), (24, 0.10), (32, 0.05), (48, 0.02), (64, 0.01)), 30
 #: The same for redaction, where a lost key stays readable.
-STRICT = ((20, 1e-3), (32, 1e-4), (64, 1e-5))
+STRICT, STRICT_FAILS = ((20, 0.50), (24, 0.50), (32, 0.20), (48, 0.10), (64, 0.05)), 40
+#: Words that are joined to a decoy, one for each number and document.
+DECOY_WORDS = (4, 5, 7, 11, 16)
 LAST_BIN, WHOLE = 400, -1
 CHUNK = 256
 
@@ -159,42 +163,55 @@ def token_tests(text: Column, base: Column, partial: bool = False) -> Column:
     return F.when(F.size(base) > 0, F.concat(tested, more)).otherwise(tested)
 
 
-def failing_bins(tested: DataFrame, classes: tuple = CLASSES) -> dict[int, int]:
-    """For each length class the least tenth of -log10(p) that fails; three numbers reach the driver."""
-    counts = tested.select(F.explode("__tokens").alias("t")).filter(F.col("t.bin") > WHOLE).groupBy("t.class", "t.bin").agg(F.count("*").alias("n"))
-    by_p = Window.partitionBy("class").orderBy(F.desc("bin"))  # a class has 401 rows at most
-    share = F.when(F.col("class") == 0, classes[0][1]).when(F.col("class") == 1, classes[1][1]).otherwise(classes[2][1])
-    ranked = counts.withColumns({"rank": F.sum("n").over(by_p), "all": F.sum("n").over(Window.partitionBy("class"))})
-    least = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 10) <= share * F.col("rank") / F.col("all")).groupBy("class").agg(F.min("bin").alias("bin"))
-    return {r["class"]: r["bin"] for r in least.collect()}
+def decoy_pattern(words: int) -> str:
+    return f"(?:[A-Za-z]+[ ,.;]+){{{words - 1}}}[A-Za-z]+"
 
 
-def with_secrets(df: DataFrame, *, text_col: str = "text", keep_text: bool = True, classes: tuple = CLASSES, partial: bool = False) -> DataFrame:
+def decoys(text: Column) -> Column:
+    """array<struct<class, bin>>: the tests of ordinary words, joined; the first such words of each number in DECOY_WORDS."""
+    joined = F.array(*(F.translate(F.regexp_extract(text, decoy_pattern(n), 0), " ,.;", "") for n in DECOY_WORDS))
+    return F.transform(F.filter(joined, lambda t: F.length(t) >= CLASSES[0][0]), lambda t: let(log_p(t), lambda p: F.struct(_class(p["n"]).alias("class"), p["bin"].alias("bin"))))
+
+
+def last_bins(tested: DataFrame, classes: tuple = CLASSES, fails: int = FAILS) -> dict[int, int]:
+    """For each length class the greatest tenth of -log10(p) that is reported; a number for each reaches the driver."""
+    of = lambda c, name: tested.select(F.explode(c).alias("t")).filter(F.col("t.bin") > WHOLE).groupBy("t.class", "t.bin").agg(F.count("*").alias(name))
+    counts = of("__tokens", "tokens").join(of("__decoys", "decoys"), ["class", "bin"], "full").fillna(0, ["tokens", "decoys"])
+    every = Window.partitionBy("class")  # a class has 401 rows at most
+    upto = every.orderBy("bin")
+    level = F.element_at(F.array(*(F.lit(q) for _, q in classes)), F.col("class") + 1)
+    ranked = counts.withColumns({"rank": F.sum("tokens").over(upto), "all": F.sum("tokens").over(every), "d": F.sum("decoys").over(upto), "m": F.sum("decoys").over(every)})
+    found = ranked.filter((F.col("tokens") > 0) & (F.col("m") > 0) & (((F.col("d") + 1) / (F.col("m") + 1)) * F.col("all") <= level * F.col("rank")))
+    return {r["class"]: min(r["bin"], fails - 1) for r in found.groupBy("class").agg(F.max("bin").alias("bin")).collect()}
+
+
+def with_secrets(df: DataFrame, *, text_col: str = "text", keep_text: bool = True, classes: tuple = CLASSES, fails: int = FAILS, partial: bool = False) -> DataFrame:
     """df with base_spans (fixed patterns) and spans (all), array<struct<start, rank, end>> by start, then kind (rank in KINDS).
 
     A null text is the empty one and has no spans; rows stay as many as they are, repeated or null ids included. Columns
     of these two names are replaced. keep_text=False leaves the text out of what is written between the two passes.
-    classes are the levels of the tests; partial has tokens reported too that a fixed pattern covers only in part.
+    classes are the levels of false reports, fails the tenth at which the tests fail; partial has tokens reported too that
+    a fixed pattern covers only in part.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     tested = df.withColumn("base_spans", base_spans(text))
-    tested = tested.withColumn("__tokens", token_tests(text, F.col("base_spans"), partial))
+    tested = tested.withColumns({"__tokens": token_tests(text, F.col("base_spans"), partial), "__decoys": decoys(text)})
     tested = materialize(tested if keep_text else tested.drop(text_col))
-    bins = failing_bins(tested, classes)
+    last = last_bins(tested, classes, fails)
 
     def secret(t: Column) -> Column:
-        out = F.lit(True)
-        for c, b in bins.items():
-            out = out & ~((t["class"] == c) & (t["bin"] >= b))
+        out = t["bin"] == WHOLE
+        for c, b in last.items():
+            out = out | ((t["class"] == c) & (t["bin"] <= b))
         return out
 
     random = F.transform(F.filter("__tokens", secret), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
-    return tested.withColumn("spans", F.array_sort(F.concat("base_spans", random))).drop("__tokens")
+    return tested.withColumn("spans", F.array_sort(F.concat("base_spans", random))).drop("__tokens", "__decoys")
 
 
 def redact_secrets(df: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """df with every secret of the texts replaced by the mark, at the STRICT levels and whole tokens; null texts stay null."""
-    found = with_secrets(df.drop("spans", "base_spans"), text_col=text_col, classes=STRICT, partial=True)
+    """df with every secret of the texts replaced by the mark, at the STRICT levels, whole tokens; null texts stay null."""
+    found = with_secrets(df.drop("spans", "base_spans"), text_col=text_col, classes=STRICT, fails=STRICT_FAILS, partial=True)
     text = F.when(F.size("spans") > 0, redact(F.col(text_col), F.col("spans"), mark)).otherwise(F.col(text_col))
     return found.withColumn(text_col, text).drop("spans", "base_spans")
 
@@ -242,22 +259,24 @@ OP8_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 base AS MATERIALIZED ({" UNION ALL ".join(_places_sql(k, i, p, g, LEAST[k]) for i, (k, p, g) in enumerate((("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", "[0-9a-f]{32,}", 0))))}),
 tokens AS ({_places_sql("random", 3, TOKEN, 0, 20)}),
-free AS (SELECT row_number() OVER () AS id, t.*, regexp_replace(found, '=+$', '') AS bare FROM tokens t WHERE NOT regexp_full_match(found, '[0-9]+=*')
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.start < t.start + t.n AND t.start < b.start + b.n)),
-kinds AS (SELECT id, r, start, n, bare, CASE WHEN regexp_full_match(bare, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(bare, '[A-Z2-7]+') THEN 'base32' ELSE 'base64' END AS kind FROM free),
-coded AS (SELECT id, r, start, n, {_ALPHABET_SQL} AS a, CASE WHEN kind = 'hex' THEN lower(bare) ELSE translate(bare, '-_', '+/') END AS t FROM kinds),
+decoys AS ({" UNION ALL ".join(f"SELECT r, translate(regexp_extract(text, '{decoy_pattern(n)}', 0), ' ,.;', '') AS bare FROM d" for n in DECOY_WORDS)}),
+free AS (SELECT t.r, t.start, t.n, regexp_replace(found, '=+$', '') AS bare, false AS decoy FROM tokens t WHERE NOT regexp_full_match(found, '[0-9]+=*')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.start < t.start + t.n AND t.start < b.start + b.n)
+  UNION ALL SELECT r, 0, 0, bare, true FROM decoys WHERE length(bare) >= {CLASSES[0][0]}),
+kinds AS (SELECT decoy, r, start, n, bare, CASE WHEN regexp_full_match(bare, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(bare, '[A-Z2-7]+') THEN 'base32' ELSE 'base64' END AS kind FROM free),
+coded AS (SELECT decoy, r, start, n, {_ALPHABET_SQL} AS a, CASE WHEN kind = 'hex' THEN lower(bare) ELSE translate(bare, '-_', '+/') END AS t FROM kinds),
 counted AS (SELECT *, CAST(length(a) AS DOUBLE) AS k, CAST(length(t) AS DOUBLE) AS l, list_sum(list_transform(string_split(a, ''), lambda c: pow(length(t) - length(replace(t, c, '')), 2))) AS squares,
   list_transform(string_split(t, ''), lambda c: strpos(a, c) - 1 - (length(a) - 1) / 2e0) AS u FROM coded),
 walked AS (SELECT *, coalesce(list_sum(list_transform(range(2, len(u) + 1), lambda i: CASE WHEN (u[i] >= 0) <> (u[i - 1] >= 0) THEN 1e0 ELSE 0e0 END)), 0) AS changes,
   coalesce(list_sum(list_transform(range(2, len(u) + 1), lambda i: u[i] * u[i - 1])), 0) AS cross_sum, squares * k / l - l AS chi, 2 / (9 * (k - 1)) AS cube FROM counted),
 tested AS (SELECT *, (pow(greatest(chi, 1e-9) / (k - 1), 1 / 3e0) - (1 - cube)) / sqrt(cube) AS z, abs((changes - (l - 1) / 2) / (sqrt(l - 1) / 2)) AS zr, abs(cross_sum / ((k * k - 1) / 12) / sqrt(l - 1)) AS zs FROM walked),
 summed AS (SELECT *, -(ln(CASE WHEN z >= 0 THEN {_normal_sql("z")} ELSE 1 - {_normal_sql("(-z)")} END) + ln(least(1, 2 * {_normal_sql("zr")})) + ln(least(1, 2 * {_normal_sql("zs")}))) AS x FROM tested),
-binned AS MATERIALIZED (SELECT r, start, n, CASE WHEN l >= 64 THEN 2 WHEN l >= 32 THEN 1 ELSE 0 END AS class, CAST(least({LAST_BIN}, floor(log10(greatest(exp(-x) * (1 + x + x * x / 2), 1e-40)) * -10)) AS INTEGER) AS bin FROM summed),
-counts AS (SELECT class, bin, count(*) AS n FROM binned GROUP BY ALL),
-fails AS (SELECT class, min(bin) AS bin FROM (SELECT class, bin, sum(n) OVER (PARTITION BY class ORDER BY bin DESC) AS rank, sum(n) OVER (PARTITION BY class) AS every FROM counts)
-  WHERE pow(10, -bin / 10e0) <= CASE class WHEN 0 THEN 0.1e0 WHEN 1 THEN 0.05e0 ELSE 0.01e0 END * rank / every GROUP BY class),
+binned AS MATERIALIZED (SELECT decoy, r, start, n, CASE {" ".join(f"WHEN l >= {n} THEN {i}" for i, (n, _) in reversed(list(enumerate(CLASSES))))} END AS class, CAST(least({LAST_BIN}, floor(log10(greatest(exp(-x) * (1 + x + x * x / 2), 1e-40)) * -10)) AS INTEGER) AS bin FROM summed),
+counts AS (SELECT class, bin, count(*) FILTER (NOT decoy) AS t, count(*) FILTER (decoy) AS c FROM binned GROUP BY ALL),
+last AS (SELECT class, least(max(bin), {FAILS - 1}) AS bin FROM (SELECT class, bin, t, sum(t) OVER w AS rank, sum(t) OVER (PARTITION BY class) AS every, sum(c) OVER w AS k, sum(c) OVER (PARTITION BY class) AS m FROM counts WINDOW w AS (PARTITION BY class ORDER BY bin))
+  WHERE t > 0 AND m > 0 AND (k + 1) / (m + 1) * every <= CASE class {" ".join(f"WHEN {i} THEN {q}e0" for i, (_, q) in enumerate(CLASSES))} END * rank GROUP BY class),
 spans AS (SELECT r, kind, rank, start, start + n AS stop FROM base UNION ALL
-  SELECT r, 'random', 3, start, start + n FROM binned b LEFT JOIN fails f ON b.class = f.class WHERE f.bin IS NULL OR b.bin < f.bin),
+  SELECT r, 'random', 3, start, start + n FROM binned b JOIN last f ON b.class = f.class AND b.bin <= f.bin WHERE NOT decoy),
 texts AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN texts USING (r)
