@@ -64,7 +64,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
     """
     frames = materialize(encode_frames(texts(df, id_col, text_col), tokenizer, end_id), "none")
     total = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
-    n_files = max(1, -(-total // file_bytes), min(frames.rdd.getNumPartitions(), -(-total // (1 << 20))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_files = max(1, -(-total // file_bytes), min(parts, -(-total // (1 << 20))))  # files of a megabyte at least, so that small tables are written by several tasks
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

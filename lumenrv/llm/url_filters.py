@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The rules of the query.
 BLOCK = ("net/", "example.com/de/")
 ALLOW = ("example.net/en/", "org/fr/")
@@ -47,6 +48,7 @@ class RuleTrie:
             node = node.setdefault("paths", {})
             for segment in whole:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
+            node["longest"] = max(node.get("longest", 0), len(open_end))
             held = node.setdefault("ends", {})
             if held.get(open_end, ("", "allow"))[1] == "allow":
                 held[open_end] = (rule, verdict)
@@ -68,7 +70,7 @@ class RuleTrie:
                 break
             ends = node.get("ends")
             if ends:
-                for n in range(len(segment), -1, -1):
+                for n in range(min(len(segment), node["longest"]), -1, -1):
                     if found := ends.get(segment[:n]):
                         best = found
                         break
@@ -99,14 +101,22 @@ def filter_urls(df: DataFrame, rules: DataFrame, *, url_col: str = "url", defaul
 
 
 def _joined(based: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for rules beyond any broadcast: distinct addresses meet rules by host suffix and path prefix."""
+    """The same for rules beyond any broadcast: distinct addresses meet rules by host suffix and path prefix.
+
+    A suffix has at most as many labels as the longest rule host, and only such lengths of the path are looked up as rules
+    of that host have.
+    """
     split = rules.select(F.col("rule").alias("__rule"), F.col("verdict").alias("__verdict"), F.substring_index("rule", "/", 1).alias("__suffix"), F.expr("substr(rule, length(substring_index(rule, '/', 1)) + 1)").alias("__start"))
+    split = materialize(split.withColumn("__n", F.length("__start")))
+    most = split.agg(F.max(F.size(F.split("__suffix", r"\.", -1)))).first()[0] or 1
+    lengths = split.groupBy("__suffix").agg(F.collect_set("__n").alias("__lengths"))
     keys = based.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
-    suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(labels)), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".")))
-    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))
-    met = keys.withColumn("__suffix", F.explode(suffixes)).withColumn("__start", F.explode(starts)).join(split, ["__suffix", "__start"])
-    rank = F.struct(F.when(F.col("__suffix") == "", 0).otherwise(F.size(F.split("__suffix", r"\.", -1))), F.length("__start"))
+    suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.least(F.size(labels), F.lit(most))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".")))
+    met = keys.withColumn("__suffix", F.explode(suffixes)).join(lengths, "__suffix")
+    met = met.withColumn("__n", F.explode(F.filter("__lengths", lambda n: n <= F.length("path")))).withColumn("__start", F.substring(F.col("path"), F.lit(1), F.col("__n"))).drop("__lengths")
+    met = met.join(split.drop("__n"), ["__suffix", "__start"])
+    rank = F.struct(F.when(F.col("__suffix") == "", 0).otherwise(F.size(F.split("__suffix", r"\.", -1))), "__n")
     best = met.groupBy("host", "path").agg(F.max_by(F.struct("__rule", "__verdict"), rank).alias("__best"))
     out = based.join(best, ["host", "path"], "left").withColumns({"rule": F.col("__best.__rule"), "verdict": F.coalesce("__best.__verdict", F.lit(default))}).drop("__best")
     first = [c for c in based.columns if c not in ("rule", "verdict")]

@@ -1,7 +1,7 @@
 """Words of an Arrow batch: each distinct word is worked on once, the rest is array arithmetic.
 
-A word is looked up by a hash and then compared with the word kept under it, character by character, so that words of
-equal hashes (such can be made) only cost time.
+A word of eight characters below U+0100 at most is looked up by those characters themselves. Any other is looked up by a hash
+and then compared with the word kept under it, so that words of equal hashes (such can be made) only cost time.
 """
 
 from __future__ import annotations
@@ -92,23 +92,27 @@ class WordCache:
         near[order] = np.searchsorted(self.keys, found[order])  # in order, which spares the processor's cache
         return near
 
-    def _other(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: np.ndarray, many: int = 1 << 14) -> np.ndarray:
-        """The slices that are not the word at their place near, though of its hash."""
-        wrong = []
-        for at in range(0, len(starts), many):
-            s, n, place = starts[at : at + many], (ends - starts)[at : at + many], near[at : at + many]
-            same = self.length[place] == n
-            s, n, place = s[same], n[same], place[same]
-            differs = points[spread(s, n)] != self.points[spread(self.begin[place], n)]
-            wrong.append(at + np.flatnonzero(~same))
-            if differs.any():
-                of = np.searchsorted(np.cumsum(n), np.flatnonzero(differs), "right")
-                wrong.append(at + np.flatnonzero(same)[np.unique(of)])
-        return np.unique(np.concatenate(wrong)) if wrong else np.zeros(0, np.int64)
+    def _other(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, near: np.ndarray, short: np.ndarray, many: int = 1 << 14) -> np.ndarray:
+        """The slices that are not the word at their place near, though of its key (short: the key is the word); two characters are compared at a time."""
+        mine, kept = _pairs(points), _pairs(self.points[: self.written])
+        bad = self.length[near] != ends - starts
+        ask = np.flatnonzero(~short & ~bad)
+        for at in range(0, len(ask), many):
+            live = ask[at : at + many]
+            s, n, b = starts[live], (ends - starts)[live], self.begin[near[live]]
+            while len(live):
+                differ = (mine[s] ^ kept[b]) & np.where(n > 1, _BOTH, _ONE)
+                bad[live[differ != 0]] = True
+                more = np.flatnonzero((n > 2) & (differ == 0))
+                live, s, b, n = live[more], s[more] + 2, b[more] + 2, n[more] - 2
+        return np.flatnonzero(bad)
 
     def places(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each slice the number of its word among the distinct ones; the distinct words' places and sizes in items."""
-        codes, found = pd.factorize(self.hasher.slices(points, starts, ends))
+        keys = self.hasher.slices(points, starts, ends)
+        short, packed = _short(points, starts, ends)
+        keys[short] = packed[short]
+        codes, found = pd.factorize(keys)
         if len(self.keys) > self.cache_words or self.filled > self.most or self.written > self.most_points:
             self._shrink()
         self.turn += 1
@@ -133,7 +137,7 @@ class WordCache:
         self.used[near] = self.turn
         self.fresh = new[codes]  # the slices whose words were learned just now
         at, size = self.at[near], self.size[near]
-        other = self._other(points, starts, ends, near[codes])
+        other = self._other(points, starts, ends, near[codes], short)
         if len(other):  # words of another's hash are learned for this call alone
             alone: dict[str, int] = {}
             codes = codes.copy()
@@ -151,6 +155,31 @@ class WordCache:
         return self.items[spread(at[codes], lens)], lens
 
 
+_ONE, _BOTH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _short(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which slices are eight characters below U+0100 at most, and these characters as one number."""
+    n = ends - starts
+    wide = points > 0xFF
+    short = n <= 8
+    if wide.any():
+        before = np.append(0, np.cumsum(wide))
+        short &= before[ends] == before[starts]
+    letters = np.append(points.astype(np.uint8), np.zeros(8, np.uint8))
+    eight = np.ndarray(len(points) + 1, "<u8", letters, strides=(1,))
+    return short, eight[starts] & _MASKS[np.minimum(n, 8)]
+
+
+def _pairs(points: np.ndarray) -> np.ndarray:
+    """Each character with the next one as one number; behind the last one is nothing."""
+    padded = np.append(points.astype("<u4", copy=False), np.zeros(1, "<u4"))
+    return np.ndarray(len(points), "<u8", padded, strides=(4,))
+
+
 def _grown(held: np.ndarray, filled: int, more: np.ndarray) -> tuple[np.ndarray, int]:
     """held with more written from filled on, in an array that at least doubles when it is full; and what is filled then."""
     if filled + len(more) > len(held):

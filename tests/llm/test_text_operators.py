@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import struct
+import unicodedata
 import zlib
 
 import duckdb
@@ -82,6 +84,28 @@ def test_token_files_come_back(spark, tmp_path):
     assert empty.count() == 0 and T.read_token_files(empty).count() == 0
 
 
+def test_repeated_and_null_ids_in_token_files(spark, tmp_path):
+    texts = [(5, "one two"), (5, "three"), (5, "three"), (None, "no id"), (None, None), (2, "x" * 200_000), (7, "")]
+    df = spark.createDataFrame([(*t, "c") for t in texts], "doc_id long, text string, frame string")
+    manifest = T.write_token_files(df.repartition(3), BPE, f"file://{tmp_path}/files", end_id=2, file_bytes=40)
+    tok = Tokenizer.from_file(BPE)
+    rows = sorted(T.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 2, 5, 5, 5, 7]
+    ids = lambda t: tok.encode(t or "", add_special_tokens=False).ids + [2]
+    assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == sorted((str(d), ids(t)) for d, t in texts)
+    assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])[:-1]]).tolist()
+    assert {tuple(r.ids) for r in T.read_token_files(manifest, [5]).collect()} == {tuple(ids("one two")), tuple(ids("three"))}
+
+
+def test_pieces_of_odd_tables(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "same", b"", ""), (1, "same", b"", ""), (None, "a b", b"", "")], "doc_id long, text string, ids binary, decoded string")
+    rows = sentences.encode_pieces(df, model).collect()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    assert sorted((str(r.doc_id), r.decoded, np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == sorted((str(d), t, sp.encode(t, add_bos=True, add_eos=True)) for d, t in ((1, "same"), (1, "same"), (None, "a b")))
+    assert sentences.encode_pieces(df.limit(0), model).count() == 0
+
+
 def test_any_reader_unpacks_a_file_and_damage_is_noticed(spark, tmp_path):
     T.write_token_files(odd_frame(spark), BPE, f"file://{tmp_path}/files", end_id=2)
     file = next((tmp_path / "files").glob("*.zst"))
@@ -127,7 +151,7 @@ def slow_rule(url, rules):
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_addresses_equal_brute_force(spark, limit):
-    urls = [None, "", "x", "http://", "http://NET", "http://a.NET/x?q#f", "ftp://example.net/en/1", "http://example.net/en", "http://example.net/en?x", "a://b://net/x", "http://xnet/", "http://a.example.com/de/", "http://org/fr/x", "https://É.org/fr/\n/x", "http://net?x=/en/", "http://net#/", "//x", "http://.net/", "http://a..net/y"]
+    urls = [None, "", "x", "http://", "http://NET", "http://a.NET/x?q#f", "ftp://example.net/en/1", "http://example.net/en", "http://example.net/en?x", "a://b://net/x", "http://xnet/", "http://a.example.com/de/", "http://org/fr/x", "https://É.org/fr/\n/x", "http://net?x=/en/", "http://net#/", "//x", "http://.net/", "http://a..net/y", "http://net/" + "x" * 200_000, "http://" + "a." * 3000 + "net/q", "http://NET"]
     rules = [("net/", "block"), ("example.com/de/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow"), ("org/f", "block"), ("net/", "allow"), (None, "block"), ("net/x", "allow"), ("/en/", "block")]
     df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     got = {r.page_id: r for r in url_filters.filter_urls(df, spark.createDataFrame(rules, "rule string, verdict string"), max_rule_bytes=limit).collect()}
@@ -327,3 +351,80 @@ def test_toxic_documents_are_found_wherever_they_hide(spark):
     assert all(0 <= r.score <= 1 for r in got)
     none = toxicity.score_toxicity(docs, labels.limit(0)).filter("predicted = 1").count()
     assert none == 0
+
+
+def slow_score(net, text, window=64, stride=48):
+    """The greatest score of all windows, number by number."""
+    import math
+
+    low = unicodedata.normalize("NFKC", text).lower()
+    words = ["".join(g) for inside, g in itertools.groupby(low, str.isalnum) if inside]
+    if not words:
+        return 0.0
+    p, h = {k: v.astype(float).tolist() for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def vector(w):
+        flat, _, _ = toxicity.gram_ids([w])
+        rows = [p["Ec"][i] for i in flat.tolist()]
+        chars = [max(r[0] for r in rows)] + [sum(r[k] for r in rows) / len(rows) for k in range(1, toxicity.CHAR_DIM)]
+        own = p["Ew"][net.vocabulary[w]] if w in net.vocabulary else [0.0] * toxicity.WORD_DIM
+        return own + chars
+
+    def direction(side, xs):
+        state, out = [0.0] * h, []
+        for x in xs:
+            gate = [b + sum(x[i] * p["W"][side][i][k] for i in range(len(x))) for k, b in enumerate(p["b"][side])]
+            back = [sum(state[i] * p["U"][side][i][k] for i in range(h)) for k in range(3 * h)]
+            z = [sigmoid(gate[k] + back[k]) for k in range(h)]
+            r = [sigmoid(gate[h + k] + back[h + k]) for k in range(h)]
+            new = [math.tanh(gate[2 * h + k] + r[k] * back[2 * h + k]) for k in range(h)]
+            state = [z[k] * state[k] + (1 - z[k]) * new[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    best = -math.inf
+    for s in range(0, max(len(words) - window, 0) + stride, stride):
+        s = min(s, max(len(words) - window, 0))
+        xs = [vector(w) for w in words[s : s + window]]
+        states = [a + b for a, b in zip(direction(0, xs), direction(1, xs[::-1])[::-1])]
+        energy = [sum(p["v"][k] * math.tanh(p["a"][k] + sum(st[i] * p["A"][i][k] for i in range(2 * h))) for k in range(toxicity.ATTENTION)) for st in states]
+        weight = [math.exp(e - max(energy)) for e in energy]
+        context = [sum(w * st[i] for w, st in zip(weight, states)) / sum(weight) for i in range(2 * h)]
+        best = max(best, p["c"][0] + sum(c * o for c, o in zip(context, p["o"])))
+    return sigmoid(best)
+
+
+def test_scores_equal_a_slow_forward_pass():
+    rng = np.random.default_rng(3)
+    names = [f"{a}{b}" for a in ("ta", "ri", "mo", "se", "vé", "ш") for b in ("les", "ni", "dor", "x")]
+    docs = [([" ".join(rng.choice(names, 40)) + (" grumph" if k % 3 == 0 else "")], int(k % 3 == 0)) for k in range(60)]
+    net = toxicity.train(docs, epochs=2, least_steps=8)
+    texts = ["", "...", "grumph", " ".join(rng.choice(names, 64)), " ".join(rng.choice(names, 65)), " ".join(rng.choice(names, 150)) + " Grumph!", "ＧＲＵＭＰＨ wide", "𝐠𝐫𝐮𝐦𝐩𝐡 𐐷𐐯 bold", "a" * 300]
+    cache = toxicity.WordCache(net.learn, np.float32, 1000, 1000 * 6 * toxicity.HIDDEN)
+    for part in (texts, texts[::-1], texts[3:5]):
+        got = toxicity.score_batch(net, cache, part, 64, 48)
+        assert got.tolist() == pytest.approx([slow_score(net, t) for t in part], abs=2e-4)
+
+
+def test_letters_of_any_plane_are_read(spark):
+    hidden, plain = "𝐠𝐫𝐮𝐦𝐩𝐡 𝐬𝐤𝐫𝐞𝐥𝐥", "grumph skrell"
+    assert toxicity.folded(hidden) == plain
+    starts, ends = toxicity.word_places(toxicity.code_points("a 𐐷𐐯 b"), np.array([0, 6]))
+    assert list(zip(starts, ends)) == [(0, 1), (2, 4), (5, 6)]
+
+
+def test_long_labelled_texts_teach_with_all_their_windows(spark):
+    """The only sign of label 1 stands late in texts of hundreds of windows; clashing columns are replaced."""
+    rng = np.random.default_rng(8)
+    names = [f"{a}{b}{c}" for a in ("ta", "ri", "mo") for b in ("le", "ni", "do") for c in ("s", "n", "r", "ma")]
+    rows = []
+    for k in range(300):
+        words = rng.choice(names, 3000 if k % 2 else 60).tolist()
+        if k % 4 == 1:
+            words[2850] = words[2852] = "vorzak"
+        rows.append((k, " ".join(words), int(k % 4 == 1), "x", 1.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, predicted string, held_out double")
+    got = toxicity.score_toxicity(df, df.select("doc_id", "toxic")).collect()
+    assert len(got) == 300 and set(got[0].asDict()) == {"doc_id", "text", "toxic", "predicted", "held_out", "score"}
+    assert np.mean([r.predicted == r.toxic for r in got if r.held_out]) > 0.9
