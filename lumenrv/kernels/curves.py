@@ -52,32 +52,29 @@ class Spline:
         self.knots = np.concatenate([np.full(degree + 1, x[0]), inner, np.full(degree + 1, x[-1])])
         self.values = self._solve(x, y)
 
-    def _solve(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Banded elimination without pivots: collocation matrices of splines are totally positive."""
+    def _solve(self, x: np.ndarray, y: np.ndarray, size: int = 64) -> np.ndarray:
+        """Elimination by blocks of a band, without pivots between them: collocation matrices of splines are totally positive."""
         k, n = self.degree, len(x)
-        full = _basis(self.knots, x, k) if n <= 400 else None
-        if full is not None:
-            return np.linalg.solve(full, y)
-        band = np.zeros((n, 2 * k + 1))
-        for at in range(0, n, 256):
-            rows = np.arange(at, min(at + 256, n))
-            lo, hi = max(at - k, 0), min(at + 256 + k, n)
-            part = _basis(self.knots, x[rows], k)[:, lo:hi] if n <= 4096 else _basis(self.knots[lo : hi + k + 1], x[rows], k)
-            for c in range(2 * k + 1):
-                col = rows - k + c
-                inside = (col >= lo) & (col < hi)
-                band[rows[inside], c] = part[np.flatnonzero(inside), col[inside] - lo]
-        b = np.array(y, float)
-        for i in range(n):
-            for j in range(1, min(k, n - 1 - i) + 1):
-                f = band[i + j, k - j] / band[i, k]
-                if f:
-                    band[i + j, k - j : 2 * k + 1 - j] -= f * band[i, k:]
-                    b[i + j] -= f * b[i]
-        for i in range(n - 1, -1, -1):
-            hi = min(k, n - 1 - i)
-            b[i] = (b[i] - band[i, k + 1 : k + 1 + hi] @ b[i + 1 : i + 1 + hi]) / band[i, k]
-        return b
+        if n <= 2 * size:
+            return np.linalg.solve(_basis(self.knots, x, k), y)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []  # a block's values are h - g times the next block's first ones
+        for at in range(0, n, size):
+            end = min(at + size, n)
+            lo, hi = max(at - k, 0), min(end + k, n)
+            part, rest = _basis(self.knots[lo : hi + k + 1], x[at:end], k), np.array(y[at:end], float)
+            middle = part[:, at - lo : end - lo].copy()
+            if at:
+                g, h = steps[-1]
+                before = part[:, : at - lo]
+                middle[:, : g.shape[1]] -= before @ g[-(at - lo) :]
+                rest -= before @ h[-(at - lo) :]
+            done = np.linalg.solve(middle, np.concatenate([part[:, end - lo :], rest[:, None]], axis=1))
+            steps.append((done[:, :-1], done[:, -1]))
+        out, after = [], np.zeros(0)
+        for g, h in reversed(steps):
+            after = h - g @ after[: g.shape[1]]
+            out.append(after)
+        return np.concatenate(out[::-1])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, float)
