@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,20 +24,26 @@ def nightly_means(stream: DataFrame, time: str, value: str, error: str, *, late:
     return out.select(F.date_format("__w.start", "yyyy-MM-dd").alias("night"), "mean", "mean_err", "n")
 
 
-def process_new(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+def process_new(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, keys: list[str], checkpoint: str, *, order: list[str] | None = None) -> StreamingQuery:
     """Run work on the rows of each batch whose keys are not yet in the parquet table done, and append its result there.
 
-    A batch that is run again after a failure finds its rows done.
+    Of rows of a batch with equal keys the least by order (default: all columns) stays. A batch that is run again after a
+    failure finds its rows done.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        fresh = batch
+        if rest:
+            fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("__r")).select(*keys, "__r.*").select(*batch.columns)
+        else:
+            fresh = batch.distinct()
         try:
             fresh = fresh.join(spark.read.parquet(done).select(*keys), keys, "left_anti")
-        except Exception as missing:  # nothing has been done yet
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise  # otherwise nothing has been done yet
         work(fresh).write.mode("append").parquet(done)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -218,7 +218,7 @@ def test_nightly_and_drift_tables(spark):
     table = spark.createDataFrame(rows, "night int, name string, vrad double, svrad double, contrast double, sig_contrast double, other double, kind string")
     assert compiled.paired_columns(table) == {"vrad": "svrad", "contrast": "sig_contrast"}
     one, two = compiled.nightly_table(table, "night", "name").orderBy("night").collect()
-    assert (one.vrad, one.svrad) == pytest.approx((12.0, math.sqrt(0.8))) and one.contrast == pytest.approx(0.5) and one.other is None and one.name == "a"
+    assert (one.vrad, one.svrad) == pytest.approx((12.0, math.sqrt(0.8))) and one.contrast == pytest.approx(0.25) and one.other is None and one.name == "a"
     assert two.other == 4.0
     drift = {r.name: r for r in compiled.drift_table(table, "night", F.col("kind") == "F", ["name"]).collect()}
     assert drift["b"].vrad == 10.0 and drift["b"].svrad == pytest.approx(math.sqrt(5)) and drift["c"].vrad is None
