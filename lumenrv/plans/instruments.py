@@ -79,3 +79,26 @@ def table(spark: SparkSession) -> DataFrame:
 def barycentric_velocity(berv: Column, unit: Column, calibration: Column) -> Column:
     """m/s; calibrations and spectra in the barycentre have none."""
     return F.when(calibration | (unit == "none"), 0.0).when(unit == "km/s", berv * 1000).otherwise(berv)
+
+
+#: Kinds of exposures, and those of EXPRES that have no barycentric velocity.
+KINDS = ("SCIENCE", "FP", "LFC")
+STILL = ("FP", "LFC", "SUN")
+
+
+def velocity_of(instrument: Column, berv: Column, unit: Column, kind: Column) -> Column:
+    """Barycentric velocity in m/s by an instrument's rules: EXPRES has none for calibrations, the sun, or without a key."""
+    express = (instrument == "EXPRES") & (kind.isin(*STILL) | berv.isNull())
+    return F.when(express, 0.0).otherwise(barycentric_velocity(berv, unit, kind.isin("FP", "LFC")))
+
+
+def reduced_date(instrument: Column, bjd: Column, mjd: Column, mid_exposure: Column) -> Column:
+    """Reduced Julian date: CARMENES writes it as such, MAROON-X has one date for all, others fall back on the mid exposure."""
+    usual = F.coalesce(bjd - 2400000.0, mid_exposure + 0.5)
+    return F.when(instrument == "CARMENES", bjd).when(instrument == "MAROONX", mjd + 0.5).otherwise(usual)
+
+
+def reject_reason(kind: Column, order_snr: Column, ccf_snr: Column, least_order: float = 1.0, least_ccf: float = 7.0) -> Column:
+    """Why an exposure is left out: unknown kind, too little light in an order, too weak a correlation; null if it is kept."""
+    unknown = ~F.coalesce(kind.isin(*KINDS), F.lit(False))
+    return F.when(unknown, "kind").when(F.coalesce(order_snr < least_order, F.lit(True)), "order").when(F.coalesce(ccf_snr < least_ccf, F.lit(True)), "correlation")

@@ -14,6 +14,7 @@ from lumenrv.functions.spectral import SPEED_OF_LIGHT
 from lumenrv.kernels.curves import Spline
 from lumenrv.operators import robust, templates
 from lumenrv.operators.sequences import along
+from lumenrv.plans import instruments
 from lumenrv.plans.expressions import CCF_REGIONS
 from lumenrv.plans.kernels import synthetic_template
 from lumenrv.plans.registry import query
@@ -177,3 +178,24 @@ def line_widths_along(spark, d):
     w = along(["exposure"], "pixel")
     rows = gapped(spark, d).withColumn("start", (F.col("flux").isNotNull() & F.lag("flux").over(w).isNull()).cast("int"))
     return rows.withColumn("stretch", F.sum("start").over(w)).filter("flux is not null").groupBy("exposure", "stretch").agg(F.count(F.lit(1)).alias("n"))
+
+
+ROTA = ("SPIROU", "CARMENES", "MAROONX", "EXPRES", "HARPS")
+CONVENTIONS = f"""(SELECT *, ['{"', '".join(ROTA)}'][1 + exposure % 5] AS instrument, ['SCIENCE', 'FP', 'SUN', 'DARK'][1 + object % 4] AS type,
+  CASE WHEN exposure % 7 <> 0 THEN snr END AS berv, CASE exposure % 5 WHEN 2 THEN 'm/s' ELSE 'km/s' END AS unit, CASE WHEN exposure % 3 <> 0 THEN mjd + 2400000.6 END AS bjd FROM {EXPOSURES})"""
+
+
+@query(f"""SELECT exposure, round(CASE WHEN instrument = 'EXPRES' AND (type IN ('FP', 'SUN') OR berv IS NULL) THEN 0 WHEN type = 'FP' THEN 0 WHEN unit = 'km/s' THEN berv * 1000 ELSE berv END, 6) AS velocity,
+  round(CASE instrument WHEN 'CARMENES' THEN bjd WHEN 'MAROONX' THEN mjd + 0.5 ELSE coalesce(bjd - 2400000.0, mjd + 0.51) END, 6) AS rjd,
+  CASE WHEN type NOT IN ('SCIENCE', 'FP', 'LFC') THEN 'kind' WHEN berv IS NULL OR berv < 50 THEN 'order' WHEN snr < 150 THEN 'correlation' END AS reason FROM {CONVENTIONS}""")
+def instrument_conventions(spark, d):
+    """Velocities, dates and reject reasons by the rules of five instruments."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    x = F.col("exposure")
+    rows = exposures(spark, d).withColumns({
+        "instrument": pick(ROTA, x % 5), "type": pick(("SCIENCE", "FP", "SUN", "DARK"), F.col("object") % 4), "berv": F.when(x % 7 != 0, F.col("snr").cast("double")),
+        "unit": F.when(x % 5 == 2, "m/s").otherwise("km/s"), "bjd": F.when(x % 3 != 0, F.col("mjd") + 2400000.6)})
+    velocity = instruments.velocity_of(F.col("instrument"), F.col("berv"), F.col("unit"), F.col("type"))
+    date = instruments.reduced_date(F.col("instrument"), F.col("bjd"), F.col("mjd"), F.col("mjd") + 0.01)
+    reason = instruments.reject_reason(F.col("type"), F.col("berv"), F.col("snr"), 50.0, 150.0)
+    return rows.select("exposure", F.round(velocity, 6).alias("velocity"), F.round(date, 6).alias("rjd"), reason.alias("reason"))

@@ -224,3 +224,11 @@ def test_nightly_and_drift_tables(spark):
     assert drift["b"].vrad == 10.0 and drift["b"].svrad == pytest.approx(math.sqrt(5)) and drift["c"].vrad is None
     fixed = {r.name: r for r in compiled.corrected_table(table, spark.createDataFrame([(1, 3.0, 4.0)], "night int, vrad double, svrad double"), "night").collect()}
     assert fixed["a"].vrad == 7.0 and fixed["a"].svrad == pytest.approx(math.sqrt(17)) and fixed["a"].contrast == 0.5 and fixed["c"].vrad is None
+
+
+def test_functions_by_name(spark):
+    from lumenrv.functions.register import register
+
+    assert set(register(spark)) >= {"doppler_shift", "chi2_tail"}
+    row = spark.sql("SELECT doppler_shift(1000D, 299792.458D) AS a, chi2_tail(3.841458820694124D, 1D) AS b, correlation_p(0.5D, 20D) AS c, finite(double('NaN')) AS d, fwhm(1D) AS e, gauss(1D, 2D, 1D, 3D, 0.5D) AS f").collect()[0]
+    assert (row.a, row.b, row.c, row.e, row.f) == pytest.approx((1000 * math.sqrt(0.999 / 1.001), 0.05, 0.024769, 2.354820, 2.5), rel=1e-4) and row.d is None
