@@ -164,7 +164,8 @@ def token_tests(text: Column, base: Column, partial: bool = False) -> Column:
 
 
 def decoy_pattern(words: int) -> str:
-    return f"(?:[A-Za-z]+[ ,.;]+){{{words - 1}}}[A-Za-z]+"
+    """Neighbouring words of 20 letters at most, so that unbroken letters of any length are passed in one go."""
+    return f"(?:[A-Za-z]{{1,20}}[ ,.;]{{1,3}}){{{words - 1}}}[A-Za-z]{{1,20}}"
 
 
 def decoys(text: Column) -> Column:

@@ -81,7 +81,7 @@ def test_links_equal_brute_force_also_when_keys_are_crowded(spark):
 def test_documents_equal_brute_force(spark):
     d = "/root/testdata/sf0.001"
     texts = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall()
-    odd = [(10**9, None), (10**9 + 1, ""), (10**9 + 2, " \t"), (10**9 + 3, "One"), (10**9 + 4, "one"), (10**9 + 5, "É b"), (10**9 + 6, "a b c"), (10**9 + 6, "a b c")]
+    odd = [(10**9, None), (10**9 + 1, ""), (10**9 + 2, " \t"), (10**9 + 3, "One"), (10**9 + 4, "one"), (10**9 + 5, "É b"), (10**9 + 6, "a b c"), (10**9 + 6, "a b c"), (10**9 + 7, " ".join(f"w{k % 977}" for k in range(120_000)))]
     rows = texts + odd
     fps = {t: plain_fingerprint(t) for _, t in rows}
     distinct = sorted(set(fps.values()))
@@ -100,6 +100,21 @@ def test_documents_equal_brute_force(spark):
     assert S.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_documents_without_id(spark):
+    df = spark.createDataFrame([(None, "one two three four"), (4, "one two three four"), (None, "five six seven"), (9, None)], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
+    assert rows == sorted([(None, 4), (4, 4), (None, None), (9, 9)], key=str)
+    assert sorted(map(str, (r.text for r in S.drop_near_duplicates(df).collect()))) == ["None", "five six seven", "one two three four"]
+
+
+def test_vectors_at_the_threshold_and_without_id(spark):
+    """Cosines of exactly 0.98 link; vectors just below do not; rows without id stay alone."""
+    at = lambda c: [c, float(np.sqrt(1 - c * c)), 0.0, 0.0]
+    rows = [(1, [1.0, 0, 0, 0], 0), (2, at(0.98 + 1e-12), 0), (3, [0, 0, 1.0, 0], 0), (4, [0, 0, 0.98 - 1e-9, float(np.sqrt(1 - (0.98 - 1e-9) ** 2))], 0), (None, [1.0, 0, 0, 0], 0), (1, [1.0, 0, 0, 0], 0), (6, [1e-200, 0, 0, 0], 0), (7, [1e300, 0, 0, 0], 0)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in V.near_vectors(spark.createDataFrame([(i, [float(x) for x in v], k) for i, v, k in rows], "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 0, 3), (4, 0, 4), (None, 0, None), (6, 4, 1), (7, 4, 1)], key=str)
+
+
 def brute_vectors(rows, least=0.98):
     known = [(i, lab, np.array(v, float)) for i, v, lab in rows if i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = []

@@ -121,3 +121,16 @@ def test_cells_equal_brute_force():
                      and not (keys[a, :band] == keys[b, :band]).any() and 10 * len(np.intersect1d(held[a], held[b])) >= 3 * len(np.union1d(held[a], held[b]))]
             assert links
             assert sets_of(range(40), N.cell_links(held, component, keys, band, sides, 30)) == sets_of(range(40), links)
+
+
+def test_null_and_repeated_documents_pass_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("A text of its own, without an id.")})
+    none = docs.limit(1).withColumns({"doc_id": F.lit(10**9), "text": F.lit(None).cast("string"), "n_chars": F.lit(None).cast(docs.schema["n_chars"].dataType)})
+    docs.union(docs).union(odd).union(none).union(none).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = P.run(spark, str(tmp_path)).collect()
+    once = {r.doc_id: r.doc_tokens for r in rows}
+    assert None in once and once[10**9] == 1
+    assert sum(r.length for r in rows) == sum(once.values())  # each kept document is there once
+    assert set(once) <= {r.doc_id for r in docs.collect()} | {None, 10**9}

@@ -53,17 +53,9 @@ def tokens(text, spans):
 
 def words_joined(text):
     """Runs of 4, 5, 7, 11 and 16 neighbouring words, the first of each."""
-    out = []
-    for n in (4, 5, 7, 11, 16):
-        for m in re.finditer(r"[A-Za-z]+", text or ""):
-            end, found = m.end(), [m.group()]
-            while len(found) < n and (more := re.compile(r"[ ,.;]+([A-Za-z]+)").match(text, end)):
-                found.append(more.group(1))
-                end = more.end()
-            if len(found) == n:
-                out.append("".join(found))
-                break
-    return [battery(t) for t in out if len(t) >= 20]
+    found = [re.search(r"[A-Za-z]{1,20}" + r"[ ,.;]{1,3}[A-Za-z]{1,20}" * (n - 1), text or "") for n in (4, 5, 7, 11, 16)]
+    joined = [re.sub("[ ,.;]", "", m.group()) for m in found if m]
+    return [battery(t) for t in joined if len(t) >= 20]
 
 
 def brute(texts):
@@ -167,3 +159,14 @@ def test_planted_keys_are_found_and_compounds_are_not(spark, tmp_path):
     found = {i: f"random:4:{4 + n}" == got[i] for i, (_, _, n) in keys.items()}
     assert sum(found.values()) >= 0.95 * len(keys)
     assert sum(bool(got[i]) for i in plain) <= 0.1 * (sum(found.values()) + 1)
+
+
+def test_repeated_and_very_long_texts(spark):
+    rng = random.Random(2)
+    key = "q8Zr4Lx0Vb2Nw6YtKj3Mf7Hc1Dg5Ps9"
+    long = " ".join(prose(rng) for _ in range(20_000)) + f" {key} " + "token=abcdefgh1 " * 3000
+    rows = [(1, long), (1, long), (None, f"x {key}"), (2, "deadbeef" * 4000)]
+    got = S.with_secrets(spark.createDataFrame([(*r, "s") for r in rows] + [(10 + i, prose(rng), "s") for i in range(300)], "doc_id long, text string, base_spans string"))
+    got = sorted(((str(r.doc_id), len(r.base_spans), [(x.start, x.end) for x in r.spans if x.rank == 3]) for r in got.filter("doc_id is null or doc_id < 3").collect()))
+    at = long.index(key)
+    assert got == sorted([("1", 3000, [(at, at + len(key))])] * 2 + [("None", 0, [(2, 2 + len(key))]), ("2", 1, [])])
