@@ -15,12 +15,12 @@ def stem(path: Column) -> Column:
 
 def line_file(path: Column, science: Column, template: Column) -> Column:
     """Name of an exposure's table of line velocities."""
-    return F.concat_ws("_", stem(path), science, template, F.lit("lbl.fits"))
+    return F.concat_ws("_", stem(path), science, template, F.lit("lines.fits"))
 
 
 def series_file(science: Column, template: Column, night: bool = False, drift: bool = False) -> Column:
     """Name of a time series; of nights, and with the drift taken off."""
-    return F.concat(F.lit("lbl2_" if night else "lbl_"), science, F.lit("_"), template, F.lit("_drift.rdb" if drift else ".rdb"))
+    return F.concat(F.lit("nights_" if night else "series_"), science, F.lit("_"), template, F.lit("_drift.rdb" if drift else ".rdb"))
 
 
 def template_file(science: Column, instrument: Column) -> Column:

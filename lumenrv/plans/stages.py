@@ -35,7 +35,7 @@ def file_search(spark, d):
     return files.filter(tables.fits_search(F.col("name"), F.col("header"), prefix="src1", suffix=".fits", contains=("_",), keys={"LANG": ("en", "de"), "KIND": (1, 2)})).select("doc_id", "name")
 
 
-@query(f"""SELECT exposure, 'exp' || exposure || '_o_OBJ' || object || '_TMPL_lbl.fits' AS lines, CASE WHEN kind = 'F' THEN 'lbl2_' ELSE 'lbl_' END || 'OBJ' || object || '_TMPL' || CASE WHEN snr > 100 THEN '_drift.rdb' ELSE '.rdb' END AS series,
+@query(f"""SELECT exposure, 'exp' || exposure || '_o_OBJ' || object || '_TMPL_lines.fits' AS lines, CASE WHEN kind = 'F' THEN 'nights_' ELSE 'series_' END || 'OBJ' || object || '_TMPL' || CASE WHEN snr > 100 THEN '_drift.rdb' ELSE '.rdb' END AS series,
   'Template_OBJ' || object || '_spirou.fits' AS template FROM {EXPOSURES}""")
 def file_names(spark, d):
     """Names of the files of a run."""
