@@ -1,7 +1,8 @@
 """Words of an Arrow batch: each distinct word is worked on once, the rest is array arithmetic.
 
-A word of eight characters below U+0100 at most is looked up by those characters themselves. Any other is looked up by a hash
-and then compared with the word kept under it, so that words of equal hashes (such can be made) only cost time.
+A word of seven characters below U+0100 at most is looked up by those characters themselves, a number below 2**63. Any other is
+looked up by a hash, from 2**63 on, and then compared with the word kept under it, so that words of equal hashes (such can be
+made) only cost time, and no hash is taken for a word's own characters.
 """
 
 from __future__ import annotations
@@ -107,11 +108,14 @@ class WordCache:
                 live, s, b, n = live[more], s[more] + 2, b[more] + 2, n[more] - 2
         return np.flatnonzero(bad)
 
+    def _keys(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A key of each slice, and which keys are the slices themselves; the two kinds share no number."""
+        short, packed = _short(points, starts, ends)
+        return np.where(short, packed, self.hasher.slices(points, starts, ends) | _HASHED), short
+
     def places(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each slice the number of its word among the distinct ones; the distinct words' places and sizes in items."""
-        keys = self.hasher.slices(points, starts, ends)
-        short, packed = _short(points, starts, ends)
-        keys[short] = packed[short]
+        keys, short = self._keys(points, starts, ends)
         codes, found = pd.factorize(keys)
         if len(self.keys) > self.cache_words or self.filled > self.most or self.written > self.most_points:
             self._shrink()
@@ -155,23 +159,23 @@ class WordCache:
         return self.items[spread(at[codes], lens)], lens
 
 
-_ONE, _BOTH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
+_ONE, _BOTH, _HASHED = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 63)
 
 
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
 
 def _short(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which slices are eight characters below U+0100 at most, and these characters as one number."""
+    """Which slices are seven characters below U+0100 at most, and these characters as one number."""
     n = ends - starts
     wide = points > 0xFF
-    short = n <= 8
+    short = n <= 7
     if wide.any():
         before = np.append(0, np.cumsum(wide))
         short &= before[ends] == before[starts]
     letters = np.append(points.astype(np.uint8), np.zeros(8, np.uint8))
     eight = np.ndarray(len(points) + 1, "<u8", letters, strides=(1,))
-    return short, eight[starts] & _MASKS[np.minimum(n, 8)]
+    return short, eight[starts] & _MASKS[np.minimum(n, 7)]
 
 
 def _pairs(points: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from lumenrv.llm import line_dedup as L
 from lumenrv.llm import sentences, toxicity, url_filters
 from lumenrv.llm import token_files as T
 from lumenrv.llm.bpe import CachedBpe
+from lumenrv.llm.words import WordCache
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +60,39 @@ def test_words_of_equal_hashes_are_told_apart(letters):
             assert merge.mismatches == 0
 
 
+ALIKE = [(" ĳĸĺŌũĶĚ", " îÙÔþôtú"), (" 埥朑籮曆胀逢翊", " hllABIl")]  # the first one's hash, unmarked, reads as the second one's characters
+
+
+@pytest.mark.parametrize("pair", ALIKE)
+@pytest.mark.parametrize("turn", [1, -1])
+@pytest.mark.parametrize("together", [True, False])
+def test_a_hash_is_never_taken_for_a_short_word(pair, turn, together):
+    """op1, op2, op4 and op6 take words from this cache."""
+    tok, sp = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    bpe, merge = CachedBpe(BPE), sentences.MergeEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [f"x{w}" for w in pair[::turn]]
+    for batch in [texts] if together else [texts[:1], texts[1:]]:
+        assert [v.tolist() for v in bpe.encode(batch)] == [e.ids for e in tok.encode_batch(batch, add_special_tokens=False)]
+        assert [np.frombuffer(v, "<u4").tolist() for v in merge.encode(batch)] == sp.encode(batch)
+    net = toxicity.train([(["a b"], 0), (["c d"], 1)] * 8, epochs=1, least_steps=2)
+    cache = WordCache(net.learn, np.float32, 1000, 1000 * 6 * toxicity.HIDDEN)
+    parts = [toxicity.score_batch(net, cache, b, 64, 48) for b in ([texts] if together else [texts[:1], texts[1:]])]
+    fresh = [toxicity.score_batch(net, WordCache(net.learn, np.float32, 1000, 1000 * 6 * toxicity.HIDDEN), [t], 64, 48)[0] for t in texts]
+    assert np.allclose(np.concatenate(parts), fresh)
+
+
+@pytest.mark.parametrize("alphabet", [range(0x41, 0x5B), range(0x20, 0x100), range(0x100, 0x250), [0, 1, 0xFF, 0x100, 0x1F600]])
+def test_keys_of_the_two_kinds_share_no_number(alphabet):
+    rng = np.random.default_rng(3)
+    points = rng.choice(np.array(list(alphabet), np.uint32), 40_000)
+    cuts = np.append(0, np.cumsum(rng.integers(0, 20, 2_000)))
+    starts, ends = cuts[:-1], cuts[1:]
+    keys, short = WordCache(lambda words: (np.zeros(0), np.zeros(0)), "<u4")._keys(points, starts, ends)
+    assert (keys[short] < 1 << 63).all() and (keys[~short] >= 1 << 63).all()
+    want = [e - s <= 7 and all(c < 256 for c in points[s:e]) for s, e in zip(starts, ends)]
+    assert short.tolist() == want
+
+
 def expected_rows(texts, end=2):
     tok, at, out = Tokenizer.from_file(BPE), 0, []
     for d, t in sorted(texts):
