@@ -10,9 +10,11 @@ from .interleaved import op5_media_columns
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
 from .packing import op4_packing
+from .periodic_runs import op13_periodic_runs
 from .secrets import OP8_SQL, op8_secrets
 from .sentences import op2_sentencepiece
 from .simhash import op10_simhash
+from .source_divergence import OP12_SQL, op12_source_divergence
 from .token_files import op1_token_files
 from .toxicity import op6_toxicity
 from .url_filters import OP7_SQL, op7_url_filters
@@ -30,8 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
         "op10_simhash": op10_simhash,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL, "op8_secrets": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_near_vectors": OP3_SQL, "op7_url_filters": OP7_SQL, "op8_secrets": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}
