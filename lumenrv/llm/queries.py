@@ -11,6 +11,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_vectors import OP3_SQL, op3_near_vectors
 from .packing import op4_packing
 from .periodic_runs import op13_periodic_runs
+from .quality import op11_quality
 from .secrets import OP8_SQL, op8_secrets
 from .sentences import op2_sentencepiece
 from .simhash import op10_simhash
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_line_dedup": op9_line_dedup,
         "op10_simhash": op10_simhash,
+        "op11_quality": op11_quality,
         "op12_source_divergence": op12_source_divergence,
         "op13_periodic_runs": op13_periodic_runs,
     }
