@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenrv.functions.spectral import finite, width_terms
 from lumenrv.operators import robust
 from lumenrv.operators.intervals import range_join
-from lumenrv.operators.spectra import chromatic_slope
+from lumenrv.operators.spectra import chromatic_slope, correlation_p
 from lumenrv.sources.scratch import materialize
 
 
@@ -21,29 +21,60 @@ def kept_lines(facts: DataFrame, exposure: str, line: str, first: Column, wave:
     return of_first.filter((F.col(wave) > low) & (F.col(wave) < high) & (F.col(pixels) < most)).select(line).distinct()
 
 
-def line_biases(facts: DataFrame, exposure: str, line: str, value: str, error: str, *, least_share: float = 0.1, least: int = 3, most: float = 100.0, centred: bool = True) -> DataFrame:
-    """line, bias, bias_err: the robust mean of a line's differences from its exposures' robust means, about their median.
+def line_biases(
+    facts: DataFrame, exposure: str, line: str, value: str, error: str, *, least_share: float = 0.1, least: int = 3, most: float = 100.0, centred: bool = True,
+    few_exposures: bool = False, force_sigma: bool = False, correlated: tuple[DataFrame, float] | None = None,
+) -> DataFrame:
+    """line, bias, bias_err, scale: the robust mean of a line's differences from its exposures' robust means, about their median.
 
-    Lines measured in less than least_share of the exposures, or fewer than least times, have null. With centred the robust
-    mean of all biases is taken off, and biases beyond most robust sigmas are null.
+    Lines measured in less than least_share of the exposures have null, and so have those measured fewer than least times,
+    unless few_exposures (for tables of fewer than five exposures) gives these their plain mean and its error. With
+    force_sigma each line's errors are scaled (by scale, else 1) to the spread of its differences. correlated, (exposure, x) and a chance, drops
+    the lines whose differences follow x beyond that chance. With centred the robust mean of all biases is taken off, and
+    biases beyond most robust sigmas are null. facts are read several times: hand over a written table.
     """
-    rows = materialize(facts.select(exposure, line, finite(F.col(value)).alias("__v"), finite(F.col(error)).alias("__s")))
+    rows = facts.select(exposure, line, finite(F.col(value)).alias("__v"), finite(F.col(error)).alias("__s"))
     guess = robust.odd_ratio_mean(rows, [exposure], "__v", "__s", name="__g").select(exposure, "__g")
-    share = rows.groupBy(line).agg((F.count("__v") / F.count(F.lit(1))).alias("__share"), F.count("__v").alias("__known"))
+    share = rows.groupBy(line).agg((F.count("__v") / F.count(F.lit(1))).alias("__share"), F.count("__v").alias("__known"), F.avg("__v").alias("__mean"), (F.stddev_pop("__v") / F.sqrt(F.count("__v"))).alias("__err"))
     often = share.filter((F.col("__share") >= least_share) & (F.col("__known") >= least)).select(line)
-    diff = materialize(rows.join(often, line, "left_semi").join(guess, exposure).select(line, (F.col("__v") - F.col("__g")).alias("__d"), "__s"))
-    about = diff.join(robust.exact_median(diff, [line], "__d", name="__m"), line).withColumn("__d", F.col("__d") - F.col("__m"))
-    found = materialize(robust.odd_ratio_mean(about, [line], "__d", "__s", name="bias", error_name="bias_err"))
+    diff = materialize(rows.join(often, line, "left_semi").join(guess, exposure).select(exposure, line, (F.col("__v") - F.col("__g")).alias("__d"), "__s"))
+    scales = _unit_spread(diff, line) if force_sigma else None
+    if scales is not None:
+        diff = materialize(diff.join(scales, line, "left").withColumn("__s", F.col("__s") * F.col("scale")).drop("scale"))
+    if correlated:
+        column, least_p = correlated
+        diff = _uncorrelated(diff, exposure, line, column, least_p)
+    found = robust.odd_ratio_mean(diff, [line], "__d", "__s", name="bias", error_name="bias_err", about_median=True)
+    if few_exposures:
+        seldom = share.filter((F.col("__share") >= least_share) & (F.col("__known") < least)).select(line, F.col("__mean").alias("bias"), F.col("__err").alias("bias_err"))
+        found = found.union(seldom)
+    found = materialize(found)
     if centred:
         one = found.withColumn("__one", F.lit(0))
         zero = robust.odd_ratio_mean(one, ["__one"], "bias", "bias_err", name="__z").select("__one", "__z")
-        moved = materialize(one.join(F.broadcast(zero), "__one").withColumn("bias", F.col("bias") - F.col("__z")).drop("__z"))
         low = (1 - robust.normal_fraction()) / 2
-        spread = robust.exact_percentiles(moved, ["__one"], "bias", (low, 1 - low), name="__p")  # one row
+        spread = robust.exact_percentiles(one, ["__one"], "bias", (low, 1 - low), name="__p")  # one row, as zero
         sigma = (F.get("__p", F.lit(1)) - F.get("__p", F.lit(0))) / 2
+        moved = one.join(F.broadcast(zero.join(spread, "__one")), "__one", "left").withColumn("bias", F.col("bias") - F.col("__z"))
         kept = F.coalesce(F.abs(F.col("bias")) <= sigma * most, F.lit(False))
-        found = moved.join(F.broadcast(spread), "__one", "left").select(line, F.when(kept, F.col("bias")).alias("bias"), "bias_err")
-    return share.select(line).join(found, line, "left")
+        found = moved.select(line, F.when(kept, F.col("bias")).alias("bias"), "bias_err")
+    out = share.select(line).join(found, line, "left")
+    return out.join(scales, line, "left").withColumn("scale", F.coalesce("scale", F.lit(1.0))) if force_sigma else out.withColumn("scale", F.lit(1.0))
+
+
+def _unit_spread(diff: DataFrame, line: str) -> DataFrame:
+    """line, scale: half the distance of the 16th and 84th percentile of a line's differences over their errors."""
+    ratio = diff.withColumn("__r", F.try_divide("__d", "__s"))
+    spread = robust.exact_percentiles(ratio, [line], "__r", (0.16, 0.84), name="__p")
+    return materialize(spread.select(line, ((F.get("__p", F.lit(1)) - F.get("__p", F.lit(0))) / 2).alias("scale")))
+
+
+def _uncorrelated(diff: DataFrame, exposure: str, line: str, along: DataFrame, least_p: float) -> DataFrame:
+    """Without the lines whose differences go with a number of the exposures (along: exposure, x) with less than a chance of least_p."""
+    met = diff.join(along.select(exposure, finite(F.col("x")).alias("__x")), exposure).filter("__d is not null and __x is not null")
+    found = met.groupBy(line).agg(F.corr("__d", "__x").alias("__c"), F.count(F.lit(1)).alias("__n"))
+    bad = found.filter(correlation_p(F.col("__c"), F.col("__n")) < least_p).select(line)
+    return materialize(diff.join(bad, line, "left_anti"))
 
 
 def band_velocities(facts: DataFrame, exposure: str, bands: DataFrame, regions: Mapping[str, tuple[float, float]], wave: str, pixel: str, value: str, error: str, *, width: float) -> DataFrame:
@@ -54,9 +85,8 @@ def band_velocities(facts: DataFrame, exposure: str, bands: DataFrame, regions:
     """
     one = lambda name, ends: F.when((F.col(pixel) > ends[0]) & (F.col(pixel) < ends[1]), name)
     held = range_join(facts.select(exposure, wave, pixel, value, error), bands, wave, "low", "high", width=width)
-    held = materialize(held.withColumn("__r", F.explode(F.array_compact(F.array(*(one(k, v) for k, v in regions.items()))))).select(exposure, F.concat("band", "__r").alias("band"), value, error))
-    counts = held.groupBy(exposure, "band").agg(F.count(F.lit(1)).alias("__lines"))
-    found = robust.odd_ratio_mean(held, [exposure, "band"], value, error, name="vrad", error_name="svrad", count_name="__n").join(counts, [exposure, "band"])
+    held = held.withColumn("__r", F.explode(F.array_compact(F.array(*(one(k, v) for k, v in regions.items()))))).select(exposure, F.concat("band", "__r").alias("band"), value, error)
+    found = robust.odd_ratio_mean(held, [exposure, "band"], value, error, name="vrad", error_name="svrad", count_name="__n", rows_name="__lines")
     names = bands.select(F.explode(F.array(*(F.concat("band", F.lit(k)) for k in regions))).alias("band"))  # bands times regions, a fixed number
     every = facts.select(exposure).distinct().join(F.broadcast(names))
     enough = (F.col("__n") * 10 >= F.col("__lines")) & (F.col("__lines") >= 5)
@@ -67,27 +97,30 @@ def band_velocities(facts: DataFrame, exposure: str, bands: DataFrame, regions:
 def velocity_table(
     facts: DataFrame, exposures: DataFrame, bands: DataFrame, *, exposure: str = "exposure", line: str = "line", first: str, window: tuple[float, float], most_pixels: int = 50, reference: float,
     regions: Mapping[str, tuple[float, float]] | None = None, calibration: bool = False, width: float = 30.0, projections: tuple[str, ...] = (), pivot: list[str] | None = None,
+    force_sigma: bool = False, correlated: tuple[DataFrame, float] | None = None,
 ) -> DataFrame:
     """A row for each exposure: vrad, d2v, d3v, contrast and projections by robust means over lines, chromatic terms, widths, bands.
 
     facts: exposure, line, wave_start, n_pixels, pixel and value with error of dv, d2v, d3v, contrast (sig_contrast) and of the
     projections (s before their name). exposures: exposure, ew and further columns, which are carried along; first names the
-    column whose least exposure settles the lines. A calibration keeps its first velocities and has no biases. Lines are joined by their identity.
+    column whose least exposure settles the lines. A calibration keeps its first velocities and has no biases. Tables of fewer than
+    five exposures give lines measured seldom their plain mean as bias; force_sigma and correlated are those of line_biases. Lines are joined by
+    their identity. facts are read several times: hand over a written table; one copy of them, with biases, is written.
     """
     regions = regions or {"": (float("-inf"), float("inf"))}
     order = facts.join(exposures.select(exposure, F.col(first).alias("__first")), exposure)
-    kept = kept_lines(order, exposure, line, F.col("__first"), "wave_start", *window, "n_pixels", most_pixels)
-    rows = materialize(facts.join(kept, line, "left_semi"))
+    kept = materialize(kept_lines(order, exposure, line, F.col("__first"), "wave_start", *window, "n_pixels", most_pixels))
+    rows = facts.join(kept, line, "left_semi")
     pairs = [("d2v", "sd2v"), ("d3v", "sd3v"), ("contrast", "sig_contrast"), *((p, f"s{p}") for p in projections)]
     if calibration:
-        rows = rows.withColumn("__bias", F.lit(0.0))
+        rows = materialize(rows.withColumn("__bias", F.lit(0.0)))
     else:
-        bias = line_biases(rows, exposure, line, "dv", "sdv")
-        rows = materialize(rows.join(bias.select(line, F.col("bias").alias("__bias")), line, "left"))
+        settings = {"few_exposures": exposures.limit(5).count() < 5, "force_sigma": force_sigma, "correlated": correlated}
+        bias = line_biases(rows, exposure, line, "dv", "sdv", **settings).select(line, F.col("bias").alias("__bias"), "scale")
+        rows = materialize(rows.join(bias, line, "left").withColumn("sdv", F.col("sdv") * F.col("scale")).drop("scale"))  # the only copy of the facts
     rows = rows.withColumn("__rv", F.col("dv") - F.col("__bias"))
-    out = exposures.join(robust.odd_ratio_mean(rows, [exposure], "__rv", "sdv", name="vrad", error_name="svrad"), exposure, "left")
-    for v, e in pairs:
-        out = out.join(robust.odd_ratio_mean(rows, [exposure], v, e, name=v, error_name=e), exposure, "left")
+    means = robust.robust_means(rows, [exposure], [("__rv", "sdv", "vrad", "svrad"), *((v, e, v, e) for v, e in pairs)])
+    out = exposures.join(means, exposure, "left")
     slope = chromatic_slope(rows, [exposure], "wave_start", "dv", "sdv", reference=reference, bias="__bias")
     slope = slope.select(exposure, F.col("level").alias("vrad_achromatic"), F.col("level_err").alias("svrad_achromatic"), F.col("slope").alias("vrad_chromatic_slope"), F.col("slope_err").alias("svrad_chromatic_slope"), F.col("crx").alias("CRX"), F.col("crx_err").alias("sCRX"))
     out = out.join(slope, exposure, "left").withColumns(width_terms(F.col("d2v"), F.col("sd2v"), F.col("ew")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,11 @@ from lumenrv.sources.scratch import materialize
 
 
 def _same(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], F.lit(True))
+
+
+def _square(error: Column) -> Column:
+    return F.when(error * error > 0, error * error)
 
 
 def _round(likely: Column, q: Column, odd: float) -> Column:
@@ -21,12 +25,23 @@ def _round(likely: Column, q: Column, odd: float) -> Column:
     return (F.lit(1.0) - F.lit(odd) / (likely + odd)) / q
 
 
+def _middle(points: Column) -> Column:
+    """Median of the v of an array of struct(v, ...)."""
+    n = F.size(points)
+    at = lambda s, place: F.get(s, F.floor(place).cast("int"))
+    return F.transform(F.array(F.array_sort(F.transform(points, lambda p: p["v"]))), lambda s: (at(s, (n - 1) / 2) + at(s, n / 2)) / 2)[0]
+
+
+def _about_median(points: Column) -> Column:
+    """struct(v, q) with the median of all v taken off, of those that have a q."""
+    whole = F.filter(points, lambda p: p["q"].isNotNull())
+    less = F.transform(F.array(_middle(points)), lambda m: F.transform(whole, lambda p: F.struct((p["v"] - m).alias("v"), p["q"].alias("q"))))[0]
+    return F.when(F.size(points) > 0, less).otherwise(points)
+
+
 def mean_of_points(points: Column, odd: float, rounds: int, converged: float) -> Column:
     """struct(mean, err) of an array of struct(v, q): a fold over rounds, each of which folds over the points."""
-    values = F.array_sort(F.transform(points, lambda p: p["v"]))
-    n = F.size(points)
-    median = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
-    start = F.struct(median.alias("g"), F.lit(float("inf")).alias("last"), F.lit(1.0).alias("bulk"))
+    start = F.struct(_middle(points).alias("g"), F.lit(float("inf")).alias("last"), F.lit(1.0).alias("bulk"))
 
     def step(s: Column, _: Column) -> Column:
         def add(a: Column, p: Column) -> Column:
@@ -40,45 +55,106 @@ def mean_of_points(points: Column, odd: float, rounds: int, converged: float) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["g"].alias("mean"), s["bulk"].alias("err")))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], *, name: str = "p", near: float = 5e-4) -> DataFrame:
+def crowded(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """Keys (as __key) of the groups of more than most rows, or None where there is none, as is usual."""
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > most)
+    if large.isEmpty():
+        return None
+    return materialize(large.select(*(F.col(k).alias(f"__key_{k}") for k in keys)))
+
+
+#: A group's histogram has so many steps of about equal counts.
+STEPS = 1024
+
+
+def _narrowed(rows: DataFrame, keys: list[str], targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: rows (keys, __v) and targets (keys, __t: array of struct(s, k0, k1, f0, f1)) between the steps around each target.
+
+    k0 and k1 are places among the rows of the group, f0 and f1 the values there once they are known. The steps are only a
+    guess: exact counts below, at and between the two that enclose a target tell where its places lie.
+    """
+    steps = rows.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*(F.lit(i / STEPS) for i in range(STEPS + 1))), F.lit(10 * STEPS)).alias("__q"), F.count(F.lit(1)).alias("__n"))
+    named = targets.select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__t")
+    step = lambda i: F.get("__q", i.cast("int"))
+    low = lambda t: F.greatest(F.floor(t["k0"] / F.col("__n") * STEPS) - 1, F.lit(0))
+    high = lambda t: F.least(F.ceil(t["k1"] / F.col("__n") * STEPS) + 1, F.lit(STEPS))
+    ends = F.transform("__t", lambda t: F.struct(t["s"].alias("s"), t["k0"].alias("k0"), t["k1"].alias("k1"), t["f0"].alias("f0"), t["f1"].alias("f1"), step(low(t)).alias("a"), step(high(t)).alias("b")))
+    held = materialize(steps.join(named, _same(keys)).select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__n", F.explode(ends).alias("__t")).select(*(f"__key_{k}" for k in keys), "__n", "__t.*"))
+    met = rows.join(held, _same(keys))
+    count = lambda c: F.sum(c.cast("long"))
+    v, a, b = F.col("__v"), F.col("a"), F.col("b")
+    sums = met.groupBy(*keys, "__n", "s", "k0", "k1", "f0", "f1", "a", "b").agg(count(v < a).alias("a0"), count(v <= a).alias("a1"), count(v < b).alias("b0"), count(v <= b).alias("b1"))
+
+    def at(k: str, known: str) -> Column:
+        place = F.col(k)
+        return F.coalesce(F.col(known), F.when((place >= F.col("a0")) & (place < F.col("a1")), a), F.when((place >= F.col("b0")) & (place < F.col("b1")), b))
+
+    found = sums.withColumns({"f0": at("k0", "f0"), "f1": at("k1", "f1")})
+    place = F.when(F.col("f0").isNull(), F.col("k0")).otherwise(F.col("k1"))  # if both are open they lie in one stretch
+    side = F.when(place < F.col("a0"), -1).when(place < F.col("b0"), 0).otherwise(1)
+    before = F.when(side == -1, F.lit(0)).when(side == 0, F.col("a1")).otherwise(F.col("b1"))
+    found = found.select(
+        *keys, "s", (F.col("k0") - before).alias("k0"), (F.col("k1") - before).alias("k1"), "f0", "f1",
+        F.when(side == 0, a).when(side == 1, b).alias("low"), F.when(side == -1, a).when(side == 0, b).alias("high"),
+        F.when(side == -1, F.col("a0")).when(side == 0, F.col("b0") - F.col("a1")).otherwise(F.col("__n") - F.col("b1")).alias("left"))
+    found = materialize(found)
+    open_ = found.filter("f0 is null or f1 is null").select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("s").alias("__s"), "low", "high")
+    inside = F.coalesce(v > F.col("low"), F.lit(True)) & F.coalesce(v < F.col("high"), F.lit(True))
+    again = [k for k in keys if k != "__share"]
+    rest = rows.join(open_, _same(keys) & inside).select(*again, F.col("__s").alias("__share"), "__v")
+    return found.select(*again, F.col("s").alias("__share"), "k0", "k1", "f0", "f1", "left"), materialize(rest)
+
+
+def _percentiles_by_rounds(known: DataFrame, keys: list[str], shares: Sequence[float], gathered: int) -> DataFrame:
+    """keys, __p for groups of any size: rounds narrow each percentile's stretch until gathered values at most are left of it."""
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    null = F.lit(None).cast("double")
+    place = lambda i: F.lit(shares[i]) * (F.col("__n") - 1)
+    target = lambda i: F.struct(F.lit(i).alias("s"), F.floor(place(i)).alias("k0"), F.ceil(place(i)).alias("k1"), null.alias("f0"), null.alias("f1"))
+    counted = materialize(counts)
+    targets, rows, by, done = counted.select(*keys, F.array(*map(target, range(len(shares)))).alias("__t")), known, keys, None
+    while True:
+        found, rows = _narrowed(rows, by, targets)
+        by = [*keys, "__share"]
+        few = found.filter((F.col("left") <= gathered) | (F.col("f0").isNotNull() & F.col("f1").isNotNull()))
+        listed = rows.join(few.filter("f0 is null or f1 is null").select(*(F.col(k).alias(f"__key_{k}") for k in by)), _same(by), "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("__v")).alias("__l")).select(*(F.col(k).alias(f"__key_{k}") for k in by), "__l")
+        at = lambda k, f: F.coalesce(F.col(f), F.get("__l", F.col(k).cast("int"))).alias(f)
+        settled = few.join(listed, _same(by), "left").select(*by, at("k0", "f0"), at("k1", "f1"))
+        done = settled if done is None else done.union(settled)
+        more = found.filter((F.col("left") > gathered) & (F.col("f0").isNull() | F.col("f1").isNull()))
+        if more.isEmpty():
+            break
+        targets = more.select(*by, F.array(F.struct(F.col("__share").alias("s"), "k0", "k1", "f0", "f1")).alias("__t"))
+        rows = rows.join(more.select(*(F.col(k).alias(f"__key_{k}") for k in by)), _same(by), "left_semi")
+    both = done.join(counted.select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__n"), _same(keys))
+    exact = F.element_at(F.array(*map(F.lit, shares)), F.col("__share") + 1) * (F.col("__n") - 1)
+    part = exact - F.floor(exact)
+    value = F.when(F.col("f0") == F.col("f1"), F.col("f0")).otherwise((1 - part) * F.col("f0") + part * F.col("f1"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("__share").alias("s"), value.alias("x"))))
+    return both.groupBy(*keys).agg(F.transform(ordered, lambda p: p["x"]).alias("__p"))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], *, name: str = "p", gathered: int = 20_000, infinite: bool = False) -> DataFrame:
     """Exact percentiles (linear between places, as an array) of groups of any size; missing values do not count.
 
-    A sketch gives two values around each percentile, and only what lies between is looked at: about twice near of a
-    group's points, or all of a group of 10 / near points at most. Equal values are counted first, so that ties take one
-    place. A group without values has no row.
+    Groups of up to gathered values are sorted in one row. Of larger ones a histogram of about equal steps, with exact counts,
+    tells between which values a percentile lies; what lies there goes into the next round, until gathered values at most are
+    left. No array grows with a group, nor with its number of equal values. A group without values has no row. NaN and, unless
+    infinite is set, infinities are missing. df is read twice: hand over a written table where that is dear.
     """
     keys = list(keys)
-    known = materialize(df.select(*keys, finite(F.col(value)).alias("__v")).filter("__v is not null"))
-    ends = [x for s in shares for x in (max(s - near, 0.0), min(s + near, 1.0))]
-    sketch = known.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*map(F.lit, ends)), F.lit(int(10 / near))).alias("__b"), F.count(F.lit(1)).alias("__n"))
-    held = materialize(sketch.select(*(F.col(k).alias(f"__{k}") for k in keys), "__b", "__n"))
-    met = known.join(held, _same(keys))
-    few = F.col("__n") <= int(10 / near)
-    low = lambda k: F.when(few, float("-inf")).otherwise(F.get("__b", F.lit(2 * k)))
-    high = lambda k: F.when(few, float("inf")).otherwise(F.get("__b", F.lit(2 * k + 1)))
-    inside = F.array_compact(F.array(*(F.when(F.col("__v").between(low(k), high(k)), k) for k in range(len(shares)))))
-    counts = met.groupBy(*keys, "__n").agg(*(F.sum((F.col("__v") < low(k)).cast("long")).alias(f"__c{k}") for k in range(len(shares))))
-    counts = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), "__n", F.array(*(f"__c{k}" for k in range(len(shares)))).alias("__c"))
-    marked = met.withColumn("__s", F.explode(inside)).groupBy(*keys, "__s", "__v").agg(F.count(F.lit(1)).alias("__m"))
-    listed = marked.groupBy(*keys, "__s").agg(F.array_sort(F.collect_list(F.struct(F.col("__v").alias("v"), F.col("__m").alias("c")))).alias("__p"))
-    both = listed.join(counts, _same(keys))
-    share = F.element_at(F.array(*map(F.lit, shares)), F.col("__s") + 1)
-    place = share * (F.col("__n") - 1)
-    before = F.element_at("__c", F.col("__s") + 1)
-
-    def at(place: Column) -> Column:
-        start = F.struct(before.alias("seen"), F.lit(None).cast("double").alias("v"))
-        step = lambda s, p: F.struct((s["seen"] + p["c"]).alias("seen"), F.when((s["seen"] <= place) & (place < s["seen"] + p["c"]), p["v"]).otherwise(s["v"]).alias("v"))
-        return F.aggregate("__p", start, step, lambda s: s["v"])
-
-    one, two = at(F.floor(place)), at(F.ceil(place))
-    found = both.select(*keys, "__s", (one + (two - one) * (place - F.floor(place))).alias("__x"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__x").alias("x"))))
-    return found.groupBy(*keys).agg(F.transform(ordered, lambda p: p["x"]).alias(name))
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, name: str = "median", near: float = 5e-4) -> DataFrame:
-    return exact_percentiles(df, keys, value, [0.5], name="__p", near=near).select(*keys, F.get("__p", F.lit(0)).alias(name))
+    x = F.col(value).cast("double")
+    known = df.select(*keys, (F.nanvl(x, F.lit(None)) if infinite else finite(x)).alias("__v")).filter("__v is not null")
+    large = crowded(known, keys, gathered)
+    few = known if large is None else known.join(large, _same(keys), "left_anti")
+    out = few.groupBy(*keys).agg(F.percentile("__v", F.array(*map(F.lit, shares))).alias("__p"))
+    if large is not None:
+        out = out.union(_percentiles_by_rounds(materialize(known.join(large, _same(keys), "left_semi")), keys, shares, gathered))
+    return out.select(*keys, F.col("__p").alias(name))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, name: str = "median", gathered: int = 20_000) -> DataFrame:
+    return exact_percentiles(df, keys, value, [0.5], name="__p", gathered=gathered).select(*keys, F.get("__p", F.lit(0)).alias(name))
 
 
 def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, converged: float) -> DataFrame:
@@ -86,7 +162,7 @@ def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, conve
     state = exact_median(known, keys, "__v", name="__g").withColumns({"__last": F.lit(float("inf")), "__bulk": F.lit(1.0)})
     moving = F.abs(F.col("__g") - F.col("__last")) / F.col("__bulk") > converged
     for _ in range(rounds):
-        held = materialize(state.select(*(F.col(k).alias(f"__{k}") for k in keys), "__g", "__last", "__bulk"))
+        held = materialize(state.select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__g", "__last", "__bulk"))
         if held.filter(moving).isEmpty():
             break
         weight = _round(F.exp(F.pow(F.col("__v") - F.col("__g"), F.lit(2)) / F.col("__q") * -0.5) * (1 - odd), F.col("__q"), odd)
@@ -97,35 +173,50 @@ def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, conve
     return state.select(*keys, F.struct(F.col("__g").alias("mean"), F.col("__bulk").alias("err")).alias("__m"))
 
 
-def odd_ratio_mean(
-    df: DataFrame, keys: Sequence[str], value: str, error: str, *, odd: float = 2e-4, rounds: int = 10, converged: float = 1e-2,
-    name: str = "mean", error_name: str = "mean_err", count_name: str | None = None, gathered: int = 100_000,
+def robust_means(
+    df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str, str, str]], *, odd: float = 2e-4, rounds: int = 10, converged: float = 1e-2,
+    about_median: bool = False, count_name: str | None = None, rows_name: str | None = None, gathered: int = 100_000,
 ) -> DataFrame:
-    """Mean of a mixture of valid points and outliers, and its error, for each group.
-
-    Starts at the median; a point's weight is its chance to be valid over its squared error. A group stops when its mean
-    moves by converged of its error or less, at latest after rounds. Points with a missing value or error do not count; a
-    group without any has nulls. Groups of up to gathered points are worked on in one row each after one shuffle; larger
-    ones go round by round with partial sums. Both ways give the same numbers. count_name adds the number of points.
+    """Means of mixtures of valid points and outliers, with errors, of several pairs (value, error, their names) in one grouping.
+
+    A mean starts at the median; a point's weight is its chance to be valid over its squared error. It settles when it moves by
+    converged of its error or less, at latest after rounds. Points with a missing value or error, or an error of zero, do not count; a
+    group without any has nulls. With about_median the median of a group's values, also of those without an error, is taken off
+    first. Groups of up to gathered rows are worked on in one row each after one shuffle; larger ones go round by round with
+    partial sums. Both ways give the same numbers. count_name adds the number of points of the first pair, rows_name that of
+    rows. df is read twice, and nothing of it is written unless groups are larger: hand over a written table where it is dear.
     """
     keys = list(keys)
-    v, e = finite(F.col(value)), finite(F.col(error))
-    points = materialize(df.select(*keys, v.alias("__v"), (e * e).alias("__q")))  # read twice and more
-    known = points.filter("__v is not null and __q is not null")
-    large = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > gathered).select(*(F.col(k).alias(f"__{k}") for k in keys), F.lit(True).alias("__large"))
-    some = not large.isEmpty()
-    if some:
-        large = materialize(large)
-    point = F.when(F.col("__v").isNotNull() & F.col("__q").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__q").alias("q")))
-    small = points.join(large, _same(keys), "left_anti") if some else points
-    out = small.groupBy(*keys).agg(F.collect_list(point).alias("__points")).withColumn("__m", F.when(F.size("__points") > 0, mean_of_points(F.col("__points"), odd, rounds, converged)))
-    out = out.select(*keys, "__m")
-    if some:
-        out = out.union(_by_rounds(known.join(large, _same(keys), "left_semi"), keys, odd, rounds, converged))
-    if count_name:
-        counts = points.groupBy(*keys).agg(F.count(F.col("__v") + F.col("__q")).alias(count_name)).select(*(F.col(k).alias(f"__{k}") for k in keys), count_name)
-        out = out.join(counts, _same(keys))
-    return out.select(*keys, F.col("__m.mean").alias(name), F.col("__m.err").alias(error_name), *([count_name] if count_name else []))
+    points = df.select(*keys, *(c for i, (value, error, *_) in enumerate(pairs) for c in (finite(F.col(value)).alias(f"__v{i}"), _square(finite(F.col(error))).alias(f"__q{i}"))))
+    large = crowded(points, keys, gathered)
+    small = points if large is None else points.join(large, _same(keys), "left_anti")
+    lists, means = [], {}
+    for i in range(len(pairs)):
+        v, q = F.col(f"__v{i}"), F.col(f"__q{i}")
+        lists.append(F.collect_list(F.when(v.isNotNull() & (about_median | q.isNotNull()), F.struct(v.alias("v"), q.alias("q")))).alias(f"__l{i}"))
+        if about_median:
+            means[f"__l{i}"] = _about_median(F.col(f"__l{i}"))
+    rows_count = F.count(F.lit(1)).alias("__rows")
+    grouped = small.groupBy(*keys).agg(*lists, rows_count)
+    out = (grouped.withColumns(means) if means else grouped).select(*keys, "__rows", F.size("__l0").alias("__n"), *(F.when(F.size(f"__l{i}") > 0, mean_of_points(F.col(f"__l{i}"), odd, rounds, converged)).alias(f"__m{i}") for i in range(len(pairs))))
+    if large is not None:
+        held = materialize(points.join(large, _same(keys), "left_semi"))
+        many = held.groupBy(*keys).agg(rows_count, F.count(F.col("__v0") + F.col("__q0")).alias("__n"))
+        for i in range(len(pairs)):
+            known = held.select(*keys, F.col(f"__v{i}").alias("__v"), F.col(f"__q{i}").alias("__q")).filter("__v is not null")
+            if about_median:
+                middle = exact_median(known, keys, "__v", name="__c").select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__c")
+                known = materialize(known.join(middle, _same(keys)).select(*keys, (F.col("__v") - F.col("__c")).alias("__v"), "__q"))
+            found = _by_rounds(known.filter("__q is not null"), keys, odd, rounds, converged)
+            many = many.join(found.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__m").alias(f"__m{i}")), _same(keys), "left").select(*keys, "__rows", "__n", *(f"__m{j}" for j in range(i + 1)))
+        out = out.union(many)
+    named = [c for i, (_, _, name, error_name) in enumerate(pairs) for c in (F.col(f"__m{i}.mean").alias(name), F.col(f"__m{i}.err").alias(error_name))]
+    return out.select(*keys, *named, *([F.col("__n").cast("long").alias(count_name)] if count_name else []), *([F.col("__rows").alias(rows_name)] if rows_name else []))
+
+
+def odd_ratio_mean(df: DataFrame, keys: Sequence[str], value: str, error: str, *, name: str = "mean", error_name: str = "mean_err", **settings) -> DataFrame:
+    """robust_means of one pair."""
+    return robust_means(df, keys, [(value, error, name, error_name)], **settings)
 
 
 def robust_sigma(value: Column, sigma: float = 1.0) -> Column:
@@ -171,11 +262,16 @@ def line_fit(x: Column, y: Column, weight: Column) -> dict[str, Column]:
     return {"n": F.count(F.lit(1)), "s": F.sum(w), "sx": F.sum(w * x), "sy": F.sum(w * y), "sxx": F.sum(w * x * x), "sxy": F.sum(w * x * y), "syy": F.sum(w * y * y)}
 
 
-def line_from_sums(prefix: str = "") -> dict[str, Column]:
-    """Slope, level and their errors from line_fit's columns; the covariance is scaled by the residuals' chi squared."""
-    s, sx, sy, sxx, sxy, syy, n = (F.col(prefix + c) for c in ("s", "sx", "sy", "sxx", "sxy", "syy", "n"))
+def line_from(sums: Callable[[str], Column]) -> dict[str, Column]:
+    """Slope, level and their errors from line_fit's sums; the covariance is scaled by the residuals' chi squared."""
+    s, sx, sy, sxx, sxy, syy, n = (sums(c) for c in ("s", "sx", "sy", "sxx", "sxy", "syy", "n"))
     det = s * sxx - sx * sx
     slope, level = F.try_divide(s * sxy - sx * sy, det), F.try_divide(sxx * sy - sx * sxy, det)
     chi = F.greatest(syy - slope * sxy - level * sy, F.lit(0.0))
     scale = F.try_divide(chi, n - 2)
     return {"slope": slope, "level": level, "slope_err": F.sqrt(scale * F.try_divide(s, det)), "level_err": F.sqrt(scale * F.try_divide(sxx, det))}
+
+
+def line_from_sums(prefix: str = "") -> dict[str, Column]:
+    """line_from columns of the given prefix."""
+    return line_from(lambda c: F.col(prefix + c))

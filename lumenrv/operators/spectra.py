@@ -96,29 +96,95 @@ def _weighted_line(prob: Column, error: Column) -> dict[str, Column]:
     return {**{f"__a_{k}": v for k, v in one.items()}, **{f"__b_{k}": v for k, v in two.items()}}
 
 
-def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str, error: str, *, reference: float, bias: str | None = None, rounds: int = 10) -> DataFrame:
+FIT = ("level", "level_err", "slope", "slope_err", "crx", "crx_err")
+
+
+def _reweighted(y: Column, x: Column, e: Column, fit: Column | None) -> Column:
+    """A point's weight: its chance to be valid, given the line before, over its error."""
+    if fit is None:
+        return F.lit(1.0) / e
+    g = F.exp(F.pow((y - fit["level"] - fit["slope"] * x) / e, F.lit(2)) * -0.5)
+    return g * (1 + 1e-4) / (g + 1e-4) / e
+
+
+def _slope_of_points(points: Column, rounds: int) -> Column:
+    """struct of FIT for an array of struct(x, l, y, e): a fold over rounds, each of which folds over the points."""
+    names = ("s", "sx", "sy", "sxx", "sxy", "syy")
+
+    def fit(state: Column | None) -> Column:
+        def add(a: Column, p: Column) -> Column:
+            w2 = F.pow(_reweighted(p["y"], p["x"], p["e"], state), F.lit(2))
+            terms = lambda w, x: (w, w * x, w * p["y"], w * x * x, w * x * p["y"], w * p["y"] * p["y"])
+            both = lambda w: F.struct(*((a[f"{side}_{k}"] + t).alias(f"{side}_{k}") for side, x in (("a", p["x"]), ("b", p["l"])) for k, t in zip(names, terms(w, x))))
+            return F.transform(F.array(w2), both)[0]
+
+        zero = F.struct(*(F.lit(0.0).alias(f"{side}_{k}") for side in "ab" for k in names))
+        n = F.size(points)
+
+        def solved(t: Column) -> Column:
+            one, two = (robust.line_from(lambda c, side=side: n if c == "n" else t[f"{side}_{c}"]) for side in "ab")
+            return F.struct(*(one[k].alias(k) for k in FIT[:4]), two["slope"].alias("crx"), two["slope_err"].alias("crx_err"))
+
+        return F.transform(F.array(F.aggregate(points, zero, add)), solved)[0]
+
+    def step(state: Column, _: Column) -> Column:
+        new = F.transform(F.array(fit(state)), lambda f: F.struct(*(f[k].alias(k) for k in FIT), F.coalesce(F.abs(f["level"] - state["level"]) >= f["level_err"] * 0.1, F.lit(False)).alias("moving")))[0]
+        return F.when(state["moving"], new).otherwise(state)
+
+    first = F.transform(F.array(fit(None)), lambda f: F.struct(*(f[k].alias(k) for k in FIT), F.lit(True).alias("moving")))[0]
+    return F.aggregate(F.sequence(F.lit(2), F.lit(rounds)), first, step) if rounds > 1 else first
+
+
+def _percentile_of(values: Column, share: float) -> Column:
+    """Percentile of an array without nulls, linear between places."""
+    place = F.lit(share) * (F.size(values) - 1)
+    part = place - F.floor(place)
+    return F.transform(F.array(F.array_sort(values)), lambda s: F.get(s, F.floor(place).cast("int")) * (1 - part) + F.get(s, F.ceil(place).cast("int")) * part)[0]
+
+
+def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str, error: str, *, reference: float, bias: str | None = None, rounds: int = 10, gathered: int = 100_000) -> DataFrame:
     """Velocity at a reference wavelength (level), slope (per um) and CRX of each group, with errors.
 
-    A straight line is fitted by grouped sums, round by round: each point's weight is its chance to be valid, given the line
-    before, over its error. Points ten errors off the median or with errors of a hundred medians take no part; where a
-    group has errors of zero, all below half its first percentile count as that. A group stops when its level moves by less
-    than a tenth of its error, at latest after rounds. Groups of fewer than three points have nulls. bias is taken off the
-    velocities once the points are chosen.
+    A straight line is fitted round by round: each point's weight is its chance to be valid, given the line before, over its
+    error. Points ten errors off the median or with errors of a hundred medians take no part; where a group has errors of
+    zero, all below half its first percentile count as that. A group stops when its level moves by less than a tenth of its
+    error, at latest after rounds. Groups of fewer than three points have nulls. bias is taken off the velocities once the
+    points are chosen. Groups of up to gathered rows are worked on in one row each after one shuffle, larger ones by grouped
+    sums; both give the same numbers. df is read twice: hand over a written table where it is dear.
     """
     keys = list(keys)
-    y, e = finite(F.col(velocity)), finite(F.col(error))
     off = finite(F.col(bias)) if bias else F.lit(0.0)
-    rows = materialize(df.select(*keys, finite(F.col(wave)).alias("__w"), y.alias("__v"), e.alias("__e"), off.alias("__o")))
+    rows = df.select(*keys, finite(F.col(wave)).alias("__w"), finite(F.col(velocity)).alias("__v"), finite(F.col(error)).alias("__e"), off.alias("__o"))
+    large = robust.crowded(rows, keys, gathered)
+    few = rows if large is None else rows.join(large, robust._same(keys), "left_anti")
+    lists = few.groupBy(*keys).agg(F.collect_list(F.struct(F.col("__w").alias("w"), F.col("__v").alias("v"), F.col("__e").alias("e"), F.col("__o").alias("o"))).alias("__p"))
+    known = lambda c: F.filter(F.transform("__p", lambda p: p[c]), lambda x: x.isNotNull())
+    middles = lists.select(*keys, "__p", _percentile_of(known("v"), 0.5).alias("__vm"), _percentile_of(known("e"), 0.5).alias("__em"))
+    good = lambda p: p["w"].isNotNull() & p["o"].isNotNull() & (F.abs(p["v"] - F.col("__vm")) < p["e"] * 10) & (p["e"] < F.col("__em") * 100)
+    chosen = middles.select(*keys, F.filter("__p", lambda p: F.coalesce(good(p), F.lit(False))).alias("__p"))
+    errors = F.transform("__p", lambda p: p["e"])
+    floored = chosen.select(*keys, "__p", F.when(F.array_min(errors) == 0, _percentile_of(errors, 0.01) / 2).otherwise(0.0).alias("__f"))
+    point = lambda p: F.struct((p["w"] - reference).alias("x"), F.log(p["w"] / reference).alias("l"), (p["v"] - p["o"]).alias("y"), F.greatest(p["e"], F.col("__f")).alias("e"))
+    points = floored.select(*keys, F.transform("__p", point).alias("__p"))
+    fit = F.when(F.size("__p") >= 3, _slope_of_points(F.col("__p"), rounds))
+    scaled = lambda t: t.select(*keys, *((F.col(k) * (1000 if "slope" in k else 1)).alias(k) for k in FIT))
+    out = scaled(points.select(*keys, fit.alias("__fit")).select(*keys, *(F.col("__fit")[k].alias(k) for k in FIT)))
+    if large is not None:
+        held = materialize(rows.join(large, robust._same(keys), "left_semi"))
+        out = out.union(scaled(_slope_by_rounds(held, keys, reference, rounds)))
+    return out
+
+
+def _slope_by_rounds(rows: DataFrame, keys: list[str], reference: float, rounds: int) -> DataFrame:
+    """chromatic_slope for groups of any size: every round is one grouping with partial sums."""
     same = lambda: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
     named = lambda t: t.select(*(F.col(k).alias(f"__{k}") for k in keys), *[c for c in t.columns if c not in keys])
-    middle = robust.exact_median(rows, keys, "__v", name="__vm").join(robust.exact_percentiles(rows, keys, "__e", [0.5], name="__em"), keys)
-    good = rows.join(named(middle), same()).filter("__w is not null and __v is not null and __o is not null and abs(__v - __vm) < 10 * __e and __e < 100 * __em[0]").select(*rows.columns)
-    good = materialize(good)
+    middle = named(robust.exact_median(rows, keys, "__v", name="__vm")).join(robust.exact_median(rows, keys, "__e", name="__em"), same()).select(*keys, "__vm", "__em")
+    good = materialize(rows.join(named(middle), same()).filter("__w is not null and __v is not null and __o is not null and abs(__v - __vm) < 10 * __e and __e < 100 * __em").select(*rows.columns))
     least = good.groupBy(*keys).agg(F.min("__e").alias("__least")).filter("__least = 0")
-    floor = named(robust.exact_percentiles(good.join(least.select(*keys), keys, "left_semi"), keys, "__e", [0.01], name="__f"))
+    floor = named(robust.exact_percentiles(good.join(named(least).drop("__least"), same(), "left_semi"), keys, "__e", [0.01], name="__f"))
     points = good.join(floor, same(), "left").select(
         *keys, (F.col("__w") - reference).alias("__x"), F.log(F.col("__w") / reference).alias("__l"), (F.col("__v") - F.col("__o")).alias("__y"), F.greatest("__e", F.coalesce(F.get("__f", F.lit(0)) / 2, F.col("__e"))).alias("__e"))
-    points = materialize(points)
     state, done = None, None
     for _ in range(rounds):
         if state is None:
@@ -130,13 +196,12 @@ def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str
         lines = {part: robust.line_from_sums(f"__{part}_") for part in "ab"}
         fit = sums.select(*keys, "last", *(lines["a"][k].alias(k) for k in ("level", "level_err", "slope", "slope_err")), lines["b"]["slope"].alias("crx"), lines["b"]["slope_err"].alias("crx_err"), (F.col("__a_n") >= 3).alias("__enough"))
         fit = fit.withColumn("moving", F.coalesce(F.col("__enough") & (F.abs(F.col("level") - F.col("last")) >= F.col("level_err") * 0.1), F.lit(False)))
-        state = materialize(fit)
+        state = materialize(fit)  # one row a group
         settled = state.filter("not moving")
         done = settled if done is None else done.union(settled)
         if state.filter("moving").isEmpty():
             break
     else:
         done = done.union(state.filter("moving"))
-    out = named(done.select(*keys, *(F.when(F.col("__enough"), F.col(k) * (1000 if "slope" in k else 1)).alias(k) for k in ("level", "level_err", "slope", "slope_err", "crx", "crx_err"))))
-    groups = rows.select(*keys).distinct()
-    return groups.join(out, same(), "left").select(*keys, "level", "level_err", "slope", "slope_err", "crx", "crx_err")
+    out = named(done.select(*keys, *(F.when(F.col("__enough"), F.col(k)).alias(k) for k in FIT)))
+    return rows.select(*keys).distinct().join(out, same(), "left").select(*keys, *FIT)

@@ -109,15 +109,17 @@ def biased(spark, d):
     return compiled.line_biases(measurements(spark, d), "epoch", "line", "dv", "sdv")
 
 
-def bias_sql(source: str, keys: tuple[str, str] = ("epoch", "line")) -> str:
+def bias_sql(source: str, keys: tuple[str, str] = ("epoch", "line"), few: bool = False) -> str:
     """Common table expressions that end in z (the zero point) and bias(line, bias, bias_err), for a source of (epoch, line, dv, sdv)."""
     x, k = keys
+    seldom = f" UNION ALL SELECT {k}, avg(dv), stddev_pop(dv) / sqrt(count(dv)) FROM {source} WHERE {k} IN (SELECT {k} FROM share WHERE frac >= 0.1 AND known < 3) GROUP BY {k}" if few else ""
     return f"""{robust_sql(f"SELECT {x}, dv AS v, sdv AS e FROM {source} WHERE dv IS NOT NULL", [x], 'n')},
 share AS (SELECT {k}, avg(CASE WHEN dv IS NOT NULL THEN 1e0 ELSE 0e0 END) AS frac, count(dv) AS known FROM {source} GROUP BY {k}),
 diff AS (SELECT m.{k}, m.{x}, m.dv, m.sdv, m.dv - n.mean AS diff FROM {source} m JOIN n ON m.{x} = n.{x} JOIN share s ON s.{k} = m.{k} WHERE frac >= 0.1 AND known >= 3),
 middle AS (SELECT {k}, median(diff) AS middle FROM diff GROUP BY {k}),
-{robust_sql(f"SELECT diff.{k}, diff - middle AS v, sdv AS e FROM diff JOIN middle ON diff.{k} = middle.{k} WHERE diff IS NOT NULL", [k], "b")},
-{robust_sql("SELECT 0 AS one, mean AS v, mean_err AS e FROM b WHERE mean IS NOT NULL", ["one"], "z")},
+{robust_sql(f"SELECT diff.{k}, diff - middle AS v, sdv AS e FROM diff JOIN middle ON diff.{k} = middle.{k} WHERE diff IS NOT NULL", [k], "often")},
+b AS (SELECT {k}, mean, mean_err FROM often{seldom}),
+{robust_sql("SELECT 0 AS one, mean AS v, mean_err AS e FROM b WHERE mean IS NOT NULL AND mean_err > 0", ["one"], "z")},
 spread AS (SELECT (quantile_cont(b.mean - z.mean, {HIGH!r}) - quantile_cont(b.mean - z.mean, {LOW!r})) / 2 AS s FROM b, z),
 bias AS (SELECT share.{k}, CASE WHEN abs((b.mean - z.mean) / s) <= 100 THEN b.mean - z.mean END AS bias, b.mean_err AS bias_err FROM share LEFT JOIN b ON b.{k} = share.{k}, z, spread)"""
 
@@ -128,7 +130,7 @@ BIAS = bias_sql(measurements_sql())
 @query(f"WITH {BIAS} SELECT line, round(bias, 4) AS bias, round(bias_err, 4) AS bias_err FROM bias")
 def line_bias(spark, d):
     """Bias of each line over all nights, with the zero point taken off; lines measured too seldom or far off have none."""
-    return rounded(biased(spark, d), ["line"], 4)
+    return rounded(biased(spark, d).drop("scale"), ["line"], 4)
 
 
 @query(f"WITH {BIAS} SELECT round(mean, 4) AS mean, round(mean_err, 4) AS mean_err FROM z")
@@ -147,13 +149,30 @@ def exposure_velocity(spark, d):
     return rounded(robust.odd_ratio_mean(clean, ["epoch"], "clean", "sdv"), ["epoch"], 4)
 
 
-@query(f"""WITH s AS (SELECT line, (quantile_cont(dv / sdv, {HIGH!r}) - quantile_cont(dv / sdv, {LOW!r})) / 2 AS s FROM {measurements_sql()} GROUP BY line)
-SELECT event_id, round(sdv * s, 6) AS sdv FROM {measurements_sql()} m JOIN s ON m.line = s.line""")
+NIGHT_MEANS = robust_sql(_points("epoch"), ["epoch"], "n")
+
+
+@query(f"""WITH {NIGHT_MEANS},
+share AS (SELECT line, avg(CASE WHEN dv IS NOT NULL THEN 1e0 ELSE 0e0 END) AS frac, count(dv) AS known FROM {measurements_sql()} GROUP BY line),
+s AS (SELECT m.line, (quantile_cont((dv - mean) / sdv, 0.84) - quantile_cont((dv - mean) / sdv, 0.16)) / 2 AS s FROM {measurements_sql()} m JOIN n ON m.epoch = n.epoch JOIN share USING (line) WHERE frac >= 0.1 AND known >= 3 GROUP BY m.line)
+SELECT event_id, round(sdv * coalesce(s, 1), 6) AS sdv FROM {measurements_sql()} m LEFT JOIN s ON m.line = s.line""")
 def force_sigma_per_line(spark, d):
-    """Errors scaled so that each line's normalised residuals have unit spread."""
+    """Errors scaled so that each line's differences from its nights' means have unit spread over their errors."""
     m = measurements(spark, d)
-    scale = m.groupBy("line").agg(robust.robust_sigma(F.col("dv") / F.col("sdv")).alias("s"))
-    return m.join(scale, "line").select("event_id", F.round(F.col("sdv") * F.col("s"), 6).alias("sdv"))
+    scale = compiled.line_biases(m, "epoch", "line", "dv", "sdv", force_sigma=True, centred=False).select("line", "scale")
+    return m.join(scale, "line").select("event_id", F.round(F.col("sdv") * F.col("scale"), 6).alias("sdv"))
+
+
+#: Three exposures (by flag) of many lines (orders), most of which are measured in one or two of them.
+FEW = "(SELECT l_returnflag AS exposure, l_orderkey AS line, avg(l_quantity) AS dv, 1 + avg(l_tax) * 10 AS sdv FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH facts AS {FEW}, {bias_sql("facts", ("exposure", "line"), few=True)} SELECT line, round(bias, 4) AS bias, round(bias_err, 4) AS bias_err FROM bias""")
+def line_bias_of_few_exposures(spark, d):
+    """Biases from fewer than five exposures: lines measured once or twice have their plain mean."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    few = materialize(li.groupBy(F.col("l_returnflag").alias("exposure"), F.col("l_orderkey").alias("line")).agg(F.avg("l_quantity").alias("dv"), (F.avg("l_tax") * 10 + 1).alias("sdv")))
+    return rounded(compiled.line_biases(few, "exposure", "line", "dv", "sdv", few_exposures=True).drop("scale"), ["line"], 4)
 
 
 BINS = ", ".join(f"('{k}', {a!r}e0, {b!r}e0)" for k, a, b in spectral.uniform_bins(900.0, 1950.0, 25))
@@ -284,7 +303,8 @@ def chromatic_slope(spark, d):
 TABLE_BANDS = {"blue": (900.0, 1250.0), "red": (1250.0, 1950.0)}
 TABLE_REGIONS = {"": (float("-inf"), float("inf")), "_0_50": (0.0, 50.0)}
 TABLE_FACTS = f"""(SELECT epoch AS exposure, line, 900 + CAST(line * 7 % 1050 AS DOUBLE) AS wave_start, line % 60 AS n_pixels, CAST(event_id % 100 AS DOUBLE) AS pixel, dv, sdv,
-  CASE WHEN event_id % 13 <> 0 THEN dv * dv / 100 END AS d2v, sdv * 3 AS sd2v, CASE WHEN event_id % 13 <> 0 THEN dv / 300 END AS contrast, sdv / 300 AS sig_contrast FROM {measurements_sql(30.0)})"""
+  CASE WHEN event_id % 13 <> 0 THEN dv * dv / 100 END AS d2v, sdv * 3 AS sd2v, CASE WHEN event_id % 13 <> 0 THEN dv / 300 END AS contrast, sdv / 300 AS sig_contrast,
+  CASE WHEN event_id % 13 <> 0 THEN dv * (event_id % 7 - 3) END AS d3v, sdv * 4 AS sd3v, CASE WHEN event_id % 3 <> 0 THEN dv / (1 + event_id % 4) END AS warmth, sdv / 2 AS swarmth FROM {measurements_sql(30.0)})"""
 
 
 def table_facts(spark, d):
@@ -292,11 +312,13 @@ def table_facts(spark, d):
     v = spectral.finite(F.col("dv"))
     return m.select(
         F.col("epoch").alias("exposure"), "line", (F.col("line") * 7 % 1050 + 900.0).alias("wave_start"), (F.col("line") % 60).alias("n_pixels"), (F.col("event_id") % 100).cast("double").alias("pixel"), v.alias("dv"), "sdv",
-        F.when(known, v * v / 100).alias("d2v"), (F.col("sdv") * 3).alias("sd2v"), F.when(known, v / 300).alias("contrast"), (F.col("sdv") / 300).alias("sig_contrast"), F.lit(None).cast("double").alias("d3v"), F.lit(1.0).alias("sd3v"),
+        F.when(known, v * v / 100).alias("d2v"), (F.col("sdv") * 3).alias("sd2v"), F.when(known, v / 300).alias("contrast"), (F.col("sdv") / 300).alias("sig_contrast"),
+        F.when(known, v * (F.col("event_id") % 7 - 3)).alias("d3v"), (F.col("sdv") * 4).alias("sd3v"), F.when(F.col("event_id") % 3 != 0, v / (F.col("event_id") % 4 + 1)).alias("warmth"), (F.col("sdv") / 2).alias("swarmth"),
     )
 
 
-def _table_sql() -> str:
+def _table_sql(calibration: bool = False) -> str:
+    bias = "bias AS (SELECT DISTINCT line, 0e0 AS bias, NULL AS bias_err FROM facts)" if calibration else bias_sql("facts", ("exposure", "line"))
     of = lambda v, e, name: robust_sql(f"SELECT exposure, {v} AS v, {e} AS e FROM clean WHERE {v} IS NOT NULL", ["exposure"], name)
     cells = ", ".join(f"('{b}{r}', {lo!r}e0, {hi!r}e0, {max(a, -1e9)!r}, {min(z, 1e9)!r})" for b, (lo, hi) in TABLE_BANDS.items() for r, (a, z) in TABLE_REGIONS.items())
     names = [b + r for b in TABLE_BANDS for r in TABLE_REGIONS]
@@ -304,24 +326,37 @@ def _table_sql() -> str:
     wide = ", ".join(f"round(coalesce(max(CASE WHEN band = '{n}' AND {enough} THEN {src} END), 0), 3) AS {col}_{n}" for n in names for col, src in (("vrad", "o.mean"), ("svrad", "o.mean_err")))
     width, full = 8 * math.log(2), spectral.FWHM
     return f"""WITH every AS {TABLE_FACTS}, keep AS (SELECT DISTINCT line FROM every WHERE exposure = (SELECT min(exposure) FROM every) AND wave_start > 900 AND wave_start < 1900 AND n_pixels < 50),
-facts AS (SELECT * FROM every WHERE line IN (SELECT line FROM keep)), {bias_sql("facts", ("exposure", "line"))},
+facts AS (SELECT * FROM every WHERE line IN (SELECT line FROM keep)), {bias},
 clean AS (SELECT facts.*, bias, dv - bias AS rv FROM facts JOIN bias ON bias.line = facts.line),
-{of("rv", "sdv", "vr")}, {of("d2v", "sd2v", "d2")}, {of("contrast", "sig_contrast", "co")},
+{of("rv", "sdv", "vr")}, {of("d2v", "sd2v", "d2")}, {of("contrast", "sig_contrast", "co")}, {of("d3v", "sd3v", "d3")}, {of("warmth", "swarmth", "wa")},
 {chromatic_sql("SELECT exposure, wave_start AS w, dv AS y, sdv AS e, bias AS o FROM clean WHERE dv IS NOT NULL", ["exposure"], 1600.0, "ch")},
 cells(band, low, high, first, final) AS (VALUES {cells}), held AS (SELECT exposure, band, rv AS v, sdv AS e FROM clean JOIN cells ON wave_start > low AND wave_start < high AND pixel > first AND pixel < final),
 {robust_sql("SELECT exposure, band, v, e FROM held WHERE v IS NOT NULL", ["exposure", "band"], "o")}, k AS (SELECT exposure, band, count(v) AS n, count(*) AS lines FROM held GROUP BY ALL),
 bands AS (SELECT k.exposure, {wide} FROM k LEFT JOIN o USING (exposure, band) GROUP BY k.exposure)
-SELECT x.exposure, round(vr.mean, 3) AS vrad, round(vr.mean_err, 3) AS svrad, round(co.mean, 6) AS contrast, round(d2.mean, 3) AS d2v, round(d2.mean_err, 3) AS sd2v, round(d2.mean * {width!r}e0, 2) AS "dW",
+SELECT x.exposure, round(vr.mean, 3) AS vrad, round(vr.mean_err, 3) AS svrad, round(co.mean, 6) AS contrast, round(d2.mean, 3) AS d2v, round(d2.mean_err, 3) AS sd2v, round(d3.mean, 3) AS d3v, round(d3.mean_err, 3) AS sd3v, round(wa.mean, 4) AS warmth, round(wa.mean_err, 4) AS swarmth, round(d2.mean * {width!r}e0, 2) AS "dW",
   round(2.5e3 * {full!r}e0 + d2.mean * {width!r}e0 / (2.5e3 * {full!r}e0), 3) AS fwhm, round(level, 3) AS vrad_achromatic, round(level_err, 3) AS svrad_achromatic, round(slope, 2) AS vrad_chromatic_slope, bands.* EXCLUDE (exposure)
-FROM (SELECT DISTINCT exposure FROM every) x LEFT JOIN vr USING (exposure) LEFT JOIN d2 USING (exposure) LEFT JOIN co USING (exposure) LEFT JOIN ch USING (exposure) LEFT JOIN bands USING (exposure)"""
+FROM (SELECT DISTINCT exposure FROM every) x LEFT JOIN vr USING (exposure) LEFT JOIN d2 USING (exposure) LEFT JOIN co USING (exposure) LEFT JOIN d3 USING (exposure) LEFT JOIN wa USING (exposure) LEFT JOIN ch USING (exposure) LEFT JOIN bands USING (exposure)"""
 
 
-@query(_table_sql())
-def compiled_table(spark, d):
-    """All nights' velocities, widths, contrast, chromatic terms and band velocities as one table."""
+def _table(spark, d, calibration):
     facts = materialize(table_facts(spark, d))
     exposures_ = facts.select("exposure").distinct().withColumn("ew", F.lit(2500.0))
-    table = compiled.velocity_table(facts, exposures_, small(spark, TABLE_BANDS), first="exposure", window=(900.0, 1900.0), most_pixels=50, reference=1600.0, regions=TABLE_REGIONS, width=300.0)
-    digits = {"contrast": 6, "dW": 2, "vrad_chromatic_slope": 2}
+    table = compiled.velocity_table(
+        facts, exposures_, small(spark, TABLE_BANDS), first="exposure", window=(900.0, 1900.0), most_pixels=50, reference=1600.0, regions=TABLE_REGIONS, width=300.0,
+        projections=("warmth",), pivot=[b + r for b in TABLE_BANDS for r in TABLE_REGIONS], calibration=calibration)
+    digits = {"contrast": 6, "dW": 2, "vrad_chromatic_slope": 2, "warmth": 4, "swarmth": 4}
     bands = [f"{c}_{b}{r}" for b in TABLE_BANDS for r in TABLE_REGIONS for c in ("vrad", "svrad")]
-    return table.select("exposure", *(F.round(c, digits.get(c, 3)).alias(c) for c in ("vrad", "svrad", "contrast", "d2v", "sd2v", "dW", "fwhm", "vrad_achromatic", "svrad_achromatic", "vrad_chromatic_slope", *bands)))
+    names = ("vrad", "svrad", "contrast", "d2v", "sd2v", "d3v", "sd3v", "warmth", "swarmth", "dW", "fwhm", "vrad_achromatic", "svrad_achromatic", "vrad_chromatic_slope", *bands)
+    return table.select("exposure", *(F.round(c, digits.get(c, 3)).alias(c) for c in names))
+
+
+@query(_table_sql())
+def compiled_table(spark, d):
+    """All nights' velocities, widths, contrast, third derivative, a projection, chromatic terms and band velocities as one table."""
+    return _table(spark, d, False)
+
+
+@query(_table_sql(calibration=True))
+def calibration_table(spark, d):
+    """The same of a calibration: its first velocities stay and lines have no biases."""
+    return _table(spark, d, True)

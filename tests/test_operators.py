@@ -39,11 +39,48 @@ def test_robust_mean_both_ways_equal_the_kernel(spark):
     assert robust.odd_ratio_mean(df.limit(0), ["k"], "v", "e").count() == 0
 
 
-def test_exact_medians(spark):
+SHARES = (0.0, 0.005, 0.16, 0.5, 0.84, 0.999, 1.0)
+
+
+@pytest.mark.parametrize("gathered", [20_000, 40])
+def test_exact_percentiles(spark, gathered):
+    """Skewed, tied and far-flung groups; rounds go on until 40 values are left."""
     rng = np.random.default_rng(8)
-    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 999), (3, 20_000)) for v in rng.normal(size=n)] + [(4, float(i % 3)) for i in range(5000)] + [(None, 2.0)]
-    got = {r.k: r["median"] for r in robust.exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
-    assert got == {k: pytest.approx(np.median([v for j, v in rows if j == k])) for k in (0, 1, 2, 3, 4, None)}
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 999), (3, 5000)) for v in rng.normal(size=n)] + [(4, float(i % 3)) for i in range(3000)] + [(None, 2.0)]
+    rows += [(5, float(v)) for v in np.exp(rng.normal(0, 60, 3000))] + [(6, 7.5)] * 2500 + [(7, v) for v in [1.0] * 1500 + list(map(float, rng.normal(size=1500)))]
+    df = spark.createDataFrame([(k, v, 1) for k, v in rows] + [(8, NAN, 1), (8, None, 1), (3, NAN, 1), (3, float("inf"), 1)], "v int, x double, p int")
+    got = {r.v: r.q for r in robust.exact_percentiles(df, ["v"], "x", SHARES, name="q", gathered=gathered).collect()}
+    assert got.keys() == {k for k, _ in rows}
+    for k, q in got.items():
+        assert q == pytest.approx(np.percentile([v for j, v in rows if j == k], [100 * s for s in SHARES]).tolist(), rel=1e-12)
+    assert robust.exact_median(df.filter("v = 2"), ["v"], "x", gathered=gathered).columns == ["v", "median"]
+    assert robust.exact_percentiles(df.limit(0), ["v"], "x", [0.5], gathered=gathered).collect() == []
+
+
+@pytest.mark.parametrize("gathered", [20_000, 40])
+def test_percentiles_with_infinities(spark, gathered):
+    v = [-math.inf] * 300 + [float(i) for i in range(400)] + [math.inf] * 500
+    df = spark.createDataFrame([(x,) for x in v], "x double").withColumn("k", F.lit(1))
+    got = robust.exact_percentiles(df, ["k"], "x", [0.1, 0.5, 0.9, 1.0], infinite=True, gathered=gathered).first().p
+    assert got == [-math.inf, 299.5, math.inf, math.inf]
+    assert robust.exact_percentiles(df, ["k"], "x", [0.5], gathered=gathered).first().p == [199.5]
+
+
+def test_several_pairs_about_their_median_both_ways(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 3, float(rng.normal(5, 1)), 1.0 + i % 2, None if i % 7 == 0 else float(rng.normal()), NAN if i % 11 == 0 else 2.0) for i in range(900)] + [(9, None, 1.0, 4.0, None)]
+    df = spark.createDataFrame(rows, "k int, a double, sa double, b double, sb double")
+    pairs = [("a", "sa", "ma", "ea"), ("b", "sb", "mb", "eb")]
+    for gathered in (100_000, 50):
+        for about in (False, True):
+            got = {r.k: r for r in robust.robust_means(df, ["k"], pairs, about_median=about, count_name="n", rows_name="m", gathered=gathered).collect()}
+            assert got[9].ma is None and got[9].mb is None and got[9].m == 1
+            for k in range(3):
+                for i, (m, e) in enumerate((("ma", "ea"), ("mb", "eb"))):
+                    v, s = (np.array([math.nan if r[c] is None else r[c] for r in rows if r[0] == k]) for c in (1 + 2 * i, 2 + 2 * i))
+                    want = curves.odd_ratio_mean(v - (np.nanmedian(v) if about else 0), s)
+                    assert (got[k][m], got[k][e]) == pytest.approx(want, rel=1e-9, abs=1e-12)
+                assert got[k].m == 300
 
 
 def test_outliers_do_not_move_the_mean():
