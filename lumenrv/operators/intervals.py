@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenrv.operators.ordered import in_blocks, running
+
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, *, width: float, how: str = "inner", closed: bool = False) -> DataFrame:
     """Points with the ranges that hold them, strictly inside unless closed.
@@ -22,18 +24,23 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return own.join(dealt, (F.col("__own") == F.col("__cell")) & inside, how).drop("__own", "__cell")
 
 
-def interval_means(points: DataFrame, table: DataFrame, key: str, other: str, point: str, low: str, high: str, values: dict[str, str], *, width: float) -> DataFrame:
+def interval_means(points: DataFrame, table: DataFrame, key: str, other: str, point: str, low: str, high: str, values: dict[str, str], *, blocks: int | None = None) -> DataFrame:
     """Points with the means (column: new name) of the table's rows of equal key whose open interval holds them; null without one.
 
-    Joined by key and time cell. Equal points of a key and equal intervals are taken together first, so that a key of very
-    many rows meets each distinct pair once.
+    A sweep: an interval's values are added at its low end and taken off at its high one, and a point reads the running sums.
+    So n points and intervals cost n log n, however many intervals hold a point, and a key of very many rows is spread over
+    blocks. Ends and points of equal place are taken together first. Intervals without inside, and null ends and keys, hold nothing.
     """
-    grouped = table.groupBy(other, low, high).agg(*(F.sum(c).alias(f"__s_{c}") for c in values), *(F.count(c).alias(f"__n_{c}") for c in values))
-    grouped = grouped.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width).cast("bigint"), F.floor(F.col(high) / width).cast("bigint"))))
-    places = points.select(F.col(key).alias("__key"), F.col(point).alias("__at")).distinct().withColumn("__own", F.floor(F.col("__at") / width).cast("bigint"))
-    met = places.join(grouped, (F.col("__key") == F.col(other)) & (F.col("__own") == F.col("__cell")) & (F.col("__at") > F.col(low)) & (F.col("__at") < F.col(high)))
-    means = met.groupBy("__key", "__at").agg(*(F.try_divide(F.sum(f"__s_{c}"), F.sum(f"__n_{c}")).alias(n) for c, n in values.items()))
-    return points.join(means, F.col(key).eqNullSafe(F.col("__key")) & F.col(point).eqNullSafe(F.col("__at")), "left").drop("__key", "__at")
+    ends = table.filter(F.col(low) < F.col(high)).filter(F.col(other).isNotNull())
+    at = lambda end, kind, sign: ends.groupBy(F.col(other).alias("__key"), F.col(end).alias("__at")).agg(
+        *(x for i, c in enumerate(values) for x in ((F.sum(c) * sign).alias(f"__s{i}"), (F.count(c) * sign).alias(f"__n{i}")))).withColumn("__kind", F.lit(kind))
+    asked = points.select(F.col(key).alias("__key"), F.col(point).alias("__at")).filter("__key is not null and __at is not null").distinct().withColumn("__kind", F.lit(1))
+    events = at(high, 0, -1).unionByName(asked, allowMissingColumns=True).unionByName(at(low, 2, 1))  # of one place: ends, points, starts
+    order = ["__at", "__kind"]
+    sums = {f"__t{n}{i}": F.col(f"__{n}{i}") for i in range(len(values)) for n in "sn"}
+    swept = running(in_blocks(events, ["__key"], order, blocks), ["__key"], order, sums=sums).filter("__kind = 1")
+    means = swept.select("__key", "__at", *(F.when(F.col(f"__tn{i}") > 0, F.col(f"__ts{i}") / F.col(f"__tn{i}")).alias(n) for i, n in enumerate(values.values())))
+    return points.join(means, (F.col(key) == F.col("__key")) & (F.col(point) == F.col("__at")), "left").drop("__key", "__at")
 
 
 def consecutive(df: DataFrame, keys: Sequence[str], position: str, *, start: str = "start", end: str = "end") -> DataFrame:

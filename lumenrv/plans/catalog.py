@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenrv.plans import expressions, kernels, orders, sequences, stages, statistics  # noqa: F401  (they register their queries)
+from lumenrv.plans import expressions, kernels, orders, pixels, sequences, stages, statistics  # noqa: F401  (they register their queries)
 from lumenrv.plans.registry import QUERIES, SQL, Query
 
 

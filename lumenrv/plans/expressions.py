@@ -150,7 +150,7 @@ def interval_lookup(spark, d):
     """Mean of a quantity over the intervals around an exposure's time, 0 without one."""
     every = exposures(spark, d)
     table = every.select(F.col("object").alias("target"), (F.col("mjd") - 20).alias("low"), (F.col("mjd") + 20).alias("high"), "snr")
-    return intervals.interval_means(every, table, "object", "target", "mjd", "low", "high", {"snr": "vsys"}, width=40.0).select("exposure", F.coalesce(F.round("vsys", 6), F.lit(0.0)).alias("vsys"))
+    return intervals.interval_means(every, table, "object", "target", "mjd", "low", "high", {"snr": "vsys"}).select("exposure", F.coalesce(F.round("vsys", 6), F.lit(0.0)).alias("vsys"))
 
 
 @query(f"""WITH e AS {EXPOSURES}, f AS (SELECT wavefile, arg_min(snr, (mjd, exposure)) AS ref FROM e WHERE kind = 'F' GROUP BY wavefile)
