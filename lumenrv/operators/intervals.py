@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenrv.operators.ordered import in_blocks, running
+from lumenrv.operators.robust import crowded
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, *, width: float, how: str = "inner", closed: bool = False) -> DataFrame:
@@ -24,25 +25,51 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return own.join(dealt, (F.col("__own") == F.col("__cell")) & inside, how).drop("__own", "__cell")
 
 
-def interval_means(points: DataFrame, table: DataFrame, key: str, other: str, point: str, low: str, high: str, values: dict[str, str], *, blocks: int | None = None) -> DataFrame:
+def interval_means(
+    points: DataFrame, table: DataFrame, key: str, other: str, point: str, low: str, high: str, values: dict[str, str], *, gathered: int = 200, blocks: int | None = None,
+) -> DataFrame:
     """Points with the means (column: new name) of the table's rows of equal key whose open interval holds them; null without one.
 
-    A sweep: an interval's values are added at its low end and taken off at its high one, and a point reads the running sums.
-    So n points and intervals cost n log n, however many intervals hold a point, and a key of very many rows is spread over
-    blocks. Ends and points of equal place are taken together first. Intervals without inside, and null ends and keys, hold nothing.
+    A key of up to gathered intervals is joined with its points as it is. Larger ones are swept: an interval's values are
+    added at its low end and taken off at its high one, and a point reads the running sums. So n points and intervals cost
+    n log n, however many intervals hold a point, and a key of very many rows is spread over blocks. Sums are of whole
+    multiples of 2**-53, so that they do not depend on an order and what is added and taken off again leaves nothing behind.
+    Intervals without inside, and null ends and keys, hold nothing.
     """
-    ends = table.filter(F.col(low) < F.col(high)).filter(F.col(other).isNotNull())
-    at = lambda end, kind, sign: ends.groupBy(F.col(other).alias("__key"), F.col(end).alias("__at")).agg(
-        *(x for i, c in enumerate(values) for x in ((F.sum(c) * sign).alias(f"__s{i}"), (F.count(c) * sign).alias(f"__n{i}")))).withColumn("__kind", F.lit(kind))
-    asked = points.select(F.col(key).alias("__key"), F.col(point).alias("__at")).filter("__key is not null and __at is not null").distinct().withColumn("__kind", F.lit(1))
-    events = at(high, 0, -1).unionByName(asked, allowMissingColumns=True).unionByName(at(low, 2, 1))  # of one place: ends, points, starts
-    order = ["__at", "__kind"]
-    sums = {f"__t{n}{i}": F.col(f"__{n}{i}") for i in range(len(values)) for n in "sn"}
-    swept = running(in_blocks(events, ["__key"], order, blocks), ["__key"], order, sums=sums).filter("__kind = 1")
-    means = swept.select("__key", "__at", *(F.when(F.col(f"__tn{i}") > 0, F.col(f"__ts{i}") / F.col(f"__tn{i}")).alias(n) for i, n in enumerate(values.values())))
+    held = table.filter((F.col(low) < F.col(high)) & F.col(other).isNotNull()).select(F.col(other).alias("__other"), F.col(low).alias("__low"), F.col(high).alias("__high"), *values)
+    asked = points.select(F.col(key).alias("__key"), F.col(point).alias("__at")).filter("__key is not null and __at is not null").distinct()
+    large = crowded(held, ["__other"], gathered)
+    few = held if large is None else held.join(large, F.col("__other") == F.col("__key___other"), "left_anti")
+    met = asked.join(few, (F.col("__key") == F.col("__other")) & (F.col("__at") > F.col("__low")) & (F.col("__at") < F.col("__high")))
+    means = _as_means(met.groupBy("__key", "__at").agg(*(F.sum(x).alias(f"__t{k}") for k, x in _fixed(values).items())), values)
+    if large is not None:
+        of = lambda t, k: t.join(large, F.col(k) == F.col("__key___other"), "left_semi")
+        means = means.union(_swept(of(asked, "__key"), of(held, "__other"), values, blocks))
     return points.join(means, (F.col(key) == F.col("__key")) & (F.col(point) == F.col("__at")), "left").drop("__key", "__at")
 
 
+def _fixed(values: dict[str, str]) -> dict[str, Column]:
+    """Each value as two whole numbers, of 2**-20 and 2**-53, and whether it is known."""
+    coarse = {c: F.rint(F.col(c) * 2.0**20) for c in values}
+    out = {f"h{i}": x.cast("decimal(38,0)") for i, x in enumerate(coarse.values())}
+    return out | {f"l{i}": F.rint((F.col(c) * 2.0**20 - x) * 2.0**33).cast("long") for i, (c, x) in enumerate(coarse.items())} | {f"n{i}": F.col(c).isNotNull().cast("long") for i, c in enumerate(values)}
+
+
+def _as_means(sums: DataFrame, values: dict[str, str]) -> DataFrame:
+    total = lambda i: F.col(f"__th{i}").cast("double") / 2.0**20 + F.col(f"__tl{i}") / 2.0**53
+    return sums.select("__key", "__at", *(F.when(F.col(f"__tn{i}") > 0, total(i) / F.col(f"__tn{i}")).alias(n) for i, n in enumerate(values.values())))
+
+
+def _swept(asked: DataFrame, held: DataFrame, values: dict[str, str], blocks: int | None) -> DataFrame:
+    """__key, __at and the means of the intervals open there."""
+    fixed = _fixed(values)
+    at = lambda end, kind, sign: held.groupBy(F.col("__other").alias("__key"), F.col(end).alias("__at")).agg(*((F.sum(x) * sign).alias(f"__{k}") for k, x in fixed.items())).withColumn("__kind", F.lit(kind))
+    events = at("__high", 0, -1).unionByName(asked.withColumn("__kind", F.lit(1)), allowMissingColumns=True).unionByName(at("__low", 2, 1))  # of one place: ends, points, starts
+    order = ["__at", "__kind"]
+    sums = running(in_blocks(events, ["__key"], order, blocks), ["__key"], order, sums={f"__t{k}": F.col(f"__{k}") for k in fixed}).filter("__kind = 1")
+    return _as_means(sums, values)
+
+
 def consecutive(df: DataFrame, keys: Sequence[str], position: str, *, start: str = "start", end: str = "end") -> DataFrame:
     """Segments from each position to the next of its group; the last of a group has none."""
     after = Window.partitionBy(*keys).orderBy(position)

@@ -145,7 +145,7 @@ def line_segments(spark, d):
 
 
 @query(f"""WITH e AS {EXPOSURES}, t AS (SELECT object AS target, mjd - 20 AS low, mjd + 20 AS high, snr FROM e)
-SELECT e.exposure, coalesce(round(avg(t.snr), 6), 0) AS vsys FROM e LEFT JOIN t ON e.object = t.target AND e.mjd > t.low AND e.mjd < t.high  GROUP BY e.exposure""")
+SELECT e.exposure, coalesce(round(CAST(sum(CAST(t.snr AS DECIMAL(18, 9))) AS DOUBLE) / count(t.snr), 6), 0) AS vsys FROM e LEFT JOIN t ON e.object = t.target AND e.mjd > t.low AND e.mjd < t.high  GROUP BY e.exposure""")
 def interval_lookup(spark, d):
     """Mean of a quantity over the intervals around an exposure's time, 0 without one."""
     every = exposures(spark, d)

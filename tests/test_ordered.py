@@ -52,14 +52,14 @@ def test_empty_sides(spark):
     assert ordered.bracketed(p, s.limit(0), ["k"], "x", ["i"]).first()["before"] is None
 
 
-@pytest.mark.parametrize("blocks", [1, 25])
-def test_means_over_intervals_equal_brute_force(spark, blocks):
+@pytest.mark.parametrize("blocks, gathered", [(1, 0), (25, 0), (25, 60), (None, 10_000)])
+def test_means_over_intervals_equal_brute_force(spark, blocks, gathered):
     """Very many intervals hold a point; ends and points meet at equal places."""
     rng = np.random.default_rng(7)
     points = [(k, None if i % 19 == 0 else x, i) for k, x, i, _ in keyed(rng)] + [("hot", 10.0, 5000)] * 3
     table = [(k, x - (10 if i % 3 else 40), x + (10 if i % 4 else -15), v) for k, x, i, v in keyed(rng, 500)] + [("hot", 10.0, 10.0, 1e6), ("hot", 12.0, 10.0, 1e6), ("hot", None, 5.0, 1e6), (None, 0.0, 50.0, 1.0)]
     p, t = spark.createDataFrame(points, "k string, x double, i int"), spark.createDataFrame(table, "o string, low double, high double, v double")
-    got = intervals.interval_means(p, t, "k", "o", "x", "low", "high", {"v": "m"}, blocks=blocks).collect()
+    got = intervals.interval_means(p, t, "k", "o", "x", "low", "high", {"v": "m"}, blocks=blocks, gathered=gathered).collect()
     assert len(got) == len(points)
     for r in got:
         held = [v for o, a, b, v in table if o is not None and o == r.k and None not in (a, r.x) and a < r.x < b and v is not None]
