@@ -57,24 +57,26 @@ def term_counts(flat: np.ndarray, lens: np.ndarray, vocabulary: int, docs: int =
 class Centres:
     """Centres of hashed term vectors; cells() numbers each document's four nearest ones in order."""
 
-    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], vocabulary: int, *, centres: int = 16, dims: int = 512, rounds: int = 8, seed: int = 11):
-        """sample: distinct token ids of some documents and how often each stands there."""
+    def __init__(self, held: np.ndarray, documents: int, *, dims: int = 512, seed: int = 11):
+        """held: for each token id how many of some documents hold it. There are no centres before fit()."""
         rng = np.random.default_rng(seed)
-        self.vocabulary, self.dims, self.centres = vocabulary, dims, np.zeros((0, dims), np.float32)
+        vocabulary = len(held)
+        self.dims, self.centres = dims, np.zeros((0, dims), np.float32)
         self.place = rng.integers(0, dims, vocabulary).astype(np.int32)
-        held = np.bincount(np.concatenate([t for t, _ in sample]) if sample else np.zeros(0, int), minlength=vocabulary)
-        self.weight = np.where(held > 1, np.maximum(0, np.log((len(sample) + 1) / (held + 0.5))), 0) * rng.choice([-1.0, 1.0], vocabulary)
-        if len(sample) < 2:
+        self.weight = np.where(held > 1, np.maximum(0, np.log((documents + 1) / (held + 0.5))), 0) * rng.choice([-1.0, 1.0], vocabulary)
+        self.rng = rng
+
+    def fit(self, x: np.ndarray, centres: int = 16, rounds: int = 8) -> None:
+        """Centres of some documents' vectors; of fewer than two there are none."""
+        if len(x) < 2:
             return
-        terms = np.concatenate([np.repeat(t, c) for t, c in sample])
-        x = self._vectors(terms, np.array([c.sum() for _, c in sample]))
-        self.centres = x[rng.permutation(len(x))[:centres]].copy()
+        self.centres = x[self.rng.permutation(len(x))[:centres]].copy()
         for _ in range(rounds):
             near = (x @ self.centres.T).argmax(axis=1)
             sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c for k, c in enumerate(self.centres)])
             self.centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-9)[:, None]
 
-    def _vectors(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    def vectors(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Unit vectors of documents: the ids' weights, summed in hashed places."""
         at = np.repeat(np.arange(len(lens)) * self.dims, lens) + self.place[flat]
         x = np.bincount(at, self.weight[flat], len(lens) * self.dims).reshape(-1, self.dims).astype(np.float32)
@@ -86,26 +88,41 @@ class Centres:
         if len(self.centres):
             for at in range(0, len(lens), docs):
                 n = lens[at : at + docs]
-                x = self._vectors(flat[ends[at] - lens[at] : ends[at + len(n) - 1]], n)
+                x = self.vectors(flat[ends[at] - lens[at] : ends[at + len(n) - 1]], n)
                 near = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :4]
                 out[at : at + docs] = near @ (len(self.centres) ** np.arange(near.shape[1])[::-1])
         return out
 
 
 def fit_centres(rows: DataFrame, tokenizer: str, vocabulary: int, sample: int) -> Centres:
-    """Centres from about sample documents at most: their distinct token ids reach the driver."""
+    """Centres from about sample documents at most: a count for each token id and a vector of some hundred numbers for each of these reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = CachedBpe(tokenizer)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                found = [np.unique(x, return_counts=True) for x in bpe.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in c], pa.binary()) for c in zip(*found)], ["terms", "counts"])
+                ids = bpe.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([np.unique(x).astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["ids", "terms"])
 
     share = min(1.0, sample / max(rows.count(), 1))
-    some = rows.select("text").sample(share, seed=1).limit(sample)
-    got = some.mapInArrow(run, "terms binary, counts binary").collect()
-    return Centres([(np.frombuffer(r.terms, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.int64)) for r in got], vocabulary)
+    some = materialize(rows.select("text").sample(share, seed=1).limit(sample).mapInArrow(run, "ids binary, terms array<long>"))
+    held = np.zeros(vocabulary, np.int64)
+    documents = some.count()
+    for r in some.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a token id at most
+        held[r.t] = r["count"]
+    found = Centres(held, documents)
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("ids"):
+                ids = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value.vectors(ids, np.array([len(ids)])).tobytes()], pa.binary())], ["v"])
+
+    got = sorted(bytes(r.v) for r in some.select("ids").mapInArrow(vectors, "v binary").collect())  # the same order in every run
+    if got:
+        found.fit(np.stack([np.frombuffer(v, np.float32) for v in got]))
+    return found
 
 
 def encode_documents(rows: DataFrame, tokenizer: str, end_id: int, centres: Broadcast) -> DataFrame:

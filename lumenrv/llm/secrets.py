@@ -39,6 +39,8 @@ CLASSES, FAILS = ((20, 0.10), (24, 0.10), (32, 0.05), (48, 0.02), (64, 0.01)), 3
 STRICT, STRICT_FAILS = ((20, 0.50), (24, 0.50), (32, 0.20), (48, 0.10), (64, 0.05)), 40
 #: Words that are joined to a decoy, one for each number and document.
 DECOY_WORDS = (4, 5, 7, 11, 16)
+#: So many characters at a text's end are no place to look for them from; they hold the longest.
+NEAR_END = 400
 LAST_BIN, WHOLE = 400, -1
 CHUNK = 256
 
@@ -169,9 +171,19 @@ def decoy_pattern(words: int) -> str:
 
 
 def decoys(text: Column) -> Column:
-    """array<struct<class, bin>>: the tests of ordinary words, joined; the first such words of each number in DECOY_WORDS."""
-    joined = F.array(*(F.translate(F.regexp_extract(text, decoy_pattern(n), 0), " ,.;", "") for n in DECOY_WORDS))
-    return F.transform(F.filter(joined, lambda t: F.length(t) >= CLASSES[0][0]), lambda t: let(log_p(t), lambda p: F.struct(_class(p["n"]).alias("class"), p["bin"].alias("bin"))))
+    """array<struct<class, bin>>: the tests of ordinary words, joined; for each number in DECOY_WORDS the first such words behind a place.
+
+    The place is picked by the text's checksum, from all of the text but its last NEAR_END characters.
+    """
+    length = F.char_length(text)
+    at = F.when(length > NEAR_END, F.crc32(text.cast("binary")) % F.greatest(length - NEAR_END, F.lit(1))).otherwise(0)
+    behind = let(at, lambda at: F.concat(F.when(at == 0, " ").otherwise(""), F.substring(text, (at + 1).cast("int"), length)))
+
+    def of(behind: Column) -> Column:
+        joined = F.array(*(F.translate(F.regexp_extract(behind, f"[ ,.;]({decoy_pattern(n)})", 1), " ,.;", "") for n in DECOY_WORDS))
+        return F.transform(F.filter(joined, lambda t: F.length(t) >= CLASSES[0][0]), lambda t: let(log_p(t), lambda p: F.struct(_class(p["n"]).alias("class"), p["bin"].alias("bin"))))
+
+    return let(behind, of)
 
 
 def last_bins(tested: DataFrame, classes: tuple = CLASSES, fails: int = FAILS) -> dict[int, int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, texts
+from .common import byte_slices, materialize, texts
 from .words import WordCache, code_points, text_starts
 
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -333,14 +333,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int, stride: int) -> list[tuple[list[str], int]]:
-    """The training sample: at most each documents of each label, with all their windows.
+def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, most: int, window: int, stride: int) -> list[tuple[list[str], int]]:
+    """The training sample: at most each documents of each label, with all their windows, and most windows of each label in all.
 
-    Ids are taken in the order of their hash, so that the sample does not depend on partitions.
+    Ids are taken in the order of their hash, so that the sample does not depend on partitions; a document that has more
+    windows than are left is passed over. Of rows with one id the least text stands for them.
     """
     ids = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     picked = [ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
     rows = texts(df).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # each * 2 ids at most
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,23 +355,32 @@ def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, window: int
                 found.append([" ".join(words[s : s + window]) for s in places.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
 
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, windows array<string>").collect()
+    held = materialize(rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, windows array<string>"))
+    sizes = held.select("doc_id", "toxic", F.size("windows").alias("n"), F.aggregate("windows", F.lit(0), lambda s, w: s + F.length(w)).alias("chars")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, chosen = {0: most, 1: most}, []
+    for r in sizes:  # each * 2 rows; windows are words of a text, so that characters are bounded too
+        cost = max(r.n, r.chars // 1000)
+        if 0 < cost <= left[r.toxic]:
+            left[r.toxic] -= cost
+            chosen.append(r.doc_id)
+    ids = held.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    got = held.join(F.broadcast(ids), "doc_id").collect()
     got.sort(key=lambda r: (r.doc_id, r.windows))
-    return [(r.windows, r.toxic) for r in got if r.windows]
+    return [(r.windows, r.toxic) for r in got]
 
 
 def score_toxicity(
     df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 64, stride: int = 48,
-    train_each: int = 2000, threshold: float = 0.7,
+    train_each: int = 2000, train_windows: int = 100_000, threshold: float = 0.7,
 ) -> DataFrame:
     """df with score, predicted (1 at threshold or more) and held_out; columns of these names are replaced.
 
     labels has doc_id and toxic; rows whose crc32 of the id modulo 3 is 1 teach nothing. The network is fitted to train_each
-    documents of each label at most. Null and empty texts and texts without words score 0; without labels a constant
+    documents of each label with train_windows windows (or thousands of characters in them) at most. Null and empty texts and texts without words score 0; without labels a constant
     network scores. Only words of the text are inputs.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = labelled_windows(source, labels, each=train_each, window=window, stride=stride)
+    sample = labelled_windows(source, labels, each=train_each, most=train_windows, window=window, stride=stride)
     net = df.sparkSession.sparkContext.broadcast(train(sample, window=window))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import duckdb
 from pyspark.sql import functions as F
@@ -52,9 +53,12 @@ def tokens(text, spans):
 
 
 def words_joined(text):
-    """Runs of 4, 5, 7, 11 and 16 neighbouring words, the first of each."""
-    found = [re.search(r"[A-Za-z]{1,20}" + r"[ ,.;]{1,3}[A-Za-z]{1,20}" * (n - 1), text or "") for n in (4, 5, 7, 11, 16)]
-    joined = [re.sub("[ ,.;]", "", m.group()) for m in found if m]
+    """Runs of 4, 5, 7, 11 and 16 neighbouring words, the first of each behind the place that the checksum picks."""
+    text = text or ""
+    at = zlib.crc32(text.encode()) % (len(text) - 400) if len(text) > 400 else 0
+    behind = text[at:] if at else " " + text
+    found = [re.search(r"[ ,.;]([A-Za-z]{1,20}" + r"[ ,.;]{1,3}[A-Za-z]{1,20}" * (n - 1) + ")", behind) for n in (4, 5, 7, 11, 16)]
+    joined = [re.sub("[ ,.;]", "", m.group(1)) for m in found if m]
     return [battery(t) for t in joined if len(t) >= 20]
 
 
