@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lumenrv.functions.register import register
 from lumenrv.plans.registry import SQL, query
 from lumenrv.plans.sequences import gapped
-from lumenrv.plans.statistics import measurements
+from lumenrv.plans.surrogates import exposures, measurements
 from lumenrv.sources.fits_source import load_fits
 from lumenrv.sources.scratch import shared_dir
+from lumenrv.sources.snapshots import SnapshotTable
 from lumenrv.sources.tables import write_images
+from lumenrv.streaming import references
 
 
 @query(SQL["line_finder"])
@@ -43,3 +45,28 @@ def fits_archive(spark, d):
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")
     found = back.groupBy(F.col("CHUNK").cast("long").alias("chunk"), F.col("DPRTYPE").alias("kind"))
     return found.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(mean), 6).alias("mean"), F.round(F.sum(F.get("pixels", F.lit(0))), 5).alias("first"))
+
+
+@query(SQL["reference_drift"])
+def reference_drift_stream(spark, d):
+    """The drifts of reference_drift from a stream of files, in which references come late and revise what was given."""
+    every = exposures(spark, d)
+    folder = shared_dir(spark)
+    every.repartition(4, "exposure").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    references.run_to_end(references.drifts(stream, "wavefile", "exposure", "mjd", "snr", F.col("kind") == "F"), f"{folder}/out", f"{folder}/checkpoint")
+    last = references.settled(spark.read.parquet(f"{folder}/out"))
+    return last.select(F.col("item").alias("exposure"), F.round(F.col("value") - F.col("reference"), 6).alias("drift"))
+
+
+@query("""SELECT o_custkey AS source, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END * o_totalprice), 2) AS total FROM orders GROUP BY o_custkey""")
+def snapshot_table(spark, d):
+    """A table in two commits: customers of which an order has changed are replaced as a whole, the others stay as they are."""
+    first = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    second = first.withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", 2 * F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
+    table = SnapshotTable(spark, shared_dir(spark))
+    for state in (first, second):
+        rows = state.withColumn("__source", F.col("o_custkey").cast("string"))
+        hashes = rows.groupBy(F.col("__source").alias("source")).agg(F.md5(F.concat(F.sum(F.xxhash64("o_orderkey", "o_totalprice").cast("decimal(38,0)")).cast("string"), F.lit(","), F.count(F.lit(1)).cast("string")).cast("binary")).alias("hash"))
+        table.commit(hashes, lambda sources, rows=rows: rows.join(sources.withColumnRenamed("source", "__source"), "__source", "left_semi"))
+    return table.read().groupBy(F.col("o_custkey").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
