@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenrv.functions.register import register
+from lumenrv.operators import robust
 from lumenrv.plans.registry import SQL, query
 from lumenrv.plans.sequences import gapped
-from lumenrv.plans.surrogates import exposures, measurements
+from lumenrv.plans.statistics import robust_sql
+from lumenrv.plans.surrogates import exposures, measurements, measurements_sql
+from lumenrv.plans.workflow import Stage, Workflow
 from lumenrv.sources.fits_source import load_fits
 from lumenrv.sources.scratch import shared_dir
 from lumenrv.sources.snapshots import SnapshotTable
@@ -70,3 +73,21 @@ def snapshot_table(spark, d):
         hashes = rows.groupBy(F.col("__source").alias("source")).agg(F.md5(F.concat(F.sum(F.xxhash64("o_orderkey", "o_totalprice").cast("decimal(38,0)")).cast("string"), F.lit(","), F.count(F.lit(1)).cast("string")).cast("binary")).alias("hash"))
         table.commit(hashes, lambda sources, rows=rows: rows.join(sources.withColumnRenamed("source", "__source"), "__source", "left_semi"))
     return table.read().groupBy(F.col("o_custkey").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+WEEKS = robust_sql("SELECT epoch, dv AS v, sdv AS e FROM " + measurements_sql() + " WHERE dv IS NOT NULL", ["epoch"], "r")
+
+
+@query(f"WITH {WEEKS} SELECT epoch // 7 AS week, round(sum(mean / pow(mean_err, 2)) / sum(1 / pow(mean_err, 2)), 5) AS mean, round(sqrt(1 / sum(1 / pow(mean_err, 2))), 5) AS mean_err, count(*) AS nights FROM r GROUP BY epoch // 7")
+def staged_weeks(spark, d):
+    """Velocities of nights, then of weeks, as declared stages; the second run finds both made."""
+    nights = Stage("nights", lambda t, p: robust.odd_ratio_mean(measurements(spark, d, p["error"]), ["epoch"], "dv", "sdv"), ["events"], {"error": 20.0})
+
+    def weekly(t, p):
+        mean, err = robust.inverse_variance(F.col("mean"), F.col("mean_err"))
+        return t["nights"].groupBy(F.floor(F.col("epoch") / p["days"]).alias("week")).agg(mean.alias("mean"), err.alias("mean_err"), F.count(F.lit(1)).alias("nights"))
+
+    flow = Workflow(spark, shared_dir(spark), {"events": f"{d}/events.parquet"}, [nights, Stage("weeks", weekly, ["nights"], {"days": 7})])
+    flow.run()
+    found, _ = flow.run()
+    return found["weeks"].select("week", F.round("mean", 5).alias("mean"), F.round("mean_err", 5).alias("mean_err"), "nights")
