@@ -89,6 +89,13 @@ def magic_grid_point(i: Column, wave0: float, n: int, step: float = 500.0) -> Co
     return F.exp(i / n * math.log(end / wave0)) * wave0
 
 
+def magic_grid_points(wave0: Column, wave1: Column, step: float = 500.0) -> Column:
+    """Array of the wavelengths from wave0 up to near wave1 that lie a constant velocity step apart; empty where none fits."""
+    n = F.floor(F.log(wave1 / wave0) * SPEED_OF_LIGHT / step)
+    point = lambda i: F.exp(i / n * F.log(F.exp(n * step / SPEED_OF_LIGHT))) * wave0
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), point)).otherwise(F.array().cast("array<double>"))
+
+
 def uniform_bins(wave0: float, wave1: float, n: int) -> Sequence[tuple[str, float, float]]:
     """Name, blue and red end of n bins of equal width in the logarithm."""
     edges = [math.exp(i / n * math.log(wave1 / wave0)) * wave0 for i in range(n + 1)]

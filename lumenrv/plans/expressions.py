@@ -60,31 +60,41 @@ def air_to_vacuum(spark, d):
     return line_list(spark, d).select("l_orderkey", "l_linenumber", "wave", F.round(F.col("wave") * spectral.air_index(F.col("wave")), 8).alias("vacuum"))
 
 
-@query("""WITH p AS (SELECT i, 2 * i / 4088.0 - 1 AS t FROM (SELECT CAST(unnest(range(0, 4088, 8)) AS BIGINT) AS i))
-SELECT i, round(1500 + 40 * t + 3 * (2 * t * t - 1) - 0.5 * (4 * t * t * t - 3 * t), 9) AS wave FROM p""")
+@query(f"""WITH p AS (SELECT exposure, snr, i, 2 * i / 4088.0 - 1 AS t FROM (SELECT exposure, snr, exposure * 37 % 4088 AS i FROM {EXPOSURES}))
+SELECT exposure, i, round(1500 + snr / 10 + 40 * t + 3 * (2 * t * t - 1) - 0.5 * (4 * t * t * t - 3 * t), 8) AS wave FROM p""")
 def cheby_wave(spark, d):
-    coefficients = F.array(*(F.lit(x) for x in (1500.0, 40.0, 3.0, -0.5)))
-    return spark.range(0, 4088, 8).select(F.col("id").alias("i"), F.round(spectral.chebyshev(coefficients, F.col("id").cast("double"), 0, 4088), 9).alias("wave"))
+    """Wavelength of one pixel of each exposure by its own Chebyshev coefficients."""
+    coefficients = F.array(F.lit(1500.0) + F.col("snr") / 10, *(F.lit(x) for x in (40.0, 3.0, -0.5)))
+    i = F.col("exposure") * 37 % 4088
+    return exposures(spark, d).select("exposure", i.alias("i"), F.round(spectral.chebyshev(coefficients, i.cast("double"), 0, 4088), 8).alias("wave"))
 
 
-@query("""SELECT i, round(1500 + i * (0.01 + i * (1e-6 - i * 1e-11)), 9) AS wave FROM (SELECT CAST(unnest(range(0, 4088, 8)) AS BIGINT) AS i)""")
+@query(f"""SELECT exposure, i, round(1500 + snr / 10 + i * (0.01 + i * (1e-6 - i * 1e-11)), 8) AS wave FROM (SELECT exposure, snr, exposure * 37 % 4088 AS i FROM {EXPOSURES})""")
 def horner_wave(spark, d):
-    coefficients = F.array(*(F.lit(x) for x in (1500.0, 0.01, 1e-6, -1e-11)))
-    return spark.range(0, 4088, 8).select(F.col("id").alias("i"), F.round(spectral.polynomial(coefficients, F.col("id").cast("double")), 9).alias("wave"))
+    """The same by ascending powers."""
+    coefficients = F.array(F.lit(1500.0) + F.col("snr") / 10, *(F.lit(x) for x in (0.01, 1e-6, -1e-11)))
+    i = F.col("exposure") * 37 % 4088
+    return exposures(spark, d).select("exposure", i.alias("i"), F.round(spectral.polynomial(coefficients, i.cast("double")), 8).alias("wave"))
 
 
-@query(f"""WITH n AS (SELECT CAST(floor(ln(1000.0 / 990.0) * {C} / 500) AS BIGINT) AS n)
-SELECT i, round(exp(i / CAST(n AS DOUBLE) * ln(exp(n * 500 / {C}))) * 990.0, 9) AS wave FROM n, (SELECT CAST(unnest(range(0, 6100)) AS BIGINT) AS i) WHERE i < n""")
+@query(f"""WITH o AS (SELECT s_suppkey AS ord, 990.0 + s_suppkey % 50 AS w0, (990.0 + s_suppkey % 50) * (1 + 1e-5 * (5 + s_suppkey % 7)) AS w1 FROM supplier),
+n AS (SELECT *, CAST(floor(ln(w1 / w0) * {C} / 500) AS BIGINT) AS n FROM o), g AS (SELECT ord, w0, n, unnest(range(0, n)) AS i FROM n)
+SELECT ord, i, round(exp(i / CAST(n AS DOUBLE) * ln(exp(n * 500 / {C}))) * w0, 8) AS wave FROM g""")
 def magic_grid(spark, d):
-    n = spectral.magic_grid_size(990.0, 1000.0)
-    return spark.range(n).select(F.col("id").alias("i"), F.round(spectral.magic_grid_point(F.col("id").cast("double"), 990.0, n), 9).alias("wave"))
+    """Grids of constant velocity step between the ends of every order."""
+    w0 = F.col("s_suppkey") % 50 + 990.0
+    w1 = w0 * ((F.col("s_suppkey") % 7 + 5) * 1e-5 + 1)
+    points = F.posexplode(spectral.magic_grid_points(w0, w1)).alias("i", "wave")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("ord"), points).select("ord", F.col("i").cast("long").alias("i"), F.round("wave", 8).alias("wave"))
 
 
-@query("""WITH e AS (SELECT i, exp(i / 25.0 * ln(1950 / 900.0)) * 900 AS a, exp((i + 1) / 25.0 * ln(1950 / 900.0)) * 900 AS b FROM (SELECT CAST(unnest(range(0, 25)) AS BIGINT) AS i))
-SELECT CAST(CAST(floor((a + b) / 2) AS BIGINT) AS VARCHAR) || 'nm' AS band, round(a, 9) AS low, round(b, 9) AS high FROM e""")
+@query(f"""WITH e AS (SELECT i, exp(i / 25.0 * ln(1950 / 900.0)) * 900 AS a, exp((i + 1) / 25.0 * ln(1950 / 900.0)) * 900 AS b FROM (SELECT CAST(unnest(range(0, 25)) AS BIGINT) AS i))
+SELECT CAST(CAST(floor((a + b) / 2) AS BIGINT) AS VARCHAR) || 'nm' AS band, round(a, 9) AS low, round(b, 9) AS high, count(wave) AS lines FROM e LEFT JOIN {LINE_LIST} l ON wave > a AND wave < b GROUP BY ALL""")
 def uniform_log_bins(spark, d):
-    bins = {k: (a, b) for k, a, b in spectral.uniform_bins(900.0, 1950.0, 25)}
-    return small(spark, bins).select("band", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    """Bins of equal width in the logarithm, with the lines of each."""
+    bins = small(spark, {k: (a, b) for k, a, b in spectral.uniform_bins(900.0, 1950.0, 25)})
+    held = intervals.range_join(line_list(spark, d).select("wave"), bins, "wave", "low", "high", width=30.0).groupBy("band").agg(F.count(F.lit(1)).alias("lines"))
+    return bins.join(held, "band", "left").select("band", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 @query(f"""SELECT exposure, round(mjd, 8) AS mjd, round(mjd - 40587, 8) AS plot_date,

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrv.functions.spectral import SPEED_OF_LIGHT
+from lumenrv.kernels.curves import Spline
 from lumenrv.operators import robust, telluric, velocity
 from lumenrv.operators import spectra as A
 from lumenrv.plans.registry import query
 from lumenrv.plans.sequences import GAPPED, gapped
 from lumenrv.plans.surrogates import measurements, measurements_sql, spectra
+from lumenrv.sources.scratch import materialize
 from lumenrv.streaming.epochs import nightly_means
 
 
@@ -83,20 +88,43 @@ def synthetic_template(seed: int = 42, lines: int = 40, step: float = 500.0) ->
     return velocity.Template(wave, flux, at - 4 * width, at + 4 * width)
 
 
+def frames(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
+    """exposure and noise (64 numbers): embeddings stacked by so many of them, pixel by pixel."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / each).cast("int").alias("exposure"), F.posexplode("embedding").alias("i", "x"))
+    means = emb.groupBy("exposure", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("exposure").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("noise"))
+
+
+def spread_noise(exposure: int, noise: np.ndarray, n: int, sigma: float) -> np.ndarray:
+    """n numbers of deviation sigma: those of a stack over and over, shuffled anew each time."""
+    rng = np.random.default_rng(exposure)
+    out = np.concatenate([rng.permutation(noise) for _ in range(-(-n // len(noise)))])[:n]
+    return (out - out.mean()) / max(out.std(), 1e-12) * sigma
+
+
+def moved_exposures(spark: SparkSession, sf_dir: str, known: Callable[[int], float], sigma: Callable[[int], float]) -> DataFrame:
+    """exposure, known (m/s), wave, flux (arrays): the template moved by a known velocity, with the noise of stacked embeddings, made by the tasks."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        template = synthetic_template()
+        curve = Spline(template.wave, template.flux, 3, "constant")
+        for part in parts:
+            rows = []
+            for k, noise in zip(part["exposure"].tolist(), part["noise"]):
+                v = known(k)
+                shift = np.sqrt((1 - v / SPEED_OF_LIGHT) / (1 + v / SPEED_OF_LIGHT))
+                flux = curve(template.wave * shift) * (1 + 0.1 * np.sin(template.wave / 3)) + spread_noise(k, np.array(noise, float), len(template.wave), sigma(k))
+                rows.append((k, v, template.wave, flux))
+            yield pd.DataFrame(rows, columns=["exposure", "known", "wave", "flux"])
+
+    return frames(spark, sf_dir, 20).repartition("exposure").mapInPandas(run, "exposure int, known double, wave array<double>, flux array<double>")
+
+
 @query()
 def compute_rv_synthetic(spark, d):
     """Line velocities of exposures moved by known velocities, then the robust mean of each exposure."""
-    from lumenrv.kernels.curves import Spline
-
-    template = synthetic_template()
-    known, rows = [0.0, 5.0, -5.0, 50.0, -50.0, 2000.0], []
-    for k, v in enumerate(known * 4):
-        rng = np.random.default_rng(k)
-        shift = np.sqrt((1 - v / SPEED_OF_LIGHT) / (1 + v / SPEED_OF_LIGHT))
-        flux = Spline(template.wave, template.flux, 3, "constant")(template.wave * shift) * (1 + 0.1 * np.sin(template.wave / 3)) + rng.normal(0, 0.002, len(template.wave))
-        rows.append((k, v, template.wave.tolist(), flux.tolist()))
-    made = spark.createDataFrame(rows, "exposure int, known double, wave array<double>, flux array<double>")
-    found = velocity.line_velocities(made, template, keys=["exposure", "known"])
+    made = moved_exposures(spark, d, lambda k: (0.0, 5.0, -5.0, 50.0, -50.0, 2000.0)[k % 6], lambda k: 0.002)
+    found = materialize(velocity.line_velocities(made, synthetic_template(), keys=["exposure", "known"]))
     return robust.odd_ratio_mean(found, ["exposure", "known"], "dv", "sdv", name="vrad", error_name="svrad")
 
 
@@ -121,9 +149,21 @@ def synthetic_absorbed(spark, air, exponents):
 
 @query()
 def telluric_correction(spark, d):
-    """Exposures through air of known exponents, and what is found of them."""
+    """Exposures through air of known exponents, with the noise of stacked embeddings, and what is found of them."""
     air = synthetic_air()
-    made = synthetic_absorbed(spark, air, [(0.5, 1.0), (1.0, 1.0), (2.0, 1.3), (0.8, 1.8)] * 2)
+    shared = spark.sparkContext.broadcast(air)  # of an instrument's size
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = shared.value
+        for part in parts:
+            rows = []
+            for k, noise in zip(part["exposure"].tolist(), part["noise"]):
+                water, others = ((0.5, 1.0), (1.0, 1.0), (2.0, 1.3), (0.8, 1.8))[k % 4]
+                flux = a.transmission(water, others, 1.4) * (1 + 0.05 * np.sin(a.wave / 2)) + spread_noise(k, np.array(noise, float), len(a.wave), 0.002)
+                rows.append((k, water, others, a.wave, flux))
+            yield pd.DataFrame(rows, columns=["exposure", "water", "others", "wave", "flux"])
+
+    made = frames(spark, d, 100).repartition("exposure").mapInPandas(run, "exposure int, water double, others double, wave array<double>, flux array<double>")
     return telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"]).drop("flux_tc")
 
 

@@ -9,6 +9,7 @@ from lumenrv.functions.spectral import SPEED_OF_LIGHT, gauss
 from lumenrv.operators import orders as O
 from lumenrv.operators.intervals import range_join
 from lumenrv.plans import instruments
+from lumenrv.plans.kernels import frames
 from lumenrv.plans.registry import query
 from lumenrv.plans.surrogates import EXPOSURES, LINE_LIST, SPECTRA, exposures, line_list, spectra
 
@@ -98,12 +99,13 @@ def artificial_blaze(spark, d):
 @query()
 def template_from_exposures(spark, d):
     """Exposures of overlapping orders as one-dimensional spectra, binned and reduced to a template."""
-    e = spark.range(24).select(F.col("id").alias("exposure"))
-    o = e.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    stacks = frames(spark, d, 20)
+    e = stacks.select("exposure")
+    o = stacks.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2))))
     wave = F.transform(F.sequence(F.lit(0), F.lit(899)), lambda i: F.exp((i + F.col("ord") * 700) * 500.0 / SPEED_OF_LIGHT) * 1500.0)
     rows = o.withColumn("wave", wave).withColumn("blaze", F.transform("wave", lambda w, i: F.lit(1.0) - F.pow((i - 450.0) / 600, F.lit(2))))
     dip = lambda w: F.lit(1.0) - gauss(w, F.lit(0.4), F.lit(1501.5), F.lit(0.05), F.lit(0.0))
-    rows = rows.withColumn("flux", F.zip_with("wave", "blaze", lambda w, b: dip(w) * b))
+    rows = rows.withColumn("flux", F.zip_with(F.zip_with("wave", "blaze", lambda w, b: dip(w) * b), F.sequence(F.lit(0), F.lit(899)), lambda x, i: x * (1 + 1e-4 * F.get("noise", i % 64))))
     flat = O.one_dimensional(rows, ["exposure"], 1500.0, 500.0, 2300)
     bins = O.velocity_bins(e.withColumn("berv", F.sin(F.col("exposure") * 1.0)).withColumn("object", F.lit(0)), ["object"], "berv", 6)
     return O.median_template(flat, bins, "exposure")

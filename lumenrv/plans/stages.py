@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrv.functions import naming
-from lumenrv.functions.spectral import SPEED_OF_LIGHT
-from lumenrv.kernels.curves import Spline
 from lumenrv.operators import robust, templates
 from lumenrv.operators.sequences import along
 from lumenrv.plans import instruments
 from lumenrv.plans.expressions import CCF_REGIONS
-from lumenrv.plans.kernels import synthetic_template
+from lumenrv.plans.kernels import moved_exposures, synthetic_template
 from lumenrv.plans.registry import query
 from lumenrv.plans.sequences import GAPPED, gapped
 from lumenrv.plans.statistics import HIGH, LOW
@@ -118,23 +113,9 @@ def long_line_facts(spark, d):
     return tables.long_facts(m.withColumns({"d2v": F.col("line"), "sd2v": F.col("epoch")}), ["event_id"], {"dv": "sdv", "d2v": "sd2v"})
 
 
-def exposures_of_nations(spark: SparkSession, d: str) -> DataFrame:
-    """exposure, known (m/s), wave, flux (arrays): a spectrum for each nation, moved by a velocity of its own, made by the tasks."""
-    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("exposure"), F.col("n_regionkey").cast("int").alias("region"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        template = synthetic_template()
-        curve = Spline(template.wave, template.flux, 3, "constant")
-        for part in parts:
-            rows = []
-            for k, r in zip(part["exposure"], part["region"]):
-                known = float((k - 12) * 700 + r * 40)
-                shift = np.sqrt((1 - known / SPEED_OF_LIGHT) / (1 + known / SPEED_OF_LIGHT))
-                flux = curve(template.wave * shift) * (1 + 0.1 * np.sin(template.wave / 3)) + np.random.default_rng(int(k)).normal(0, 0.002 * (1 + r), len(template.wave))
-                rows.append((k, known, template.wave, flux))
-            yield pd.DataFrame(rows, columns=["exposure", "known", "wave", "flux"])
-
-    return nations.mapInPandas(run, "exposure int, known double, wave array<double>, flux array<double>")
+def stacked_exposures(spark: SparkSession, d: str) -> DataFrame:
+    """exposure, known (m/s), wave, flux (arrays): spectra moved by velocities of their own, with the noise of stacked embeddings."""
+    return moved_exposures(spark, d, lambda k: float((k % 25 - 12) * 700 + k % 5 * 40), lambda k: 0.002 * (1 + k % 5))
 
 
 def known_lines(spark: SparkSession) -> DataFrame:
@@ -148,7 +129,7 @@ def known_lines(spark: SparkSession) -> DataFrame:
 @query()
 def systemic_velocity(spark, d):
     """Systemic velocity, width and contrast of each exposure by cross-correlation with a line list."""
-    found = templates.systemic_velocities(exposures_of_nations(spark, d), known_lines(spark), keys=["exposure", "known"], step=1000.0, reach=1e5)
+    found = templates.systemic_velocities(stacked_exposures(spark, d), known_lines(spark), keys=["exposure", "known"], step=1000.0, reach=1e5)
     return found.select("exposure", "known", "vsys", "fwhm", "contrast", "snr", "good")
 
 
@@ -158,13 +139,13 @@ def mask_recipe(spark, d):
     t = synthetic_template()
     template = spark.createDataFrame([("t", i, float(w), float(f)) for i, (w, f) in enumerate(zip(t.wave, t.flux))], "name string, i int, wave double, flux double")
     lines = templates.mask_from_template(template, "i", "wave", "flux", keys=["name"], least_depth=1e-6)
-    return templates.mask_velocity(exposures_of_nations(spark, d), lines, keys=["exposure", "known"])
+    return templates.mask_velocity(stacked_exposures(spark, d), lines, keys=["exposure", "known"])
 
 
 @query()
 def template_loop(spark, d):
     """Velocities of exposures by registration on a template that is built anew from them."""
-    made = exposures_of_nations(spark, d)
+    made = stacked_exposures(spark, d)
     one = made.select("exposure", "known", "wave", "flux", F.transform("wave", lambda w: F.lit(1.0)).alias("blaze"), F.lit(0).alias("ord"), F.lit(0.0).alias("berv"))
     _, moves = templates.settled_template(one, wave0=1500.5, step=500.0, n=7500, bins=5, rounds=4)
     return one.select("exposure", "known").join(moves, "exposure")
