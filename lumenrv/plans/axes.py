@@ -15,11 +15,11 @@ KERNEL = [round((1 + 0.1 * j) * math.exp(-abs(j - 20) / 5), 6) for j in range(41
 
 
 @query(f"""WITH k(j, w) AS (VALUES {', '.join(f'({j}, {w!r}e0)' for j, w in enumerate(KERNEL))}), e AS (SELECT event_type AS band, event_id AS place, CASE WHEN event_id % 170 <> 0 THEN value END AS v FROM events)
-SELECT a.band, a.place, CASE WHEN count(b.place) = count(b.v) THEN round(coalesce(sum(b.v * w), 0), 5) END AS convolved FROM e a CROSS JOIN k LEFT JOIN e b ON b.band = a.band AND b.place = a.place + 20 - j GROUP BY a.band, a.place""")
+SELECT a.band, a.place, CASE WHEN count(b.place) = count(b.v) THEN round(coalesce(sum(b.v * w), 0), 8) END AS convolved FROM e a CROSS JOIN k LEFT JOIN e b ON b.band = a.band AND b.place = a.place + 20 - j GROUP BY a.band, a.place""")
 def axis_convolved(spark, d):
     """A kernel of 41 places along the whole axis of each band; places of other bands are empty."""
     ev = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("band"), F.col("event_id").alias("place"), F.when(F.col("event_id") % 170 != 0, F.col("value")).alias("v"))
-    return halos.convolved(ev, ["band"], "place", "v", KERNEL, width=1024).select("band", "place", F.round("convolved", 5).alias("convolved"))
+    return halos.convolved(ev, ["band"], "place", "v", KERNEL, width=1024).select("band", "place", F.round("convolved", 8).alias("convolved"))
 
 
 @query(f"""WITH s AS {SPECTRA}, t AS (SELECT pixel, avg(flux) - 1 AS w FROM s GROUP BY pixel), g AS (SELECT CAST(unnest(range(-8, 9)) AS INTEGER) AS shift),

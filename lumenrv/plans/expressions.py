@@ -61,12 +61,12 @@ def air_to_vacuum(spark, d):
 
 
 @query(f"""WITH p AS (SELECT exposure, snr, i, 2 * i / 4088.0 - 1 AS t FROM (SELECT exposure, snr, exposure * 37 % 4088 AS i FROM {EXPOSURES}))
-SELECT exposure, i, round(1500 + snr / 10 + 40 * t + 3 * (2 * t * t - 1) - 0.5 * (4 * t * t * t - 3 * t), 8) AS wave FROM p""")
+SELECT exposure, i, round(1500 + snr / 10 + 40 * t + 3 * (2 * t * t - 1) - 0.5 * (4 * t * t * t - 3 * t), 5) AS wave FROM p""")
 def cheby_wave(spark, d):
     """Wavelength of one pixel of each exposure by its own Chebyshev coefficients."""
     coefficients = F.array(F.lit(1500.0) + F.col("snr") / 10, *(F.lit(x) for x in (40.0, 3.0, -0.5)))
     i = F.col("exposure") * 37 % 4088
-    return exposures(spark, d).select("exposure", i.alias("i"), F.round(spectral.chebyshev(coefficients, i.cast("double"), 0, 4088), 8).alias("wave"))
+    return exposures(spark, d).select("exposure", i.alias("i"), F.round(spectral.chebyshev(coefficients, i.cast("double"), 0, 4088), 5).alias("wave"))
 
 
 @query(f"""SELECT exposure, i, round(1500 + snr / 10 + i * (0.01 + i * (1e-6 - i * 1e-11)), 8) AS wave FROM (SELECT exposure, snr, exposure * 37 % 4088 AS i FROM {EXPOSURES})""")
@@ -79,13 +79,13 @@ def horner_wave(spark, d):
 
 @query(f"""WITH o AS (SELECT s_suppkey AS ord, 990.0 + s_suppkey % 50 AS w0, (990.0 + s_suppkey % 50) * (1 + 1e-5 * (5 + s_suppkey % 7)) AS w1 FROM supplier),
 n AS (SELECT *, CAST(floor(ln(w1 / w0) * {C} / 500) AS BIGINT) AS n FROM o), g AS (SELECT ord, w0, n, unnest(range(0, n)) AS i FROM n)
-SELECT ord, i, round(exp(i / CAST(n AS DOUBLE) * ln(exp(n * 500 / {C}))) * w0, 8) AS wave FROM g""")
+SELECT ord, i, round(exp(i / CAST(n AS DOUBLE) * ln(exp(n * 500 / {C}))) * w0, 6) AS wave FROM g""")
 def magic_grid(spark, d):
     """Grids of constant velocity step between the ends of every order."""
     w0 = F.col("s_suppkey") % 50 + 990.0
     w1 = w0 * ((F.col("s_suppkey") % 7 + 5) * 1e-5 + 1)
     points = F.posexplode(spectral.magic_grid_points(w0, w1)).alias("i", "wave")
-    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("ord"), points).select("ord", F.col("i").cast("long").alias("i"), F.round("wave", 8).alias("wave"))
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("ord"), points).select("ord", F.col("i").cast("long").alias("i"), F.round("wave", 6).alias("wave"))
 
 
 @query(f"""WITH e AS (SELECT i, exp(i / 25.0 * ln(1950 / 900.0)) * 900 AS a, exp((i + 1) / 25.0 * ln(1950 / 900.0)) * 900 AS b FROM (SELECT CAST(unnest(range(0, 25)) AS BIGINT) AS i))
