@@ -1,7 +1,7 @@
 """Words of an Arrow batch: each distinct word is worked on once, the rest is array arithmetic.
 
-A word of seven characters below U+0100 at most is looked up by those characters themselves, a number below 2**63. Any other is
-looked up by a hash, from 2**63 on, and then compared with the word kept under it, so that words of equal hashes (such can be
+A word of up to eight characters below U+0100, an eighth one below U+0080, is looked up by those characters themselves, a number
+below 2**63. Any other is looked up by a hash, from 2**63 on, and then compared with the word kept under it, so that words of equal hashes (such can be
 made) only cost time, and no hash is taken for a word's own characters.
 """
 
@@ -162,20 +162,21 @@ class WordCache:
 _ONE, _BOTH, _HASHED = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1 << 63)
 
 
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _short(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which slices are seven characters below U+0100 at most, and these characters as one number."""
+    """Which slices are eight characters below U+0100 (the eighth below U+0080) at most, and these characters as one number below 2**63."""
     n = ends - starts
     wide = points > 0xFF
-    short = n <= 7
+    short = n <= 8
     if wide.any():
         before = np.append(0, np.cumsum(wide))
         short &= before[ends] == before[starts]
     letters = np.append(points.astype(np.uint8), np.zeros(8, np.uint8))
     eight = np.ndarray(len(points) + 1, "<u8", letters, strides=(1,))
-    return short, eight[starts] & _MASKS[np.minimum(n, 7)]
+    packed = eight[starts] & _MASKS[np.minimum(n, 8)]
+    return short & (packed < _HASHED), packed
 
 
 def _pairs(points: np.ndarray) -> np.ndarray:
