@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrv.functions.spectral import doppler_shift
+from lumenrv.functions.spectral import SPEED_OF_LIGHT, doppler_shift
 from lumenrv.kernels import curves, profiles
 from lumenrv.operators.orders import median_template, normalised_mask, one_dimensional
 from lumenrv.operators.sequences import along, gradient, zero_crossings
@@ -104,6 +104,32 @@ def registered(spectra: DataFrame, template: np.ndarray, *, key: str, flux: str,
     return spectra.select(key, shift(flux).alias("shift"))
 
 
+def finished_template(template: DataFrame, keys: list[str], index: str, columns: dict[str, str], *, step: float, resolution: float, low_snr: float = 10.0, width: int = 101) -> DataFrame:
+    """A template's fluxes and errors (columns: flux by its rms) without pixels of low signal, and smooth columns beside them.
+
+    The signal, flux over rms, is smoothed by a running median of width pixels; below low_snr both are null, and so are they
+    where the signal is not known. flux_savgol_d0 to d3 are the flux's local cubic and its derivatives by pixel, over a width
+    of the resolution's in steps of step m/s. A template of keys is one array; it is of an instrument's size.
+    """
+    from lumenrv.operators.spectra import low_pass, savitzky_golay
+
+    window = round(SPEED_OF_LIGHT / step / resolution)
+    window += 1 - window % 2
+    names = [index, *columns, *columns.values()]
+    laid = template.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__t"))
+    array = lambda c: F.transform("__t", lambda t: t[c].cast("double"))
+    done = laid.select(*keys, array(index).alias("__i"), *(array(c).alias(c) for c in names[1:]))
+    for flux, rms in columns.items():
+        snr = low_pass(F.zip_with(flux, rms, lambda f, r: F.try_divide(f, r)), width)
+        kept = F.transform(snr, lambda s: F.coalesce(s >= low_snr, F.lit(False)))
+        done = done.withColumn("__k", kept)
+        cut = {c: F.zip_with(c, "__k", lambda x, k: F.when(k, x)) for c in (flux, rms)}
+        done = done.withColumns(cut).withColumns({f"{flux}_savgol_d{n}": savitzky_golay(F.col(flux), window, derivative=n) for n in range(4)})
+    out = ["__i", *names[1:], *(f"{c}_savgol_d{n}" for c in columns for n in range(4))]
+    rows = done.select(*keys, F.inline(F.arrays_zip(*out)))
+    return rows.select(*keys, F.col("__i").cast("long").alias(index), *out[1:])
+
+
 def settled_template(orders: DataFrame, *, key: str = "exposure", wave0: float, step: float, n: int, bins: int = 19, rounds: int = 5, settled: float = 100.0, width: int = 101) -> tuple[DataFrame, DataFrame]:
     """Template (i, flux, rms, n) and velocities (key, velocity) of exposures given as orders with wave, flux, blaze and berv.
 

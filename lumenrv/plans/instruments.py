@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrv.functions.spectral import uniform_bins
 
 @dataclass(frozen=True)
 class Instrument:
@@ -48,6 +49,40 @@ INSTRUMENTS = (
     Instrument("EXPRES", "None", (379.66, 822.36), (379.66, 822.36), 550, 150_000, "km/s"),
 )
 
+#: Photometric bands (nm; the red end of j is as the original has it, so that no instrument holds that band),
+#: bands that some instruments name themselves, and regions of the detector (name, pixels), near infrared, optical and one red arm.
+PHOTOMETRIC = {
+    "u": (305.511, 403.064), "g": (379.764, 555.304), "r": (541.823, 699.442), "i": (669.241, 840.032), "z": (796.470, 1087.333), "y": (938.600, 1113.400),
+    "j": (1148.178, 13494.41), "h": (1450.980, 1809.105), "k": (1985.930, 2401.514),
+}
+OWN_BANDS = {
+    ("SPIROU", None): {"Y": (900.0, 1113.4), "gapYJ": (1113.4, 1153.586), "J": (1153.586, 1354.422), "gapJH": (1354.422, 1462.897), "H": (1462.897, 1808.544), "gapHK": (1808.544, 1957.792), "K": (1957.792, 2343.105), "redK": (2343.105, 2500.0)},
+    ("MAROONX", "BLUE"): {"u": (360.804, 402.823), "g": (467.178, 554.926), "r": (614.112, 698.914)},
+}
+INFRARED_REGIONS = {"": (0, 4088), "_0-2044": (0, 2044), "_2044-4088": (2044, 4088), "_1532-2556": (1532, 2556)}
+OPTICAL_REGIONS = {"": (0, 4096), "_0-2044": (0, 2048), "_2044-4088": (2048, 4096)}
+RED_ARM_REGIONS = {"": (0, 4036), "_0-2018": (0, 2018), "_2018-4036": (2018, 4096)}
+
+
+def bands_of(instrument: Instrument) -> dict[str, tuple[float, float]]:
+    """An instrument's bands: its own, or the photometric ones that lie strictly within its orders, and its uniform bins."""
+    own = OWN_BANDS.get((instrument.name, None)) or OWN_BANDS.get((instrument.name, instrument.source))
+    named = own or {k: (a, b) for k, (a, b) in PHOTOMETRIC.items() if a > instrument.wave[0] and b < instrument.wave[1]}
+    return named | {k: (a, b) for k, a, b in uniform_bins(*map(float, instrument.window), instrument.bins)}
+
+
+def regions_of(instrument: Instrument) -> dict[str, tuple[int, int]]:
+    """The regions of its detector; bands hold what lies strictly inside of one."""
+    if instrument.name.startswith(("SPIROU", "NIRPS")):
+        return INFRARED_REGIONS
+    return RED_ARM_REGIONS if (instrument.name, instrument.source) == ("MAROONX", "RED") else OPTICAL_REGIONS
+
+
+def band_rows() -> list[tuple[str, str, str, float, float, float, float]]:
+    """instrument, source, band with its region's name, low, high, first, last of all instruments: some thousand rows at most."""
+    return [(i.name, i.source, b + r, *ends, float(first), float(last)) for i in INSTRUMENTS for b, ends in bands_of(i).items() for r, (first, last) in regions_of(i).items()]
+
+
 #: Fixed values of a run, unless it says otherwise.
 DEFAULTS = {
     "N_ITERATIONS": (20, "rounds of an exposure's velocity"), "MAX_N_GOOD_ITERS": (15, "rounds from which an exposure counts as bad"), "LINE_MIN_PIX_WIDTH": (5, "least pixels of a line"),

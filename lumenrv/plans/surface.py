@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenrv.functions.register import register
-from lumenrv.operators import robust
-from lumenrv.plans.registry import SQL, query
+from lumenrv.operators import intervals, robust, templates
+from lumenrv.plans import instruments
+from lumenrv.plans.registry import QUERIES, SQL, query
 from lumenrv.plans.sequences import gapped
 from lumenrv.plans.statistics import robust_sql
-from lumenrv.plans.surrogates import exposures, measurements, measurements_sql
+from lumenrv.plans.surrogates import LINE_LIST, exposures, line_list, measurements, measurements_sql
 from lumenrv.plans.workflow import Stage, Workflow
 from lumenrv.sources.fits_source import load_fits
 from lumenrv.sources.scratch import shared_dir
@@ -91,3 +92,27 @@ def staged_weeks(spark, d):
     flow.run()
     found, _ = flow.run()
     return found["weeks"].select("week", F.round("mean", 5).alias("mean"), F.round("mean_err", 5).alias("mean_err"), "nights")
+
+
+BAND_ROWS = instruments.band_rows()
+
+
+@query(f"""WITH b(instrument, source, band, low, high, first, last) AS (VALUES {', '.join(f"('{i}', '{s}', '{b}', {lo!r}, {hi!r}, {a!r}, {z!r})" for i, s, b, lo, hi, a, z in BAND_ROWS)}),
+l AS (SELECT wave, l_partkey * 13 % 4096 AS pixel, dv FROM {LINE_LIST.replace('SELECT l_orderkey', 'SELECT l_partkey, l_orderkey')})
+SELECT instrument, source, band, count(wave) AS lines, round(avg(dv), 6) AS mean FROM b LEFT JOIN l ON wave > low AND wave < high AND pixel > first AND pixel < last GROUP BY ALL""")
+def instrument_bands(spark, d):
+    """Lines in every band and region of every instrument."""
+    bands = spark.createDataFrame(BAND_ROWS, "instrument string, source string, band string, low double, high double, first double, last double")
+    lines = line_list(spark, d, "l_partkey").select("wave", (F.col("l_partkey") * 13 % 4096).alias("pixel"), "dv")
+    spans = bands.select("low", "high", "first", "last").distinct()  # the same for several instruments
+    cells = lines.groupBy("wave", "pixel").agg(F.count(F.lit(1)).alias("n"), F.sum("dv").alias("s"), F.count("dv").alias("k"))  # equal lines are taken together
+    met = intervals.range_join(cells, spans, "wave", "low", "high", width=100.0).filter("pixel > first and pixel < last")
+    found = met.groupBy("low", "high", "first", "last").agg(F.sum("n").alias("lines"), (F.sum("s") / F.sum("k")).alias("mean"))
+    return bands.join(found, ["low", "high", "first", "last"], "left").select("instrument", "source", "band", F.coalesce("lines", F.lit(0)).alias("lines"), F.round("mean", 6).alias("mean"))
+
+
+@query()
+def template_finish(spark, d):
+    """The templates of template_median without pixels of low signal, with smooth columns."""
+    template = QUERIES["template_median"](spark, d)
+    return templates.finished_template(template, ["ord"], "pixel", {"flux": "rms"}, step=500.0, resolution=80_000, width=21)

@@ -78,3 +78,59 @@ def test_aggregates_and_several_keys_in_sql(spark):
     assert got["a"][0] == pytest.approx(2, abs=0.3) and all(x is None or math.isnan(x) for x in got["b"])
     lines = spark.sql("SELECT * FROM find_lines(TABLE({t}), 'g, h', 'i', 'w', 'v')", t=df)
     assert lines.columns[:3] == ["g", "h", "i"] and lines.count() > 10
+
+
+def test_binary_tables_there_and_back(spark, tmp_path):
+    from lumenrv.sources import fits
+
+    rows = [("a.fits", 1, 2.5, "x", True, 7), ("a.fits", 2, None, None, None, None), ("b.fits", 3, float("nan"), "longer é", False, 9), (None, 4, 1.0, "lost", True, 1)]
+    df = spark.createDataFrame(rows, "file string, n int, v double, s string, ok boolean, big long")
+    sizes = {r.name: r.bytes for r in tables.write_tables(df, f"file://{tmp_path}/t", "file", header={"OBJECT": "star"}).collect()}
+    assert sorted(sizes) == ["a.fits", "b.fits"] and all(v % 2880 == 0 for v in sizes.values())
+    back = fits.read_tables(spark, f"{tmp_path}/t", "n int, v double, s string, ok boolean, big long").orderBy("n").collect()
+    none = lambda x: None if x is None or math.isnan(x) else x
+    assert [(r.n, none(r.v), r.s, r.ok, r.big) for r in back] == [(1, 2.5, "x", True, 7), (2, None, "", False, 0), (3, None, "longer", False, 9)]
+    assert fits.read_headers(spark, f"{tmp_path}/t").filter("unit = 1").first().header["OBJECT"] == "star"
+    with pytest.raises(TypeError):
+        tables.write_tables(df.withColumn("x", F.array("n")), "file:///tmp/none", "file")
+
+
+def test_line_tables_have_all_columns(spark, tmp_path):
+    names = [c.split()[0] for c in tables.FULL_REFERENCE.split(", ")]
+    assert len(names) == 15
+    row = tuple(k if c.endswith(" int") else None if k == 6 else k + 0.5 for k, c in enumerate(tables.FULL_REFERENCE.split(", ")))
+    tables.write_reference(spark.createDataFrame([row], tables.FULL_REFERENCE), f"file://{tmp_path}/r", tables.FULL_REFERENCE)
+    assert tuple(tables.read_reference(spark, f"file://{tmp_path}/r", tables.FULL_REFERENCE).first()) == row
+
+
+def test_finished_templates(spark):
+    from lumenrv.kernels import curves
+    from lumenrv.plans import catalog
+
+    before = {}
+    for r in catalog.queries()["template_median"](spark, "/root/testdata/sf0.001").collect():
+        before.setdefault(r.ord, {})[r.pixel] = (math.nan if r.flux is None else r.flux, math.nan if r.rms is None else r.rms)
+    got = catalog.queries()["template_finish"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == sum(map(len, before.values()))
+    nan = lambda v: math.nan if v is None else v
+    some = {o: {r.pixel: r for r in got if r.ord == o} for o in list(before)[:3]}
+    for o, rows in some.items():
+        flux, rms = np.array([before[o][i] for i in range(64)]).T
+        snr = curves.low_pass(flux / rms, 21)
+        kept = np.where(snr >= 10, flux, np.nan)
+        assert [nan(rows[i].flux) for i in range(64)] == pytest.approx(kept.tolist(), nan_ok=True)
+        window = round(299792458.0 / 500 / 80_000)
+        for n in range(4):
+            want = curves.savitzky_golay(kept, window + 1 - window % 2, derivative=n)
+            assert [nan(rows[i][f"flux_savgol_d{n}"]) for i in range(64)] == pytest.approx(want.tolist(), nan_ok=True, abs=1e-9)
+
+
+def test_bands_of_instruments():
+    from lumenrv.plans import instruments
+
+    by = {(i.name, i.source): i for i in instruments.INSTRUMENTS}
+    assert list(instruments.bands_of(by["SPIROU", "CADC"]))[:8] == ["Y", "gapYJ", "J", "gapJH", "H", "gapHK", "K", "redK"]
+    assert [b for b in instruments.bands_of(by["HARPS", "ESO"]) if not b.endswith("nm")] == ["g"]
+    assert [b for b in instruments.bands_of(by["NIRPS_HE", "APERO"]) if not b.endswith("nm")] == ["h"]
+    assert [b for b in instruments.bands_of(by["MAROONX", "BLUE"]) if not b.endswith("nm")] == ["u", "g", "r"]
+    assert "_1532-2556" in instruments.regions_of(by["NIRPS_HA", "ESO"]) and instruments.regions_of(by["MAROONX", "RED"])["_2018-4036"] == (2018, 4096)
