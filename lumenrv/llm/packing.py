@@ -129,7 +129,7 @@ def encode_documents(rows: DataFrame, tokenizer: str, end_id: int, centres: Broa
     """doc_id, n (ids with end_id), width, ids (little-endian), cell (nearest centres) and near (hash of likeness)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = CachedBpe(tokenizer, 200_000)  # two workers of an executor share its memory
+        bpe = CachedBpe(tokenizer, 400_000)  # two workers of an executor share its memory
         width = max(bpe.dtype.itemsize, 2 if end_id < 1 << 16 else 4)
         for batch in batches:
             for part in byte_slices(batch, "text", 2 << 20):
