@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenrv.functions.spectral import SPEED_OF_LIGHT, finite
 from lumenrv.kernels.curves import Spline
+from lumenrv.operators.robust import exact_median, robust_sigma
 
 
 def trim_overlaps(df: DataFrame, keys: Sequence[str], order: str, wave: str, name: str = "inside") -> DataFrame:
@@ -37,11 +38,14 @@ def sinc_blaze(wave: Column, order: Column, peak: Column, width: float = 1.0) ->
 
 def normalised_mask(lines: DataFrame, keys: Sequence[str], weight: str, most: float = 10.0) -> DataFrame:
     """Lines whose weight is below most medians of the absolute weights, over the mean absolute weight of those."""
-    same = lambda t: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] if keys else F.lit(True)
-    middle = lines.groupBy(*keys).agg(F.percentile(F.abs(weight), F.lit(0.5)).alias("__m")).select(*(F.col(k).alias(f"__{k}") for k in keys), "__m")
-    kept = lines.join(middle, same(middle)).filter(F.col(weight) < F.col("__m") * most).select(*lines.columns)
-    mean = kept.groupBy(*keys).agg(F.avg(F.abs(weight)).alias("__w")).select(*(F.col(k).alias(f"__{k}") for k in keys), "__w")
-    return kept.join(mean, same(mean)).withColumn(weight, F.try_divide(F.col(weight), F.col("__w"))).select(*lines.columns)
+    by = list(keys) or ["__one"]
+    rows = lines if keys else lines.withColumn("__one", F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    named = lambda t: t.select(*(F.col(k).alias(f"__{k}") for k in by), *(c for c in t.columns if c not in by))
+    middle = named(exact_median(rows.withColumn("__a", F.abs(weight)), by, "__a", name="__middle_"))
+    kept = rows.join(middle, same).filter(F.col(weight) < F.col("__middle_") * most).select(*rows.columns)
+    mean = named(kept.groupBy(*by).agg(F.avg(F.abs(weight)).alias("__mean_")))
+    return kept.join(mean, same).withColumn(weight, F.try_divide(F.col(weight), F.col("__mean_"))).select(*lines.columns)
 
 
 def velocity_bins(df: DataFrame, keys: Sequence[str], velocity: str, bins: int, name: str = "bin") -> DataFrame:
@@ -57,8 +61,6 @@ def box_noise(df: DataFrame, keys: Sequence[str], index: str, value: str, width:
     first = F.greatest(F.ceil((F.col(index) - width + 1) / F.lit(step)), F.lit(0)).cast("bigint")
     last = F.floor(F.col(index) / F.lit(step)).cast("bigint")
     dealt = df.withColumn("box", F.explode(F.sequence(first, last)))
-    from lumenrv.operators.robust import robust_sigma
-
     out = dealt.groupBy(*keys, "box").agg(robust_sigma(F.col(value)).alias("sigma"), F.count(finite(F.col(value))).alias("__k"), F.avg(index).alias("centre"))
     return out.filter(F.col("__k") * 2 >= width).drop("__k")
 

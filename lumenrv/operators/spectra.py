@@ -40,6 +40,18 @@ def spline_at(x: Column, y: Column, at: Column, degree: int = 3, outside: str =
     return _on_arrays(lambda x, y, at: curves.Spline(x, y, degree, outside)(at), x, y, at)
 
 
+def placed_values(places: Column, values: Column, n: int) -> Column:
+    """An array of n values with those given at their places (from 0) and null elsewhere."""
+
+    def put(at: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.full(n, np.nan)
+        inside = (at >= 0) & (at < n)
+        out[at[inside].astype(int)] = y[inside]
+        return out
+
+    return _on_arrays(put, places, values)
+
+
 def low_pass(values: Column, width: int = 101, degree: int = 2) -> Column:
     return _on_arrays(lambda v: curves.low_pass(v, width, degree), values)
 

@@ -15,12 +15,17 @@ from lumenrv.operators.orders import median_template, normalised_mask, one_dimen
 from lumenrv.operators.sequences import along, gradient, zero_crossings
 from lumenrv.sources.scratch import materialize
 
+#: Lines that a list on the driver may have.
+LINES = 1_000_000
 SYSTEMIC = ("vsys", "fwhm", "contrast", "snr", "ears", "power")
 
 
 def _mask(lines: DataFrame, wave: str, weight: str) -> tuple[np.ndarray, np.ndarray]:
-    """A line list (of an instrument's size) on the driver, to be broadcast."""
-    rows = lines.filter(F.col(wave).isNotNull() & F.col(weight).isNotNull()).select(wave, weight).orderBy(wave, weight).collect()
+    """A line list (of an instrument's size, LINES at most) on the driver, to be broadcast."""
+    rows = lines.filter(F.col(wave).isNotNull() & F.col(weight).isNotNull()).select(wave, weight).limit(LINES + 1).collect()
+    if len(rows) > LINES:
+        raise ValueError(f"a line list of more than {LINES} lines is none of an instrument's; correlate it with halos.correlated")
+    rows.sort()
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
 
 
@@ -138,10 +143,13 @@ def settled_template(orders: DataFrame, *, key: str = "exposure", wave0: float,
     settled. Each round is written to the shared folder; of the template one array reaches the driver.
     """
     moves = materialize(orders.groupBy(key).agg(F.max("berv").alias("berv")).withColumn("velocity", F.lit(0.0)))
-    from lumenrv.operators.orders import velocity_bins
+    from lumenrv.operators.intervals import place_in_order
+    from lumenrv.operators.robust import exact_percentiles
+    from lumenrv.operators.spectra import placed_values
 
     count = moves.count()
-    binned = materialize(velocity_bins(moves.withColumn("__all", F.lit(0)), ["__all"], "berv", min(bins, max(count, 1))).select(key, "bin"))  # one row for each exposure
+    placed = place_in_order(moves.withColumn("__cell", F.floor(F.col("berv") / 100)), "__cell", ["berv", key])  # cells of 100 m/s
+    binned = materialize(placed.select(key, F.floor(F.col("place") * min(bins, max(count, 1)) / max(count, 1)).cast("int").alias("bin")))  # one row for each exposure
     template = None
     for _ in range(rounds):
         placed = orders.drop("berv").join(moves, key)
@@ -151,13 +159,13 @@ def settled_template(orders: DataFrame, *, key: str = "exposure", wave0: float,
         grid = np.full(n, np.nan)
         for r in template.select("i", "flux").toLocalIterator():  # of the grid's size
             grid[r.i] = np.nan if r.flux is None else r.flux
-        every = moves.select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__i"))  # an exposure is a grid at most
-        filled = every.join(laid.select(F.col(key).alias("__k"), F.col("i").alias("__j"), "flux"), (F.col(key) == F.col("__k")) & (F.col("__i") == F.col("__j")), "left")
-        arrays = filled.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "flux"))), lambda p: p["flux"]).alias("flux"))
+        listed = laid.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "flux"))).alias("__p"))  # a grid's size
+        arrays = listed.select(key, placed_values(F.transform("__p", lambda p: p["i"].cast("double")), F.transform("__p", lambda p: p["flux"]), n).alias("flux"))
         shifts = materialize(registered(arrays, grid, key=key, flux="flux", step=step, width=width))
         # flux is compared with the template on a grid that rises with wavelength: a roll to the right is a rise in velocity
         moves = materialize(moves.join(shifts, key, "left").select(key, "berv", (F.col("velocity") - F.coalesce(F.nanvl("shift", F.lit(0.0)), F.lit(0.0))).alias("velocity")))
-        spread = shifts.agg(F.percentile("shift", F.array(F.lit(0.16), F.lit(0.84))).alias("p")).first()["p"]
+        found = exact_percentiles(shifts.withColumn("__one", F.lit(0)), ["__one"], "shift", (0.16, 0.84)).first()
+        spread = found and found["p"]
         if spread is None or (spread[1] - spread[0]) / 2 < settled:
             break
     return template, moves.select(key, "velocity")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenrv.plans import axes, expressions, kernels, orders, pixels, sequences, stages, statistics, surface  # noqa: F401  (they register their queries)
+from lumenrv.plans import axes, expressions, inputs, kernels, orders, pixels, sequences, stages, statistics, surface  # noqa: F401  (they register their queries)
 from lumenrv.plans.registry import QUERIES, SQL, Query
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,9 +89,68 @@ DEFAULTS = {
     "BULK_ERROR_CONVERGENCE": (1.0, "errors within which a velocity has settled"), "RMS_SIGCLIP_THRES": (5, "sigmas beyond which a pixel goes"), "NOISE_SAMPLING_WIDTH": (2e5, "width of noise boxes, m/s"),
     "CCF_SNR_MIN": (7, "least signal of a cross-correlation"), "FRAC_TIME_MEAS": (0.1, "least share of exposures that measure a line"), "MEDBINMAX": (19, "most bins of a template"),
     "MAX_CONVERGENCE_RV": (100, "scatter at which a template has settled, m/s"), "WEIGHT_MIN": (0.1, "least weight of a template's pixel"), "SNR_THRES": (10, "least signal of a template's pixel"),
+    "LINE_NSIG_THRES": (8, "sigmas beyond which a line goes"), "CCF_HP_SCALE": (30, "high-pass of a correlation, km/s"), "USE_NOISE_MODEL": (False, "whether noise is taken from boxes"),
+    "ROUGH_CCF_MIN_RV": (-3e5, "first velocity of a rough correlation, m/s"), "ROUGH_CCF_MAX_RV": (3e5, "last velocity of a rough correlation, m/s"), "ROUGH_CCF_STEP": (500, "its step, m/s"), "ROUGH_CCF_EWIDTH_GUESS": (2000, "its first guess of a width, m/s"),
+    "MASK_CCF_REACH": (200, "velocities of a list's correlation on both sides, km/s"), "MASK_CCF_STEP": (0.5, "its step, km/s"), "CUT_PEARSONR": (-1, "chance below which a correlated line goes; none if negative"), "NUM_UNIFORM_WAVEBIN": (15, "uniform bins of the compiled table"),
+    "ADD_UNIFORM_WAVEBIN": (False, "whether there are uniform bins"), "FORCE_SIGMA_PER_LINE": (False, "whether errors are scaled to each line's spread"), "MAX_PIXEL_WIDTH": (50, "pixels from which a line is too wide to compile"), "BIAS_NSIG": (100, "sigmas beyond which a bias goes"),
+    "TEMPLATE_ROUNDS": (5, "most rounds of a template"), "BLAZE_SMOOTH_SIZE": (20, "pixels over which an order's edges fade"), "BLAZE_THRESHOLD": (0.2, "least blaze of an order's pixel"), "DO_TELLUCLEAN": (False, "whether the air is taken off"),
+    "TELLU_ROUNDS": (20, "most rounds of the air's exponents"), "TELLU_KERNEL_WIDTH": (1.4, "width of the air's kernel, pixels"), "TELLU_KERNEL_SHAPE": (2.2, "its power"), "TELLU_SIGMA_CUT": (10, "sigmas beyond which a pixel of the air goes"),
+    "TELLU_WATER_BOUNDS": ((0.01, 15.0), "least and greatest exponent of water"), "TELLU_OTHERS_BOUNDS": ((0.05, 15.0), "least and greatest exponent of all else"), "TELLU_FORCE_AIRMASS": (False, "whether the exponent of all else is the airmass"),
+    "DATA_TYPE": ("SCIENCE", "kind of the exposures"), "MJD_START": (None, "first date of a template's exposures"), "MJD_END": (None, "last date of a template's exposures"),
 }
 
 
+def parsed(text: str) -> object:
+    """A value as a file or command line has it: a literal (number, truth, None, list), else the text without quotes."""
+    import ast
+
+    text = text.strip()
+    words = {"true": True, "false": False, "none": None, "null": None, "": None}
+    if text.lower() in words:
+        return words[text.lower()]
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        return text
+
+
+def parameters_from_file(text: str) -> dict[str, object]:
+    """Parameters of a file's text: lines KEY: value, and lists as lines - value below KEY:; what follows a # is a comment."""
+    out: dict[str, object] = {}
+    key = None
+    for line in text.splitlines():
+        line = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not line or line == "---":
+            continue
+        if line.lstrip().startswith("- "):
+            if key is None:
+                raise ValueError(f"a list without a key: {line!r}")
+            held = out[key] if isinstance(out[key], list) else []
+            out[key] = [*held, parsed(line.lstrip()[2:])]
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name.strip() or line[0].isspace():
+            raise ValueError(f"neither a key nor an item of a list: {line!r}")
+        key = name.strip().strip("'\"")
+        out[key] = parsed(value)
+    return out
+
+
+def parameters_from_arguments(arguments: Sequence[str]) -> dict[str, object]:
+    """Parameters of a command line: --key=value, --key value, and --key alone for True; names in capitals."""
+    out: dict[str, object] = {}
+    rest = list(arguments)
+    while rest:
+        word = rest.pop(0)
+        if not word.startswith("--"):
+            raise ValueError(f"no parameter: {word!r}")
+        name, equals, value = word[2:].partition("=")
+        if not equals and rest and not rest[0].startswith("--"):
+            equals, value = "=", rest.pop(0)
+        out[name.replace("-", "_").upper()] = parsed(value) if equals else True
+    return out
+
+
 def parameters(*layers: tuple[str, Mapping[str, object]]) -> dict[str, tuple[object, str, str]]:
     """Value, source and description of each parameter; later layers (file, call, command line) win over earlier ones."""
     out = {k: (v, "default", text) for k, (v, text) in DEFAULTS.items()}

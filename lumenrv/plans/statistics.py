@@ -262,8 +262,9 @@ def colour_curve(spark, d):
     """Difference of two bands with its error, less the median difference."""
     stats = exposures(spark, d).groupBy("object").pivot("kind", ["F", "O"]).agg(F.avg("snr").alias("v"), (F.stddev_pop("snr") / F.sqrt(F.count(F.lit(1)))).alias("s"))
     both = stats.filter("F_v is not null and O_v is not null").select("object", (F.col("F_v") - F.col("O_v")).alias("c"), F.sqrt(F.col("F_s") * F.col("F_s") + F.col("O_s") * F.col("O_s")).alias("e"))
-    middle = both.agg(F.percentile("c", F.lit(0.5)).alias("m"))  # one row
-    return both.join(F.broadcast(middle)).select("object", F.round(F.col("c") - F.col("m"), 9).alias("colour"), F.round("e", 6).alias("colour_err"))
+    both = materialize(both.withColumn("one", F.lit(0)))
+    middle = robust.exact_median(both, ["one"], "c", name="m")  # one row
+    return both.join(F.broadcast(middle), "one").select("object", F.round(F.col("c") - F.col("m"), 9).alias("colour"), F.round("e", 6).alias("colour_err"))
 
 
 def chromatic_sql(points: str, keys: Sequence[str], reference: float, name: str = "c", rounds: int = 10) -> str:

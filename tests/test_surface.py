@@ -134,3 +134,20 @@ def test_bands_of_instruments():
     assert [b for b in instruments.bands_of(by["NIRPS_HE", "APERO"]) if not b.endswith("nm")] == ["h"]
     assert [b for b in instruments.bands_of(by["MAROONX", "BLUE"]) if not b.endswith("nm")] == ["u", "g", "r"]
     assert "_1532-2556" in instruments.regions_of(by["NIRPS_HA", "ESO"]) and instruments.regions_of(by["MAROONX", "RED"])["_2018-4036"] == (2018, 4096)
+
+
+def test_parameters_of_files_and_command_lines():
+    from lumenrv.plans import instruments
+
+    text = "# a run\n---\nN_ITERATIONS: 7 # fewer\nOBJECTS:\n  - 'GL 699'\n  - PROXIMA\nDO_TELLUCLEAN: true\nMJD_START: None\nNAME: some text: with colon\nSTEP: 2.5e2\nEMPTY:\n"
+    found = instruments.parameters_from_file(text)
+    assert found == {"N_ITERATIONS": 7, "OBJECTS": ["GL 699", "PROXIMA"], "DO_TELLUCLEAN": True, "MJD_START": None, "NAME": "some text: with colon", "STEP": 250.0, "EMPTY": None}
+    line = instruments.parameters_from_arguments(["--n-iterations=3", "--plot", "--name", "x y", "--list=[1, 2]"])
+    assert line == {"N_ITERATIONS": 3, "PLOT": True, "NAME": "x y", "LIST": [1, 2]}
+    both = instruments.parameters(("file", found), ("call", {"N_ITERATIONS": 5, "STEP": 1}), ("command line", line))
+    assert both["N_ITERATIONS"][:2] == (3, "command line") and both["STEP"][:2] == (1, "call") and both["OBJECTS"][1] == "file" and both["CUT_PEARSONR"][:2] == (-1, "default")
+    for bad in ("- x", "  key: 1", "no colon"):
+        with pytest.raises(ValueError):
+            instruments.parameters_from_file(bad)
+    with pytest.raises(ValueError):
+        instruments.parameters_from_arguments(["stray"])
