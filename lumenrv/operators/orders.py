@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lumenrv.functions.spectral import SPEED_OF_LIGHT, finite
 from lumenrv.kernels.curves import Spline
-from lumenrv.operators.robust import exact_median, robust_sigma
+from lumenrv.operators.ordered import in_blocks, running
+from lumenrv.operators.robust import crowded, exact_median, robust_sigma
 
 
 def trim_overlaps(df: DataFrame, keys: Sequence[str], order: str, wave: str, name: str = "inside") -> DataFrame:
@@ -48,11 +49,24 @@ def normalised_mask(lines: DataFrame, keys: Sequence[str], weight: str, most: fl
     return kept.join(mean, same).withColumn(weight, F.try_divide(F.col(weight), F.col("__mean_"))).select(*lines.columns)
 
 
-def velocity_bins(df: DataFrame, keys: Sequence[str], velocity: str, bins: int, name: str = "bin") -> DataFrame:
-    """Exposures of an object dealt to bins of equal number in order of their barycentric velocity."""
+def velocity_bins(df: DataFrame, keys: Sequence[str], velocity: str, bins: int, name: str = "bin", *, gathered: int = 100_000, blocks: int | None = None) -> DataFrame:
+    """Exposures of an object dealt to bins of equal number in order of their barycentric velocity; equal ones by the first other column.
+
+    Objects of up to gathered exposures are numbered in one task each, larger ones over blocks of the order.
+    """
+    other = [c for c in df.columns if c not in (*keys, velocity)][:1]
+    order = [velocity, *other]
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    large = crowded(df, keys, gathered)
     w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(velocity, *[c for c in df.columns if c not in (*keys, velocity)][:1])) - 1
-    return df.withColumn(name, F.floor(rank * bins / F.count(F.lit(1)).over(w)).cast("int"))
+    few = df if large is None else df.join(large, same, "left_anti")
+    out = few.withColumn(name, F.floor((F.row_number().over(w.orderBy(*order)) - 1) * bins / F.count(F.lit(1)).over(w)).cast("int"))
+    if large is None:
+        return out
+    many = df.join(large, same, "left_semi")
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__n")
+    placed = running(in_blocks(many, keys, order, blocks), keys, order, sums={"__place": F.lit(1)}).join(counts, same)
+    return out.union(placed.select(*df.columns, F.floor((F.col("__place") - 1) * bins / F.col("__n")).cast("int").alias(name)))
 
 
 def box_noise(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int) -> DataFrame:

@@ -164,7 +164,10 @@ def telluric_correction(spark, d):
             yield pd.DataFrame(rows, columns=["exposure", "water", "others", "wave", "flux"])
 
     made = frames(spark, d, 100).repartition("exposure").mapInPandas(run, "exposure int, water double, others double, wave array<double>, flux array<double>")
-    return telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"]).drop("flux_tc")
+    found = telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"])
+    known = F.filter("flux_tc", lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+    return found.select("exposure", "water", "others", "exponent_water", "exponent_others", "rounds", F.size(known).alias("clean_pixels"), mean.alias("clean_mean"))
 
 
 @query(f"""SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS night, round(sum(dv / pow(sdv, 2)) / sum(1 / pow(sdv, 2)), 9) AS mean, round(sqrt(1 / sum(1 / pow(sdv, 2))), 9) AS mean_err, count(*) AS n FROM {measurements_sql()} GROUP BY 1""")

@@ -180,3 +180,13 @@ def write_tables(df: DataFrame, folder: str, file: str, *, header: Mapping[str,
         return pd.DataFrame({"name": [name], "bytes": [len(raw)]})
 
     return df.filter(F.col(file).isNotNull()).groupBy(file).applyInPandas(run, "name string, bytes long")
+
+
+def write_template(template: DataFrame, science: DataFrame, folder: str, name: str) -> None:
+    """A template and the exposures it was made of: parquet tables template and science in folder/name, written over."""
+    template.write.mode("overwrite").parquet(f"{folder}/{name}/template")
+    science.write.mode("overwrite").parquet(f"{folder}/{name}/science")
+
+
+def read_template(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/{name}/template"), spark.read.parquet(f"{folder}/{name}/science")

@@ -116,3 +116,24 @@ def test_sums_over_lines_equal_sums_over_pixels(spark, blocks):
             seen += 1
             assert [math.nan if x is None else x for x in mine] == pytest.approx(want, rel=1e-6, abs=1e-9, nan_ok=True)
     assert seen > 100
+
+
+def test_bins_of_velocities_over_blocks(spark):
+    from lumenrv.operators import orders
+
+    rows = [(k, x, i) for k, x, i, _ in keyed(np.random.default_rng(11), 300)]
+    df = spark.createDataFrame(rows, "object string, berv double, exposure int")
+    got = {g: sorted((r.object or "", r.exposure, r.bin) for r in orders.velocity_bins(df, ["object"], "berv", 7, gathered=g, blocks=9).collect()) for g in (100_000, 20)}
+    assert got[20] == got[100_000]
+    hot = sorted((x, i) for k, x, i in rows if k == "hot")
+    assert {(i, n * 7 // len(hot)) for n, (_, i) in enumerate(hot)} == {(e, b) for o, e, b in got[20] if o == "hot"}
+
+
+def test_templates_there_and_back(spark, tmp_path):
+    from lumenrv.sources import tables
+
+    t, s = spark.createDataFrame([(1, 0.5)], "i int, flux double"), spark.createDataFrame([("a.fits", 60000.5)], "FILENAME string, MJD double")
+    for _ in range(2):
+        tables.write_template(t, s, f"file://{tmp_path}", "GL699")
+    back = tables.read_template(spark, f"file://{tmp_path}", "GL699")
+    assert [tuple(x.first()) for x in back] == [(1, 0.5), ("a.fits", 60000.5)]
