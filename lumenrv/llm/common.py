@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,23 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for a task's batches; at the end the memory that it has freed goes back to the system.
+
+    A Python worker waits for its next task beside the JVM, which may need that memory in a stage without Python.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

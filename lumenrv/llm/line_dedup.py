@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, let, materialize
+from .common import byte_slices, let, materialize, tidied
 
 #: Most holders of a rare line, and about how many pairs of one earlier document go to one group.
 RARE, DEALT = 8, 200
@@ -191,7 +191,7 @@ def split_lines(rows: DataFrame) -> DataFrame:
                     [part.column("id"), part.column("body"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(total, pa.int64()), pa.array(hashes, pa.binary()), pa.array(words, INT_LIST), pa.array(raws, INT_LIST)],
                     ["id", "body", "hi", "lo", "total", "hashes", "words", "raw"])
 
-    return rows.mapInArrow(run, LINED)
+    return rows.mapInArrow(tidied(run), LINED)
 
 
 def _held_lines(reps: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _held_lines(reps: DataFrame) -> DataFrame:
                 doc = np.repeat(part.column("doc").to_numpy(), [len(x) for x in held])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(doc)], ["h", "doc"])
 
-    return reps.select("doc", "hashes").mapInArrow(run, "h long, doc long")
+    return reps.select("doc", "hashes").mapInArrow(tidied(run), "h long, doc long")
 
 
 def _marks(rows: DataFrame, min_words: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _marks(rows: DataFrame, min_words: int) -> DataFrame:
                 of_row = [part.column(c).take(pa.array(row, pa.int32())) for c in ("doc", "key")]
                 yield pa.RecordBatch.from_arrays([*of_row, pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(lines, pa.int32())], ["doc", "key", "hi", "lo", "lines"])
 
-    return rows.mapInArrow(run, f"doc long, {KEY}, hi long, lo long, lines int")
+    return rows.mapInArrow(tidied(run), f"doc long, {KEY}, hi long, lo long, lines int")
 
 
 def _pairs(reps: DataFrame, min_words: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _aligned(reps: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
                         gone.append(raw[sorted(found)])
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(keys, pa.int32())), pa.array(gone, INT_LIST)], ["key", "gone"])
 
-    return rows.mapInArrow(run, f"{KEY}, gone array<int>")
+    return rows.mapInArrow(tidied(run), f"{KEY}, gone array<int>")
 
 
 def kept_ranges(gone: Column) -> Column:

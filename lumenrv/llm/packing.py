@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CachedBpe, vocabulary_size
-from .common import byte_slices, materialize, texts
+from .common import byte_slices, materialize, texts, tidied
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -105,7 +105,7 @@ def fit_centres(rows: DataFrame, tokenizer: str, vocabulary: int, sample: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([np.unique(x).astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["ids", "terms"])
 
     share = min(1.0, sample / max(rows.count(), 1))
-    some = materialize(rows.select("text").sample(share, seed=1).limit(sample).mapInArrow(run, "ids binary, terms array<long>"))
+    some = materialize(rows.select("text").sample(share, seed=1).limit(sample).mapInArrow(tidied(run), "ids binary, terms array<long>"))
     held = np.zeros(vocabulary, np.int64)
     documents = some.count()
     for r in some.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a token id at most
@@ -139,7 +139,7 @@ def encode_documents(rows: DataFrame, tokenizer: str, end_id: int, centres: Broa
                     [part.column("doc_id"), pa.array(lens), pa.array(np.full(len(ids), width, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(centres.value.cells(flat, lens)), pa.array(min_hashes(flat, lens))],
                     ["doc_id", "n", "width", "ids", "cell", "near"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, width int, ids binary, cell int, near long")
+    return rows.mapInArrow(tidied(run), "doc_id long, n long, width int, ids binary, cell int, near long")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def document_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "n"])
 
-    rows = coded.select("width", "ids", "n").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("width", "ids", "n").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocabulary, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
@@ -317,7 +317,7 @@ def pack(
 
     parts = max(1, -(-(tokens or 0) // partition_tokens))
     order = ["cell", "near", "doc_id", "n"]
-    return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, PIECES)
+    return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(run), PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, texts
+from .common import byte_slices, materialize, texts, tidied
 from .words import WordCache, code_points, text_starts
 
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -355,7 +355,7 @@ def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, most: int,
                 found.append([" ".join(words[s : s + window]) for s in places.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
 
-    held = materialize(rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, windows array<string>"))
+    held = materialize(rows.select("doc_id", "toxic", "text").mapInArrow(tidied(run), "doc_id long, toxic int, windows array<string>"))
     sizes = held.select("doc_id", "toxic", F.size("windows").alias("n"), F.aggregate("windows", F.lit(0), lambda s, w: s + F.length(w)).alias("chars")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     left, chosen = {0: most, 1: most}, []
     for r in sizes:  # each * 2 rows; windows are words of a text, so that characters are bounded too
@@ -391,8 +391,9 @@ def score_toxicity(
             parts = [score_batch(model, cache, p.column("text").to_pylist(), window, stride) for p in byte_slices(batch, "text", 2 << 20)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    score = F.arrow_udf(run, "double")
+    whole = tidied(run)
+    whole.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    score = F.arrow_udf(whole, "double")
     out = df.withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
     return out.withColumns({"predicted": (F.col("score") >= threshold).cast("int"), "held_out": held_out(F.col(id_col))})
 
