@@ -31,6 +31,14 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for a task's batches; at the end the memory that it has freed goes back to the system.
 
@@ -40,10 +48,7 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     @wraps(run)
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-        if trim:
-            trim(0)
+        give_back()
 
     return whole
 

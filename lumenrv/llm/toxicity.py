@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, texts, tidied
+from .common import byte_slices, give_back, materialize, texts, tidied
 from .words import WordCache, code_points, text_starts
 
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -381,7 +381,11 @@ def score_toxicity(
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_windows(source, labels, each=train_each, most=train_windows, window=window, stride=stride)
-    net = df.sparkSession.sparkContext.broadcast(train(sample, window=window))
+    give_back()  # what collecting the sample took
+    trained = train(sample, window=window)
+    del sample
+    give_back()
+    net = df.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = net.value
