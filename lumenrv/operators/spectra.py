@@ -171,13 +171,14 @@ def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str
     few = rows if large is None else rows.join(large, robust._same(keys), "left_anti")
     lists = few.groupBy(*keys).agg(F.collect_list(F.struct(F.col("__w").alias("w"), F.col("__v").alias("v"), F.col("__e").alias("e"), F.col("__o").alias("o"))).alias("__p"))
     known = lambda c: F.filter(F.transform("__p", lambda p: p[c]), lambda x: x.isNotNull())
-    middles = lists.select(*keys, "__p", _percentile_of(known("v"), 0.5).alias("__vm"), _percentile_of(known("e"), 0.5).alias("__em"))
-    good = lambda p: p["w"].isNotNull() & p["o"].isNotNull() & (F.abs(p["v"] - F.col("__vm")) < p["e"] * 10) & (p["e"] < F.col("__em") * 100)
-    chosen = middles.select(*keys, F.filter("__p", lambda p: F.coalesce(good(p), F.lit(False))).alias("__p"))
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  (a value used for each point is worked out once)
+    good = lambda p, vm, em: F.coalesce(p["w"].isNotNull() & p["o"].isNotNull() & (F.abs(p["v"] - vm) < p["e"] * 10) & (p["e"] < em * 100), F.lit(False))
+    middles = F.struct(_percentile_of(known("v"), 0.5).alias("v"), _percentile_of(known("e"), 0.5).alias("e"))
+    chosen = lists.select(*keys, once(middles, lambda m: F.filter("__p", lambda p: good(p, m["v"], m["e"]))).alias("__p"))
     errors = F.transform("__p", lambda p: p["e"])
-    floored = chosen.select(*keys, "__p", F.when(F.array_min(errors) == 0, _percentile_of(errors, 0.01) / 2).otherwise(0.0).alias("__f"))
-    point = lambda p: F.struct((p["w"] - reference).alias("x"), F.log(p["w"] / reference).alias("l"), (p["v"] - p["o"]).alias("y"), F.greatest(p["e"], F.col("__f")).alias("e"))
-    points = floored.select(*keys, F.transform("__p", point).alias("__p"))
+    floor = F.when(F.array_min(errors) == 0, _percentile_of(errors, 0.01) / 2).otherwise(0.0)
+    point = lambda p, f: F.struct((p["w"] - reference).alias("x"), F.log(p["w"] / reference).alias("l"), (p["v"] - p["o"]).alias("y"), F.greatest(p["e"], f).alias("e"))
+    points = chosen.select(*keys, once(floor, lambda f: F.transform("__p", lambda p: point(p, f))).alias("__p"))
     fit = F.when(F.size("__p") >= 3, _slope_of_points(F.col("__p"), rounds))
     scaled = lambda t: t.select(*keys, *((F.col(k) * (1000 if "slope" in k else 1)).alias(k) for k in FIT))
     out = scaled(points.select(*keys, fit.alias("__fit")).select(*keys, *(F.col("__fit")[k].alias(k) for k in FIT)))
