@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lumenrv.functions.spectral import SPEED_OF_LIGHT
-from lumenrv.kernels.curves import Spline, low_pass
+from lumenrv.kernels.curves import low_pass
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,9 @@ class Air:
 
 def line_depth(wave: np.ndarray, flux: np.ndarray, lines: np.ndarray, reach: float, step: float = 500.0) -> float:
     """Depth of the mean line: cross-correlation with a list of lines at rest, against its own level at both ends."""
-    at = Spline(wave, flux, 1, "constant")
     grid = np.arange(-reach, reach + step, step)
-    ccf = sum(d * at(w * (1 + grid / SPEED_OF_LIGHT)) for w, d in lines) / lines[:, 1].sum()
+    at = np.interp(lines[:, :1] * (1 + grid / SPEED_OF_LIGHT), wave, flux)
+    ccf = (lines[:, 1:] * at).sum(axis=0) / lines[:, 1].sum()
     edge = np.abs(grid) > 0.7 * reach
     return float(ccf[edge].mean() - ccf[np.abs(grid) <= step].mean())
 
@@ -73,7 +73,7 @@ def correct_tellurics(spectra: DataFrame, air: Air, *, keys: list[str], wave: st
         lists = (inside(a.water_lines), inside(a.others_lines))
 
         def depths(e: np.ndarray) -> np.ndarray:
-            t = Spline(a.wave, a.transmission(e[0], e[1], width), 1, "constant")(w)
+            t = np.interp(w, a.wave, a.transmission(e[0], e[1], width))
             return np.array([line_depth(w, flat / np.maximum(t, 1e-3), x, reach) if len(x) else 0.0 for x in lists])
 
         low, high = np.array([water[0], others[0]]), np.array([water[1], others[1]])
@@ -90,7 +90,7 @@ def correct_tellurics(spectra: DataFrame, air: Air, *, keys: list[str], wave: st
             now = depths(e)
             if np.abs(step).max() < settled:
                 break
-        t = Spline(a.wave, a.transmission(e[0], e[1], width), 1, "constant")(w)
+        t = np.interp(w, a.wave, a.transmission(e[0], e[1], width))
         return np.where(t > np.exp(-1), f / t, np.nan), float(e[0]), float(e[1]), used
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ from lumenrv.operators import spectra as A
 from lumenrv.plans.registry import query
 from lumenrv.plans.sequences import GAPPED, gapped
 from lumenrv.plans.surrogates import measurements, measurements_sql, spectra
-from lumenrv.sources.scratch import materialize
+from lumenrv.sources.scratch import materialize, parts_of
 from lumenrv.streaming.epochs import nightly_means
 
 
@@ -89,10 +89,12 @@ def synthetic_template(seed: int = 42, lines: int = 40, step: float = 500.0) ->
 
 
 def frames(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
-    """exposure and noise (64 numbers): embeddings stacked by so many of them, pixel by pixel."""
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / each).cast("int").alias("exposure"), F.posexplode("embedding").alias("i", "x"))
-    means = emb.groupBy("exposure", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy("exposure").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("noise"))
+    """exposure and noise (64 numbers): embeddings stacked by so many of them, pixel by pixel; few exposures to a partition."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / each).cast("int").alias("exposure"), "embedding")
+    n = emb.select("exposure").distinct().count()
+    means = emb.select("exposure", F.posexplode("embedding").alias("i", "x")).groupBy("exposure", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    made = means.groupBy("exposure").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("noise"))
+    return made.repartition(parts_of(spark, n))  # not by exposure, as made is, which would leave its few partitions
 
 
 def spread_noise(exposure: int, noise: np.ndarray, n: int, sigma: float) -> np.ndarray:
@@ -117,7 +119,7 @@ def moved_exposures(spark: SparkSession, sf_dir: str, known: Callable[[int], flo
                 rows.append((k, v, template.wave, flux))
             yield pd.DataFrame(rows, columns=["exposure", "known", "wave", "flux"])
 
-    return frames(spark, sf_dir, 20).repartition("exposure").mapInPandas(run, "exposure int, known double, wave array<double>, flux array<double>")
+    return frames(spark, sf_dir, 20).mapInPandas(run, "exposure int, known double, wave array<double>, flux array<double>")
 
 
 @query()
@@ -163,7 +165,7 @@ def telluric_correction(spark, d):
                 rows.append((k, water, others, a.wave, flux))
             yield pd.DataFrame(rows, columns=["exposure", "water", "others", "wave", "flux"])
 
-    made = frames(spark, d, 100).repartition("exposure").mapInPandas(run, "exposure int, water double, others double, wave array<double>, flux array<double>")
+    made = frames(spark, d, 100).mapInPandas(run, "exposure int, water double, others double, wave array<double>, flux array<double>")
     found = telluric.correct_tellurics(made, air, keys=["exposure", "water", "others"])
     known = F.filter("flux_tc", lambda x: x.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
