@@ -13,10 +13,12 @@ from lumenrv.functions.spectral import SPEED_OF_LIGHT, doppler_shift
 from lumenrv.kernels import curves, profiles
 from lumenrv.operators.orders import median_template, normalised_mask, one_dimensional
 from lumenrv.operators.sequences import along, gradient, zero_crossings
-from lumenrv.sources.scratch import materialize
+from lumenrv.sources.scratch import materialize, parts_of
 
 #: Lines that a list on the driver may have.
 LINES = 1_000_000
+#: Exposures whose velocities, two numbers each, are broadcast at most.
+BROADCAST = 500_000
 SYSTEMIC = ("vsys", "fwhm", "contrast", "snr", "ears", "power")
 
 
@@ -148,18 +150,22 @@ def settled_template(orders: DataFrame, *, key: str = "exposure", wave0: float,
     from lumenrv.operators.spectra import placed_values
 
     count = moves.count()
+    parts = parts_of(orders.sparkSession, count)
     placed = place_in_order(moves.withColumn("__cell", F.floor(F.col("berv") / 100)), "__cell", ["berv", key])  # cells of 100 m/s
     binned = materialize(placed.select(key, F.floor(F.col("place") * min(bins, max(count, 1)) / max(count, 1)).cast("int").alias("bin")))  # one row for each exposure
     template = None
     for _ in range(rounds):
-        placed = orders.drop("berv").join(moves, key)
+        if count <= BROADCAST:  # the exposures stay in the partitions that they came in
+            placed = orders.drop("berv").join(F.broadcast(moves), key)
+        else:
+            placed = orders.drop("berv").join(moves, key).repartition(parts, key)
         moved = placed.withColumn("wave", F.transform("wave", lambda w: doppler_shift(w, F.col("velocity") - F.col("berv"))))
         laid = materialize(one_dimensional(moved, [key], wave0, step, n))
         template = materialize(median_template(laid, binned, key, bins=bins))
         grid = np.full(n, np.nan)
         for r in template.select("i", "flux").toLocalIterator():  # of the grid's size
             grid[r.i] = np.nan if r.flux is None else r.flux
-        listed = laid.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "flux"))).alias("__p"))  # a grid's size
+        listed = laid.repartition(parts, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "flux"))).alias("__p"))  # a grid's size
         arrays = listed.select(key, placed_values(F.transform("__p", lambda p: p["i"].cast("double")), F.transform("__p", lambda p: p["flux"]), n).alias("flux"))
         shifts = materialize(registered(arrays, grid, key=key, flux="flux", step=step, width=width))
         # flux is compared with the template on a grid that rises with wavelength: a roll to the right is a rise in velocity
