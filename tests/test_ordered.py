@@ -137,3 +137,28 @@ def test_templates_there_and_back(spark, tmp_path):
         tables.write_template(t, s, f"file://{tmp_path}", "GL699")
     back = tables.read_template(spark, f"file://{tmp_path}", "GL699")
     assert [tuple(x.first()) for x in back] == [(1, 0.5), ("a.fits", 60000.5)]
+
+
+def test_line_sums_behind_missing_pixels_at_the_start(spark):
+    """The running sums of an order are null until a first pixel is known; a line without any science has no chi squared."""
+    wave = [1000 + 0.5 * i for i in range(40)]
+    rows = [(1, i, w, None if i < 12 else 1.0 + 0.01 * i, 1.0 + 0.1 * (i % 3), 0.1 if i >= 1 else None, 0.3 * (i % 5 + 1)) for i, w in enumerate(wave)]
+    p = spark.createDataFrame(rows, "exposure int, pixel int, wave double, science double, model double, rms double, d1 double")
+    n = spark.createDataFrame([(1, 1, 1004.2, 1009.3), (1, 2, 1001.0, 1005.2)], "exposure int, line int, start double, end double")
+    some, none = ordered.line_sums(n, p, ["exposure"], vectors={"dv": "d1"}, blocks=2).orderBy("line").collect()
+    w = [1 - (1004.5 - 1004.2) / 0.5] * 0 + [1.0] * 11
+    w[0], w[-1] = 1 - (1004.5 - 1004.2) / 0.5, 1 - (1009.3 - 1009.0) / 0.5
+    chi2 = sum((w[i - 8] * (rows[i][3] - rows[i][4]) / 0.1) ** 2 for i in range(12, 19))
+    assert some.n_pixels == 11 and some.dv is None and some.chi2 == pytest.approx(chi2) and some.rms_ratio > 0
+    assert none.n_pixels == 9 and none.frac_valid == 0 and none.chi2 is None and none.rms_ratio is None
+
+
+def test_points_in_arrays(spark):
+    a = spark.createDataFrame([(1, 0, [1.0, 3.0, 2.0, None, 5.0]), (2, 0, None), (3, 1, [1.0])], "key long, grp int, v array<double>")
+    p = spark.createDataFrame([(10, 0, 2.5), (11, 0, 0.5), (12, 0, 5.0), (13, 0, None)], "point long, grp int, at double")
+    for many in (1, 256):
+        got = {(r.key, r.point): tuple(r)[3:] for r in ordered.bracketed_in_arrays(a, p, "grp", key="key", values="v", point="point", at="at", many=many).collect()}
+        assert got == {
+            (1, 10): (2, 1, 2.0, 3.0), (1, 11): (None, 0, None, 1.0), (1, 12): (4, None, 5.0, None), (1, 13): (None,) * 4,
+            **{(2, k): (None,) * 4 for k in (10, 11, 12, 13)},
+        }
