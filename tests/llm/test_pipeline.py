@@ -134,3 +134,12 @@ def test_null_and_repeated_documents_pass_all_stages(spark, tmp_path):
     assert None in once and once[10**9] == 1
     assert sum(r.length for r in rows) == sum(once.values())  # each kept document is there once
     assert set(once) <= {r.doc_id for r in docs.collect()} | {None, 10**9}
+
+
+def test_copies_by_fingerprint_go_below_the_similarity(spark):
+    """A passage of 11 words, 40 times over, with tails of 30 other words: equal fingerprints, few common shingles."""
+    passage = " ".join([f"word{k}" for k in range(11)] * 40)
+    rows = [(k, passage + " " + " ".join(f"tail{k}x{i}" for i in range(30))) for k in (1, 2)] + [(3, " ".join(f"other{i}" for i in range(60)))]
+    assert len(N.shingle_set(rows[0][1].encode(), 5)) < 80 > 2 * 11
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.drop_near_copies(df).collect()) == [1, 3]
