@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,14 @@ def word_places(points: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np
     return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
-def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_ids(words: list[str], many: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed runs of three to five characters of each word between < and >: all ids, each word's first and number of them."""
     if not words:
         return (np.zeros(0, np.int64),) * 3
+    if len(words) > many:  # some thousand words at a time
+        parts = [gram_ids(words[k : k + many], many) for k in range(0, len(words), many)]
+        sizes = np.concatenate([p[2] for p in parts])
+        return np.concatenate([p[0] for p in parts]), np.cumsum(sizes) - sizes, sizes
     marked = [f"<{w}>" for w in words]
     points = code_points("".join(marked)).astype(np.uint64)
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -132,7 +137,11 @@ class Net:
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """Input parts of the gates of both directions, side by side."""
-        return np.concatenate([x @ self.p["W"][0] + self.p["b"][0], x @ self.p["W"][1] + self.p["b"][1]], axis=1)
+        out = np.empty((len(x), 6 * HIDDEN), np.float32)
+        for k in range(0, len(x), 20_000):
+            for side, part in enumerate(np.split(out[k : k + 20_000], 2, axis=1)):
+                part[:] = x[k : k + 20_000] @ self.p["W"][side] + self.p["b"][side]
+        return out
 
     def states(self, gates: np.ndarray, at: np.ndarray, sizes: np.ndarray | None, keep: list | None = None) -> np.ndarray:
         """States of both directions for windows of word rows at (N x T); sizes: words in each, if not all are full."""
@@ -240,38 +249,46 @@ def _spread(grams: tuple, rows: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def train(docs: list[tuple[list[str], int]], *, epochs: int = 12, least_steps: int = 300, batch: int = 128, rate: float = 0.01, decay: float = 0.02, drop: float = 0.25, seed: int = 5, least_docs: int = 3, window: int = 64) -> Net:
-    """Fit to documents given as windows (words joined by spaces) and a label 0 or 1; few documents get smaller batches and more epochs."""
-    batch = min(batch, max(16, len(docs) // 16))
-    epochs = max(epochs, -(-least_steps // max(1, -(-len(docs) // batch))))
-    rng = np.random.default_rng(seed)
+def train(docs: Iterable[tuple[list[str], int]], *, epochs: int = 12, least_steps: int = 300, batch: int = 128, rate: float = 0.01, decay: float = 0.02, drop: float = 0.25, seed: int = 5, least_docs: int = 3, window: int = 64) -> Net:
+    """Fit to documents given as windows (words joined by spaces) and a label 0 or 1; few documents get smaller batches and more epochs.
+
+    docs are gone through once, and of each only the numbers of its words are kept.
+    """
     row: dict[str, int] = {}
-    at = np.zeros((sum(len(x) for x, _ in docs), window), np.int32)
-    sizes, doc = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    k = 0
-    for i, (windows, _) in enumerate(docs):
-        for x in windows:
+    each, lengths, labels = [np.zeros((0, window), np.int32)], [], []
+    for windows, y in docs:
+        mine = np.zeros((len(windows), window), np.int32)
+        for k, x in enumerate(windows):
             ids = [row.setdefault(w, len(row)) for w in x.split(" ")]
-            at[k, : len(ids)], sizes[k], doc[k] = ids, len(ids), i
-            k += 1
+            mine[k, : len(ids)] = ids
+            lengths.append(len(ids))
+        each.append(mine)
+        labels.append(y)
+    doc = np.repeat(np.arange(len(labels)), [len(x) for x in each[1:]])
+    at, sizes = np.concatenate(each), np.array(lengths, np.int64)
+    del each
+    batch = min(batch, max(16, len(labels) // 16))
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(labels) // batch))))
+    rng = np.random.default_rng(seed)
     words = list(row)
     grams = gram_ids(words)
     total, held, grams_held = np.zeros(2), np.zeros((len(words), 2)), np.zeros((GRAMS, 2))
-    borders = np.searchsorted(doc, np.arange(len(docs) + 1))
-    for i, (_, y) in enumerate(docs):
+    borders = np.searchsorted(doc, np.arange(len(labels) + 1))
+    for i, y in enumerate(labels):
         mine = slice(borders[i], borders[i + 1])
         own_rows = np.unique(at[mine][np.arange(window) < sizes[mine, None]])
         total[y] += 1
         held[own_rows, y] += 1
         grams_held[np.unique(grams[0][_spread(grams, own_rows)]), y] += 1
     net = Net.new({words[i]: k + 1 for k, i in enumerate(np.flatnonzero(held.sum(axis=1) >= least_docs).tolist())}, rng)
-    if not docs:
+    if not labels:
         return net
     net.p["Ew"][:, 0] = 0
     net.p["Ew"][1:, 0] = surety(held[held.sum(axis=1) >= least_docs], total, 2.0)
     net.p["Ec"][:, 0] = surety(grams_held, total, 3.0)
     own = np.array([net.vocabulary.get(w, 0) for w in words], np.int64)
-    label = np.array([y for _, y in docs], np.float32)
+    del row, words, held, grams_held
+    label = np.array(labels, np.float32)
     share = min(max(label.mean(), 1e-3), 1 - 1e-3)
     weights = np.where(label == 1, min(0.25 / share, 4.0), 1.0).astype(np.float32)  # rare labels count a little more
     first = {name: np.zeros_like(x) for name, x in net.p.items()}
@@ -333,30 +350,37 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, most: int, window: int, stride: int) -> list[tuple[list[str], int]]:
+def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, most: int, window: int, stride: int) -> Iterator[tuple[list[str], int]]:
     """The training sample: at most each documents of each label, with all their windows, and most windows of each label in all.
 
     Ids are taken in the order of their hash, so that the sample does not depend on partitions; a document that has more
-    windows than are left is passed over. Of rows with one id the least text stands for them.
+    windows than are left is passed over. Of rows with one id the least text stands for them. The driver gets each document's
+    words once, as an Arrow column, and cuts one document's windows at a time.
     """
     ids = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     picked = [ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
     rows = texts(df).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # each * 2 ids at most
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
+    def cut(words: list[str]) -> list[str]:
+        return [" ".join(words[s : s + window]) for s in window_starts(len(words), window, stride).tolist()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            joined, n, chars = [], [], []
             for text in batch.column("text").to_pylist():
                 low = folded(text)
                 starts, ends = word_places(code_points(low), np.array([0, len(low)]))
                 words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-                places = window_starts(len(words), window, stride)
-                found.append([" ".join(words[s : s + window]) for s in places.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
-
-    held = materialize(rows.select("doc_id", "toxic", "text").mapInArrow(tidied(run), "doc_id long, toxic int, windows array<string>"))
-    sizes = held.select("doc_id", "toxic", F.size("windows").alias("n"), F.aggregate("windows", F.lit(0), lambda s, w: s + F.length(w)).alias("chars")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+                windows = cut(words)
+                joined.append(" ".join(words))
+                n.append(len(windows))
+                chars.append(sum(map(len, windows)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), pa.array(joined, pa.string()), pa.array(n, pa.int32()), pa.array(chars, pa.int64())], ["doc_id", "toxic", "words", "n", "chars"])
+
+    held = materialize(rows.select("doc_id", "toxic", "text").mapInArrow(tidied(run), "doc_id long, toxic int, words string, n int, chars long"))
+    sizes = held.select("doc_id", "toxic", "n", "chars").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     left, chosen = {0: most, 1: most}, []
     for r in sizes:  # each * 2 rows; windows are words of a text, so that characters are bounded too
         cost = max(r.n, r.chars // 1000)
@@ -364,9 +388,10 @@ def labelled_windows(df: DataFrame, labels: DataFrame, *, each: int, most: int,
             left[r.toxic] -= cost
             chosen.append(r.doc_id)
     ids = held.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    got = held.join(F.broadcast(ids), "doc_id").collect()
-    got.sort(key=lambda r: (r.doc_id, r.windows))
-    return [(r.windows, r.toxic) for r in got]
+    got = held.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "words").toArrow()
+    words, toxic = got.column("words"), got.column("toxic")
+    for i in pc.sort_indices(got.column("doc_id")).to_pylist():
+        yield cut(words[i].as_py().split(" ")), toxic[i].as_py()
 
 
 def score_toxicity(
@@ -380,10 +405,8 @@ def score_toxicity(
     network scores. Only words of the text are inputs.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = labelled_windows(source, labels, each=train_each, most=train_windows, window=window, stride=stride)
-    give_back()  # what collecting the sample took
-    trained = train(sample, window=window)
-    del sample
+    give_back()
+    trained = train(labelled_windows(source, labels, each=train_each, most=train_windows, window=window, stride=stride), window=window)
     give_back()
     net = df.sparkSession.sparkContext.broadcast(trained)
 
