@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrv.functions.spectral import finite, normal_fraction
+from lumenrv.kernels import groups
 from lumenrv.sources.scratch import materialize
 
 
@@ -25,42 +29,43 @@ def _round(likely: Column, q: Column, odd: float) -> Column:
     return (F.lit(1.0) - F.lit(odd) / (likely + odd)) / q
 
 
-def _middle(points: Column) -> Column:
-    """Median of the v of an array of struct(v, ...)."""
-    n = F.size(points)
-    at = lambda s, place: F.get(s, F.floor(place).cast("int"))
-    return F.transform(F.array(F.array_sort(F.transform(points, lambda p: p["v"]))), lambda s: (at(s, (n - 1) / 2) + at(s, n / 2)) / 2)[0]
+def listed(value: Column, counts: Column) -> Column:
+    """Values of a group as an array, NaN where missing, of the rows that count; arrays of the same rows go together."""
+    return F.collect_list(F.when(counts, F.coalesce(value, F.lit(float("nan")))))
 
 
-def _about_median(points: Column) -> Column:
-    """struct(v, q) with the median of all v taken off, of those that have a q."""
-    whole = F.filter(points, lambda p: p["q"].isNotNull())
-    less = F.transform(F.array(_middle(points)), lambda m: F.transform(whole, lambda p: F.struct((p["v"] - m).alias("v"), p["q"].alias("q"))))[0]
-    return F.when(F.size(points) > 0, less).otherwise(points)
+def of_lists(run: Callable[..., list[pa.Array]], fields: dict[str, str]) -> Callable[..., Column]:
+    """A function of columns of listed(): run gets each one's values, one group after the other, and the groups' sizes."""
+    kind = pa.struct([(k, pa.float64()) for k in fields])
 
+    def whole(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for lists in batches:
+            sizes = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+            ends, parts = np.append(0, np.cumsum(sizes)), []
+            for a, b in groups.slices(sizes):
+                columns = run(*(v[ends[a] : ends[b]] for v in values), sizes[a:b])
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+            yield pa.chunked_array(parts, kind).combine_chunks() if parts else pa.array([], kind)
 
-def mean_of_points(points: Column, odd: float, rounds: int, converged: float) -> Column:
-    """struct(mean, err) of an array of struct(v, q): a fold over rounds, each of which folds over the points."""
-    start = F.struct(_middle(points).alias("g"), F.lit(float("inf")).alias("last"), F.lit(1.0).alias("bulk"))
+    whole.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(whole, ", ".join(f"{k} {v}" for k, v in fields.items()))
 
-    def step(s: Column, _: Column) -> Column:
-        def add(a: Column, p: Column) -> Column:
-            w = _round(F.exp(F.pow(p["v"] - s["g"], F.lit(2)) / p["q"] * -0.5) * (1 - odd), p["q"], odd)
-            return F.transform(F.array(w), lambda w: F.struct((a["vw"] + p["v"] * w).alias("vw"), (a["w"] + w).alias("w")))[0]
 
-        sums = F.aggregate(points, F.struct(F.lit(0.0).alias("vw"), F.lit(0.0).alias("w")), add)
-        moved = F.transform(F.array(sums), lambda t: F.struct(F.try_divide(t["vw"], t["w"]).alias("g"), s["g"].alias("last"), F.sqrt(F.try_divide(F.lit(1.0), t["w"])).alias("bulk")))[0]
-        return F.when(F.abs(s["g"] - s["last"]) / s["bulk"] > converged, moved).otherwise(s)
+def mean_of_lists(odd: float, rounds: int, converged: float, about_median: bool) -> Callable[..., Column]:
+    """struct(mean, err) of the listed() values and squared errors of a group."""
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["g"].alias("mean"), s["bulk"].alias("err")))
+    def run(v: np.ndarray, q: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x, mask=np.isnan(x)) for x in groups.robust_means(v, q, sizes, odd, rounds, converged, about_median)]
+
+    return of_lists(run, {"mean": "double", "err": "double"})
 
 
 def crowded(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
     """Keys (as __key) of the groups of more than most rows, or None where there is none, as is usual."""
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > most)
-    if large.isEmpty():
-        return None
-    return materialize(large.select(*(F.col(k).alias(f"__key_{k}") for k in keys)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > most)
+    large = materialize(counts.select(*(F.col(k).alias(f"__key_{k}") for k in keys)))  # written first, so that df is counted once
+    return None if large.isEmpty() else large
 
 
 #: A group's histogram has so many steps of about equal counts.
@@ -157,20 +162,33 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, *, name: str =
     return exact_percentiles(df, keys, value, [0.5], name="__p", gathered=gathered).select(*keys, F.get("__p", F.lit(0)).alias(name))
 
 
-def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, converged: float) -> DataFrame:
-    """Groups of any size: every round is one grouping with partial sums, and no group's points are gathered."""
-    state = exact_median(known, keys, "__v", name="__g").withColumns({"__last": F.lit(float("inf")), "__bulk": F.lit(1.0)})
-    moving = F.abs(F.col("__g") - F.col("__last")) / F.col("__bulk") > converged
-    for _ in range(rounds):
-        held = materialize(state.select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__g", "__last", "__bulk"))
-        if held.filter(moving).isEmpty():
+def _by_rounds(known: DataFrame, keys: list[str], odd: float, rounds: int, converged: float, middle: DataFrame) -> DataFrame:
+    """Groups of any size, from their medians on: every round is one grouping with partial sums of the groups that still move."""
+    named = [F.col(k).alias(f"__key_{k}") for k in keys]
+    state = materialize(middle.select(*named, F.col("__g"), F.lit(float("inf")).alias("__last"), F.lit(1.0).alias("__bulk")))
+    moving = F.coalesce(F.abs(F.col("__g") - F.col("__last")) / F.col("__bulk") > converged, F.lit(False))
+    for i in range(rounds):
+        go = state.filter(moving)
+        if i and go.isEmpty():
             break
         weight = _round(F.exp(F.pow(F.col("__v") - F.col("__g"), F.lit(2)) / F.col("__q") * -0.5) * (1 - odd), F.col("__q"), odd)
-        sums = known.join(held, _same(keys)).groupBy(*keys, "__g", "__last", "__bulk").agg(F.sum(F.col("__v") * weight).alias("__vw"), F.sum(weight).alias("__w"))
-        mean, bulk = F.try_divide("__vw", "__w"), F.sqrt(F.try_divide(F.lit(1.0), F.col("__w")))
-        state = sums.select(*keys, F.when(moving, mean).otherwise(F.col("__g")).alias("__n"), F.when(moving, F.col("__g")).otherwise(F.col("__last")).alias("__p"), F.when(moving, bulk).otherwise(F.col("__bulk")).alias("__b"))
-        state = state.select(*keys, F.col("__n").alias("__g"), F.col("__p").alias("__last"), F.col("__b").alias("__bulk"))
-    return state.select(*keys, F.struct(F.col("__g").alias("mean"), F.col("__bulk").alias("err")).alias("__m"))
+        sums = known.join(go, _same(keys)).groupBy(*keys, "__g").agg(F.sum(F.col("__v") * weight).alias("__vw"), F.sum(weight).alias("__w"))
+        moved = sums.select(*named, F.try_divide("__vw", "__w").alias("__n"), F.col("__g").alias("__last"), F.sqrt(F.try_divide(F.lit(1.0), F.col("__w"))).alias("__bulk"))
+        state = materialize(moved.withColumnRenamed("__n", "__g").union(state.filter(~moving)))
+    return state.select(*(F.col(f"__key_{k}").alias(k) for k in keys), F.struct(F.col("__g").alias("mean"), F.col("__bulk").alias("err")).alias("__m"))
+
+
+def _means_by_rounds(held: DataFrame, keys: list[str], pairs: int, odd: float, rounds: int, converged: float, about_median: bool) -> DataFrame:
+    """keys, __pair, __m for groups of any size: all pairs go through the same passes, as groups of their own."""
+    by = [*keys, "__pair"]
+    each = F.inline(F.array(*(F.struct(F.lit(i).alias("__pair"), F.col(f"__v{i}").alias("__v"), F.col(f"__q{i}").alias("__q")) for i in range(pairs))))
+    every = held.select(*keys, each) if pairs > 1 else held.select(*keys, F.lit(0).alias("__pair"), F.col("__v0").alias("__v"), F.col("__q0").alias("__q"))
+    middle_of = lambda t: _percentiles_by_rounds(t, by, [0.5], 20_000).select(*by, F.get("__p", F.lit(0)).alias("__g"))
+    known = every.filter("__v is not null and __q is not null")
+    if about_median:
+        off = middle_of(every.filter("__v is not null").select(*by, "__v")).select(*(F.col(k).alias(f"__key_{k}") for k in by), F.col("__g").alias("__c"))
+        known = materialize(known.join(off, _same(by)).select(*by, (F.col("__v") - F.col("__c")).alias("__v"), "__q"))
+    return _by_rounds(known, by, odd, rounds, converged, middle_of(known.select(*by, "__v")))
 
 
 def robust_means(
@@ -183,33 +201,27 @@ def robust_means(
     converged of its error or less, at latest after rounds. Points with a missing value or error, or an error of zero, do not count; a
     group without any has nulls. With about_median the median of a group's values, also of those without an error, is taken off
     first. Groups of up to gathered rows are worked on in one row each after one shuffle; larger ones go round by round with
-    partial sums. Both ways give the same numbers. count_name adds the number of points of the first pair, rows_name that of
-    rows. df is read twice, and nothing of it is written unless groups are larger: hand over a written table where it is dear.
+    partial sums, for all pairs at once. Both ways give the same numbers. count_name adds the number of points of the first pair, rows_name that of
+    rows. df is read twice, and nothing of its rows is written unless groups are larger: hand over a written table where it is dear.
     """
     keys = list(keys)
     points = df.select(*keys, *(c for i, (value, error, *_) in enumerate(pairs) for c in (finite(F.col(value)).alias(f"__v{i}"), _square(finite(F.col(error))).alias(f"__q{i}"))))
     large = crowded(points, keys, gathered)
     small = points if large is None else points.join(large, _same(keys), "left_anti")
-    lists, means = [], {}
+    lists = []
     for i in range(len(pairs)):
         v, q = F.col(f"__v{i}"), F.col(f"__q{i}")
-        lists.append(F.collect_list(F.when(v.isNotNull() & (about_median | q.isNotNull()), F.struct(v.alias("v"), q.alias("q")))).alias(f"__l{i}"))
-        if about_median:
-            means[f"__l{i}"] = _about_median(F.col(f"__l{i}"))
-    rows_count = F.count(F.lit(1)).alias("__rows")
-    grouped = small.groupBy(*keys).agg(*lists, rows_count)
-    out = (grouped.withColumns(means) if means else grouped).select(*keys, "__rows", F.size("__l0").alias("__n"), *(F.when(F.size(f"__l{i}") > 0, mean_of_points(F.col(f"__l{i}"), odd, rounds, converged)).alias(f"__m{i}") for i in range(len(pairs))))
+        counts = v.isNotNull() & (F.lit(about_median) | q.isNotNull())
+        lists += [listed(v, counts).alias(f"__l{i}"), listed(q, counts).alias(f"__s{i}")]
+    totals = [F.count(F.lit(1)).alias("__rows"), F.count(F.col("__v0") + F.col("__q0")).alias("__n")]
+    mean = mean_of_lists(odd, rounds, converged, about_median)
+    out = small.groupBy(*keys).agg(*totals, *lists).select(*keys, "__rows", "__n", *(mean(f"__l{i}", f"__s{i}").alias(f"__m{i}") for i in range(len(pairs))))
     if large is not None:
         held = materialize(points.join(large, _same(keys), "left_semi"))
-        many = held.groupBy(*keys).agg(rows_count, F.count(F.col("__v0") + F.col("__q0")).alias("__n"))
-        for i in range(len(pairs)):
-            known = held.select(*keys, F.col(f"__v{i}").alias("__v"), F.col(f"__q{i}").alias("__q")).filter("__v is not null")
-            if about_median:
-                middle = exact_median(known, keys, "__v", name="__c").select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__c")
-                known = materialize(known.join(middle, _same(keys)).select(*keys, (F.col("__v") - F.col("__c")).alias("__v"), "__q"))
-            found = _by_rounds(known.filter("__q is not null"), keys, odd, rounds, converged)
-            many = many.join(found.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__m").alias(f"__m{i}")), _same(keys), "left").select(*keys, "__rows", "__n", *(f"__m{j}" for j in range(i + 1)))
-        out = out.union(many)
+        found = _means_by_rounds(held, keys, len(pairs), odd, rounds, converged, about_median)
+        wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("__pair") == i, F.col("__m"))).alias(f"__m{i}") for i in range(len(pairs))))
+        wide = wide.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *(f"__m{i}" for i in range(len(pairs))))
+        out = out.union(held.groupBy(*keys).agg(*totals).join(wide, _same(keys), "left").select(*keys, "__rows", "__n", *(f"__m{i}" for i in range(len(pairs)))))
     named = [c for i, (_, _, name, error_name) in enumerate(pairs) for c in (F.col(f"__m{i}.mean").alias(name), F.col(f"__m{i}.err").alias(error_name))]
     return out.select(*keys, *named, *([F.col("__n").cast("long").alias(count_name)] if count_name else []), *([F.col("__rows").alias(rows_name)] if rows_name else []))
 

@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrv.functions.spectral import finite
-from lumenrv.kernels import curves
+from lumenrv.kernels import curves, groups
 from lumenrv.operators import robust
 from lumenrv.sources.scratch import materialize
 
@@ -111,49 +112,6 @@ def _weighted_line(prob: Column, error: Column) -> dict[str, Column]:
 FIT = ("level", "level_err", "slope", "slope_err", "crx", "crx_err")
 
 
-def _reweighted(y: Column, x: Column, e: Column, fit: Column | None) -> Column:
-    """A point's weight: its chance to be valid, given the line before, over its error."""
-    if fit is None:
-        return F.lit(1.0) / e
-    g = F.exp(F.pow((y - fit["level"] - fit["slope"] * x) / e, F.lit(2)) * -0.5)
-    return g * (1 + 1e-4) / (g + 1e-4) / e
-
-
-def _slope_of_points(points: Column, rounds: int) -> Column:
-    """struct of FIT for an array of struct(x, l, y, e): a fold over rounds, each of which folds over the points."""
-    names = ("s", "sx", "sy", "sxx", "sxy", "syy")
-
-    def fit(state: Column | None) -> Column:
-        def add(a: Column, p: Column) -> Column:
-            w2 = F.pow(_reweighted(p["y"], p["x"], p["e"], state), F.lit(2))
-            terms = lambda w, x: (w, w * x, w * p["y"], w * x * x, w * x * p["y"], w * p["y"] * p["y"])
-            both = lambda w: F.struct(*((a[f"{side}_{k}"] + t).alias(f"{side}_{k}") for side, x in (("a", p["x"]), ("b", p["l"])) for k, t in zip(names, terms(w, x))))
-            return F.transform(F.array(w2), both)[0]
-
-        zero = F.struct(*(F.lit(0.0).alias(f"{side}_{k}") for side in "ab" for k in names))
-        n = F.size(points)
-
-        def solved(t: Column) -> Column:
-            one, two = (robust.line_from(lambda c, side=side: n if c == "n" else t[f"{side}_{c}"]) for side in "ab")
-            return F.struct(*(one[k].alias(k) for k in FIT[:4]), two["slope"].alias("crx"), two["slope_err"].alias("crx_err"))
-
-        return F.transform(F.array(F.aggregate(points, zero, add)), solved)[0]
-
-    def step(state: Column, _: Column) -> Column:
-        new = F.transform(F.array(fit(state)), lambda f: F.struct(*(f[k].alias(k) for k in FIT), F.coalesce(F.abs(f["level"] - state["level"]) >= f["level_err"] * 0.1, F.lit(False)).alias("moving")))[0]
-        return F.when(state["moving"], new).otherwise(state)
-
-    first = F.transform(F.array(fit(None)), lambda f: F.struct(*(f[k].alias(k) for k in FIT), F.lit(True).alias("moving")))[0]
-    return F.aggregate(F.sequence(F.lit(2), F.lit(rounds)), first, step) if rounds > 1 else first
-
-
-def _percentile_of(values: Column, share: float) -> Column:
-    """Percentile of an array without nulls, linear between places."""
-    place = F.lit(share) * (F.size(values) - 1)
-    part = place - F.floor(place)
-    return F.transform(F.array(F.array_sort(values)), lambda s: F.get(s, F.floor(place).cast("int")) * (1 - part) + F.get(s, F.ceil(place).cast("int")) * part)[0]
-
-
 def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str, error: str, *, reference: float, bias: str | None = None, rounds: int = 10, gathered: int = 100_000) -> DataFrame:
     """Velocity at a reference wavelength (level), slope (per um) and CRX of each group, with errors.
 
@@ -169,19 +127,14 @@ def chromatic_slope(df: DataFrame, keys: Sequence[str], wave: str, velocity: str
     rows = df.select(*keys, finite(F.col(wave)).alias("__w"), finite(F.col(velocity)).alias("__v"), finite(F.col(error)).alias("__e"), off.alias("__o"))
     large = robust.crowded(rows, keys, gathered)
     few = rows if large is None else rows.join(large, robust._same(keys), "left_anti")
-    lists = few.groupBy(*keys).agg(F.collect_list(F.struct(F.col("__w").alias("w"), F.col("__v").alias("v"), F.col("__e").alias("e"), F.col("__o").alias("o"))).alias("__p"))
-    known = lambda c: F.filter(F.transform("__p", lambda p: p[c]), lambda x: x.isNotNull())
-    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  (a value used for each point is worked out once)
-    good = lambda p, vm, em: F.coalesce(p["w"].isNotNull() & p["o"].isNotNull() & (F.abs(p["v"] - vm) < p["e"] * 10) & (p["e"] < em * 100), F.lit(False))
-    middles = F.struct(_percentile_of(known("v"), 0.5).alias("v"), _percentile_of(known("e"), 0.5).alias("e"))
-    chosen = lists.select(*keys, once(middles, lambda m: F.filter("__p", lambda p: good(p, m["v"], m["e"]))).alias("__p"))
-    errors = F.transform("__p", lambda p: p["e"])
-    floor = F.when(F.array_min(errors) == 0, _percentile_of(errors, 0.01) / 2).otherwise(0.0)
-    point = lambda p, f: F.struct((p["w"] - reference).alias("x"), F.log(p["w"] / reference).alias("l"), (p["v"] - p["o"]).alias("y"), F.greatest(p["e"], f).alias("e"))
-    points = chosen.select(*keys, once(floor, lambda f: F.transform("__p", lambda p: point(p, f))).alias("__p"))
-    fit = F.when(F.size("__p") >= 3, _slope_of_points(F.col("__p"), rounds))
+    lists = few.groupBy(*keys).agg(*(robust.listed(F.col(c), F.lit(True)).alias(c) for c in ("__w", "__v", "__e", "__o")))
+
+    def run(w: np.ndarray, v: np.ndarray, e: np.ndarray, o: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x, mask=~has) for x, has in zip(*groups.slopes(w, v, e, o, sizes, reference, rounds))]
+
+    fit = robust.of_lists(run, dict.fromkeys(FIT, "double"))("__w", "__v", "__e", "__o")
     scaled = lambda t: t.select(*keys, *((F.col(k) * (1000 if "slope" in k else 1)).alias(k) for k in FIT))
-    out = scaled(points.select(*keys, fit.alias("__fit")).select(*keys, *(F.col("__fit")[k].alias(k) for k in FIT)))
+    out = scaled(lists.select(*keys, fit.alias("__fit")).select(*keys, *(F.col("__fit")[k].alias(k) for k in FIT)))
     if large is not None:
         held = materialize(rows.join(large, robust._same(keys), "left_semi"))
         out = out.union(scaled(_slope_by_rounds(held, keys, reference, rounds)))
