@@ -56,8 +56,9 @@ def reference_drift_stream(spark, d):
     """The drifts of reference_drift from a stream of files, in which references come late and revise what was given."""
     every = exposures(spark, d)
     folder = shared_dir(spark)
-    every.repartition(4, "exposure").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # four batches of so many files
+    every.repartition(4 * each, "exposure").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in")
     references.run_to_end(references.drifts(stream, "wavefile", "exposure", "mjd", "snr", F.col("kind") == "F"), f"{folder}/out", f"{folder}/checkpoint")
     last = references.settled(spark.read.parquet(f"{folder}/out"))
     return last.select(F.col("item").alias("exposure"), F.round(F.col("value") - F.col("reference"), 6).alias("drift"))
