@@ -2,7 +2,7 @@
 
 Documents are encoded once; how many documents hold each token id, and the mean length, are counted over the whole corpus.
 Shards are cut from an order of all documents that brings alike ones together: by the four nearest of some centres of hashed
-term vectors (fitted to a bounded sample, which decides on the order alone), then by a minimum hash of token triples. A shard
+term vectors (k-means over every document, a round is one pass), then by a minimum hash of token triples. A shard
 is a bounded number of documents and tokens, and a group of copies of any size is spread over as many as it needs. In a shard an inverted index gives, for the seed of a window, the unused documents by falling BM25 score; they fill the window,
 the last one is cut and its rest is the next seed. A window that its shard leaves open is filled from the next shard.
 """
@@ -10,7 +10,9 @@ the last one is cut and its rest is the next seed. A window that its shard leave
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ class Centres:
     """Centres of hashed term vectors; cells() numbers each document's four nearest ones in order."""
 
     def __init__(self, held: np.ndarray, documents: int, *, dims: int = 512, seed: int = 11):
-        """held: for each token id how many of some documents hold it. There are no centres before fit()."""
+        """held: for each token id how many of the documents hold it. There are no centres before begin()."""
         rng = np.random.default_rng(seed)
         vocabulary = len(held)
         self.dims, self.centres = dims, np.zeros((0, dims), np.float32)
@@ -66,15 +68,16 @@ class Centres:
         self.weight = np.where(held > 1, np.maximum(0, np.log((documents + 1) / (held + 0.5))), 0) * rng.choice([-1.0, 1.0], vocabulary)
         self.rng = rng
 
-    def fit(self, x: np.ndarray, centres: int = 16, rounds: int = 8) -> None:
-        """Centres of some documents' vectors; of fewer than two there are none."""
-        if len(x) < 2:
-            return
-        self.centres = x[self.rng.permutation(len(x))[:centres]].copy()
-        for _ in range(rounds):
-            near = (x @ self.centres.T).argmax(axis=1)
-            sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c for k, c in enumerate(self.centres)])
-            self.centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-9)[:, None]
+    def begin(self, packed: list[bytes], centres: int = 16) -> None:
+        """The first different ones of some documents' vectors are the first centres; of fewer than two there are none."""
+        first = list(dict.fromkeys(packed))[:centres]
+        if len(first) > 1:
+            self.centres = unpacked(first, self.dims)
+
+    def settle(self, sums: np.ndarray) -> None:
+        """Centres become the directions of their documents' sums; one without stays."""
+        size = np.sqrt((sums * sums).sum(axis=1))
+        self.centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-9)[:, None], self.centres).astype(np.float32)
 
     def vectors(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Unit vectors of documents: the ids' weights, summed in hashed places."""
@@ -83,63 +86,146 @@ class Centres:
         x = np.copysign(np.log1p(np.abs(x)), x)  # so that no repeated word outweighs the rest
         return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
 
-    def cells(self, flat: np.ndarray, lens: np.ndarray, docs: int = 256) -> np.ndarray:
-        out, ends = np.zeros(len(lens), np.int32), np.cumsum(lens)
-        if len(self.centres):
-            for at in range(0, len(lens), docs):
-                n = lens[at : at + docs]
-                x = self.vectors(flat[ends[at] - lens[at] : ends[at + len(n) - 1]], n)
-                near = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :4]
-                out[at : at + docs] = near @ (len(self.centres) ** np.arange(near.shape[1])[::-1])
-        return out
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Of unit vectors."""
+        if not len(self.centres):
+            return np.zeros(len(x), np.int32)
+        near = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :4]
+        return (near @ (len(self.centres) ** np.arange(near.shape[1])[::-1])).astype(np.int32)
 
 
-def fit_centres(rows: DataFrame, tokenizer: str, vocabulary: int, sample: int) -> Centres:
-    """Centres from about sample documents at most: a count for each token id and a vector of some hundred numbers for each of these reach the driver."""
+def packed_vectors(x: np.ndarray) -> list[bytes]:
+    """Vectors in signed bytes, the largest component of each as 127."""
+    most = np.abs(x).max(axis=1, initial=0)
+    return [v.tobytes() for v in np.rint(x * (127 / np.where(most > 0, most, 1))[:, None]).astype(np.int8)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = CachedBpe(tokenizer)
-        for batch in batches:
-            for part in byte_slices(batch, "text"):
-                ids = bpe.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([np.unique(x).astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["ids", "terms"])
-
-    share = min(1.0, sample / max(rows.count(), 1))
-    some = materialize(rows.select("text").sample(share, seed=1).limit(sample).mapInArrow(tidied(run), "ids binary, terms array<long>"))
-    held = np.zeros(vocabulary, np.int64)
-    documents = some.count()
-    for r in some.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a token id at most
-        held[r.t] = r["count"]
+
+def unpacked(packed: list[bytes], dims: int) -> np.ndarray:
+    """Unit vectors again."""
+    x = np.frombuffer(b"".join(packed), np.int8).reshape(-1, dims).astype(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+
+
+def fit_centres(coded: DataFrame, held: np.ndarray, documents: int, rounds: int = 8) -> tuple[Centres, DataFrame]:
+    """Centres of all documents, and the documents' vectors: these are written once, and each round reads every one of them.
+
+    The sums of a round are of whole numbers, so that they do not depend on an order; of each round one row a centre reaches
+    the driver.
+    """
     found = Centres(held, documents)
-    shared = rows.sparkSession.sparkContext.broadcast(found)
+    shared = coded.sparkSession.sparkContext.broadcast(found)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([shared.value.vectors(ids, np.array([len(ids)])).tobytes()], pa.binary())], ["v"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                v = pa.array(packed_vectors(shared.value.vectors(*_ids(part))), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n", "near")), v], ["doc_id", "n", "near", "v"])
+
+    written = materialize(coded.select("doc_id", "n", "near", "width", "ids").mapInArrow(tidied(vectors), "doc_id long, n long, near long, v binary"))
+    # to begin with, documents by a hash of their number; the rounds are over all
+    found.begin([bytes(r.v) for r in written.orderBy(F.xxhash64("doc_id"), "doc_id", "v").limit(128).collect()])
+    for _ in range(rounds if len(found.centres) else 0):
+        sums = np.zeros(found.centres.shape)
+        for r in written.select("v").mapInArrow(tidied(nearest_sums(found.centres)), "k int, s binary").groupBy("k").applyInArrow(total_sums, "k int, s binary").collect():
+            sums[r.k] = np.frombuffer(r.s)
+        found.settle(sums)
+    return found, written
+
+
+def nearest_sums(centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of packed vectors: for each centre the sum of the vectors to which it is the nearest, in whole 2**-13."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(centres.shape)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x = unpacked(batch.column("v").slice(at, 1024).to_pylist(), centres.shape[1])
+                near = (x @ centres.T).argmax(axis=1)
+                x *= 8192  # 1,024 of them stay below 2**24, so that their sums are exact
+                sums += (near == np.arange(len(centres))[:, None]).astype(np.float32) @ np.rint(x, out=x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], ["k", "s"])
+
+    return run
 
-    got = sorted(bytes(r.v) for r in some.select("ids").mapInArrow(vectors, "v binary").collect())  # the same order in every run
-    if got:
-        found.fit(np.stack([np.frombuffer(v, np.float32) for v in got]))
-    return found
 
+def total_sums(tasks: pa.Table) -> pa.Table:
+    """The sums of all tasks for one centre."""
+    total = sum(np.frombuffer(x) for x in tasks.column("s").to_pylist())
+    return pa.table({"k": tasks.column("k")[:1], "s": pa.array([total.tobytes()], pa.binary())})
 
-def encode_documents(rows: DataFrame, tokenizer: str, end_id: int, centres: Broadcast) -> DataFrame:
-    """doc_id, n (ids with end_id), width, ids (little-endian), cell (nearest centres) and near (hash of likeness)."""
+
+@cache
+def worker_encoder(tokenizer: str) -> CachedBpe:
+    """The encoder that a worker's tasks share, so that each does not learn the same words anew; two workers of an executor share its memory."""
+    return CachedBpe(tokenizer, 400_000)
+
+
+def encode_documents(rows: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
+    """doc_id, n (ids with end_id), width, ids (little-endian) and near (hash of likeness).
+
+    Each task adds one row that has held alone: for each token id how many of its documents hold it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = CachedBpe(tokenizer, 400_000)  # two workers of an executor share its memory
+        bpe = worker_encoder(tokenizer)
         width = max(bpe.dtype.itemsize, 2 if end_id < 1 << 16 else 4)
+        counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for part in byte_slices(batch, "text", 2 << 20):
                 ids = [np.append(x, end_id).astype(f"<u{width}") for x in bpe.encode(part.column("text").to_pylist())]
                 lens, flat = np.array([len(x) for x in ids]), np.concatenate(ids)
+                cut = np.append(0, np.cumsum(lens))
+                near = [min_hashes(flat[cut[i] : cut[i + 32]] if i + 32 < len(lens) else flat[cut[i] :], lens[i : i + 32]) for i in range(0, len(lens), 32)]  # arrays that fit the processor's cache
+                for _, term, _ in term_counts(flat, lens, vocabulary):
+                    counts += np.bincount(term, minlength=vocabulary)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lens), pa.array(np.full(len(ids), width, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(centres.value.cells(flat, lens)), pa.array(min_hashes(flat, lens))],
-                    ["doc_id", "n", "width", "ids", "cell", "near"])
+                    [part.column("doc_id"), pa.array(lens), pa.array(np.full(len(ids), width, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(np.concatenate(near)), pa.nulls(len(ids), pa.binary())],
+                    names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())] + [pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
+
+    names = ["doc_id", "n", "width", "ids", "near", "held"]
+    return rows.mapInArrow(tidied(run), "doc_id long, n long, width int, ids binary, near long, held binary")
+
+
+ORDER = ["cell", "near", "doc_id", "n"]
+
+
+def ranges(vectors: DataFrame, centres: Broadcast, parts: int) -> list[tuple]:
+    """Where about equal numbers of documents begin in ORDER, from their vectors: one row a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                cells = centres.value.cells(unpacked(part.column("v").to_pylist(), centres.value.dims))
+                yield pa.RecordBatch.from_arrays([pa.array(cells), *(part.column(c) for c in ORDER[1:])], ORDER)
+
+    small = vectors.mapInArrow(tidied(run), "cell int, near long, doc_id long, n long")
+    found = small.repartitionByRange(parts, *ORDER).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*ORDER)).alias("first")).collect()
+    return sorted(place(*r.first) for r in found)
 
-    return rows.mapInArrow(tidied(run), "doc_id long, n long, width int, ids binary, cell int, near long")
+
+def place(cell: int, near: int, doc_id: int | None, n: int) -> tuple:
+    """A document's place in ORDER, a null id first."""
+    return cell, near, doc_id is not None, doc_id or 0, n
+
+
+def in_ranges(coded: DataFrame, centres: Broadcast, begins: list[tuple]) -> DataFrame:
+    """coded with cell, each document's nearest centres, and part, the range that it falls in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                own = centres.value
+                cells = own.cells(unpacked(packed_vectors(own.vectors(*_ids(some))), own.dims))
+                keys = zip(cells.tolist(), *(some.column(c).to_pylist() for c in ORDER[1:]))
+                part = [max(bisect_right(begins, place(*k)) - 1, 0) for k in keys]
+                yield some.append_column("cell", pa.array(cells)).append_column("part", pa.array(part, pa.int32()))
+
+    return coded.mapInArrow(tidied(run), "doc_id long, n long, width int, ids binary, near long, cell int, part int")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +236,18 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, f"<u{width}"), batch.column("n").to_numpy()
 
 
-def document_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
-    """How many documents hold each token id: one vector of the vocabulary's size reaches the driver."""
+def document_counts(tasks: DataFrame, vocabulary: int) -> np.ndarray:
+    """How many documents hold each token id, from the counts of the encoding's tasks: one vector of the vocabulary's size reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for _, term, _ in term_counts(*_ids(batch.slice(at, 256)), vocabulary):
-                    counts += np.bincount(term, minlength=vocabulary)
+            for raw in batch.column("held"):
+                counts += np.frombuffer(raw.as_buffer(), "<i8")
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "n"])
 
-    rows = coded.select("width", "ids", "n").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = tasks.select("held").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(vocabulary, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
@@ -238,8 +323,8 @@ class Packer:
 
     def fill(self, shard: Shard, ids: list[np.ndarray], names: list) -> None:
         """Place every document of a shard; the last window may stay open."""
-        ranked: np.ndarray | None = None
-        rank, asked = 0, None
+        live: np.ndarray | None = None  # scores for the open window's seed, below zero for used documents
+        asked = None
         while True:
             if self.rest:
                 self._place(*self.rest, shard, ids, names)
@@ -250,13 +335,11 @@ class Packer:
                     return
             else:
                 if asked is not self.terms:
-                    asked, rank = self.terms, 0
-                    ranked = np.argsort(-shard.scores(asked), kind="stable")
-                while rank < shard.n and not shard.unused[ranked[rank]]:
-                    rank += 1
-                if rank == shard.n:
+                    asked, live = self.terms, shard.scores(self.terms)
+                doc = int(live.argmax())  # of equal scores the first
+                if live[doc] < 0:
                     return
-                doc = int(ranked[rank])
+                live[doc] = -1
             shard.unused[doc] = False
             self._place(doc, 0, shard, ids, names)
 
@@ -268,19 +351,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(
     df: DataFrame, tokenizer: str, *, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    shard_docs: int = 1024, shard_tokens: int = 2 << 20, partition_tokens: int = 2 << 20, sample: int = 4096, k1: float = 1.2, b: float = 0.75,
+    shard_docs: int = 1024, shard_tokens: int = 2 << 20, partition_tokens: int = 2 << 20, k1: float = 1.2, b: float = 0.75,
 ) -> DataFrame:
     """Pieces of every whole document in sequences of window ids; each id lies in exactly one piece.
 
     A null text is the empty one and has its end id only; repeated rows are packed each. All sequences are full but the
     last of each partition of about partition_tokens ids. An empty table gives no pieces. The order of shards is fitted to
-    sample documents at most.
+    all documents.
     """
     rows, vocabulary = texts(df, id_col, text_col), max(vocabulary_size(tokenizer), end_id + 1)
-    centres = df.sparkSession.sparkContext.broadcast(fit_centres(rows, tokenizer, vocabulary, sample))  # of fixed size
-    coded = materialize(encode_documents(rows, tokenizer, end_id, centres))
+    written = materialize(encode_documents(rows, tokenizer, end_id, vocabulary))
+    coded = written.filter("held is null").drop("held")
     docs, tokens = coded.agg(F.count("*"), F.sum("n")).first()
-    held = document_counts(coded, vocabulary)
+    held = document_counts(written.filter("held is not null"), vocabulary)
+    own = np.where(np.arange(vocabulary) == end_id, 0, held)  # the end of every document tells nothing apart
+    fitted, vectors = fit_centres(coded, own, docs)
+    centres = df.sparkSession.sparkContext.broadcast(fitted)  # of fixed size
     # terms of more than half of all documents tell nothing apart: their idf is zero
     idf = np.maximum(0.0, np.log((docs - held + 0.5) / (held + 0.5)))
     idf[held == 0] = 0
@@ -315,9 +401,9 @@ def pack(
         if held:
             yield from shard()
 
-    parts = max(1, -(-(tokens or 0) // partition_tokens))
-    order = ["cell", "near", "doc_id", "n"]
-    return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(run), PIECES)
+    begins = ranges(vectors, centres, max(1, -(-(tokens or 0) // partition_tokens)))
+    dealt = in_ranges(coded, centres, begins).repartitionById(max(len(begins), 1), "part")  # a range partitioning would take coded through Python twice
+    return dealt.sortWithinPartitions(*ORDER).mapInArrow(tidied(run), PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

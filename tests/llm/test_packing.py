@@ -79,3 +79,40 @@ def test_alike_documents_share_windows(spark):
     for r in got:
         seq.setdefault(r.sequence_id, set()).add(r.doc_id % 8)
     assert np.mean([len(s) for s in seq.values()]) < 2.5
+
+
+def test_centres_are_of_all_documents(spark):
+    """More documents than any sample was: the centres are those of k-means over every one of them."""
+    rng = np.random.default_rng(6)
+    words = [f" w{k}x" for k in range(300)]
+    rows = [(i, "".join(words[(i % 20) * 15 + j] for j in rng.integers(0, 15, 6)) if i else "") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    size = P.vocabulary_size(FILE)
+    written = P.encode_documents(df, FILE, 1, size)
+    coded, held = written.filter("held is null").drop("held"), P.document_counts(written.filter("held is not null"), size)
+    ids = [np.frombuffer(r.ids, f"<u{r.width}") for r in coded.orderBy("doc_id").collect()]
+    assert len(ids) == 5000 and held[1] == 5000 and held.sum() == sum(len(np.unique(x)) for x in ids)
+    held[1] = 0
+    found, vectors = P.fit_centres(coded, held, 5000)
+    by_hand = P.Centres(held, 5000)
+    packed = P.packed_vectors(np.concatenate([by_hand.vectors(x, np.array([len(x)])) for x in ids]))
+    assert [bytes(r.v) for r in vectors.orderBy("doc_id").collect()] == packed
+    x = P.unpacked(packed, by_hand.dims)
+    order = [r.doc_id for r in vectors.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
+    by_hand.begin([packed[i] for i in order[:128]])
+    for _ in range(8):
+        near = (x @ by_hand.centres.T).argmax(axis=1)
+        by_hand.settle(np.stack([x[near == k].astype(float).sum(axis=0) for k in range(len(by_hand.centres))]))
+    assert found.centres.shape == (16, 512) and np.abs(found.centres - by_hand.centres).max() < 1e-2
+
+
+def test_parts_are_ranges_of_the_order(spark):
+    """A group of copies larger than a part is spread over parts, and each part holds one range."""
+    rows = [(i, "the same words in very many documents" if i % 2 else f"document {i % 97} of other words {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.pack(df, FILE, end_id=1, partition_tokens=600).collect()
+    check_pieces(got, rows)
+    parts = {}
+    for r in got:
+        parts.setdefault(r.sequence_id >> 40, set()).add(r.doc_id)
+    assert len(parts) > 5 and max(map(len, parts.values())) < 200
